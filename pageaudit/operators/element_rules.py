@@ -95,3 +95,19 @@ def detect_all(parsed: DataFrame, profile: str = "default", keep_clean: bool = F
     explode = F.explode_outer if keep_clean else F.explode
     keep = [c for c in ("page_id", "scan_id", "stage", "url") if c in parsed.columns]
     return staged.select(*keep, "page_state", explode(every).alias("f")).select(*keep, "page_state", "f.*")
+
+
+def may_raise(html: Column, visible_text: Column = None) -> Column:
+    """Cheap necessary condition for any finding of ``detect_all``, without parsing.
+
+    Tags, blanks and ``&nbsp;`` collapse to one blank, so every phrase that the
+    parsed text can hold also shows here; other character references count as
+    suspicious. Hidden parts are included, which can only let more pages pass.
+    """
+    loose = F.regexp_replace(html, r"(?:<[^>]*>|\s|\u00a0|&nbsp;)+", " ")
+    tight = F.regexp_replace(html, r"<[^>]*>", "")
+    text = loose if visible_text is None else F.coalesce(F.when(visible_text != "", plain_spaces(visible_text)), loose)
+    phrases = "|".join(X.TEXT_RULE_RX.values())
+    references = r"&(?!nbsp;|amp;|copy;|middot;|lt;|gt;|quot;)[a-zA-Z#]"
+    marks = r"\d:\d|checked|font-size|opacity|" + references
+    return found(text, phrases) | found(html, marks) | found(tight, X.RX_SHAME_CORE)

@@ -200,11 +200,12 @@ def stage_trace(price_stages: DataFrame) -> DataFrame:
     return s.join(base, "scan_id").withColumn("delta_to_baseline", (F.col("total") - F.col("baseline")).cast(MONEY))
 
 
-def fold_transitions(transitions: DataFrame) -> DataFrame:
+def fold_transitions(transitions: DataFrame, *span) -> DataFrame:
     """State of each purchase journey after all its transitions.
 
     A captured stage holds until a later failure at that stage (or, for the
-    checkout, at the cart) clears it together with its price.
+    checkout, at the cart) clears it together with its price. ``span`` adds a
+    grouping key, such as a session window.
     """
     state, seq = F.col("to_state"), F.col("seq")
     captured = lambda s: (state == f"{s}_CAPTURED") & F.col("verified")
@@ -213,7 +214,7 @@ def fold_transitions(transitions: DataFrame) -> DataFrame:
     late_fail = failed & F.col("stage").isin("cart", "checkout")
     last = lambda cond: F.max(F.when(cond, seq))
     price = lambda cond: F.max_by(F.when(cond, F.struct(F.col("price_observed").alias("p"))), F.when(cond, seq))
-    g = transitions.groupBy("scan_id").agg(
+    g = transitions.groupBy("scan_id", *span).agg(
         F.max_by("to_state", "seq").alias("final_state"),
         last(captured("PRODUCT")).alias("prod_at"), price(captured("PRODUCT")).alias("p0"),
         last(captured("CART")).alias("cart_at"), price(captured("CART")).alias("p1"), last(cart_fail).alias("cart_fail"),
@@ -221,8 +222,9 @@ def fold_transitions(transitions: DataFrame) -> DataFrame:
     )
     holds = lambda at, fail: F.col(at).isNotNull() & (F.coalesce(fail, F.lit(-1)) < F.col(at))
     cart, out = holds("cart_at", "cart_fail"), holds("out_at", "late_fail")
+    extra = [c for c in g.columns if c == "visit"]
     return g.select(
-        "scan_id", "final_state", F.col("prod_at").isNotNull().alias("product_reached"),
+        "scan_id", *extra, "final_state", F.col("prod_at").isNotNull().alias("product_reached"),
         cart.alias("cart_reached"), out.alias("checkout_reached"),
         F.col("p0.p").alias("p0"), F.when(cart, F.col("p1.p")).alias("p1"), F.when(out, F.col("p2.p")).alias("p2"),
     )

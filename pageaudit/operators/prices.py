@@ -204,8 +204,10 @@ def meta_candidates(parsed: DataFrame) -> DataFrame:
     return _rows(parsed, F.array(candidate(F.coalesce(*tries), "meta_tag", 0.94, "Meta price tag")))
 
 
-# platform, label, confidence, is_mrp, alternatives; an alternative is a list of
-# (tag, class, id, attribute) steps, each an ancestor of the next
+# Fixed values. Platform, label, confidence, is_mrp, alternatives. An alternative is a
+# list of steps, each an ancestor of the next. A step is a tag (None: any) and marks:
+# a class; -class (absent); ~part (class contains); #id; @attribute, @attribute=value
+# or @attribute*part.
 SELECTORS = [
     ("shopify", "sale", 0.96, False, [
         [(None, "price-item--sale")], [(None, "price__sale"), (None, "price-item")], [(None, "product__price--sale")],
@@ -233,20 +235,30 @@ SELECTORS = [
 ]
 
 
+def _mark(e: Column, m: str) -> Column:
+    if m.startswith("#"):
+        return e["id"] == m[1:]
+    if m.startswith("-"):
+        return ~H.has_class(e, m[1:])
+    if m.startswith("~"):
+        return H.class_has(e, m[1:])
+    if m.startswith("@"):
+        if "=" in m:
+            name, value = m[1:].split("=")
+            return H.attr(e, name) == value
+        if "*" in m:
+            name, part = m[1:].split("*")
+            return H.attr(e, name).contains(part)
+        return F.map_contains_key(e["attrs"], m[1:])
+    return H.has_class(e, m)
+
+
 def _step(e: Column, step) -> Column:
     tag, *marks = step
     out = F.lit(True) if tag is None else e["tag"] == tag
     for m in marks:
-        if m is None:
-            continue
-        if m.startswith("#"):
-            out = out & (e["id"] == m[1:])
-        elif m.startswith("@"):
-            out = out & F.map_contains_key(e["attrs"], m[1:])
-        elif m.startswith("-"):
-            out = out & ~H.has_class(e, m[1:])
-        else:
-            out = out & H.has_class(e, m)
+        if m is not None:
+            out = out & _mark(e, m)
     return F.coalesce(out, F.lit(False))
 
 
@@ -258,6 +270,10 @@ def fits(e: Column, steps) -> Column:
     return out
 
 
+def fitting(steps):
+    return lambda e: fits(e, steps)
+
+
 def selected(alternatives) -> Column:
     """First element in the document that fits one of the alternatives."""
     return H.first_where(lambda e: F.exists(F.array(*[fits(e, alt) for alt in alternatives]), lambda x: x))
@@ -288,7 +304,7 @@ def platform_candidates(parsed: DataFrame) -> DataFrame:
 
 # --- page price, stage total ----------------------------------------------------------
 
-# sale selectors in order of preference; same notation as SELECTORS
+# Sale selectors in order of preference, same notation as SELECTORS
 SALE_SELECTORS = [
     [(None, "a-price", "aok-align-center"), (None, "a-offscreen")], [("span", "a-price"), ("span", "a-offscreen")],
     [(None, "#priceblock_ourprice")], [(None, "#priceblock_dealprice")], [(None, "#corePrice_feature_div"), (None, "a-price-whole")],

@@ -1,0 +1,6 @@
+"""All registered queries; importing a module registers what it holds."""
+
+from pageaudit.registry import text_queries  # noqa: F401
+from pageaudit.registry.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

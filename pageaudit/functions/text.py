@@ -44,8 +44,13 @@ def user_facing(c: Column) -> Column:
     return ~contains_any(c, X.CODE_MARKERS) & c.rlike("[A-Za-z0-9]")
 
 
+def strip(c: Column) -> Column:
+    return F.btrim(c, F.lit(" \t\n\r\u000b\u000c"))
+
+
 def lines(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
+    """Trimmed non-empty lines."""
+    return F.filter(F.transform(F.split(c, "\r\n|[\n\r\u000b\u000c\u0085\u2028\u2029]"), lambda x: strip(x)), lambda x: x != "")
 
 
 def words(c: Column) -> Column:

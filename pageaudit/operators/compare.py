@@ -248,16 +248,27 @@ def _offer(kind, title, line, key, **fields) -> Column:
     return F.struct(*cols)
 
 
-def offers_in_line(line: Column) -> Column:
-    """Offers of one line. EMI and exchange come on top; of the other kinds the first that fits counts."""
-    inst, pct = _amount(line, X.RX_OFFER_INSTANT), T.first_group(line, X.RX_OFFER_PCT).try_cast("double")
+def offer_marks(lined: DataFrame) -> DataFrame:
+    """Adds what the offer patterns find in ``line``; each pattern runs once per line."""
+    line = F.col("line")
+    return lined.select(
+        "*", _amount(line, X.RX_OFFER_INSTANT).alias("inst"), T.found(line, X.RX_OFFER_INSTANT).alias("is_inst"),
+        T.first_group(line, X.RX_OFFER_PCT).try_cast("double").alias("pct"), _amount(line, X.RX_OFFER_EXCHANGE).alias("exchange"),
+        T.found(line, X.RX_OFFER_EXCHANGE).alias("is_exchange"), F.trim(T.first_group(line, X.RX_OFFER_BANK)).alias("bank_name"),
+        F.trim(T.first_group(line, X.RX_OFFER_MEMBER)).alias("member"), F.upper(T.first_group(line, X.RX_OFFER_COUPON)).alias("code"),
+        _amount(line, X.RX_OFFER_MIN).alias("minimum"), T.found(line, X.RX_OFFER_EMI).alias("is_emi"),
+        T.contains_any(F.lower(line), ["bank", "card"]).alias("is_tied"),
+    )
+
+
+def line_offers() -> Column:
+    """Offers of one marked line. EMI and exchange come on top; of the other kinds the first that fits counts."""
+    line, inst, pct, exchange = F.col("line"), F.col("inst"), F.col("pct"), F.col("exchange")
+    bank, member, code, minimum = F.col("bank_name"), F.col("member"), F.col("code"), F.col("minimum")
     text = lambda v: F.coalesce(v.cast("string"), F.lit("-"))
     rupees = lambda v: F.concat(F.lit("₹"), T.money_text(v))
-    exchange, bank = _amount(line, X.RX_OFFER_EXCHANGE), F.trim(T.first_group(line, X.RX_OFFER_BANK))
-    member, code = F.trim(T.first_group(line, X.RX_OFFER_MEMBER)), F.upper(T.first_group(line, X.RX_OFFER_COUPON))
-    minimum = _amount(line, X.RX_OFFER_MIN)
     has_min = F.coalesce(minimum != 0, F.lit(False))
-    plain = ~F.lower(line).contains("bank") & ~F.lower(line).contains("card")
+    plain = ~F.col("is_tied")
     emi = _offer("emi", F.lit("No-cost EMI available"), line, F.concat(F.lit("emi:"), F.substring(line, 1, 60)),
                  is_conditional=True, is_applicable=False)
     swap = _offer("exchange",
@@ -280,12 +291,11 @@ def offers_in_line(line: Column) -> Column:
                   is_conditional=has_min, is_applicable=~has_min)
     share = _offer("instant_discount", F.concat(pct.cast("string"), F.lit("% discount")), line,
                    F.concat(F.lit("pct:"), text(pct)), discount_percentage=pct, is_conditional=False, is_applicable=True)
-    hit = lambda rx: T.found(line, rx)
     main = (
-        F.when(hit(X.RX_OFFER_BANK), by_bank).when(hit(X.RX_OFFER_MEMBER), by_member).when(hit(X.RX_OFFER_COUPON), by_code)
-        .when(hit(X.RX_OFFER_INSTANT) & plain, flat).when(hit(X.RX_OFFER_PCT) & plain, share)
+        F.when(bank.isNotNull(), by_bank).when(member.isNotNull(), by_member).when(code.isNotNull(), by_code)
+        .when(F.col("is_inst") & plain, flat).when(pct.isNotNull() & plain, share)
     )
-    every = F.array(F.when(hit(X.RX_OFFER_EMI), emi), F.when(hit(X.RX_OFFER_EXCHANGE), swap), main)
+    every = F.array(F.when(F.col("is_emi"), emi), F.when(F.col("is_exchange"), swap), main)
     return F.filter(every, lambda o: o.isNotNull())
 
 
@@ -294,17 +304,14 @@ def extract_offers(texts: DataFrame) -> DataFrame:
     lined = texts.select("listing_id", F.posexplode(T.lines(F.col("text"))).alias("line_no", "line")).where(
         F.length("line") <= X.OFFER_LINE_MAX
     )
-    # every offer needs a digit or one of these words; other lines skip the costly expressions
+    # every offer needs a digit or one of these words; other lines skip the patterns
     marks = r"(?i)\d|emi|code|coupon|get|earn|save|extra"
-    found = lined.where(F.col("line").rlike(marks)).select(
-        "listing_id", "line_no", F.posexplode(offers_in_line(F.col("line"))).alias("slot", "o")
-    )
-    first = F.min_by("o", F.struct("line_no", "slot")).alias("o")
-    return (
-        found.groupBy("listing_id", F.col("o.offer_key").alias("offer_key"))
-        .agg(first, F.min(F.struct("line_no", "slot")).alias("at"))
-        .select("listing_id", (F.col("at.line_no") * 3 + F.col("at.slot")).alias("seq"), "o.*")
+    found = offer_marks(lined.where(F.col("line").rlike(marks))).select(
+        "listing_id", "line_no", F.posexplode(line_offers()).alias("slot", "o")
     )
+    seq = (F.col("line_no") * 3 + F.col("slot")).alias("seq")
+    keyed = found.select("listing_id", F.col("o.offer_key").alias("offer_key"), F.struct(seq, "o").alias("v"), seq)
+    return keyed.groupBy("listing_id", "offer_key").agg(F.min_by("v", "seq").alias("v")).select("listing_id", "v.seq", "v.o.*")
 
 
 def best_offers(offers: DataFrame) -> DataFrame:

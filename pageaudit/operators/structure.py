@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from pageaudit import fixed as X
 from pageaudit.functions.htmlrows import page_rows
-from pageaudit.functions.text import contains_any, host_of, resolve
+from pageaudit.functions.text import contains_any, host_of, lines, resolve
 
 STRUCTURE = {
     "elements": "array<struct<pos:int,parent:int,last:int,depth:int,tag:string,id:string,cls:string,"
@@ -151,8 +151,7 @@ def elements_table(parsed: DataFrame) -> DataFrame:
 
 def text_lines(parsed: DataFrame) -> DataFrame:
     """Non-empty visible lines of a page in order."""
-    lined = F.filter(F.transform(F.split(page_text("\n"), "\n"), F.trim), lambda x: x != "")
-    return parsed.select("page_id", F.posexplode(lined).alias("line_no", "line"))
+    return parsed.select("page_id", F.posexplode(lines(page_text("\n"))).alias("line_no", "line"))
 
 
 def links(parsed: DataFrame) -> DataFrame:

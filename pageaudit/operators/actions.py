@@ -71,13 +71,17 @@ def cart_score(text: Column, tag: Column, href: Column, form_action: Column, vis
     )
 
 
+def _classified(scored: DataFrame, cls: Column, allowed) -> DataFrame:
+    """Keeps the rows whose class is allowed; the class is worked out once per row."""
+    return scored.select("*", F.explode(F.filter(F.array(cls), allowed)).alias("cls"))
+
+
 def rank_cart_actions(actions: DataFrame, k: int) -> DataFrame:
     """The k best add-to-cart actions per page, without blocked ones and those scored zero or less."""
     c = F.col
-    scored = actions.withColumn("score", cart_score(c("text"), c("tag"), c("href"), c("form_action"), c("is_visible"))).withColumn(
-        "cls", action_class(c("text"), c("type"), c("form_action"), c("form_inputs"), F.lit("product"))
-    )
-    ok = scored.where((c("cls.tier") != "BLOCKED") & (c("score") > 0))
+    scored = actions.withColumn("score", cart_score(c("text"), c("tag"), c("href"), c("form_action"), c("is_visible"))).where("score > 0")
+    cls = action_class(c("text"), c("type"), c("form_action"), c("form_inputs"), F.lit("product"))
+    ok = _classified(scored, cls, lambda k: k["tier"] != "BLOCKED")
     return top_k(ok, ["page_id"], [c("score").desc(), c("pos")], k)
 
 
@@ -86,6 +90,7 @@ def rank_checkout_actions(actions: DataFrame, k: int) -> DataFrame:
     c = F.col
     scored = actions.withColumn(
         "score", checkout_score(c("text"), c("href"), c("form_action"), c("surrounding"), F.lit("cart"))
-    ).withColumn("cls", action_class(c("text"), F.lit(""), c("form_action"), c("form_inputs"), F.lit("cart")))
-    ok = scored.where((c("cls.tier") != "BLOCKED") & ~c("cls.payment_context") & (c("score") >= X.CHECKOUT_MIN_SCORE))
+    ).where(c("score") >= X.CHECKOUT_MIN_SCORE)
+    cls = action_class(c("text"), F.lit(""), c("form_action"), c("form_inputs"), F.lit("cart"))
+    ok = _classified(scored, cls, lambda k: (k["tier"] != "BLOCKED") & ~k["payment_context"])
     return top_k(ok, ["page_id"], [c("score").desc(), c("pos")], k)

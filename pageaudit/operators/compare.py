@@ -230,10 +230,6 @@ def same_seller(a: Column, b: Column) -> Column:
 
 # --- offers ------------------------------------------------------------------
 
-def _amount(line: Column, rx: str) -> Column:
-    return F.replace(T.first_group(line, rx), F.lit(","), F.lit("")).try_cast("double")
-
-
 def _offer(kind, title, line, key, **fields) -> Column:
     types = {
         "coupon_code": "string", "discount_value": "double", "discount_percentage": "double",
@@ -249,15 +245,28 @@ def _offer(kind, title, line, key, **fields) -> Column:
 
 
 def offer_marks(lined: DataFrame) -> DataFrame:
-    """Adds what the offer patterns find in ``line``; each pattern runs once per line."""
-    line = F.col("line")
-    return lined.select(
-        "*", _amount(line, X.RX_OFFER_INSTANT).alias("inst"), T.found(line, X.RX_OFFER_INSTANT).alias("is_inst"),
-        T.first_group(line, X.RX_OFFER_PCT).try_cast("double").alias("pct"), _amount(line, X.RX_OFFER_EXCHANGE).alias("exchange"),
-        T.found(line, X.RX_OFFER_EXCHANGE).alias("is_exchange"), F.trim(T.first_group(line, X.RX_OFFER_BANK)).alias("bank_name"),
-        F.trim(T.first_group(line, X.RX_OFFER_MEMBER)).alias("member"), F.upper(T.first_group(line, X.RX_OFFER_COUPON)).alias("code"),
-        _amount(line, X.RX_OFFER_MIN).alias("minimum"), T.found(line, X.RX_OFFER_EMI).alias("is_emi"),
-        T.contains_any(F.lower(line), ["bank", "card"]).alias("is_tied"),
+    """Adds what the offer patterns find in ``line``.
+
+    Each pattern runs once, and only on lines that hold a word it needs.
+    """
+    line, low = F.col("line"), F.lower("line")
+    if_any = lambda words, c: F.when(T.contains_any(low, words), c)
+    number = lambda c: F.replace(c, F.lit(","), F.lit("")).try_cast("double")
+    cut = ["off", "discount", "cashback"]
+    marked = lined.select(
+        "*", if_any(cut, T.first_group(line, X.RX_OFFER_INSTANT)).alias("inst_text"),
+        if_any(["%"], T.first_group(line, X.RX_OFFER_PCT).try_cast("double")).alias("pct"),
+        if_any(["exchange"], T.first_group(line, X.RX_OFFER_EXCHANGE)).alias("exchange_text"),
+        if_any(["bank", "card", "credit", "debit"], F.trim(T.first_group(line, X.RX_OFFER_BANK))).alias("bank_name"),
+        if_any(["get", "earn", "save", "extra"], F.trim(T.first_group(line, X.RX_OFFER_MEMBER))).alias("member"),
+        if_any(["code", "coupon"], F.upper(T.first_group(line, X.RX_OFFER_COUPON))).alias("code"),
+        if_any(["order", "min"], number(T.first_group(line, X.RX_OFFER_MIN))).alias("minimum"),
+        F.coalesce(if_any(["emi"], T.found(line, X.RX_OFFER_EMI)), F.lit(False)).alias("is_emi"),
+        T.contains_any(low, ["bank", "card"]).alias("is_tied"),
+    )
+    return marked.select(
+        "*", number(F.col("inst_text")).alias("inst"), F.col("inst_text").isNotNull().alias("is_inst"),
+        number(F.col("exchange_text")).alias("exchange"), F.col("exchange_text").isNotNull().alias("is_exchange"),
     )
 
 

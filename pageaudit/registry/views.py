@@ -180,7 +180,7 @@ FROM (SELECT event_id, user_id, ts, value, {EV_K} AS k FROM {{events}}) e
 HTML_P = "(CAST(floor(o_totalprice / 50) AS BIGINT) + 100)"
 Q = '"'
 VIEWS["v_html"] = f"""
-SELECT n AS page_id, CAST(n AS STRING) AS scan_id, {texts('n % 3', ['product', 'cart', 'checkout'])} AS stage,
+SELECT n AS page_id, CAST(CAST(floor(n / 3) AS BIGINT) AS STRING) AS scan_id, {texts('n % 3', ['product', 'cart', 'checkout'])} AS stage,
   'https://h' || CAST(n % 97 AS STRING) || '.example.com' || {texts('n % 3', ['/product/', '/cart/', '/checkout/'])} || CAST(n AS STRING) AS url,
   p, n,
   '<!DOCTYPE html><html><head><title>Item ' || CAST(n AS STRING) || '</title>' ||

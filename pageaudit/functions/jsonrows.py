@@ -1,5 +1,10 @@
 """Entries of one JSON document in document order."""
 
+import json
+import re
+
+from pageaudit.fixed import HYDRATION_DEPTH, HYDRATION_ITEMS, HYDRATION_NEGATIVE, RX_WINDOW_STATE
+
 
 def json_rows(value, max_depth, max_items, blocked):
     """Yields (depth, path, key, kind, value) of every object entry, parents before children.
@@ -35,3 +40,28 @@ def json_rows(value, max_depth, max_items, blocked):
         elif isinstance(node, list):
             todo = [(v, depth + 1, f"{path}[{i}]") for i, v in enumerate(node[:max_items]) if isinstance(v, (dict, list))]
         stack.extend(reversed(todo))
+
+
+def state_rows(scripts):
+    """Entries of the framework state a page embeds: page data, product JSON, window state, in this order."""
+    blocked = [k for k, _ in HYDRATION_NEGATIVE]
+    blobs = [[], [], []]
+    for s in scripts:
+        body, sid = s["body"], s["id"] or ""
+        if sid == "__NEXT_DATA__" and not blobs[0]:
+            blobs[0].append(("next_data", body))
+        if re.search("ProductJson|product-json", sid, re.I):
+            blobs[1].append(("shopify_embedded", body))
+        if not s["src"] and "window.__" in body:
+            m = re.search(RX_WINDOW_STATE, body)
+            if m:
+                blobs[2].append(("window_hydration_state", m.group(1)))
+    out = []
+    for n, (source, text) in enumerate(b for group in blobs for b in group):
+        try:
+            value = json.loads(text)
+            for depth, path, key, kind, v in json_rows(value, HYDRATION_DEPTH, HYDRATION_ITEMS, blocked):
+                out.append({"source": source, "blob": n, "ord": len(out), "depth": depth, "path": path, "key": key, "kind": kind, "value": v})
+        except (ValueError, RecursionError):
+            continue
+    return out

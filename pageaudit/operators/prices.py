@@ -1,6 +1,7 @@
 """Price candidates, stage totals and fee components from parsed pages."""
 
 import json
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,11 +13,6 @@ from pageaudit.functions.jsonrows import json_rows
 from pageaudit.functions.windows import top_k
 from pageaudit.operators import structure as H
 
-CANDIDATE_FIELDS = [
-    "amount", "currency", "source", "confidence", "label", "is_mrp", "is_discount", "belongs_to_product",
-]
-
-
 def candidate(amount: Column, source, confidence, label, is_mrp=False, belongs=True, currency="INR") -> Column:
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     return F.struct(
@@ -26,9 +22,20 @@ def candidate(amount: Column, source, confidence, label, is_mrp=False, belongs=T
     )
 
 
-def _rows(parsed: DataFrame, found: Column) -> DataFrame:
-    kept = F.filter(found, lambda c: c.isNotNull() & c["amount"].isNotNull() & (c["amount"] > 0))
-    return parsed.select("page_id", F.posexplode(kept).alias("seq", "c")).select("page_id", "seq", "c.*")
+def nested_type() -> str:
+    """Type of an array of candidates."""
+    return (
+        "array<struct<amount:decimal(14,2),currency:string,source:string,confidence:double,label:string,"
+        "is_mrp:boolean,is_discount:boolean,belongs_to_product:boolean>>"
+    )
+
+
+def _usable(found: Column) -> Column:
+    return F.filter(found, lambda c: c.isNotNull() & (c["amount"] > 0))
+
+
+def candidate_rows(parsed: DataFrame, found: Column) -> DataFrame:
+    return parsed.select("page_id", F.posexplode(found).alias("seq", "c")).select("page_id", "seq", "c.*")
 
 
 # --- JSON-LD -------------------------------------------------------------------
@@ -48,43 +55,59 @@ def _list_at(v: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(v, path, "array<variant>"), single)
 
 
-def jsonld_items(parsed: DataFrame) -> DataFrame:
-    """One row per JSON-LD object that is a Product or an Offer, in document order."""
+def jsonld_objects() -> Column:
+    """Array of the JSON-LD objects of a page in document order; graphs are unfolded."""
+    none = F.array().cast("array<variant>")
     blobs = F.transform(F.filter("scripts", lambda s: s["type"] == "application/ld+json"), lambda s: F.try_parse_json(F.trim(s["body"])))
-    rows = parsed.select("page_id", F.posexplode(blobs).alias("blob", "v")).where("v is not null")
-    rows = rows.select("page_id", "blob", F.posexplode(_list_at(F.col("v"), "$")).alias("item", "v"))
-    graph = F.coalesce(F.try_variant_get("v", "$['@graph']", "array<variant>"), F.array("v"))
-    rows = rows.select("page_id", "blob", "item", F.posexplode(graph).alias("sub", "v"))
-    kind = F.coalesce(F.try_variant_get("v", "$['@type']", "string"), F.lit(""))
-    return rows.withColumn("kind", kind).where(kind.contains("Product") | kind.contains("Offer"))
+    items = F.flatten(F.transform(F.filter(blobs, lambda v: v.isNotNull()), lambda v: _list_at(v, "$")))
+    return F.coalesce(
+        F.flatten(F.transform(items, lambda v: F.coalesce(F.try_variant_get(v, "$['@graph']", "array<variant>"), F.array(v)))), none
+    )
+
+
+def _kind(v: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$['@type']", "string"), F.lit(""))
+
+
+def jsonld_array() -> Column:
+    """Candidates of JSON-LD products and offers; the specifications of an offer come before its own price."""
+    def direct(o, conf, label):
+        currency = F.coalesce(F.try_variant_get(o, "$.priceCurrency", "string"), F.lit("INR"))
+        amount = F.coalesce(variant_price(o, "$.price"), variant_price(o, "$.lowPrice"))
+        return F.array(candidate(amount, "json_ld", conf, label, currency=currency))
+
+    def by_spec(o):
+        currency = F.coalesce(F.try_variant_get(o, "$.priceCurrency", "string"), F.lit("INR"))
+        specs = F.coalesce(F.try_variant_get(o, "$.priceSpecification", "array<variant>"), F.array().cast("array<variant>"))
+
+        def one(x):
+            kind = F.coalesce(F.try_variant_get(x, "$.priceType", "string"), F.lit(""))
+            is_mrp = kind.contains("ListPrice") | F.lower(kind).contains("mrp")
+            return candidate(variant_price(x, "$.price"), "json_ld", F.when(is_mrp, 0.4).otherwise(0.96),
+                             F.when(is_mrp, "JSON-LD list price").otherwise("JSON-LD sale price"), is_mrp, currency=currency)
+
+        return F.transform(specs, one)
+
+    def of_object(v):
+        nested = F.flatten(F.transform(_list_at(v, "$.offers"), lambda o: F.concat(by_spec(o), direct(o, 0.95, "JSON-LD offer price"))))
+        return (
+            F.when(_kind(v).contains("Product"), nested)
+            .when(_kind(v).contains("Offer"), direct(v, 0.92, "JSON-LD standalone offer price"))
+            .otherwise(F.array().cast(nested_type()))
+        )
+
+    return _usable(F.flatten(F.transform(jsonld_objects(), of_object)))
+
+
+def jsonld_title() -> Column:
+    """Name or headline of the first JSON-LD product that has one."""
+    products = F.filter(jsonld_objects(), lambda v: _kind(v).contains("Product"))
+    names = F.transform(products, lambda v: F.coalesce(F.try_variant_get(v, "$.name", "string"), F.try_variant_get(v, "$.headline", "string")))
+    return F.trim(F.get(F.filter(names, lambda t: t.isNotNull() & (t != "")), F.lit(0)))
 
 
 def jsonld_candidates(parsed: DataFrame) -> DataFrame:
-    """Price candidates from JSON-LD products and offers."""
-    items = jsonld_items(parsed)
-    v, o, s = F.col("v"), F.col("o"), F.col("s")
-    is_product = F.col("kind").contains("Product")
-    nested = F.when(is_product, _list_at(v, "$.offers")).otherwise(F.array("v"))
-    offers = items.select("page_id", "blob", "item", "sub", is_product.alias("nested"), F.posexplode(nested).alias("off", "o"))
-    direct = F.coalesce(variant_price(o, "$.price"), variant_price(o, "$.lowPrice"))
-    currency = F.coalesce(F.try_variant_get(o, "$.priceCurrency", "string"), F.lit("INR"))
-    specs = F.when(F.col("nested"), F.try_variant_get(o, "$.priceSpecification", "array<variant>"))
-    spec_type = F.coalesce(F.try_variant_get(s, "$.priceType", "string"), F.lit(""))
-    is_mrp = spec_type.contains("ListPrice") | F.lower(spec_type).contains("mrp")
-    order = ["blob", "item", "sub", "off"]
-    by_spec = offers.select("page_id", *order, currency.alias("cur"), F.posexplode(specs).alias("step", "s")).select(
-        "page_id", *order, "step",
-        candidate(variant_price(s, "$.price"), "json_ld", F.when(is_mrp, 0.4).otherwise(0.96),
-                  F.when(is_mrp, "JSON-LD list price").otherwise("JSON-LD sale price"), is_mrp, currency=F.col("cur")).alias("c"),
-    )
-    plain = offers.select(
-        "page_id", *order, F.lit(2**30).alias("step"),
-        candidate(direct, "json_ld", F.when(F.col("nested"), 0.95).otherwise(0.92),
-                  F.when(F.col("nested"), "JSON-LD offer price").otherwise("JSON-LD standalone offer price"), currency=currency).alias("c"),
-    )
-    return by_spec.unionByName(plain).where("c.amount > 0").select(
-        "page_id", F.array(*order, "step").alias("at"), "c.*"
-    )
+    return candidate_rows(parsed, jsonld_array())
 
 
 # --- embedded state and captured responses ---------------------------------------
@@ -118,10 +141,10 @@ def json_entries(blobs: DataFrame, max_depth: int, max_items: int, blocked) -> D
     return blobs.mapInArrow(run, f"{schema}, {extra}")
 
 
-def entry_price() -> Column:
+def entry_price(kind: Column, value: Column) -> Column:
     """Positive price of an entry."""
-    n = F.col("value").try_cast("double")
-    return F.when(F.col("kind") == "string", T.clean_price(F.col("value"))).when(F.col("kind") == "number", F.when(n > 0, n))
+    n = value.try_cast("double")
+    return F.when(kind == "string", T.clean_price(value)).when(kind == "number", F.when(n > 0, n))
 
 
 def _first_key(key: Column, table, value: int) -> Column:
@@ -132,38 +155,26 @@ def _first_key(key: Column, table, value: int) -> Column:
     return out
 
 
-def hydration_blobs(parsed: DataFrame) -> DataFrame:
-    """JSON documents embedded for the framework: page data, product JSON, window state."""
-    s = F.col("s")
-    rows = parsed.select("page_id", F.posexplode("scripts").alias("blob", "s"))
-    state = F.regexp_extract(s["body"], X.RX_WINDOW_STATE, 1)
-    sid = F.coalesce(s["id"], F.lit(""))
-    out = F.array(
-        F.when(sid == "__NEXT_DATA__", F.struct(F.lit("next_data").alias("source"), s["body"].alias("json"))),
-        F.when(sid.rlike("(?i)ProductJson|product-json"), F.struct(F.lit("shopify_embedded").alias("source"), s["body"].alias("json"))),
-        F.when((F.coalesce(s["src"], F.lit("")) == "") & (state != ""),
-               F.struct(F.lit("window_hydration_state").alias("source"), state.alias("json"))),
-    )
-    rank = F.when(F.col("b.source") == "next_data", 0).when(F.col("b.source") == "shopify_embedded", 1).otherwise(2)
-    return rows.select("page_id", "blob", F.explode(F.filter(out, lambda b: b.isNotNull())).alias("b")).select(
-        "page_id", rank.alias("rank"), "blob", "b.source", "b.json"
-    )
+def hydration_array() -> Column:
+    """Candidates of the framework state of a page: page data, product JSON, window state, in this order."""
+    negative = [k for k, _ in X.HYDRATION_NEGATIVE]
+
+    def one(e):
+        key = F.lower(F.replace(e["key"], F.lit("_"), F.lit("")))
+        bad = T.contains_any(key, negative)
+        score = _first_key(key, X.HYDRATION_POSITIVE, 1)
+        price = entry_price(e["kind"], e["value"])
+        paise = (e["source"] == "shopify_embedded") & (price > 10000) & (price % 100 == 0)
+        conf = F.when(bad, 0.3).otherwise(F.least(F.lit(0.95), F.greatest(F.lit(0.5), score / 120.0)))
+        label = F.when(bad, _first_key(key, X.HYDRATION_NEGATIVE, 1)).otherwise(_first_key(key, X.HYDRATION_POSITIVE, 2))
+        made = candidate(F.when(~bad & paise, price / 100).otherwise(price), e["source"], conf, label, bad)
+        return F.when(bad | score.isNotNull(), made)
+
+    return _usable(F.transform("state", one))
 
 
 def hydration_candidates(parsed: DataFrame) -> DataFrame:
-    negative = [k for k, _ in X.HYDRATION_NEGATIVE]
-    entries = json_entries(hydration_blobs(parsed), X.HYDRATION_DEPTH, X.HYDRATION_ITEMS, negative)
-    key = F.lower(F.replace("key", F.lit("_"), F.lit("")))
-    score = _first_key(key, X.HYDRATION_POSITIVE, 1)
-    bad = T.contains_any(key, negative)
-    price = entry_price()
-    paise = F.col("source").contains("shopify") & (price > 10000) & (price % 100 == 0)
-    amount = F.when(~bad & paise, price / 100).otherwise(price)
-    conf = F.when(bad, 0.3).otherwise(F.least(F.lit(0.95), F.greatest(F.lit(0.5), score / 120.0)))
-    label = F.when(bad, _first_key(key, X.HYDRATION_NEGATIVE, 1)).otherwise(_first_key(key, X.HYDRATION_POSITIVE, 2))
-    return entries.where(bad | score.isNotNull()).select(
-        "page_id", F.array("rank", "blob", "ord").alias("at"), candidate(amount, F.col("source"), conf, label, bad).alias("c")
-    ).where("c.amount > 0").select("page_id", "at", "c.*")
+    return candidate_rows(parsed, hydration_array())
 
 
 def network_candidates(responses: DataFrame, limit=X.NETWORK_CAPTURES) -> DataFrame:
@@ -181,7 +192,7 @@ def network_candidates(responses: DataFrame, limit=X.NETWORK_CAPTURES) -> DataFr
     blobs = first.select("session_id", "url", "r.seq", F.col("r.body").alias("json"))
     entries = json_entries(blobs, X.NETWORK_DEPTH, X.NETWORK_ITEMS, X.NETWORK_NEGATIVE)
     key = F.lower(F.replace("key", F.lit("_"), F.lit("")))
-    price = entry_price()
+    price = entry_price(F.col("kind"), F.col("value"))
     hits = entries.where(
         T.contains_any(key, X.NETWORK_POSITIVE) & ~T.contains_any(key, X.NETWORK_NEGATIVE) & (price > 10) & (price < 500_000)
     ).select("session_id", "seq", "ord", F.substring("url", 1, 100).alias("url"), "key",
@@ -191,17 +202,27 @@ def network_candidates(responses: DataFrame, limit=X.NETWORK_CAPTURES) -> DataFr
 
 # --- meta tags and platform selectors ----------------------------------------------
 
-def meta_candidates(parsed: DataFrame) -> DataFrame:
-    """First usable price meta tag."""
-    meta = lambda test: H.first_where(lambda e: (e["tag"] == "meta") & test(e))
-    item = meta(lambda e: H.attr(e, "itemprop") == "price")
+def _meta(test) -> Column:
+    return H.first_where(lambda e: (e["tag"] == "meta") & test(e))
+
+
+def meta_array() -> Column:
+    """First usable price meta tag, as an array of at most one."""
     tries = []
     for prop in [*X.META_PRICE_PROPS, "itemprop:price"]:
         el = F.coalesce(
-            meta(lambda e: H.attr(e, "property") == prop), meta(lambda e: H.attr(e, "name") == prop), item
+            _meta(lambda e: H.attr(e, "property") == prop), _meta(lambda e: H.attr(e, "name") == prop),
+            _meta(lambda e: H.attr(e, "itemprop") == "price"),
         )
         tries.append(T.parse_inr(H.attr(el, "content")))
-    return _rows(parsed, F.array(candidate(F.coalesce(*tries), "meta_tag", 0.94, "Meta price tag")))
+    has_meta = F.exists(H.ELEMENTS, H.having(lambda e: (e["tag"] == "meta") & (
+        H.attr(e, "property").contains("price:amount") | H.attr(e, "name").contains("price") | (H.attr(e, "itemprop") == "price"))))
+    found = F.transform(F.array(F.coalesce(*tries)), lambda a: candidate(a, "meta_tag", 0.94, "Meta price tag"))
+    return F.when(has_meta, _usable(found)).otherwise(F.array().cast(nested_type()))
+
+
+def meta_candidates(parsed: DataFrame) -> DataFrame:
+    return candidate_rows(parsed, meta_array())
 
 
 # Fixed values. Platform, label, confidence, is_mrp, alternatives. An alternative is a
@@ -274,32 +295,47 @@ def fitting(steps):
     return lambda e: fits(e, steps)
 
 
+def any_fit(alternatives):
+    """Test: the element fits one of the alternatives."""
+    return H.having(lambda e: reduce(lambda a, b: a | b, [fits(e, alt) for alt in alternatives]))
+
+
 def selected(alternatives) -> Column:
     """First element in the document that fits one of the alternatives."""
-    return H.first_where(lambda e: F.exists(F.array(*[fits(e, alt) for alt in alternatives]), lambda x: x))
+    return F.get(F.filter(H.ELEMENTS, any_fit(alternatives)), F.lit(0))
 
 
-def platform_candidates(parsed: DataFrame) -> DataFrame:
+def platform_array() -> Column:
     """Candidates by the selectors of the page's shop system; needs the ``platform`` column."""
-    first = {(p, label): selected(alts) for p, label, _, _, alts in SELECTORS}
+    none = F.array().cast(nested_type())
+    table = {(p, label): alts for p, label, _, _, alts in SELECTORS}
     out = []
-    for p, label, conf, is_mrp, _ in SELECTORS:
-        el = first[(p, label)]
-        amount = T.clean_price(H.element_text(el, ""))
-        own = F.col("platform") == p
+    for p, label, conf, is_mrp, alts in SELECTORS:
+        first = F.slice(F.filter(H.ELEMENTS, any_fit(alts)), 1, 1)
         mrp, weight = F.lit(is_mrp), F.lit(conf)
+        own = F.col("platform") == p
         if (p, label) == ("shopify", "regular"):  # next to a sale price the regular one is the struck price
-            sale = first[("shopify", "sale")].isNotNull()
-            mrp, weight = sale, F.when(sale, 0.35).otherwise(conf)
+            mrp = F.exists(H.ELEMENTS, any_fit(table[("shopify", "sale")]))
+            weight = F.when(mrp, 0.35).otherwise(conf)
         if label == "plain":
-            own = own & first[(p, "sale")].isNull()
+            own = own & ~F.exists(H.ELEMENTS, any_fit(table[(p, "sale")]))
+        made = F.transform(
+            F.transform(first, lambda e: T.clean_price(H.element_text(e, ""))),
+            lambda a: candidate(a, "adapter", weight, f"{p} {label} price", mrp),
+        )
         if (p, label) == ("generic", "amazon"):
-            own = own & (amount > 40)
-        out.append(F.when(own & el.isNotNull(), candidate(amount, "adapter", weight, f"{p} {label} price", mrp)))
-    meta = lambda k, v: H.first_where(lambda e: (e["tag"] == "meta") & F.coalesce(H.attr(e, k) == v, F.lit(False)))
-    og = F.coalesce(meta("property", "og:price:amount"), meta("property", "product:price:amount"), meta("itemprop", "price"))
-    out.append(F.when(F.col("platform") == "shopify", candidate(T.clean_price(H.attr(og, "content")), "adapter", 0.95, "shopify meta price")))
-    return _rows(parsed, F.array(*out))
+            made = F.filter(made, lambda c: c["amount"] > 40)
+        out.append(F.when(own, made).otherwise(none))
+    og = F.coalesce(
+        _meta(lambda e: H.attr(e, "property") == "og:price:amount"), _meta(lambda e: H.attr(e, "property") == "product:price:amount"),
+        _meta(lambda e: H.attr(e, "itemprop") == "price"))
+    meta = F.array(candidate(T.clean_price(H.attr(og, "content")), "adapter", 0.95, "shopify meta price"))
+    out.append(F.when(F.col("platform") == "shopify", meta).otherwise(none))
+    return _usable(F.concat(*out))
+
+
+def platform_candidates(parsed: DataFrame) -> DataFrame:
+    return candidate_rows(parsed, platform_array())
 
 
 # --- page price, stage total ----------------------------------------------------------
@@ -321,10 +357,37 @@ def _page_price(amount, source, label) -> Column:
         amount.cast(T.MONEY).alias("amount"), F.lit(source).alias("source"), F.lit(label).alias("confidence")))
 
 
+def _nothing() -> Column:
+    return F.struct(F.lit(None).cast(T.MONEY).alias("amount"), F.lit("NONE").alias("source"), F.lit("FAILED").alias("confidence"))
+
+
 def _first_value(values: Column) -> Column:
     return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
 
+def _preferred(tests, price, max_nodes=None) -> Column:
+    """Price of the element that passes the earliest test, in document order among equals.
+
+    One pass over the elements: each is priced once, whatever tests it passes.
+    """
+    def rank(e):
+        out = None
+        for i, test in enumerate(tests):
+            out = F.when(H.having(test)(e), i) if out is None else out.when(H.having(test)(e), i)
+        return out
+
+    small = F.lit(True) if max_nodes is None else None
+    ranked = F.transform(
+        F.filter(H.ELEMENTS, lambda e: small if max_nodes is None else e["t1"] - e["t0"] <= max_nodes),
+        lambda e: F.struct(rank(e).alias("rank"), e["pos"].alias("pos"), e.alias("e")),
+    )
+    priced = F.transform(
+        F.filter(ranked, lambda r: r["rank"].isNotNull()),
+        lambda r: F.struct(r["rank"].alias("rank"), r["pos"].alias("pos"), price(r["e"]).alias("amount")),
+    )
+    return F.array_min(F.filter(priced, lambda r: r["amount"].isNotNull()))["amount"]
+
+
 def _jsonld_inline() -> Column:
     """First plausible price of a JSON-LD offer or priced object of the page."""
     parsed = F.transform(F.filter("scripts", lambda s: s["type"] == "application/ld+json"), lambda s: F.try_parse_json(s["body"]))
@@ -332,8 +395,7 @@ def _jsonld_inline() -> Column:
 
     def prices(v):
         offers = F.transform(_list_at(v, "$.offers"), lambda o: T.parse_inr(F.try_variant_get(o, "$.price", "string")))
-        typed = F.coalesce(F.try_variant_get(v, "$['@type']", "string"), F.lit("")).isin("Offer", "Product", "AggregateOffer")
-        typed = typed | F.try_variant_get(v, "$.priceCurrency", "string").isNotNull()
+        typed = _kind(v).isin("Offer", "Product", "AggregateOffer") | F.try_variant_get(v, "$.priceCurrency", "string").isNotNull()
         return F.concat(offers, F.array(F.when(typed, T.parse_inr(F.try_variant_get(v, "$.price", "string")))))
 
     return _first_value(F.flatten(F.transform(items, prices)))
@@ -345,19 +407,20 @@ def clean_lines() -> Column:
     return T.lines(F.array_join(texts, "\n"))
 
 
-def product_price(parsed: DataFrame) -> DataFrame:
-    """Advertised price by strict priority: JSON-LD, microdata, sale selectors, anchored line, clean line."""
+def product_price_struct() -> Column:
+    """Advertised price by strict priority: JSON-LD, microdata, sale selectors, anchored line, clean line.
+
+    Later sources are evaluated only when the earlier ones give nothing.
+    """
     micro = F.transform(
         F.filter(H.ELEMENTS, lambda e: H.attr(e, "itemprop") == "price"),
         lambda e: F.coalesce(T.parse_inr(H.attr(e, "content")), T.first_inr(H.element_text(e, with_hidden=True))),
     )
-    unstruck = lambda steps: H.having(lambda e: ~e["struck"] & fits(e, steps))
-    by_selector = []
-    for steps in SALE_SELECTORS:
-        hits = F.filter(H.ELEMENTS, unstruck(steps))
-        by_selector.append(_first_value(F.transform(hits, lambda e: F.coalesce(
-            *[T.parse_inr(H.attr(e, a)) for a in X.DATA_PRICE_ATTRS], T.first_inr(H.element_text(e, with_hidden=True))))))
-    lines = F.col("_lines")
+    sale = _preferred(
+        [_unstruck(steps) for steps in SALE_SELECTORS],
+        lambda e: F.coalesce(*[T.parse_inr(H.attr(e, a)) for a in X.DATA_PRICE_ATTRS], T.first_inr(H.element_text(e, with_hidden=True))),
+    )
+    lines = clean_lines()
     anchored = F.transform(
         F.filter(lines, lambda x: (F.length(x) <= 120) & ~T.contains_any(F.lower(x), X.LINE_MRP_WORDS)),
         lambda x: F.coalesce(*[T.parse_inr(T.first_group(x, rx)) for rx in X.RX_PRODUCT_ANCHORS]),
@@ -365,22 +428,30 @@ def product_price(parsed: DataFrame) -> DataFrame:
     loose = F.transform(
         F.filter(lines, lambda x: (F.length(x) <= 100) & ~T.found(x, X.RX_PRICE_EXCLUSION)), lambda x: T.first_inr(x)
     )
-    struck = F.filter(H.ELEMENTS, lambda e: e["struck"])
-    # each step is a struct of amount, source and label; coalesce evaluates no further than needed
-    best = F.coalesce(
-        _page_price(_jsonld_inline(), "JSON_LD", "HIGH"),
-        _page_price(_first_value(micro), "MICRODATA", "HIGH"),
-        _page_price(F.coalesce(*by_selector), "SEMANTIC_SELECTOR", "HIGH"),
-        _page_price(_first_value(anchored), "REGEX_PROXIMITY", "MEDIUM"),
-        _page_price(_first_value(loose), "FALLBACK", "LOW"),
-        F.struct(F.lit(None).cast(T.MONEY).alias("amount"), F.lit("NONE").alias("source"), F.lit("FAILED").alias("confidence")),
+    return F.coalesce(
+        _page_price(_jsonld_inline(), "JSON_LD", "HIGH"), _page_price(_first_value(micro), "MICRODATA", "HIGH"),
+        _page_price(sale, "SEMANTIC_SELECTOR", "HIGH"), _page_price(_first_value(anchored), "REGEX_PROXIMITY", "MEDIUM"),
+        _page_price(_first_value(loose), "FALLBACK", "LOW"), _nothing(),
     )
-    return parsed.withColumn("_lines", clean_lines()).select("page_id", best.alias("b"), F.size(struck).alias("n_rejected")).select(
+
+
+def _unstruck(steps):
+    return lambda e: ~e["struck"] & fits(e, steps)
+
+
+def _price_rows(parsed: DataFrame, price: Column, *more) -> DataFrame:
+    return parsed.select("page_id", price.alias("b"), *more).select(
         "page_id", F.col("b.amount").alias("total"), F.col("b.source").alias("extraction_source"),
-        F.col("b.confidence").alias("extraction_confidence"), "n_rejected",
+        F.col("b.confidence").alias("extraction_confidence"), *[c for c in ("n_rejected",) if more],
     )
 
 
+def product_price(parsed: DataFrame) -> DataFrame:
+    """Advertised price per page, and how many struck elements were left out."""
+    rejected = F.size(F.filter(H.ELEMENTS, lambda e: e["struck"])).alias("n_rejected")
+    return _price_rows(parsed, product_price_struct(), rejected)
+
+
 SUMMARY_TESTS = [
     lambda e: H.has_class(e, "total-row"), lambda e: H.has_class(e, "grand-total"), lambda e: H.has_class(e, "amount-payable"),
     lambda e: H.has_class(e, "order-total"), lambda e: e["id"] == "order-summary", lambda e: H.has_class(e, "order-summary"),
@@ -389,7 +460,7 @@ SUMMARY_TESTS = [
 ]
 
 
-def stage_total(parsed: DataFrame) -> DataFrame:
+def stage_total_struct() -> Column:
     """Cart or checkout total: summary containers, then strong anchor lines, then a plain total line.
 
     The text lines are those of the stored visible text, else of the page.
@@ -397,26 +468,27 @@ def stage_total(parsed: DataFrame) -> DataFrame:
     def anchored(x, rxs):
         return F.coalesce(*[T.parse_inr(T.first_group(x, rx)) for rx in rxs])
 
-    boxes = []
-    for test in SUMMARY_TESTS:
-        hits = F.filter(H.ELEMENTS, H.having(test))
-        texts = F.filter(F.transform(hits, lambda e: H.element_text(e, with_hidden=True)), lambda t: F.length(t) <= 150)
-        boxes.append(_first_value(F.transform(texts, lambda t: anchored(t, X.RX_TOTAL_ANCHORS))))
-    stored = F.when(F.col("visible_text") != "", F.col("visible_text")) if "visible_text" in parsed.columns else F.lit(None)
+    def boxed(e):
+        # a text of at most 150 characters has at most 75 pieces
+        return F.get(F.transform(
+            F.filter(F.array(H.element_text(e, with_hidden=True)), lambda t: F.length(t) <= 150),
+            lambda t: anchored(t, X.RX_TOTAL_ANCHORS)), F.lit(0))
+
+    box = _preferred(SUMMARY_TESTS, boxed, max_nodes=75)
+    stored = F.when(F.col("visible_text") != "", F.col("visible_text"))
     lines = F.filter(T.lines(F.coalesce(stored, H.page_text("\n"))), lambda x: F.length(x) <= 100)
-    strong = _first_value(F.transform(F.col("_lines"), lambda x: anchored(x, X.RX_TOTAL_ANCHORS[:2])))
-    weak = _first_value(F.transform(F.col("_lines"), lambda x: anchored(x, X.RX_TOTAL_ANCHORS[2:])))
-    best = F.coalesce(
-        _page_price(F.coalesce(*boxes), "DOM_SUMMARY_CONTAINER", "HIGH"),
-        _page_price(strong, "TOTAL_ANCHOR", "HIGH"), _page_price(weak, "TOTAL_ANCHOR", "MEDIUM"),
-        F.struct(F.lit(None).cast(T.MONEY).alias("amount"), F.lit("NONE").alias("source"), F.lit("FAILED").alias("confidence")),
-    )
-    return parsed.withColumn("_lines", lines).select("page_id", best.alias("b")).select(
-        "page_id", F.col("b.amount").alias("total"), F.col("b.source").alias("extraction_source"),
-        F.col("b.confidence").alias("extraction_confidence"),
+    strong = _first_value(F.transform(lines, lambda x: anchored(x, X.RX_TOTAL_ANCHORS[:2])))
+    weak = _first_value(F.transform(lines, lambda x: anchored(x, X.RX_TOTAL_ANCHORS[2:])))
+    return F.coalesce(
+        _page_price(box, "DOM_SUMMARY_CONTAINER", "HIGH"), _page_price(strong, "TOTAL_ANCHOR", "HIGH"),
+        _page_price(weak, "TOTAL_ANCHOR", "MEDIUM"), _nothing(),
     )
 
 
+def stage_total(parsed: DataFrame) -> DataFrame:
+    return _price_rows(parsed, stage_total_struct())
+
+
 # --- components ---------------------------------------------------------------------
 
 def _component(kind, label, amount, mandatory, by_default, delivery, raw) -> Column:
@@ -447,17 +519,19 @@ def raw_components() -> Column:
         lambda b: _typed(b["t"], X.CHECKBOX_TYPES,
                          lambda r: _component(r[0], r[2], T.first_inr(b["t"]), False, b["on"], False, b["t"])),
     )
-    is_row = lambda e: e["tag"].isin(X.FEE_ROW_TAGS) & (
-        T.contains_any(e["cls"], X.FEE_ROW_CLASSES)
-        | T.contains_any(F.lower(H.element_text(e, "", True)), X.FEE_ROW_WORDS)
-    )
     in_label = lambda e: H.inside(e, lambda a: a["tag"] == "label")
-    rows = F.filter(
-        F.transform(
-            F.filter(H.ELEMENTS, lambda e: is_row(e) & ~in_label(e) & ~H.holds(e, lambda d: H.is_checkbox(d))),
-            lambda e: H.element_text(e, " ", True),
-        ),
-        lambda t: (F.length(t) <= 180) & ~T.contains_any(F.lower(t), X.BASE_TOTAL_WORDS),
+    # a row text of at most 180 characters has at most 90 pieces
+    small = F.filter(H.ELEMENTS, lambda e: e["tag"].isin(X.FEE_ROW_TAGS) & (e["t1"] > e["t0"]) & (e["t1"] - e["t0"] <= 90))
+    read = F.filter(
+        F.transform(small, lambda e: F.struct(e.alias("e"), H.element_text(e, " ", True).alias("t"))),
+        lambda r: (F.length(r["t"]) <= 180) & (
+            T.contains_any(r["e"]["cls"], X.FEE_ROW_CLASSES)
+            | T.contains_any(F.lower(H.element_text(r["e"], "", True)), X.FEE_ROW_WORDS)),
+    )
+    rows = F.transform(
+        F.filter(read, lambda r: ~T.contains_any(F.lower(r["t"]), X.BASE_TOTAL_WORDS)
+                 & ~H.holds(r["e"], lambda d: H.is_checkbox(d)) & ~in_label(r["e"])),
+        lambda r: r["t"],
     )
     from_rows = F.transform(rows, lambda t: _typed(
         t, X.ROW_TYPES, lambda r: _component(r[0], r[2], T.first_inr(t), r[3], True, r[4], t)))
@@ -556,16 +630,10 @@ def with_fallback(ranked: DataFrame, fallback: DataFrame) -> DataFrame:
     )
 
 
+def candidate_array() -> Column:
+    """Candidates of all sources of a parsed page, in a fixed source order."""
+    return F.concat(jsonld_array(), hydration_array(), meta_array(), platform_array())
+
+
 def all_candidates(parsed: DataFrame) -> DataFrame:
-    """Union of the candidate sources of a parsed page in a fixed source order."""
-    flat = lambda df, rank: df.select(
-        "page_id", F.struct(F.lit(rank).alias("src"), "at").alias("seq"), *CANDIDATE_FIELDS
-    )
-    placed = lambda df: df.withColumn("at", F.array("seq"))
-    return (
-        flat(jsonld_candidates(parsed), 0)
-        .unionByName(flat(hydration_candidates(parsed), 1))
-        .unionByName(flat(placed(meta_candidates(parsed)), 2))
-        .unionByName(flat(placed(platform_candidates(parsed)), 3))
-        .withColumn("stage", F.lit("product"))
-    )
+    return candidate_rows(parsed, candidate_array()).withColumn("stage", F.lit("product"))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from pageaudit import fixed as X
 from pageaudit.functions.htmlrows import page_rows
+from pageaudit.functions.jsonrows import state_rows
 from pageaudit.functions.text import contains_any, host_of, lines, resolve
 
 STRUCTURE = {
@@ -21,6 +22,7 @@ STRUCTURE = {
                 "attrs:map<string,string>,after:string,hidden:boolean,chrome:boolean,struck:boolean,t0:int,t1:int>>",
     "nodes": "array<struct<text:string,tag:string,parent:int,hidden:boolean,chrome:boolean>>",
     "scripts": "array<struct<type:string,id:string,src:string,body:string>>",
+    "state": "array<struct<source:string,blob:int,ord:int,depth:int,path:string,key:string,kind:string,value:string>>",
 }
 _ELEMENT = pa.struct([
     ("pos", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()),
@@ -31,11 +33,15 @@ _NODE = pa.struct([
     ("text", pa.string()), ("tag", pa.string()), ("parent", pa.int32()), ("hidden", pa.bool_()), ("chrome", pa.bool_()),
 ])
 _SCRIPT = pa.struct([("type", pa.string()), ("id", pa.string()), ("src", pa.string()), ("body", pa.string())])
+_STATE = pa.struct([
+    ("source", pa.string()), ("blob", pa.int32()), ("ord", pa.int32()), ("depth", pa.int32()), ("path", pa.string()),
+    ("key", pa.string()), ("kind", pa.string()), ("value", pa.string()),
+])
 SLICE_ROWS = 64
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """Replaces ``html`` by the arrays ``elements``, ``nodes`` and ``scripts``."""
+    """Replaces ``html`` by the arrays ``elements``, ``nodes``, ``scripts`` and ``state``."""
     keep = [f for f in pages.schema.fields if f.name != "html"]
     extra = T._parse_datatype_string("struct<" + ",".join(f"{k}:{v}" for k, v in STRUCTURE.items()) + ">")
     schema = T.StructType(keep + extra.fields)
@@ -51,6 +57,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                         pa.array([r.elements for r in rows], pa.list_(_ELEMENT)),
                         pa.array([r.nodes for r in rows], pa.list_(_NODE)),
                         pa.array([r.scripts for r in rows], pa.list_(_SCRIPT)),
+                        pa.array([state_rows(r.scripts) for r in rows], pa.list_(_STATE)),
                     ],
                     names=names + list(STRUCTURE),
                 )

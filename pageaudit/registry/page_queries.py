@@ -141,8 +141,7 @@ def _(spark, sf):
   UNION ALL SELECT n, 2, 1, '$.page.item', NULL FROM v_html WHERE n % 6 = 2
   UNION ALL SELECT n, 3, 2, '$.page.item.sellingPrice', p::VARCHAR FROM v_html WHERE n % 6 = 2""")
 def _(spark, sf):
-    e = P.json_entries(P.hydration_blobs(shop(spark, sf)), X.HYDRATION_DEPTH, X.HYDRATION_ITEMS, [])
-    return e.select("page_id", "ord", "depth", "path", "value")
+    return shop(spark, sf).select("page_id", F.inline("state")).select("page_id", "ord", "depth", "path", "value")
 
 
 @query("m1_attribute_map", """SELECT n AS page_id, 'style' AS name, 'font-size: 9px' AS value FROM v_html WHERE n % 13 = 0 UNION ALL SELECT n, 'class', 'skip' FROM v_html WHERE n % 13 = 0

@@ -73,7 +73,7 @@ class PageRows(HTMLParser):
         low = cls.lower()
         e = {
             "pos": len(self.elements), "parent": up["pos"] if up else -1, "depth": len(self.open), "tag": tag,
-            "id": pairs.get("id"), "cls": cls, "attrs": list(pairs.items()), "after": None,
+            "id": pairs.get("id"), "cls": cls, "classes": cls.split(), "attrs": list(pairs.items()), "after": None,
             "hidden": bool(up and up["hidden"]) or tag in HIDDEN, "chrome": bool(up and up["chrome"]) or tag in CHROME,
             "struck": bool(up and up["struck"]) or tag in STRUCK or any(c in low for c in STRUCK_CLASSES),
             "t0": len(self.nodes), "t1": len(self.nodes), "last": len(self.elements),

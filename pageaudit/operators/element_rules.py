@@ -87,14 +87,23 @@ def detect_elements(parsed: DataFrame, profile: str = "default") -> DataFrame:
     return parsed.select(*keep, F.explode(element_findings(profile)).alias("f")).select(*keep, "f.*")
 
 
+def page_findings(text: Column, state: Column, profile: str = "default") -> Column:
+    """Array of all findings of one parsed page: element rules first, then text rules."""
+    return F.concat(element_findings(profile), text_findings(text, state, profile=profile))
+
+
+def with_page_text(parsed: DataFrame) -> DataFrame:
+    """Adds the text the rules read and the page state that follows from it."""
+    text = plain_spaces(H.snapshot_text())
+    return parsed.withColumn("text", text).withColumn("page_state", page_state(F.col("url"), F.col("text")))
+
+
 def detect_all(parsed: DataFrame, profile: str = "default", keep_clean: bool = False) -> DataFrame:
     """Findings of text and element rules together, in one pass over the parsed pages."""
-    text = plain_spaces(H.snapshot_text())
-    staged = parsed.withColumn("_text", text).withColumn("page_state", page_state(F.col("url"), F.col("_text")))
-    every = F.concat(element_findings(profile), text_findings(F.col("_text"), F.col("page_state"), profile=profile))
     explode = F.explode_outer if keep_clean else F.explode
     keep = [c for c in ("page_id", "scan_id", "stage", "url") if c in parsed.columns]
-    return staged.select(*keep, "page_state", explode(every).alias("f")).select(*keep, "page_state", "f.*")
+    found = page_findings(F.col("text"), F.col("page_state"), profile)
+    return with_page_text(parsed).select(*keep, "page_state", explode(found).alias("f")).select(*keep, "page_state", "f.*")
 
 
 def may_raise(html: Column, visible_text: Column = None) -> Column:

@@ -1,7 +1,6 @@
 """Price candidates, stage totals and fee components from parsed pages."""
 
 import json
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -256,53 +255,53 @@ SELECTORS = [
 ]
 
 
-def _mark(e: Column, m: str) -> Column:
+def _mark(e: str, m: str) -> str:
     if m.startswith("#"):
-        return e["id"] == m[1:]
+        return f"{e}.id = '{m[1:]}'"
     if m.startswith("-"):
-        return ~H.has_class(e, m[1:])
+        return f"NOT array_contains({e}.classes, '{m[1:]}')"
     if m.startswith("~"):
-        return H.class_has(e, m[1:])
+        return f"contains({e}.cls, '{m[1:]}')"
     if m.startswith("@"):
         if "=" in m:
             name, value = m[1:].split("=")
-            return H.attr(e, name) == value
+            return f"element_at({e}.attrs, '{name}') = '{value}'"
         if "*" in m:
             name, part = m[1:].split("*")
-            return H.attr(e, name).contains(part)
-        return F.map_contains_key(e["attrs"], m[1:])
-    return H.has_class(e, m)
+            return f"contains(element_at({e}.attrs, '{name}'), '{part}')"
+        return f"map_contains_key({e}.attrs, '{m[1:]}')"
+    return f"array_contains({e}.classes, '{m}')"
 
 
-def _step(e: Column, step) -> Column:
-    tag, *marks = step
-    out = F.lit(True) if tag is None else e["tag"] == tag
-    for m in marks:
-        if m is not None:
-            out = out & _mark(e, m)
-    return F.coalesce(out, F.lit(False))
+def fits(e: str, steps) -> str:
+    """SQL test: element ``e`` passes the last step and has ancestors that pass the others, in order.
 
-
-def fits(e: Column, steps) -> Column:
-    """The element passes the last step and has ancestors that pass the others, in order."""
-    out = _step(e, steps[-1])
+    Text instead of Column calls: the selector tables make hundreds of these.
+    """
+    tag, *marks = steps[-1]
+    tests = [f"{e}.tag = '{tag}'"] if tag else []
+    tests += [_mark(e, m) for m in marks if m]
     if len(steps) > 1:
-        out = out & H.inside(e, lambda a: fits(a, steps[:-1]))
-    return out
+        up = e + "a"
+        tests.append(f"exists(elements, {up} -> {up}.pos < {e}.pos AND {up}.last >= {e}.pos AND {fits(up, steps[:-1])})")
+    return "coalesce(" + " AND ".join(tests or ["true"]) + ", false)"
+
 
+def any_fit(e: str, alternatives) -> str:
+    return "(" + (" OR ".join(fits(e, alt) for alt in alternatives) or "false") + ")"
 
-def fitting(steps):
-    return lambda e: fits(e, steps)
 
+def elements_fitting(alternatives) -> Column:
+    """Elements that fit one of the alternatives, in document order."""
+    return F.expr(f"filter(elements, e -> {any_fit('e', alternatives)})")
 
-def any_fit(alternatives):
-    """Test: the element fits one of the alternatives."""
-    return H.having(lambda e: reduce(lambda a, b: a | b, [fits(e, alt) for alt in alternatives]))
 
+def some_fitting(alternatives) -> Column:
+    return F.expr(f"exists(elements, e -> {any_fit('e', alternatives)})")
 
-def selected(alternatives) -> Column:
-    """First element in the document that fits one of the alternatives."""
-    return F.get(F.filter(H.ELEMENTS, any_fit(alternatives)), F.lit(0))
+
+def first_fitting(alternatives) -> Column:
+    return F.get(elements_fitting(alternatives), F.lit(0))
 
 
 def platform_array() -> Column:
@@ -311,14 +310,14 @@ def platform_array() -> Column:
     table = {(p, label): alts for p, label, _, _, alts in SELECTORS}
     out = []
     for p, label, conf, is_mrp, alts in SELECTORS:
-        first = F.slice(F.filter(H.ELEMENTS, any_fit(alts)), 1, 1)
+        first = F.slice(elements_fitting(alts), 1, 1)
         mrp, weight = F.lit(is_mrp), F.lit(conf)
         own = F.col("platform") == p
         if (p, label) == ("shopify", "regular"):  # next to a sale price the regular one is the struck price
-            mrp = F.exists(H.ELEMENTS, any_fit(table[("shopify", "sale")]))
+            mrp = some_fitting(table[("shopify", "sale")])
             weight = F.when(mrp, 0.35).otherwise(conf)
         if label == "plain":
-            own = own & ~F.exists(H.ELEMENTS, any_fit(table[(p, "sale")]))
+            own = own & ~some_fitting(table[(p, "sale")])
         made = F.transform(
             F.transform(first, lambda e: T.clean_price(H.element_text(e, ""))),
             lambda a: candidate(a, "adapter", weight, f"{p} {label} price", mrp),
@@ -365,25 +364,18 @@ def _first_value(values: Column) -> Column:
     return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
 
-def _preferred(tests, price, max_nodes=None) -> Column:
+def _preferred(tests, price, only: str) -> Column:
     """Price of the element that passes the earliest test, in document order among equals.
 
-    One pass over the elements: each is priced once, whatever tests it passes.
+    One pass over the elements for which ``only`` holds: each is priced once,
+    whatever tests it passes. ``tests`` are SQL tests of an element ``e``.
     """
-    def rank(e):
-        out = None
-        for i, test in enumerate(tests):
-            out = F.when(H.having(test)(e), i) if out is None else out.when(H.having(test)(e), i)
-        return out
-
-    small = F.lit(True) if max_nodes is None else None
-    ranked = F.transform(
-        F.filter(H.ELEMENTS, lambda e: small if max_nodes is None else e["t1"] - e["t0"] <= max_nodes),
-        lambda e: F.struct(rank(e).alias("rank"), e["pos"].alias("pos"), e.alias("e")),
+    ranks = " ".join(f"WHEN {t} THEN {i}" for i, t in enumerate(tests))
+    ranked = F.expr(
+        f"filter(transform(filter(elements, e -> {only}), e -> named_struct('rank', CASE {ranks} END, 'e', e)), r -> r.rank IS NOT NULL)"
     )
     priced = F.transform(
-        F.filter(ranked, lambda r: r["rank"].isNotNull()),
-        lambda r: F.struct(r["rank"].alias("rank"), r["pos"].alias("pos"), price(r["e"]).alias("amount")),
+        ranked, lambda r: F.struct(r["rank"].alias("rank"), r["e"]["pos"].alias("pos"), price(r["e"]).alias("amount"))
     )
     return F.array_min(F.filter(priced, lambda r: r["amount"].isNotNull()))["amount"]
 
@@ -417,8 +409,9 @@ def product_price_struct() -> Column:
         lambda e: F.coalesce(T.parse_inr(H.attr(e, "content")), T.first_inr(H.element_text(e, with_hidden=True))),
     )
     sale = _preferred(
-        [_unstruck(steps) for steps in SALE_SELECTORS],
+        [fits("e", steps) for steps in SALE_SELECTORS],
         lambda e: F.coalesce(*[T.parse_inr(H.attr(e, a)) for a in X.DATA_PRICE_ATTRS], T.first_inr(H.element_text(e, with_hidden=True))),
+        "NOT e.struck",
     )
     lines = clean_lines()
     anchored = F.transform(
@@ -435,10 +428,6 @@ def product_price_struct() -> Column:
     )
 
 
-def _unstruck(steps):
-    return lambda e: ~e["struck"] & fits(e, steps)
-
-
 def _price_rows(parsed: DataFrame, price: Column, *more) -> DataFrame:
     return parsed.select("page_id", price.alias("b"), *more).select(
         "page_id", F.col("b.amount").alias("total"), F.col("b.source").alias("extraction_source"),
@@ -452,11 +441,10 @@ def product_price(parsed: DataFrame) -> DataFrame:
     return _price_rows(parsed, product_price_struct(), rejected)
 
 
-SUMMARY_TESTS = [
-    lambda e: H.has_class(e, "total-row"), lambda e: H.has_class(e, "grand-total"), lambda e: H.has_class(e, "amount-payable"),
-    lambda e: H.has_class(e, "order-total"), lambda e: e["id"] == "order-summary", lambda e: H.has_class(e, "order-summary"),
-    lambda e: H.attr(e, "data-testid").contains("total"), lambda e: (e["tag"] == "tr") & H.has_class(e, "total"),
-    lambda e: (e["tag"] == "div") & H.class_has(e, "total"),
+# Containers of a total, same notation as SELECTORS
+SUMMARY_SELECTORS = [
+    [(None, "total-row")], [(None, "grand-total")], [(None, "amount-payable")], [(None, "order-total")],
+    [(None, "#order-summary")], [(None, "order-summary")], [(None, "@data-testid*total")], [("tr", "total")], [("div", "~total")],
 ]
 
 
@@ -474,7 +462,7 @@ def stage_total_struct() -> Column:
             F.filter(F.array(H.element_text(e, with_hidden=True)), lambda t: F.length(t) <= 150),
             lambda t: anchored(t, X.RX_TOTAL_ANCHORS)), F.lit(0))
 
-    box = _preferred(SUMMARY_TESTS, boxed, max_nodes=75)
+    box = _preferred([fits("e", steps) for steps in SUMMARY_SELECTORS], boxed, "e.t1 - e.t0 <= 75")
     stored = F.when(F.col("visible_text") != "", F.col("visible_text"))
     lines = F.filter(T.lines(F.coalesce(stored, H.page_text("\n"))), lambda x: F.length(x) <= 100)
     strong = _first_value(F.transform(lines, lambda x: anchored(x, X.RX_TOTAL_ANCHORS[:2])))
@@ -618,6 +606,29 @@ def rank_candidates(candidates: DataFrame, stage: str = "product") -> DataFrame:
     )
 
 
+def best_candidate(candidates: Column, fallback: Column) -> Column:
+    """Selected price of one page from its candidate array: amount, source, confidence, has_conflict.
+
+    Row form of ``rank_candidates`` for candidates of the page's own stage;
+    without any usable one the fallback price counts with confidence 0.75.
+    """
+    spare = F.filter(candidates, lambda c: ~c["is_discount"] & (c["amount"] > 0))
+    good = F.filter(spare, lambda c: ~c["is_mrp"] & c["belongs_to_product"])
+    chosen = F.when(F.size(good) > 0, good).otherwise(spare)
+    score = lambda c: c["confidence"] * source_weight(c["source"])
+    best = F.array_min(F.transform(chosen, lambda c, i: F.struct(
+        (-score(c)).alias("score"), i.alias("i"), c["amount"].alias("amount"), c["source"].alias("source"), c["confidence"].alias("confidence"))))
+    strong = F.transform(F.filter(chosen, lambda c: (score(c) >= 0.75) & c["source"].isin(X.CONFLICT_SOURCES)), lambda c: c["amount"])
+    made = lambda amount, source, conf, conflict: F.struct(
+        amount.alias("amount"), source.alias("source"), conf.alias("confidence"), conflict.alias("has_conflict"))
+    return (
+        F.when(best.isNotNull(), made(best["amount"], best["source"], F.least(F.lit(0.99), best["confidence"]),
+                                      F.coalesce(F.array_min(strong) < F.array_max(strong), F.lit(False))))
+        .when(fallback["amount"].isNotNull(), made(fallback["amount"], fallback["source"], F.lit(0.75), F.lit(False)))
+        .otherwise(made(F.lit(None).cast(T.MONEY), F.lit("NONE"), F.lit(0.0), F.lit(False)))
+    )
+
+
 def with_fallback(ranked: DataFrame, fallback: DataFrame) -> DataFrame:
     """Pages without any candidate take the fallback price with confidence 0.75. ``fallback``: page_id, total, extraction_source."""
     j = fallback.join(ranked, "page_id", "left")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pageaudit.functions import text as T
 from pageaudit.operators import structure as H
-from pageaudit.operators.prices import fitting, selected
+from pageaudit.operators.prices import first_fitting, some_fitting
 
 WPA = "woocommerce-Price-amount"
 # fixed values: address marks (45), structure and its points, total element (25), call to action (20)
@@ -62,9 +62,7 @@ def _points(cond: Column, n) -> Column:
 
 
 def _any(alternatives) -> Column:
-    if not alternatives:
-        return F.lit(False)
-    return reduce(lambda a, b: a | b, [F.exists(H.ELEMENTS, H.having(fitting(alt))) for alt in alternatives])
+    return some_fitting(alternatives)
 
 
 def _sum(cols):
@@ -77,7 +75,7 @@ def _verdict(score: Column, threshold: int, total: Column) -> Column:
 
 def _shop_cart(name) -> Column:
     urls, structures, total, cta = CART[name]
-    el = selected(total)
+    el = first_fitting(total)
     shape = F.lit(0)
     for n, alts in reversed(structures):
         shape = F.when(_any(alts), n).otherwise(shape)
@@ -87,7 +85,7 @@ def _shop_cart(name) -> Column:
 
 def _shop_checkout(name) -> Column:
     urls, shape_points, shape, total_points, total, words = CHECKOUT[name]
-    el = selected(total)
+    el = first_fitting(total)
     score = (
         _points(T.contains_any(F.col("url"), urls), 50) + _points(_any(shape), shape_points)
         + _points(el.isNotNull(), total_points) + _points(T.contains_any(F.lower("_text"), words), 20)

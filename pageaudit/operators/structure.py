@@ -18,7 +18,7 @@ from pageaudit.functions.jsonrows import state_rows
 from pageaudit.functions.text import contains_any, host_of, lines, resolve
 
 STRUCTURE = {
-    "elements": "array<struct<pos:int,parent:int,last:int,depth:int,tag:string,id:string,cls:string,"
+    "elements": "array<struct<pos:int,parent:int,last:int,depth:int,tag:string,id:string,cls:string,classes:array<string>,"
                 "attrs:map<string,string>,after:string,hidden:boolean,chrome:boolean,struck:boolean,t0:int,t1:int>>",
     "nodes": "array<struct<text:string,tag:string,parent:int,hidden:boolean,chrome:boolean>>",
     "scripts": "array<struct<type:string,id:string,src:string,body:string>>",
@@ -26,7 +26,7 @@ STRUCTURE = {
 }
 _ELEMENT = pa.struct([
     ("pos", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()),
-    ("id", pa.string()), ("cls", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("after", pa.string()),
+    ("id", pa.string()), ("cls", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("after", pa.string()),
     ("hidden", pa.bool_()), ("chrome", pa.bool_()), ("struck", pa.bool_()), ("t0", pa.int32()), ("t1", pa.int32()),
 ])
 _NODE = pa.struct([
@@ -92,7 +92,7 @@ def snapshot_text() -> Column:
 
 
 def has_class(e: Column, name: str) -> Column:
-    return F.concat(F.lit(" "), e["cls"], F.lit(" ")).contains(f" {name} ")
+    return F.array_contains(e["classes"], name)
 
 
 def class_has(e: Column, part: str) -> Column:

@@ -338,9 +338,19 @@ def _(spark, sf):
     return j.select("scan_id", "p0", "p1", "p2", "delta_total", F.coalesce("explained", F.lit(0)).alias("explained"), "verdict")
 
 
-@query("q2_scan_scores", None)
+_Q2F = f"""{_JOURNEY}, {PAGE_FINDINGS}, fd AS (SELECT DISTINCT scan_id, rule_id, pattern, confidence, confidence_tier FROM pf
+  UNION ALL SELECT scan_id, 'DP_JOURNEY', 'DRIP_PRICING', 0.95, 'HIGH' FROM j WHERE verdict = 'DETECTED'),
+ gg AS (SELECT scan_id, count(*) AS s, count(*) FILTER (WHERE confidence_tier = 'HIGH' OR confidence >= 0.85) AS h, count(*) FILTER (WHERE confidence_tier = 'MEDIUM' OR (confidence >= 0.65 AND confidence < 0.85)) AS m,
+   count(*) FILTER (WHERE confidence_tier = 'LOW' OR confidence < 0.65) AS l,
+   sum(round_even((CASE pattern WHEN 'FALSE_URGENCY' THEN 15 WHEN 'CONFIRM_SHAMING' THEN 15 WHEN 'INTERFACE_INTERFERENCE' THEN 15 ELSE 20 END) * confidence, 0)) AS pts FROM fd GROUP BY scan_id),
+ st AS (SELECT scan_id, bool_or(stage = 'product') AS has_p FROM v_html GROUP BY scan_id)"""
+
+
+@query("q2_scan_scores", f"""WITH {_Q2F} SELECT st.scan_id, coalesce(s, 0)::BIGINT AS signals_found, least(100, 30 * coalesce(h, 0) + 15 * coalesce(m, 0) + 5 * coalesce(l, 0))::BIGINT AS risk_score,
+  greatest(0, 100 - round_even(coalesce(pts, 0) * 0.5::DOUBLE, 0))::BIGINT AS transparency, verdict FROM st LEFT JOIN gg USING (scan_id) JOIN j USING (scan_id) WHERE has_p""")
 def _(spark, sf):
-    return audit.audit_journeys(html(spark, sf))["scans"].drop("stages", "summary", "access", "product_reached")
+    s = audit.audit_journeys(html(spark, sf))["scans"].where("product_reached")
+    return s.select("scan_id", "signals_found", "risk_score", "transparency", "verdict")
 
 
 @query("q5_evaluate", f"""WITH {PAGE_FINDINGS}, lab AS (SELECT n, 'FALSE_URGENCY' AS pattern, n % 7 < 2 AS expected FROM v_html UNION ALL SELECT n, 'BASKET_SNEAKING', n % 5 IN (1, 3) FROM v_html),

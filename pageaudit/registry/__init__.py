@@ -5,6 +5,7 @@ from pageaudit.registry import (  # noqa: F401
     compare_queries,
     journey_queries,
     page_queries,
+    stream_queries,
     text_queries,
 )
 from pageaudit.registry.base import ORACLE, QUERIES

@@ -95,7 +95,7 @@ def _(spark, sf):
     """Event times are laid within one watermark, so that the stream sees every repeat."""
     ev = stream(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("session_id"), F.concat("event_type", F.col("event_id") % 3).alias("url"),
-        F.timestamp_millis(F.col("event_id") % 1000).alias("ts"))
+        F.timestamp_millis(1_700_000_000_000 + F.col("event_id") % 1000).alias("ts"))
     return finish(spark, W.first_captures(ev), "w5").select("session_id", "url")
 
 
@@ -150,8 +150,8 @@ def _(spark, sf):
     j = finish(spark, W.with_second_level(first, second), "w8")
     a, b = levels(table(spark, sf, "events"))
     ends = a.agg(F.max("ts").alias("t")).union(b.agg(F.max("ts")))
-    cut = ends.agg((F.min("t") - F.expr(f"INTERVAL {DELAY_S + 60} SECONDS")).alias("cut"))  # one row
-    return j.join(F.broadcast(cut), F.col("ts") < F.col("cut")).select("page_id", "level", "n_findings")
+    cut = ends.agg(F.unix_micros(F.min("t"))).first()[0] - (DELAY_S + 60) * 1_000_000
+    return j.where(F.unix_micros("ts") < cut).select("page_id", "level", "n_findings")
 
 
 def levels(ev):

@@ -46,7 +46,7 @@ def findings_sql(source="v_text", rules_rx=None, client=False):
 
 FINDINGS = f"f AS ({findings_sql()})"
 # first finding per scan, pattern and title; what is kept of it is the same for all of them
-DEDUPED = FINDINGS + ", d AS (SELECT scan_id, pattern, title, any_value(confidence) AS confidence, any_value(confidence_tier) AS confidence_tier, any_value(severity) AS severity FROM f GROUP BY ALL)".replace("GROUP BY ALL", "GROUP BY scan_id, pattern, title")
+DEDUPED = FINDINGS + ", d AS (SELECT scan_id, pattern, title, any_value(confidence) AS confidence, any_value(confidence_tier) AS confidence_tier, any_value(severity) AS severity FROM f GROUP BY scan_id, pattern, title)"
 SCANS = "s AS (SELECT scan_id, bool_or(stage = 'product') AS has_p, bool_or(stage = 'cart') AS has_c, bool_or(stage = 'checkout') AS has_o FROM v_text GROUP BY scan_id)"
 TIERS = """coalesce(count(pattern), 0)::BIGINT AS signals_found,
  count(*) FILTER (WHERE confidence_tier = 'HIGH' OR confidence >= 0.85)::BIGINT AS high_count,
@@ -104,10 +104,9 @@ _PROSE = """prose AS (SELECT 'document' AS kind, doc_id AS page_id, '' AS scan_i
  UNION ALL SELECT 'turn', conv_id * 1000 + turn, '', '', '', text FROM conversations)"""
 
 
-@query("r_prose_scan", f"""WITH {_PROSE}, f AS ({findings_sql('prose')}),
-  n AS (SELECT kind, visible_text, len(regexp_extract_all(visible_text, '[0-9][0-9,]*')) AS k FROM prose)
-SELECT kind, count(*)::BIGINT AS n_texts, sum(length(visible_text))::BIGINT AS n_chars, sum(k)::BIGINT AS n_numbers,
-  (SELECT count(*) FROM f)::BIGINT AS n_findings FROM n GROUP BY kind""")
+@query("r_prose_scan", f"""WITH {_PROSE}, f AS ({findings_sql('prose')}), h AS (SELECT page_id, stage, count(*) AS k FROM f GROUP BY page_id, stage),
+  n AS (SELECT kind, visible_text, len(regexp_extract_all(visible_text, '[0-9][0-9,]*')) AS c, coalesce(h.k, 0) AS k FROM prose LEFT JOIN h ON h.page_id = prose.page_id AND h.stage = prose.kind)
+SELECT kind, count(*)::BIGINT AS n_texts, sum(length(visible_text))::BIGINT AS n_chars, sum(c)::BIGINT AS n_numbers, sum(k)::BIGINT AS n_findings FROM n GROUP BY kind""".replace("'' AS stage", "'document' AS stage").replace("'turn', conv_id * 1000 + turn, '', ''", "'turn', conv_id * 1000 + turn, '', 'turn'"))
 def _(spark, sf):
     """Rules and number extraction over whole prose texts."""
     docs = table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("page_id"), F.col("text").alias("visible_text"))
@@ -115,11 +114,9 @@ def _(spark, sf):
         F.lit("turn"), F.col("conv_id") * 1000 + F.col("turn"), F.col("text"))
     both = docs.union(turns).withColumn("url", F.lit(""))
     hits = F.size(rules.text_findings(F.col("visible_text"), page_state(F.col("url"), F.col("visible_text"))))
-    g = both.withColumn("n_hits", hits).groupBy("kind").agg(
+    return both.withColumn("n_hits", hits).groupBy("kind").agg(
         F.count("*").alias("n_texts"), F.sum(F.length("visible_text")).alias("n_chars"),
-        F.sum(F.regexp_count("visible_text", F.lit("[0-9][0-9,]*"))).cast("bigint").alias("n_numbers"), F.sum("n_hits").alias("hits"))
-    total = g.agg(F.sum("hits").alias("n_findings"))  # one row
-    return g.drop("hits").join(F.broadcast(total))
+        F.sum(F.regexp_count("visible_text", F.lit("[0-9][0-9,]*"))).cast("bigint").alias("n_numbers"), F.sum("n_hits").alias("n_findings"))
 
 
 @query("s1_snapshots", """SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, length(html)::BIGINT AS html_chars,
@@ -189,10 +186,6 @@ def _(spark, sf):
     return scores.transparency(deduped(spark, sf), scans(spark, sf))
 
 
-def _client_case(rule):
-    return rule
-
-
 _CF = f"f AS ({findings_sql(client=True)})"
 
 

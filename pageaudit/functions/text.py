@@ -1,7 +1,7 @@
 """Text predicates and extractors as Column expressions."""
 
-import re
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,11 +20,16 @@ def plain_spaces(c: Column) -> Column:
     return F.translate(c, blanks, " " * len(blanks))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def contains_any(c: Column, words) -> Column:
     """``c`` contains one of the words; ``c`` is evaluated once however many words there are."""
     if not words:
         return F.lit(False)
-    return c.rlike("|".join(re.escape(w) for w in words))
+    return let(c, lambda x: reduce(lambda a, b: a | b, [x.contains(w) for w in words]))
 
 
 def found(c: Column, rx: str) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageaudit import fixed as X
-from pageaudit.functions.text import contains_any, found, path_of
+from pageaudit.functions.text import contains_any, found, let, path_of
 
 
 def page_state(url: Column, text: Column) -> Column:
@@ -39,9 +39,8 @@ def page_type(url: Column, html: Column) -> Column:
 def access_status(http_status: Column, html: Column, text: Column, error: Column) -> Column:
     """Why a page could or could not be read; the order of the tests matters."""
     h, t = F.coalesce(html, F.lit("")), F.coalesce(text, F.lit(""))
-    low = F.lower(F.concat(t, F.lit(" "), F.substring(h, 1, 3000)))
     failed = F.coalesce(error, F.lit("")) != ""
-    return (
+    return let(F.lower(F.concat(t, F.lit(" "), F.substring(h, 1, 3000))), lambda low: (
         F.when(failed & F.lower(error).contains("timeout"), "TIMEOUT")
         .when(failed, "NETWORK_ERROR")
         .when((F.coalesce(http_status, F.lit(0)) == 0) & (h == ""), "NETWORK_ERROR")
@@ -57,7 +56,7 @@ def access_status(http_status: Column, html: Column, text: Column, error: Column
         .when(contains_any(low, X.BOT_SIGNALS), "BOT_CHALLENGE")
         .when(low.contains("enable javascript") & (F.length(t) < 150), "JS_REQUIRED")
         .otherwise("ACCESS_OK")
-    )
+    ))
 
 
 def platform(html: Column, url: Column) -> Column:

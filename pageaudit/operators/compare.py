@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from pageaudit import fixed as X
 from pageaudit.functions import text as T
+from pageaudit.session import cut_lineage
 
 
 def _present(c) -> Column:
@@ -158,16 +159,22 @@ def _deciding_code(id_a, attr_a, id_b, attr_b) -> Column:
 def comparable_partners(fingerprints: DataFrame, payload=()) -> DataFrame:
     """Per listing: number of MATCHED and PROBABLE_MATCH partners, and its cheapest comparable listing.
 
-    ``payload`` columns of the cheapest partner come along in ``cheapest``.
-    The listing itself takes part, so ``cheapest`` may be the listing.
+    ``payload`` columns come along twice: of the listing in ``own``, of the
+    cheapest partner in ``cheapest``. The listing itself takes part, so
+    ``cheapest`` may be the listing. The slim table of keys is read by both
+    sides of the join; it is written once to the shared checkpoint folder so
+    that titles are not taken apart twice.
     """
-    keyed = _masks(fingerprints).withColumn("k", F.explode(_published_keys()))
-    side = keyed.select("compare_id", "listing_id", "listed_price", "id_mask", "attr_mask", "k.code", "k.key", *payload)
+    slim = cut_lineage(_masks(fingerprints).select(
+        "compare_id", "listing_id", "id_mask", "attr_mask", _published_keys().alias("keys"),
+        F.struct("listed_price", "listing_id", *payload).alias("own"),
+    ))
+    side = slim.select("*", F.explode("keys").alias("k")).select(
+        "compare_id", "listing_id", "id_mask", "attr_mask", "own", "k.code", "k.key")
     totals = side.groupBy("compare_id", "code", "key", F.col("id_mask").alias("p_id"), F.col("attr_mask").alias("p_attr")).agg(
-        F.count("*").alias("n"), F.min(F.struct("listed_price", "listing_id", *payload)).alias("cheapest")
+        F.count("*").alias("n"), F.min("own").alias("cheapest")
     )
-    mine = side.select("compare_id", "listing_id", "id_mask", "attr_mask", "code", "key")
-    seen = mine.join(totals, ["compare_id", "code", "key"]).where(
+    seen = side.join(totals, ["compare_id", "code", "key"]).where(
         F.col("code") == _deciding_code(F.col("id_mask"), F.col("attr_mask"), F.col("p_id"), F.col("p_attr"))
     )
     strong = (F.col("code") < 8) | (F.bit_count(F.col("code") - 8) >= 3)
@@ -175,12 +182,13 @@ def comparable_partners(fingerprints: DataFrame, payload=()) -> DataFrame:
     own = own & (F.col("p_id") == F.col("id_mask")) & (F.col("p_attr") == F.col("attr_mask"))
     others = F.col("n") - F.when(own, 1).otherwise(0)
     return seen.groupBy("compare_id", "listing_id").agg(
+        F.any_value("own").alias("own"),
         F.sum(F.when(strong, others).otherwise(0)).alias("n_matched"),
         F.sum(F.when(strong, 0).otherwise(others)).alias("n_probable"),
         F.min(F.struct(F.col("cheapest.listed_price").alias("price"), F.col("cheapest.listing_id").alias("id"),
                        F.col("cheapest"), strong.alias("strong"))).alias("best"),
     ).select(
-        "compare_id", "listing_id", "n_matched", "n_probable", "best.cheapest",
+        "compare_id", "listing_id", "own", "n_matched", "n_probable", "best.cheapest",
         F.when(F.col("best.strong"), "MATCHED").otherwise("PROBABLE_MATCH").alias("product_match"),
     )
 
@@ -194,32 +202,28 @@ def price_inconsistencies(fingerprints: DataFrame, best_offers: DataFrame) -> Da
     """
     captured = fingerprints.where(F.col("status").isin("PRODUCT_CAPTURED", "CAPTURED") & (F.col("listed_price") > 0))
     payload = ["seller", "condition", "delivery_charge", "marketplace", "best_offer", *X.MATCH_ATTRS]
-    rich = captured.join(best_offers, "listing_id", "left")
-    partners = comparable_partners(rich, payload)
-    j = rich.join(partners, ["compare_id", "listing_id"])
-    hi, lo = F.col("listed_price"), F.col("cheapest.listed_price")
+    partners = comparable_partners(captured.join(best_offers, "listing_id", "left"), payload)
+    mine, cheap = (lambda f: F.col(f"own.{f}")), (lambda f: F.col(f"cheapest.{f}"))
+    hi, lo = mine("listed_price"), cheap("listed_price")
     delta = (hi - lo).cast(T.MONEY)
-    pct = delta.cast("double") / lo.cast("double") * 100
-    cheap = lambda f: F.col(f"cheapest.{f}")
-    seller_a, seller_b = _present("seller"), _present(cheap("seller"))
-    variant = reduce(lambda a, b: a | b, [F.coalesce(_present(f) != _present(cheap(f)), F.lit(False)) for f in X.MATCH_ATTRS])
-    new = F.lit("new")
-    same_condition = F.coalesce(_present("condition"), new) == F.coalesce(_present(cheap("condition")), new)
+    variant = reduce(lambda a, b: a | b, [F.coalesce(_present(mine(f)) != _present(cheap(f)), F.lit(False)) for f in X.MATCH_ATTRS])
+    new, zero = F.lit("new"), F.lit(0)
+    same_condition = F.coalesce(_present(mine("condition")), new) == F.coalesce(_present(cheap("condition")), new)
     gap = delta.cast("double") * X.GAP_SHARE
-    offer = F.greatest(F.coalesce("best_offer", F.lit(0)), F.coalesce(cheap("best_offer"), F.lit(0)))
-    fee = F.abs(F.coalesce("delivery_charge", F.lit(0)) - F.coalesce(cheap("delivery_charge"), F.lit(0)))
-    flagged = j.withColumn("price_delta", delta).withColumn("_pct", pct).where(
+    offer = F.greatest(F.coalesce(mine("best_offer"), zero), F.coalesce(cheap("best_offer"), zero)).cast("double") >= gap
+    fee = F.abs(F.coalesce(mine("delivery_charge"), zero) - F.coalesce(cheap("delivery_charge"), zero)).cast("double") >= gap
+    flagged = partners.withColumn("price_delta", delta).withColumn("_pct", delta.cast("double") / lo.cast("double") * 100).where(
         (F.col("price_delta") > 0) & (F.col("_pct") >= X.MATERIAL_PCT)
     )
     return flagged.select(
         "compare_id", "listing_id", F.col("cheapest.listing_id").alias("cheapest_listing"), "product_match",
         hi.alias("price_high"), lo.alias("price_low"), "price_delta",
         (F.floor(F.col("_pct") * 10 + 0.5) / 10).alias("price_delta_pct"),
-        same_seller(seller_a, seller_b).alias("same_seller"),
+        same_seller(_present(mine("seller")), _present(cheap("seller"))).alias("same_seller"),
         (~variant).alias("same_variant"), same_condition.alias("same_condition"),
-        (offer.cast("double") >= gap).alias("offer_explains"), (fee.cast("double") >= gap).alias("fee_explains"),
-        F.when(variant, "variant").when(~same_condition, "condition").when(offer.cast("double") >= gap, "offer")
-        .when(fee.cast("double") >= gap, "fee").otherwise("unexplained").alias("explanation"),
+        offer.alias("offer_explains"), fee.alias("fee_explains"),
+        F.when(variant, "variant").when(~same_condition, "condition").when(offer, "offer").when(fee, "fee")
+        .otherwise("unexplained").alias("explanation"),
     )
 
 

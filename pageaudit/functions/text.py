@@ -193,6 +193,20 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
 
 
+def _without_dots(url: Column) -> Column:
+    """``url`` with the segments ``.`` and ``..`` of its path worked off."""
+    origin = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^?#]*)", 1)
+    tail = F.regexp_extract(url, r"([?#].*)$", 1)
+    step = lambda acc, seg: (
+        F.when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(seg == ".", acc).otherwise(F.concat(acc, F.array(seg)))
+    )
+    kept = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    closed = F.when(path.rlike(r"(^|/)\.\.?$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(url.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^?#]*/)?\.\.?([/?#]|$)"),
+                  F.concat(origin, F.lit("/"), F.array_join(closed, "/"), tail)).otherwise(url)
+
+
 def resolve(base: Column, href: Column) -> Column:
     """Absolute address of a link found on page ``base``."""
     scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
@@ -202,7 +216,7 @@ def resolve(base: Column, href: Column) -> Column:
         F.regexp_replace(page, r"[^/]*$", "")
     )
     h = F.trim(href)
-    return (
+    return _without_dots(
         F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), h)
         .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
         .when(h.startswith("/"), F.concat(origin, h))

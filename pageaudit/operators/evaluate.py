@@ -23,3 +23,11 @@ def matrix(outcome_rows: DataFrame, *keys: str) -> DataFrame:
         of("TP").alias("tp"), of("FP").alias("fp"), of("FN").alias("fn"), of("TN").alias("tn"),
         (F.floor(good / F.count("*") * 1000 + 0.5) / 10).alias("pass_rate"),
     )
+
+
+def count_check(labelled: DataFrame, findings: DataFrame) -> DataFrame:
+    """Labelled pages (page_id, expected_count) next to the number of findings they raise."""
+    n = findings.groupBy("page_id").agg(F.count("*").alias("actual_count"))
+    return labelled.join(n, "page_id", "left").withColumn("actual_count", F.coalesce("actual_count", F.lit(0))).withColumn(
+        "as_expected", F.col("actual_count") == F.col("expected_count")
+    )

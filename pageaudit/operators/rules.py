@@ -68,13 +68,15 @@ def detect_text(pages: DataFrame, extra: bool = False, profile: str = "default",
     """Findings of the text rules, one row each.
 
     ``keep_clean`` keeps one row with NULL finding columns for a page without
-    findings, so that scans can be scored in the same pass.
+    findings, so that scans can be scored in the same pass; ``nth`` numbers the
+    findings of a page from 0 (NULL for a clean page).
     """
     staged = pages.withColumn("page_state", page_state(F.col("url"), F.col("visible_text")))
     found = text_findings(F.col("visible_text"), F.col("page_state"), extra, profile)
-    explode = F.explode_outer if keep_clean else F.explode
     keep = [c for c in ("page_id", "scan_id", "stage", "url") if c in pages.columns]
-    return staged.select(*keep, "page_state", explode(found).alias("f")).select(*keep, "page_state", "f.*")
+    if keep_clean:
+        return staged.select(*keep, "page_state", F.posexplode_outer(found).alias("nth", "f")).select(*keep, "page_state", "nth", "f.*")
+    return staged.select(*keep, "page_state", F.explode(found).alias("f")).select(*keep, "page_state", "f.*")
 
 
 SIGNAL_TEXT = [

@@ -175,6 +175,25 @@ def coverage_score(seen: Column, stages: Column) -> Column:
     return F.bround(done / F.lit(len(X.PATTERNS)) * 100, 0).cast("bigint")
 
 
+def scan_scores(found: DataFrame, profile: str = "default") -> DataFrame:
+    """Risk, transparency and coverage per scan in one pass over the pages.
+
+    ``found``: findings with a row of NULLs for every clean page (scan_id,
+    stage, pattern, title, confidence, confidence_tier). The first grouping
+    also drops repeated findings; it leaves at most one row per rule and scan,
+    and the second one works on those.
+    """
+    once = found.groupBy("scan_id", "pattern", "title").agg(
+        F.collect_set("stage").alias("at"), F.max("confidence").alias("confidence"), F.min("confidence_tier").alias("confidence_tier")
+    )
+    g = once.groupBy("scan_id").agg(
+        *tier_counts(), *dimension_sums(), F.collect_set("pattern").alias("seen"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("stages"),
+    )
+    scored = with_transparency(with_risk(g, profile))
+    return scored.withColumn("coverage_score", coverage_score(F.col("seen"), F.col("stages"))).drop("seen")
+
+
 def findings_by_pattern(findings: DataFrame) -> DataFrame:
     """Map pattern -> count per scan; the map has at most 13 entries."""
     n = findings.groupBy("scan_id", "pattern").agg(F.count("*").alias("n"))

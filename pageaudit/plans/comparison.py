@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 
 from pageaudit.operators import compare
+from pageaudit.session import cut_lineage
 
 
 def compare_listings(listings: DataFrame, offer_texts: DataFrame, reviews: DataFrame) -> dict:
@@ -11,8 +12,9 @@ def compare_listings(listings: DataFrame, offer_texts: DataFrame, reviews: DataF
     ``listings``: compare_id, listing_id, title, brand, sku, mpn, gtin, seller,
     condition, status, marketplace, listed_price, delivery_charge, findings_count.
     """
-    fingerprints = compare.with_fingerprint(listings)
-    offers = compare.extract_offers(offer_texts)
+    # titles and offer lines are costly to take apart and read by several parts: written once
+    fingerprints = cut_lineage(compare.with_fingerprint(listings))
+    offers = cut_lineage(compare.extract_offers(offer_texts))
     payable = compare.effective_prices(listings, offers)
     clusters = compare.review_clusters(compare.review_signals(reviews))
     return {

@@ -255,3 +255,17 @@ def _(spark, sf):
     seen = findings(spark, sf, keep_clean=True).groupBy("page_id").agg(F.collect_set("pattern").alias("seen"))
     dims = scores.listing_transparency(F.col("page_id") % 5 > 0, F.col("seen"), F.lit(38))
     return seen.select("page_id", *dims)
+
+
+@query("q3_compare", f"""{_INC}, ic AS (SELECT compare_id, count(*) AS n FROM pk WHERE rn = 1 AND hi > lo AND (hi - lo)::DOUBLE / lo::DOUBLE * 100 >= 5 GROUP BY compare_id),
+  {REV}, re AS (SELECT compare_id, count(*) AS n FROM sg WHERE signal_type IS NOT NULL GROUP BY compare_id)
+  SELECT l.compare_id, count(*)::BIGINT AS n_listings, coalesce(any_value(ic.n), 0)::BIGINT AS n_inconsistent, coalesce(any_value(re.n), 0)::BIGINT AS total_signals
+  FROM v_listings l LEFT JOIN ic ON ic.compare_id = l.compare_id LEFT JOIN re ON re.compare_id = l.compare_id GROUP BY l.compare_id""")
+def _(spark, sf):
+    """The comparison plan, its parts put next to each other per comparison."""
+    from pageaudit.plans.comparison import compare_listings
+    out = compare_listings(listings(spark, sf), view(spark, sf, "v_offers"), view(spark, sf, "v_reviews"))
+    n = out["inconsistencies"].groupBy("compare_id").agg(F.count("*").alias("n_inconsistent"))
+    s = out["summary"].select("compare_id", "n_listings").join(n, "compare_id", "left").join(
+        out["review_evidence"].select("compare_id", "total_signals"), "compare_id", "left")
+    return s.fillna(0)

@@ -364,6 +364,17 @@ def _(spark, sf):
     return evaluate.matrix(evaluate.outcomes(lab, ER.detect_all(shop(spark, sf))), "pattern")
 
 
+@query("s5_labelled_counts", f"""WITH {PAGE_FINDINGS}, lb AS (SELECT n, ((n % 7 < 2)::INT + (n % 5 = 1)::INT + (n % 11 = 0)::INT + (n % 13 = 0)::INT + (n % 8 = 5)::INT + (n % 7 = 1)::INT)::BIGINT AS e FROM v_html)
+  SELECT lb.n AS page_id, e AS expected_count, coalesce(k, 0)::BIGINT AS actual_count, e = coalesce(k, 0) AS as_expected FROM lb LEFT JOIN (SELECT n, count(*) AS k FROM pf GROUP BY n) x ON x.n = lb.n""")
+def _(spark, sf):
+    """Labels leave out the fee rule, so the late stages differ by one."""
+    k = F.col("page_id")
+    hits = [k % 7 < 2, k % 5 == 1, k % 11 == 0, k % 13 == 0, k % 8 == 5, k % 7 == 1]
+    expected = sum((h.cast("bigint") for h in hits), F.lit(0).cast("bigint"))
+    labelled = html(spark, sf).select("page_id", expected.alias("expected_count"))
+    return evaluate.count_check(labelled, ER.detect_all(shop(spark, sf)))
+
+
 # --- sites -----------------------------------------------------------------------------------
 
 N_SITES = 10

@@ -332,6 +332,26 @@ def shop_ranking(spark, sf):
     """Signals and score points per shop in one pass over the page text."""
     f = findings(spark, sf, keep_clean=True).withColumn("host", T.host_of(F.col("url")))
     return f.groupBy("host").agg(
-        F.countDistinct("page_id").alias("n_pages"), *scores.tier_counts(),
+        F.count_if(F.coalesce("nth", F.lit(0)) == 0).alias("n_pages"), *scores.tier_counts(),
         F.coalesce(F.sum(scores.points(F.col("pattern"), F.col("confidence"))), F.lit(0)).alias("points"),
     )
+
+
+@query("q_scan_scores", f"""WITH {DEDUPED}, {SCANS}, {RISK}, {TRANSPARENCY}, {COVERAGE}, cv AS (SELECT scan_id, round_even(count(*) FILTER (WHERE status <> 'NOT_EVALUATED') / 13 * 100, 0)::BIGINT AS coverage_score FROM c GROUP BY scan_id)
+  SELECT scan_id, signals_found, risk_score, risk_level, transparency, coverage_score FROM rl JOIN t USING (scan_id) JOIN cv USING (scan_id)""")
+def _(spark, sf):
+    """All scores of a scan in one pass."""
+    s = scores.scan_scores(findings(spark, sf, keep_clean=True))
+    return s.select("scan_id", "signals_found", "risk_score", "risk_level", "transparency", "coverage_score")
+
+
+@query("n7_coverage_matrix", f"WITH {FINDINGS}, {SCANS}, {COVERAGE} SELECT pattern, status, count(*)::BIGINT AS n_scans FROM c GROUP BY pattern, status")
+def _(spark, sf):
+    return scores.coverage(findings(spark, sf), scans(spark, sf)).groupBy("pattern", "status").agg(F.count("*").alias("n_scans"))
+
+
+@query("k4_snippet_counts", f"WITH {FINDINGS} SELECT rule_id, len(string_split(snippets, '|'))::BIGINT AS n_snippets, count(*)::BIGINT AS n FROM f GROUP BY 1, 2")
+def _(spark, sf):
+    """Findings by the number of snippets kept, which is three at most."""
+    f = findings(spark, sf)
+    return f.groupBy("rule_id", F.size("snippets").cast("bigint").alias("n_snippets")).agg(F.count("*").alias("n"))

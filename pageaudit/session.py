@@ -17,6 +17,8 @@ def local_session(app="pageaudit", cpus="8", partitions="8", memory="12g") -> Sp
         # building large expressions from Python is several times faster without call sites
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        # sessions of a busy key shrink before the shuffle
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         .config("spark.driver.extraJavaOptions", "-Xss16m")

@@ -1,5 +1,6 @@
 """One page of HTML as element, text and script rows (the per-row part of the structure job)."""
 
+import re
 from html.parser import HTMLParser
 
 from pageaudit.fixed import CHROME_TAGS, HIDDEN_TAGS, STRUCK_CLASSES, STRUCK_TAGS
@@ -17,6 +18,7 @@ CLOSES = {
     **{t: ({"p"}, {"button", "td", "th", "li", "body", "table"}) for t in BLOCK},
 }
 HIDDEN, CHROME, STRUCK = set(HIDDEN_TAGS), set(CHROME_TAGS), set(STRUCK_TAGS)
+STRUCK_CLASS = re.compile("|".join(map(re.escape, STRUCK_CLASSES)), re.I)
 
 
 class PageRows(HTMLParser):
@@ -27,7 +29,12 @@ class PageRows(HTMLParser):
         self.elements, self.nodes, self.scripts, self.open = [], [], [], []
         self.text, self.last_leaf = [], None
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not needed
+
     def flush(self):
+        if not self.text:
+            return
         raw, self.text = "".join(self.text), []
         if not raw:
             return
@@ -65,18 +72,23 @@ class PageRows(HTMLParser):
                 if name in stops:
                     break
             self.last_leaf = None
-        up = self.open[-1] if self.open else None
+        pos, at = len(self.elements), len(self.nodes)
         pairs = {}
         for k, v in attrs:
             pairs.setdefault(k, v if v is not None else "")
-        cls = " ".join(pairs.get("class", "").split())
-        low = cls.lower()
+        classes = pairs.get("class", "").split()
+        cls = " ".join(classes)
+        hidden, chrome, struck = tag in HIDDEN, tag in CHROME, tag in STRUCK
+        parent = -1
+        if self.open:
+            up = self.open[-1]
+            parent = up["pos"]
+            hidden, chrome, struck = hidden or up["hidden"], chrome or up["chrome"], struck or up["struck"]
         e = {
-            "pos": len(self.elements), "parent": up["pos"] if up else -1, "depth": len(self.open), "tag": tag,
-            "id": pairs.get("id"), "cls": cls, "classes": cls.split(), "attrs": list(pairs.items()), "after": None,
-            "hidden": bool(up and up["hidden"]) or tag in HIDDEN, "chrome": bool(up and up["chrome"]) or tag in CHROME,
-            "struck": bool(up and up["struck"]) or tag in STRUCK or any(c in low for c in STRUCK_CLASSES),
-            "t0": len(self.nodes), "t1": len(self.nodes), "last": len(self.elements),
+            "pos": pos, "parent": parent, "depth": len(self.open), "tag": tag, "id": pairs.get("id"),
+            "cls": cls, "classes": classes, "attrs": list(pairs.items()), "after": None,
+            "hidden": hidden, "chrome": chrome, "struck": struck or bool(cls and STRUCK_CLASS.search(cls)),
+            "t0": at, "t1": at, "last": pos,
         }
         self.elements.append(e)
         if tag in VOID:

@@ -40,27 +40,32 @@ _STATE = pa.struct([
 SLICE_ROWS = 64
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """Replaces ``html`` by the arrays ``elements``, ``nodes``, ``scripts`` and ``state``."""
+RULE_PARTS = ("elements", "nodes")
+
+
+def parse_pages(pages: DataFrame, parts=tuple(STRUCTURE)) -> DataFrame:
+    """Replaces ``html`` by the arrays named in ``parts``.
+
+    Output of a Python stage cannot be pruned by the optimizer, so a job that
+    needs fewer arrays says so; the rules need ``RULE_PARTS``.
+    """
     keep = [f for f in pages.schema.fields if f.name != "html"]
-    extra = T._parse_datatype_string("struct<" + ",".join(f"{k}:{v}" for k, v in STRUCTURE.items()) + ">")
+    extra = T._parse_datatype_string("struct<" + ",".join(f"{k}:{STRUCTURE[k]}" for k in parts) + ">")
     schema = T.StructType(keep + extra.fields)
     names = [f.name for f in keep]
+    build = {
+        "elements": (lambda r: r.elements, pa.list_(_ELEMENT)), "nodes": (lambda r: r.nodes, pa.list_(_NODE)),
+        "scripts": (lambda r: r.scripts, pa.list_(_SCRIPT)), "state": (lambda r: state_rows(r.scripts), pa.list_(_STATE)),
+    }
+    wanted = [build[p] for p in parts]
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):  # bounds the memory of the output batch
                 part = batch.slice(start, SLICE_ROWS)
                 rows = [page_rows(h) for h in part.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(n) for n in names] + [
-                        pa.array([r.elements for r in rows], pa.list_(_ELEMENT)),
-                        pa.array([r.nodes for r in rows], pa.list_(_NODE)),
-                        pa.array([r.scripts for r in rows], pa.list_(_SCRIPT)),
-                        pa.array([state_rows(r.scripts) for r in rows], pa.list_(_STATE)),
-                    ],
-                    names=names + list(STRUCTURE),
-                )
+                made = [pa.array([get(r) for r in rows], kind) for get, kind in wanted]
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + made, names=names + list(parts))
 
     return pages.mapInArrow(run, schema)
 

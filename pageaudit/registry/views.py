@@ -249,7 +249,7 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     tables = _tables(sql, spark, folder)
     if name == "v_html":
         # a few bytes per order become a page of HTML: spread the orders, not the pages
-        tables["orders"] = tables["orders"].select("o_orderkey", "o_totalprice").repartition(spark.sparkContext.defaultParallelism)
+        tables["orders"] = tables["orders"].select("o_orderkey", "o_totalprice").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
     return spark.sql(sql, **tables)
 
 

@@ -12,7 +12,7 @@ from pageaudit import fixed as X
 from pageaudit.functions.text import contains_any
 from pageaudit.operators.element_rules import detect_all, may_raise
 from pageaudit.operators.journey import fold_transitions
-from pageaudit.operators.structure import parse_pages
+from pageaudit.operators.structure import RULE_PARTS, parse_pages
 
 
 def _marked(df: DataFrame, ts: str, watermark: str) -> DataFrame:
@@ -127,7 +127,7 @@ def tiered_audit(pages: DataFrame, out: str):
     repeated batch does no harm.
     """
     def body(batch: DataFrame, epoch: int):
-        deep = parse_pages(batch.where(may_raise(F.col("html"))))
+        deep = parse_pages(batch.where(may_raise(F.col("html"))), RULE_PARTS)
         detect_all(deep).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return body

@@ -38,8 +38,6 @@ _STATE = pa.struct([
     ("key", pa.string()), ("kind", pa.string()), ("value", pa.string()),
 ])
 SLICE_ROWS = 64
-
-
 RULE_PARTS = ("elements", "nodes")
 
 
@@ -50,8 +48,7 @@ def parse_pages(pages: DataFrame, parts=tuple(STRUCTURE)) -> DataFrame:
     needs fewer arrays says so; the rules need ``RULE_PARTS``.
     """
     keep = [f for f in pages.schema.fields if f.name != "html"]
-    extra = T._parse_datatype_string("struct<" + ",".join(f"{k}:{STRUCTURE[k]}" for k in parts) + ">")
-    schema = T.StructType(keep + extra.fields)
+    schema = T.StructType(keep + T.StructType.fromDDL(", ".join(f"{k} {STRUCTURE[k]}" for k in parts)).fields)
     names = [f.name for f in keep]
     build = {
         "elements": (lambda r: r.elements, pa.list_(_ELEMENT)), "nodes": (lambda r: r.nodes, pa.list_(_NODE)),

@@ -1,14 +1,11 @@
 """Registry of runnable queries and their checking SQL."""
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageaudit.registry.views import with_views
-from pageaudit.session import ensure_checkpoint_dir
+from pageaudit.session import scratch_path as scratch  # noqa: F401
 
 QUERIES, ORACLE = {}, {}
 
@@ -44,11 +41,6 @@ def query(name: str, sql: str = None):
     return register
 
 
-def scratch(spark, kind: str) -> str:
-    """A fresh folder below the shared checkpoint folder."""
-    return os.path.join(ensure_checkpoint_dir(spark), f"{kind}-{uuid.uuid4().hex[:12]}")
-
-
 def rx(pattern: str) -> str:
     """Pattern as an SQL string, matched case-insensitively by the checking engine."""
     return "'(?i)" + pattern.replace("'", "''") + "'"

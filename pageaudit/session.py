@@ -1,6 +1,6 @@
 """Session helpers: nothing here overrides what the cluster has set."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,24 +27,41 @@ def local_session(app="pageaudit", cpus="8", partitions="8", memory="12g") -> Sp
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for reliable checkpoints.
+    """The shared folder for checkpoints and written intermediate tables.
 
-    A folder already set on the context or named by ``spark.checkpoint.dir``
-    wins. A temporary folder is used only when the session is a local one.
+    A folder already set on the context or named by ``spark.checkpoint.dir`` wins;
+    otherwise a folder below the session's warehouse, which all executors share.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        sc.setCheckpointDir(named)
-        return named
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="pageaudit-ckpt-")
-    sc.setCheckpointDir(made)
-    return made
+    sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return sc.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A fresh folder below the shared checkpoint folder, as a full address."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex[:12]}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back from there.
+
+    Cuts the lineage; later reads survive lost executors, and a join of the table
+    starts from its own exchange, so that skewed partitions can be split.
+    """
+    path = scratch_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Removes what this application wrote to the shared folder; results that were not saved go with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pageaudit.llm import byte_bpe, pii_boost, quality_nbsvm, rule_ledger, secret_scan, token_pack, url_filter, warc_chain
+from pageaudit.llm import byte_bpe, decontaminate, partenum_join, pii_boost, quality_nbsvm, rule_ledger, secret_scan, token_pack, url_filter, warc_chain
 from pageaudit.llm.piece_encoder import word_encoder
 
 QUERIES, ORACLE = {}, {}
@@ -143,3 +143,27 @@ def op9_personal(spark, folder):
         "doc_id", *[count_of(base, k).alias(f"n_{k}") for k in pii_boost.KINDS],
         F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(spans).alias("spans"),
     )
+
+
+@query
+def op2_decontamination(spark, folder):
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op10_jaccard_join(spark, folder):
+    return partenum_join.similar_components(table(spark, folder, "documents"))
+
+
+ORACLE["op10_jaccard_join"] = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT k, doc_id, list_aggregate(w[i:i + 4], 'string_agg', chr(32)) AS s
+      FROM (SELECT k, doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, least(len(w), 1)))) AS i FROM d)),
+n AS (SELECT k, count(*) AS n FROM g GROUP BY k),
+i AS (SELECT a.k AS ka, b.k AS kb, any_value(a.doc_id) AS a, any_value(b.doc_id) AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.k <> b.k GROUP BY ALL),
+l AS (SELECT DISTINCT a, b FROM i JOIN n x ON x.k = ka JOIN n y ON y.k = kb WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r(doc_id, c) AS (SELECT DISTINCT a, a FROM l UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id),
+m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN n.n IS NULL THEN d.doc_id ELSE coalesce(m.c, d.doc_id) END AS component_id
+FROM d LEFT JOIN n USING (k) LEFT JOIN m ON m.doc_id = d.doc_id
+"""

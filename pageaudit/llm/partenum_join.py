@@ -185,17 +185,44 @@ def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def sketches(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set how many elements fall in each cell of the hash space, one byte per cell, and the first cell of each row.
+
+    The cells of a set are a power of two, half its size at least; 255 stands for that many and more.
+    """
+    n = np.diff(first)
+    bits = np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / 2)).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(np.where(n > 0, 1 << bits, 0))])
+    row = tb.row_of(first)
+    cell = np.where(bits[row] > 0, (hashes >> (np.uint64(64) - np.maximum(bits, 1)[row].astype(np.uint64))).astype(np.int64), 0)
+    return np.minimum(np.bincount(base[:-1][row] + cell, minlength=int(base[-1])), 255).astype(np.uint8), base
+
+
+def may_link(x: np.ndarray, y: np.ndarray, n: int, m: int, num: int, den: int) -> bool:
+    """Whether sets of n and m elements with these sketches can be similar enough; never says no to sets that are."""
+    if num * max(n, m) > den * min(n, m):
+        return False
+    if len(x) > len(y):
+        x, y = y, x
+    if x.max() == 255 or y.max() == 255:
+        return True
+    common = int(np.minimum(x, y.reshape(len(x), -1).sum(1)).sum())
+    return den * common >= num * (n + m - common)
+
+
 def set_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and a hash of the whole set, per row."""
+    """doc_id, n_shingles, a hash of the whole set and its sketch, per row."""
     def run(batches):
         for batch in tb.slices(batches, "text"):
             hashes, first = shingles(batch.column("text"))
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.mix(hashes), dtype=np.uint64)])
             n = np.diff(first)
             digest = tb.mix(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(digest.view(np.int64))], ["doc_id", "n_shingles", "digest"])
+            cells, base = sketches(hashes, first)
+            sketch = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(base.astype(np.int32)), pa.py_buffer(cells)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(digest.view(np.int64)), sketch], ["doc_id", "n_shingles", "digest", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest bigint, sketch binary")
 
 
 def packed_signatures(docs: DataFrame, buckets: int, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -212,11 +239,12 @@ def packed_signatures(docs: DataFrame, buckets: int, num: int = NUM, den: int =
             found, row, entry, slack = signatures(hashes, first, num, den)
             to = ((found >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            found, row, tag, to = found[order], row[order], (entry << 4 | np.minimum(slack, 15))[order].astype(np.uint8), to[order]
+            found, row, tag, to = found[order], row[order], (entry << 12 | np.minimum(slack, 4095))[order].astype("<u2"), to[order]
             cut = np.flatnonzero(np.diff(to, prepend=-1))
             low = found.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]  # the lowest five bytes; the highest make the bucket
             doc = ids[kept][row].astype("<i8").view(np.uint8).reshape(-1, 8)
-            blocks = [low[a:b].tobytes() + pa.compress(doc[a:b].T.tobytes() + tag[a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(cut, [*cut[1:], len(to)])]
+            side = np.concatenate([doc, tag.view(np.uint8).reshape(-1, 2)], 1)
+            blocks = [low[a:b].tobytes() + pa.compress(side[a:b].T.tobytes(), "zstd", asbytes=True) for a, b in zip(cut, [*cut[1:], len(to)])]
             yield pa.RecordBatch.from_arrays([
                 pa.array(to[cut].astype(np.int32)), pa.array(np.diff(np.append(cut, len(to))).astype(np.int32)), pa.array(blocks, pa.binary()),
             ], ["bucket", "n", "block"])
@@ -228,8 +256,8 @@ def unpack(n: int, block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Low bytes of the signatures, documents and tags of a block."""
     low = np.zeros((n, 8), np.uint8)
     low[:, :5] = np.frombuffer(block, np.uint8, 5 * n).reshape(n, 5)
-    rest = np.frombuffer(pa.decompress(block[5 * n :], decompressed_size=9 * n, codec="zstd", asbytes=True), np.uint8)
-    return low.view("<u8").ravel(), np.ascontiguousarray(rest[: 8 * n].reshape(8, n).T).view("<i8").ravel(), rest[8 * n :]
+    side = np.frombuffer(pa.decompress(block[5 * n :], decompressed_size=10 * n, codec="zstd", asbytes=True), np.uint8).reshape(10, n)
+    return low.view("<u8").ravel(), np.ascontiguousarray(side[:8].T).view("<i8").ravel(), np.ascontiguousarray(side[8:].T).view("<u2").ravel()
 
 
 def shared_signatures(packed: DataFrame) -> DataFrame:
@@ -266,8 +294,8 @@ def shared_signatures(packed: DataFrame) -> DataFrame:
             "kind": np.repeat(np.array([0, 1], np.int32), [n_pairs, n_many]),
             "sig": np.concatenate([np.zeros(n_pairs, np.int64), (low[many] | bucket).view(np.int64)]),
             "a": np.concatenate([pairs[0], doc[many]]), "b": np.concatenate([pairs[1], np.zeros(n_many, np.int64)]),
-            "entry": np.concatenate([np.zeros(n_pairs, np.int32), (tag[many] >> 4).astype(np.int32)]),
-            "slack": np.concatenate([np.zeros(n_pairs, np.int32), (tag[many] & 15).astype(np.int32)]),
+            "entry": np.concatenate([np.zeros(n_pairs, np.int32), (tag[many] >> 12).astype(np.int32)]),
+            "slack": np.concatenate([np.zeros(n_pairs, np.int32), (tag[many] & 4095).astype(np.int32)]),
         })
 
     return packed.groupBy("bucket").applyInArrow(run, "kind int, sig bigint, a bigint, b bigint, entry int, slack int")
@@ -288,21 +316,43 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc_id bigint, items binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    def run(batches):
+def beside(pairs: DataFrame, values: DataFrame, *names: str) -> DataFrame:
+    """The pairs (a, b) with the named columns of both documents, as left_ and right_."""
+    right = values.select(F.col("doc_id").alias("b"), *[F.col(c).alias(f"right_{c}") for c in names])
+    left = values.select(F.col("doc_id").alias("a"), *[F.col(c).alias(f"left_{c}") for c in names])
+    return pairs.join(right, "b").join(left, "a").select("a", "b", *[f"{s}_{c}" for c in names for s in ("left", "right")])
+
+
+def verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame | None:
+    """The pairs (a, b) whose whole sets are similar enough; None if there are none to compare.
+
+    Sketches first leave out pairs that cannot link; whole sets are made and sent for the others only.
+    """
+    def first_look(batches):
+        for batch in batches:
+            n, m = batch.column("left_n_shingles").to_numpy(), batch.column("right_n_shingles").to_numpy()
+            kept = [
+                may_link(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8), n[k], m[k], num, den)
+                for k, (x, y) in enumerate(zip(batch.column("left_sketch"), batch.column("right_sketch")))
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    def compare(batches):
         for batch in batches:
             kept = []
-            for x, y in zip(batch.column("left"), batch.column("right")):
+            for x, y in zip(batch.column("left_items"), batch.column("right_items")):
                 x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = np.sort(np.concatenate([x, y]))
                 common = int((both[1:] == both[:-1]).sum())
                 kept.append(den * common >= num * (len(both) - common) and common > 0)
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("right"))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("left"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
+    near = beside(pairs, sizes, "n_shingles", "sketch").mapInArrow(first_look, "a bigint, b bigint")
+    near = written(near.distinct(), "near-pairs")
+    if near.isEmpty():
+        return None
+    sets = written(sets_of(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "candidate-sets")
+    return beside(near, sets, "items").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
@@ -316,6 +366,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = written(set_digests(slim), "sets")
     known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
+    # one document for each set, which stands for its copies from here on
     copies = written(known.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep")), "copies")
     owner = written(known.select("doc_id", "digest", "n_shingles").distinct().join(copies, ["digest", "n_shingles"]).select("doc_id", "rep").distinct(), "owners")
     total = copies.agg(F.sum("n_shingles")).first()[0] or 0
@@ -323,54 +374,65 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signed = slim.where("doc_id IS NOT NULL AND text IS NOT NULL")
     found = written(shared_signatures(packed_signatures(signed, buckets, num, den)), "signatures")
 
-    stars = found.where("kind = 0").select("a", "b").distinct()
+    stars = written(found.where("kind = 0").select("a", "b").distinct(), "stars")
     as_a, as_b = owner.select(F.col("doc_id").alias("a"), F.col("rep").alias("x")), owner.select(F.col("doc_id").alias("b"), F.col("rep").alias("y"))
     pairs = written(
         stars.join(as_a, "a").join(as_b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "pairs"
     )
     members = written(
-        found.where("kind = 1").join(owner.withColumnRenamed("doc_id", "a"), "a").groupBy("sig", F.col("rep").alias("doc_id"), "entry").agg(F.min("slack").alias("slack")), "members"
+        found.where("kind = 1").join(owner.withColumnRenamed("doc_id", "a"), "a").groupBy("sig", F.col("rep").alias("doc_id")).agg(F.min("entry").alias("entry"), F.min("slack").alias("slack")), "members"
     )
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.select("doc_id")).distinct()
-    sets = written(sets_of(signed, wanted), "candidate-sets")
-    links = written(verified(pairs, sets, num, den).distinct(), "links")
-    links = further_links(members, pairs, links, sets, num, den)
-
-    own_rep = owner.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    whole = written(components(links.unionByName(own_rep)), "components").withColumnsRenamed({"node": "doc_id", "component": "found"})
-    return rows.join(whole, "doc_id", "left").select(
+    # rows that share an id but differ tie their sets together
+    links = owner.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("n"))
+    ties = owner.join(links.where("n > 1").select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
+    label = linked_components(members, pairs, ties, known.select("doc_id", "n_shingles", "sketch"), signed, num, den)
+
+    whole = owner.join(label.withColumnsRenamed({"node": "rep"}), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("found"))
+    return rows.select("doc_id", "n_shingles").join(written(whole, "components"), "doc_id", "left").select(
         F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("found", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
-def further_links(members: DataFrame, done: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between members of a group that its least member did not bring together.
+def linked_components(members: DataFrame, pairs: DataFrame, ties: DataFrame, sizes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+    """node and component of the linked sets.
 
-    Small groups: all pairs across components (their number is bounded by the size of such a group). Large groups: members that
+    After the pairs with the least members come those that these did not bring together. Small groups: all
+    pairs across components (their number is bounded by the size of such a group). Large groups: members that
     are certain to meet their partners elsewhere are left out; of the others some are compared with all members of other
-    components, twice as many in every round, until each group is one component or all its pairs are done.
+    components, four times as many in every round, until each group is one component or all its pairs are done.
     """
+    links = verified(pairs, sizes, docs, num, den)
+    links = written(ties if links is None else ties.unionByName(links), "links")
+    label = written(components(links), "labels")
+
     size = Window.partitionBy("sig")
-    sized = members.withColumn("n", F.count("*").over(size))
+    sized = written(members.withColumn("n", F.count("*").over(size)).withColumn("all", F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).over(size)), "sized")
     crowded = sized.where(F.col("n") > LARGE_GROUP)
     hot = crowded.groupBy("doc_id", "entry").agg(F.count("*").alias("n_hot"))
     short = crowded.join(hot, ["doc_id", "entry"]).where("n_hot >= slack").select("sig", "doc_id", F.lit(True).alias("large"))
-    left = written(sized.where(F.col("n") <= LARGE_GROUP).select("sig", "doc_id", F.lit(False).alias("large")).unionByName(short), "open-groups")
-    pivots = 1
+    # groups with the same members need but one of their signatures
+    one = sized.groupBy("n", "all").agg(F.min("sig").alias("sig")).where("n > 2").select("sig")
+    left = sized.where((F.col("n") <= LARGE_GROUP) & (F.col("n") > 2)).select("sig", "doc_id", F.lit(False).alias("large")).unionByName(short)
+    left = written(left.join(written(one, "groups"), "sig"), "open-groups")
+    done, pivots = pairs, 8
     while True:
-        label = written(components(links), "labels").withColumnsRenamed({"node": "doc_id", "component": "c"})
-        labelled = left.drop("c").join(label, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-        still = labelled.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("sig")
-        left = written(labelled.join(still, "sig"), "open-groups")
-        if left.isEmpty():
-            return links
-        place = F.row_number().over(Window.partitionBy("sig").orderBy("doc_id"))
-        ranked = left.withColumn("place", place)
+        named = label.withColumnsRenamed({"node": "doc_id", "component": "c"})
+        labelled = left.join(named, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+        ranked = labelled.select(
+            "*", F.min("c").over(size).alias("c0"), F.max("c").over(size).alias("c1"), F.row_number().over(size.orderBy("doc_id")).alias("place")
+        ).where("c0 <> c1")
+        ranked = written(ranked.select("sig", "doc_id", "large", "c", "place"), "open-groups")
+        if ranked.isEmpty():
+            return label
         x = ranked.where(~F.col("large") | (F.col("place") <= pivots)).select("sig", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
         y = ranked.select("sig", F.col("doc_id").alias("y"), F.col("c").alias("cy"))
         todo = x.join(y, "sig").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         todo = written(todo.join(done, ["a", "b"], "left_anti"), "pairs")
         done = written(done.unionByName(todo), "pairs-done")
-        links = written(links.unionByName(verified(todo, sets, num, den)).distinct(), "links")
-        left = written(ranked.where(F.col("large") & (F.col("place") > pivots)).drop("place"), "open-groups")
-        pivots *= 2
+        more = verified(todo, sizes, docs, num, den)
+        more = more if more is None else written(more, "links")
+        if more is not None and not more.isEmpty():
+            links = written(links.unionByName(more), "links")
+            label = written(components(links), "labels")
+        left = written(ranked.where(F.col("large") & (F.col("place") > pivots)).select("sig", "doc_id", "large"), "open-groups")
+        pivots *= 4

@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters, digits and bytes beyond ASCII, in lower case. The three-word runs of the test items
-are counted over all documents. Of every four consecutive runs of an item the rarest is a seed, so that any copied
-stretch of six words holds one, however common it is. Seeds join passages of the documents to items; each pair is
+are counted over all documents. Seeds are the rare ones among those that occur, and of every four consecutive runs of an
+item the rarest, so that any copied stretch of six words holds a seed, however common it is. Seeds join passages of the documents to items; each pair is
 then aligned word by word, which finds edited and paraphrased copies with replaced, added and lost words.
 
 A fixed-size bit filter of the wanted runs goes to the tasks (its size is bounded whatever the benchmark's); what it lets
@@ -19,6 +19,8 @@ from pageaudit.llm.bitfilter import BitFilter
 from pageaudit.session import written
 
 RUN, SEED_WINDOW = 3, 4
+#: A run is rare if it occurs at most once in as many documents, or at most RARE_COUNT times.
+RARE_DOCUMENTS, RARE_COUNT = 1_000, 5
 #: Words kept on either side of a seed, and the largest gap between seeds of one passage.
 MARGIN = 24
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -81,14 +83,17 @@ def count_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
 
 
-def seeds_of(runs: DataFrame, counts: DataFrame) -> DataFrame:
-    """key, place and run of the seeds: the rarest of any SEED_WINDOW consecutive runs of an item."""
-    counted = runs.join(counts, "run", "left").select("key", "place", "run", F.coalesce("n", F.lit(0)).alias("n"))
+def seeds_of(runs: DataFrame, counts: DataFrame, n_docs: int) -> DataFrame:
+    """key, place and run of the seeds: rare runs, and the rarest of any SEED_WINDOW consecutive runs of an item. Runs that no document has are none."""
+    counted = written(runs.join(counts, "run", "left").select("key", "place", "run", "n"), "test-counts")
     ahead = Window.partitionBy("key").orderBy("place").rowsBetween(0, SEED_WINDOW - 1)
     rest = F.count("*").over(Window.partitionBy("key"))
-    rarest = counted.select("key", "place", rest.alias("size"), F.min(F.struct("n", "run", F.col("place").alias("at"))).over(ahead).alias("least"))
+    found = F.when(F.col("n").isNotNull(), F.struct("n", "run", F.col("place").alias("at")))
+    rarest = counted.select("key", "place", rest.alias("size"), F.min(found).over(ahead).alias("least"))
     full = rarest.where((F.col("place") == 0) | (F.col("place") + SEED_WINDOW <= F.col("size")))
-    return full.select("key", F.col("least.at").alias("place"), F.col("least.run").alias("run")).distinct()
+    least = full.where("least IS NOT NULL").select("key", F.col("least.at").alias("place"), F.col("least.run").alias("run"))
+    rare = counted.where(F.col("n") <= max(RARE_COUNT, n_docs // RARE_DOCUMENTS)).select("key", "place", "run")
+    return rare.unionByName(least).distinct()
 
 
 def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -186,16 +191,11 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text")).where(F.col("text").isNotNull())
     book = written(item_table(items, item_id, item_text), "test-items")
     runs = written(runs_of(book), "test-runs")
-    seeds = written(seeds_of(runs, count_runs(docs, runs)), "test-seeds")
+    seeds = written(seeds_of(runs, count_runs(docs, runs), docs.count()), "test-seeds")
     found = passages(docs, seeds).withColumn("passage", F.xxhash64("doc_id", "start", "words"))
     found = written(found, "test-passages")
     hits = found.select("passage", F.explode("hits.run").alias("run")).distinct().join(seeds, "run")
-    size = seeds.groupBy("key").agg(F.countDistinct("run").alias("n_seeds"))
-    # two seeds of an item in one passage, or its only ones
-    pairs = written(
-        hits.groupBy("passage", "key").agg(F.countDistinct("run").alias("n")).join(size, "key").where("n >= least(2, n_seeds)").select("passage", "key"),
-        "test-pairs",
-    )
+    pairs = written(hits.select("passage", "key").distinct(), "test-pairs")
     ready = (
         pairs.join(found.select("passage", "doc_id", "start", "words"), "passage")
         .join(book.select("key", "item_id", F.col("words").alias("item_words")), "key")

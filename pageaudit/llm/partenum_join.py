@@ -33,7 +33,7 @@ from pageaudit.session import written
 SHINGLE = 5
 NUM, DEN = 75, 100
 #: Signatures that one bucket holds, about; sets the number of buckets only.
-BUCKET_SIGNATURES = 500_000
+BUCKET_SIGNATURES = 300_000
 #: Members beyond which a signature group counts as large.
 LARGE_GROUP = 16
 #: Least mean number of shingles below a signature.

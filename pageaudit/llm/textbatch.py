@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: U+0020 and U+0009 to U+000D separate words.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True

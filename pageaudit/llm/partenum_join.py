@@ -10,9 +10,9 @@ Guarantee: a part is good for a set if more than k2 of its subparts are non-empt
 than k2 elements, so a set with more than d good parts shares a non-empty signature with each of its partners. Sets that
 have no more (rare; band parameters see to it) sign once more under another seed, where their partners of the same kind do too.
 
-Candidates are verified exactly, on whole sets. Signature groups are never turned into all pairs: first each member is compared with
-the group's least, links give components, and only members of different components are compared further. In a
-large group a set that shares more signatures for certain than it has in large groups is left out: its partners meet it elsewhere.
+Candidates are verified exactly, on whole sets. Signature groups never become rows of all pairs: first each member is compared with
+the group's least, links give components, and only members of different components are compared further, by their sketches within the
+task, after each set has left the most crowded of the signatures that it is certain to share.
 """
 
 from dataclasses import dataclass
@@ -34,8 +34,8 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 #: Signatures that one bucket holds, about; sets the number of buckets only.
 BUCKET_SIGNATURES = 300_000
-#: Members beyond which a signature group counts as large.
-LARGE_GROUP = 16
+#: Members of a signature group that are compared with each other in one place; larger groups are cut into blocks.
+BLOCK_MEMBERS = 1024
 #: Least mean number of shingles below a signature.
 MIN_ELEMENTS = 2.2
 SEEDS = 8
@@ -396,43 +396,83 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def linked_components(members: DataFrame, pairs: DataFrame, ties: DataFrame, sizes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """node and component of the linked sets.
 
-    After the pairs with the least members come those that these did not bring together. Small groups: all
-    pairs across components (their number is bounded by the size of such a group). Large groups: members that
-    are certain to meet their partners elsewhere are left out; of the others some are compared with all members of other
-    components, four times as many in every round, until each group is one component or all its pairs are done.
+    After the pairs with the least members come those that these did not bring together. A set shares at least
+    ``slack`` signatures with each partner, so it can do without its slack - 1 most crowded ones: of the signatures that two linked
+    sets share, the least crowded stays in both. The members that remain are compared within their groups, in blocks.
     """
     links = verified(pairs, sizes, docs, num, den)
     links = written(ties if links is None else ties.unionByName(links), "links")
     label = written(components(links), "labels")
 
-    size = Window.partitionBy("sig")
-    sized = written(members.withColumn("n", F.count("*").over(size)).withColumn("all", F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).over(size)), "sized")
-    crowded = sized.where(F.col("n") > LARGE_GROUP)
-    hot = crowded.groupBy("doc_id", "entry").agg(F.count("*").alias("n_hot"))
-    short = crowded.join(hot, ["doc_id", "entry"]).where("n_hot >= slack").select("sig", "doc_id", F.lit(True).alias("large"))
+    crowd = written(members.groupBy("sig").agg(F.count("*").alias("n")), "crowds")
+    rank = F.row_number().over(Window.partitionBy("doc_id", "entry").orderBy(F.desc("n"), F.desc("sig")))
+    kept = written(members.join(crowd, "sig").withColumn("rank", rank).where("rank >= slack").select("sig", "doc_id"), "open-members")
+    named = label.withColumnsRenamed({"node": "doc_id", "component": "c"})
+    kept = kept.join(named, "doc_id", "left").select("sig", "doc_id", F.coalesce("c", "doc_id").alias("c"))
+    groups = kept.groupBy("sig").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("all"), F.min("c").alias("c0"), F.max("c").alias("c1")
+    ).where("c0 <> c1")
     # groups with the same members need but one of their signatures
-    one = sized.groupBy("n", "all").agg(F.min("sig").alias("sig")).where("n > 2").select("sig")
-    left = sized.where((F.col("n") <= LARGE_GROUP) & (F.col("n") > 2)).select("sig", "doc_id", F.lit(False).alias("large")).unionByName(short)
-    left = written(left.join(written(one, "groups"), "sig"), "open-groups")
-    done, pivots = pairs, 8
-    while True:
-        named = label.withColumnsRenamed({"node": "doc_id", "component": "c"})
-        labelled = left.join(named, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-        ranked = labelled.select(
-            "*", F.min("c").over(size).alias("c0"), F.max("c").over(size).alias("c1"), F.row_number().over(size.orderBy("doc_id")).alias("place")
-        ).where("c0 <> c1")
-        ranked = written(ranked.select("sig", "doc_id", "large", "c", "place"), "open-groups")
-        if ranked.isEmpty():
-            return label
-        x = ranked.where(~F.col("large") | (F.col("place") <= pivots)).select("sig", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
-        y = ranked.select("sig", F.col("doc_id").alias("y"), F.col("c").alias("cy"))
-        todo = x.join(y, "sig").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        todo = written(todo.join(done, ["a", "b"], "left_anti"), "pairs")
-        done = written(done.unionByName(todo), "pairs-done")
-        more = verified(todo, sizes, docs, num, den)
-        more = more if more is None else written(more, "links")
-        if more is not None and not more.isEmpty():
-            links = written(links.unionByName(more), "links")
-            label = written(components(links), "labels")
-        left = written(ranked.where(F.col("large") & (F.col("place") > pivots)).select("sig", "doc_id", "large"), "open-groups")
-        pivots *= 4
+    one = written(groups.groupBy("n", "all").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks")), "open-groups")
+    todo = written(open_pairs(kept.join(one, "sig"), sizes, num, den).distinct().join(pairs, ["a", "b"], "left_anti"), "open-pairs")
+    more = verified(todo, sizes, docs, num, den)
+    more = more if more is None else written(more, "links")
+    if more is None or more.isEmpty():
+        return label
+    return written(components(links.unionByName(more)), "labels")
+
+
+def open_pairs(members: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components within a group whose sketches allow a link.
+
+    ``members``: sig, doc_id, c (component), blocks of the group. Every two blocks of a group meet in one place, so no task holds more
+    than two blocks of a group; the pairs that cannot link never become rows.
+    """
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    placed = members.withColumn("block", block).select(
+        "sig", "doc_id", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    ).select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "c", "block")
+    ready = placed.join(sizes.select("doc_id", "n_shingles", "sketch").distinct(), "doc_id").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "doc_id")
+    names = ["sig", "i", "j", "doc_id", "c", "block", "n_shingles"]
+
+    def of_group(x, first, stop, bounds, cells):
+        doc, c, n, far = x["doc_id"][first:stop], x["c"][first:stop], x["n_shingles"][first:stop], x["block"][first:stop] == x["j"][first]
+        within = x["i"][first] == x["j"][first]
+        start, wide = bounds[first:stop], np.diff(bounds[first : stop + 1])
+        least = int(wide.min())
+        table = np.stack([cells[a : a + w].reshape(least, -1).sum(1, dtype=np.int32) for a, w in zip(start, wide)])
+        full = np.array([cells[a : a + w].max() == 255 for a, w in zip(start, wide)])
+        for k in range(len(doc) - 1):
+            low, high = np.minimum(n[k], n[k + 1 :]), np.maximum(n[k], n[k + 1 :])
+            may = np.flatnonzero((c[k + 1 :] != c[k]) & (num * high <= den * low) & (within | (far[k + 1 :] != far[k]))) + k + 1
+            if len(may):
+                common = np.minimum(table[k], table[may]).sum(1)
+                fit = may[(den * common >= num * (n[k] + n[may] - common)) | full[k] | full[may]]
+                for m in fit[doc[fit] != doc[k]]:
+                    yield doc[k], doc[m]
+
+    def run(batches):
+        held = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                held = batch if held is None else pa.concat_batches([held, batch])
+            if held is None or not held.num_rows:
+                continue
+            x = {c: held.column(c).to_numpy() for c in names}
+            new = np.flatnonzero((np.diff(x["sig"]) != 0) | (np.diff(x["i"]) != 0) | (np.diff(x["j"]) != 0)) + 1
+            edges = [0, *new.tolist(), held.num_rows]
+            if batch is not None:  # the last group may go on
+                edges = edges[:-1]
+            cells, bounds = tb.buffers(held.column("sketch"))
+            out = {pair for a, b in zip(edges[:-1], edges[1:]) if b - a > 1 for pair in of_group(x, a, b, bounds, cells)}
+            held = held.slice(edges[-1]) if batch is not None else None
+            low, high = [min(p) for p in out], [max(p) for p in out]
+            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
+
+    return ready.select(*names, "sketch").mapInArrow(run, "a bigint, b bigint")
+
+
+def _with_end(batches):
+    """The batches, then None."""
+    yield from batches
+    yield None

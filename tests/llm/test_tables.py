@@ -274,9 +274,9 @@ def test_join_equals_brute_force(docs_of):
     assert max(Counter(c for _, _, c in want.elements()).values()) >= 50
 
 
-def test_residual_rounds_bring_no_loss(docs_of, monkeypatch):
-    """With tiny limits every group counts as large and the rounds of further comparisons decide."""
-    monkeypatch.setattr(partenum_join, "LARGE_GROUP", 2)
+def test_blocks_of_groups_bring_no_loss(docs_of, monkeypatch):
+    """With tiny blocks every group is cut into many."""
+    monkeypatch.setattr(partenum_join, "BLOCK_MEMBERS", 2)
     rows = near_copies(random.Random(12), 120)
     got = Counter(tuple(r) for r in partenum_join.similar_components(docs_of(*rows)).collect())
     assert got == plain_components(rows)[0]

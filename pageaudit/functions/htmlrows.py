@@ -1,6 +1,7 @@
 """One page of HTML as element, text and script rows (the per-row part of the structure job)."""
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 from pageaudit.fixed import CHROME_TAGS, HIDDEN_TAGS, STRUCK_CLASSES, STRUCK_TAGS
@@ -27,6 +28,7 @@ class PageRows(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.elements, self.nodes, self.scripts, self.open = [], [], [], []
+        self.n_open, self.error = Counter(), None  # open elements by tag: what is not open need not be looked for
         self.text, self.last_leaf = [], None
 
     def updatepos(self, i, j):
@@ -40,7 +42,7 @@ class PageRows(HTMLParser):
             return
         parent = self.open[-1] if self.open else None
         if self.last_leaf is not None:
-            self.last_leaf["after"] = raw.strip()[:200]
+            self.last_leaf["after"] = raw.strip()
             self.last_leaf = None
         if parent and parent["tag"] == "script":
             a = dict(parent["attrs"])
@@ -56,6 +58,7 @@ class PageRows(HTMLParser):
         """Closes the open elements from ``index`` on."""
         for e in reversed(self.open[index:]):
             e["last"], e["t1"] = len(self.elements) - 1, len(self.nodes)
+            self.n_open[e["tag"]] -= 1
             self.last_leaf = e
         del self.open[index:]
 
@@ -64,7 +67,7 @@ class PageRows(HTMLParser):
         self.last_leaf = None
         if tag in CLOSES:
             ends, stops = CLOSES[tag]
-            for i in range(len(self.open) - 1, -1, -1):
+            for i in range(len(self.open) - 1, -1, -1) if any(self.n_open[t] for t in ends) else ():
                 name = self.open[i]["tag"]
                 if name in ends:
                     self.shut(i)
@@ -95,6 +98,7 @@ class PageRows(HTMLParser):
             self.last_leaf = e
         else:
             self.open.append(e)
+            self.n_open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -104,7 +108,7 @@ class PageRows(HTMLParser):
     def handle_endtag(self, tag):
         self.flush()
         self.last_leaf = None
-        for i in range(len(self.open) - 1, -1, -1):
+        for i in range(len(self.open) - 1, -1, -1) if self.n_open[tag] else ():
             if self.open[i]["tag"] == tag:
                 self.shut(i)
                 return
@@ -115,11 +119,26 @@ class PageRows(HTMLParser):
     def handle_comment(self, data):
         self.flush()
 
+    def parse_marked_section(self, i, report=1):
+        """A marked section of an unknown kind is a comment up to the next ``>``."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            end = self.rawdata.find(">", i)
+            if end < 0:
+                return -1
+            self.handle_comment(self.rawdata[i + 3 : end])
+            return end + 1
+
 
 def page_rows(html):
+    """Rows of a page; what the tokenizer cannot read ends the page there and is named in ``error``."""
     p = PageRows()
-    p.feed(html or "")
-    p.close()
+    try:
+        p.feed(html or "")
+        p.close()
+    except (AssertionError, ValueError) as e:
+        p.error = f"{type(e).__name__}: {e}"
     p.flush()
     p.shut(0)
     return p

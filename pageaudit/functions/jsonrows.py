@@ -3,16 +3,16 @@
 import json
 import re
 
-from pageaudit.fixed import HYDRATION_DEPTH, HYDRATION_ITEMS, HYDRATION_NEGATIVE, RX_WINDOW_STATE
+from pageaudit.fixed import HYDRATION_NEGATIVE, RX_WINDOW_STATE
 
 
-def json_rows(value, max_depth, max_items, blocked):
+def json_rows(value, blocked, max_depth=None, max_items=None):
     """Yields (depth, path, key, kind, value) of every object entry, parents before children.
 
     VARIANT sorts the keys of an object, and what settles ties between prices
-    is their order in the document; so this is a small generator. Lists give
-    their first ``max_items`` nested values; entries whose key holds one of
-    ``blocked`` are not entered.
+    is their order in the document; so this is a small generator. Entries whose
+    key holds one of ``blocked`` are not entered. Depth and list items are not
+    limited unless asked for.
     """
     stack = [(value, 0, "$")]
     while stack:
@@ -20,7 +20,7 @@ def json_rows(value, max_depth, max_items, blocked):
         if isinstance(node, tuple):
             yield (depth, path, *node)
             continue
-        if depth > max_depth:
+        if max_depth is not None and depth > max_depth:
             continue
         todo = []
         if isinstance(node, dict):
@@ -60,7 +60,7 @@ def state_rows(scripts):
     for n, (source, text) in enumerate(b for group in blobs for b in group):
         try:
             value = json.loads(text)
-            for depth, path, key, kind, v in json_rows(value, HYDRATION_DEPTH, HYDRATION_ITEMS, blocked):
+            for depth, path, key, kind, v in json_rows(value, blocked):
                 out.append({"source": source, "blob": n, "ord": len(out), "depth": depth, "path": path, "key": key, "kind": kind, "value": v})
         except (ValueError, RecursionError):
             continue

@@ -40,7 +40,7 @@ def access_status(http_status: Column, html: Column, text: Column, error: Column
     """Why a page could or could not be read; the order of the tests matters."""
     h, t = F.coalesce(html, F.lit("")), F.coalesce(text, F.lit(""))
     failed = F.coalesce(error, F.lit("")) != ""
-    return let(F.lower(F.concat(t, F.lit(" "), F.substring(h, 1, 3000))), lambda low: (
+    return let(F.lower(F.concat(t, F.lit(" "), h)), lambda low: (
         F.when(failed & F.lower(error).contains("timeout"), "TIMEOUT")
         .when(failed, "NETWORK_ERROR")
         .when((F.coalesce(http_status, F.lit(0)) == 0) & (h == ""), "NETWORK_ERROR")
@@ -51,10 +51,9 @@ def access_status(http_status: Column, html: Column, text: Column, error: Column
         .when(http_status == 403, "FORBIDDEN")
         .when(http_status == 503, "RATE_LIMITED")
         .when(http_status >= 500, "NETWORK_ERROR")
-        .when((http_status == 200) & (F.length(h) > 4000) & (F.length(t) > 200), "ACCESS_OK")
         .when(contains_any(low, X.CAPTCHA_SIGNALS), "CAPTCHA_PRESENT")
         .when(contains_any(low, X.BOT_SIGNALS), "BOT_CHALLENGE")
-        .when(low.contains("enable javascript") & (F.length(t) < 150), "JS_REQUIRED")
+        .when(low.contains("enable javascript"), "JS_REQUIRED")
         .otherwise("ACCESS_OK")
     ))
 

@@ -32,7 +32,7 @@ def with_fingerprint(listings: DataFrame) -> DataFrame:
     """Adds the product fingerprint of a listing: needs title, brand, sku, mpn, gtin (raw_text optional)."""
     raw = F.coalesce(F.col("raw_text"), F.lit("")) if "raw_text" in listings.columns else F.lit("")
     title = F.coalesce(F.col("title"), F.lit(""))
-    df = listings.withColumn("_text", F.substring(F.concat(title, F.lit(" "), raw), 1, X.FINGERPRINT_TEXT))
+    df = listings.withColumn("_text", F.concat(title, F.lit(" "), raw))
     df = df.withColumn("storage", T.storage_of(F.col("_text")))
     first_word = F.get(T.words(title), F.lit(0))
     brand = F.coalesce(
@@ -241,7 +241,7 @@ def _offer(kind, title, line, key, **fields) -> Column:
         "is_conditional": "boolean", "is_applicable": "boolean",
     }
     cols = [F.lit(kind).alias("offer_type"), title.alias("offer_title"),
-            F.substring(line, 1, X.OFFER_TEXT_MAX).alias("offer_text"), key.alias("offer_key")]
+            line.alias("offer_text"), key.alias("offer_key")]
     for name, t in types.items():
         v = fields.get(name)
         cols.append((F.lit(v) if not isinstance(v, Column) else v).cast(t).alias(name))
@@ -282,7 +282,7 @@ def line_offers() -> Column:
     rupees = lambda v: F.concat(F.lit("₹"), T.money_text(v))
     has_min = F.coalesce(minimum != 0, F.lit(False))
     plain = ~F.col("is_tied")
-    emi = _offer("emi", F.lit("No-cost EMI available"), line, F.concat(F.lit("emi:"), F.substring(line, 1, 60)),
+    emi = _offer("emi", F.lit("No-cost EMI available"), line, F.concat(F.lit("emi:"), line),
                  is_conditional=True, is_applicable=False)
     swap = _offer("exchange",
                   F.when(F.coalesce(exchange, F.lit(0.0)) != 0, F.concat(F.lit("Exchange offer: "), rupees(exchange), F.lit(" off")))
@@ -314,9 +314,7 @@ def line_offers() -> Column:
 
 def extract_offers(texts: DataFrame) -> DataFrame:
     """Offers per listing from ``listing_id, text``; the first occurrence of a key counts."""
-    lined = texts.select("listing_id", F.posexplode(T.lines(F.col("text"))).alias("line_no", "line")).where(
-        F.length("line") <= X.OFFER_LINE_MAX
-    )
+    lined = texts.select("listing_id", F.posexplode(T.lines(F.col("text"))).alias("line_no", "line"))
     # every offer needs a digit or one of these words; other lines skip the patterns
     marks = r"(?i)\d|emi|code|coupon|get|earn|save|extra"
     found = offer_marks(lined.where(F.col("line").rlike(marks))).select(
@@ -369,7 +367,6 @@ def review_signals(reviews: DataFrame) -> DataFrame:
     parts = F.posexplode(F.split("text", r"(?<=[.!?\n])\s+")).alias("pos", "sentence")
     return (
         reviews.select(*keep, parts)
-        .where(F.length(sentence).between(X.REVIEW_MIN, X.REVIEW_MAX))
         .select(*keep, "pos", sentence.alias("snippet"), kind.alias("signal_type"), F.lit(X.REVIEW_CONFIDENCE).alias("confidence"))
         .where("signal_type is not null")
     )
@@ -384,15 +381,21 @@ def review_clusters(signals: DataFrame, key="compare_id") -> DataFrame:
     )
 
 
-def review_evidence(clusters: DataFrame, key="compare_id") -> DataFrame:
-    """Overall corroboration; at most eight signal types per key are listed, most frequent first."""
+def review_evidence(clusters: DataFrame, key="compare_id", comparisons: DataFrame = None) -> DataFrame:
+    """Overall corroboration; at most eight signal types per key are listed, most frequent first.
+
+    Keys of ``comparisons`` without any signal are CLEAN; without that table only keys with signals are returned.
+    """
     total = F.sum("review_count")
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("review_count")).alias("n"), "signal_type")))
-    return clusters.groupBy(key).agg(
-        total.alias("total_signals"),
-        F.when(total >= 3, "CORROBORATED").when(total >= 1, "WEAK_SIGNAL").otherwise("CLEAN").alias("corroboration"),
-        F.array_join(F.transform(ranked, lambda s: s["signal_type"]), ",").alias("concerns"),
+    found = clusters.groupBy(key).agg(
+        total.alias("total_signals"), F.array_join(F.transform(ranked, lambda s: s["signal_type"]), ",").alias("concerns")
     )
+    if comparisons is not None:
+        found = comparisons.select(key).distinct().join(found, key, "left").fillna({"total_signals": 0, "concerns": ""})
+    n = F.col("total_signals")
+    level = F.when(n >= 3, "CORROBORATED").when(n >= 1, "WEAK_SIGNAL").otherwise("CLEAN")
+    return found.select(key, "total_signals", level.alias("corroboration"), "concerns")
 
 
 # --- summary -----------------------------------------------------------------

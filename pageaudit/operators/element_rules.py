@@ -32,19 +32,15 @@ def timer_snippets() -> Column:
         F.transform(F.filter(H.NODES, lambda n: ~n["hidden"] & ~n["tag"].isin("code", "pre")), lambda n: n["text"]),
         lambda t: found(t, X.RX_COUNTDOWN) & user_facing(t) & _not_schedule(t),
     )
-    cut = lambda a: F.transform(F.slice(a, 1, 3), lambda t: F.substring(t, 1, 100))
-    return F.when(F.size(first) > 0, cut(first)).otherwise(cut(second))
+    return F.when(F.size(first) > 0, first).otherwise(second)
 
 
 def preticked_labels() -> Column:
     """Labels of checkboxes for paid extras that are ticked in advance."""
     ticked = F.filter(H.ELEMENTS, lambda e: H.is_checkbox(e) & H.is_checked(e) & H.visible(e))
-    return F.transform(
-        F.filter(
-            F.transform(ticked, lambda e: H.label_text(e)),
-            lambda t: (t != "") & ~found(t, X.RX_BENIGN_OPT_IN) & found(t, X.RX_ADDON),
-        ),
-        lambda t: F.substring(t, 1, 200),
+    return F.filter(
+        F.transform(ticked, lambda e: H.label_text(e)),
+        lambda t: (t != "") & ~found(t, X.RX_BENIGN_OPT_IN) & found(t, X.RX_ADDON),
     )
 
 
@@ -54,7 +50,7 @@ def shame_text() -> Column:
     texts = F.transform(F.filter(H.ELEMENTS, lambda e: H.visible(e) & e["tag"].isin(SHAME_TAGS)), lambda e: H.element_text(e, ""))
     rx = r"\b" + X.RX_SHAME_CORE + r"\b"
     hit = F.get(F.filter(texts, lambda t: found(t, rx)), F.lit(0))
-    return F.when(tight.rlike(icase(X.RX_SHAME_CORE)), F.substring(hit, 1, 300))
+    return F.when(tight.rlike(icase(X.RX_SHAME_CORE)), hit)
 
 
 def obscured_choice() -> Column:
@@ -66,7 +62,7 @@ def obscured_choice() -> Column:
     )
     described = F.transform(styled, lambda e: F.struct(H.element_text(e, "").alias("t"), H.attr(e, "style").alias("s")))
     hit = F.get(F.filter(described, lambda d: found(d["t"], X.RX_DECLINE) | F.length(d["t"]).between(1, 39)), F.lit(0))
-    return F.when(hit.isNotNull(), F.substring(F.concat(hit["t"], F.lit(" (style: "), hit["s"], F.lit(")")), 1, 300))
+    return F.when(hit.isNotNull(), F.concat(hit["t"], F.lit(" (style: "), hit["s"], F.lit(")")))
 
 
 def element_findings(profile: str = "default") -> Column:
@@ -106,17 +102,13 @@ def detect_all(parsed: DataFrame, profile: str = "default", keep_clean: bool = F
     return with_page_text(parsed).select(*keep, "page_state", explode(found).alias("f")).select(*keep, "page_state", "f.*")
 
 
-def may_raise(html: Column, visible_text: Column = None) -> Column:
-    """Cheap necessary condition for any finding of ``detect_all``, without parsing.
+def may_raise() -> Column:
+    """Necessary condition for any finding of ``detect_all`` on a parsed page with its text (``with_page_text``).
 
-    Tags, blanks and ``&nbsp;`` collapse to one blank, so every phrase that the
-    parsed text can hold also shows here; other character references count as
-    suspicious. Hidden parts are included, which can only let more pages pass.
+    Each rule needs one of these: a phrase of the text rules, a clock, a ticked checkbox, a styled
+    element, or a shaming phrase. They are tested on the parsed text, so no markup can hide one.
     """
-    loose = F.regexp_replace(html, r"(?:<[^>]*>|\s|\u00a0|&nbsp;)+", " ")
-    tight = F.regexp_replace(html, r"<[^>]*>", "")
-    text = loose if visible_text is None else F.coalesce(F.when(visible_text != "", plain_spaces(visible_text)), loose)
-    phrases = "|".join(X.TEXT_RULE_RX.values())
-    references = r"&(?!nbsp;|amp;|copy;|middot;|lt;|gt;|quot;)[a-zA-Z#]"
-    marks = r"\d:\d|checked|font-size|opacity|" + references
-    return found(text, phrases) | found(html, marks) | found(tight, X.RX_SHAME_CORE)
+    ticked = F.exists(H.ELEMENTS, H.having(lambda e: H.is_checkbox(e) & H.is_checked(e)))
+    styled = F.exists(H.ELEMENTS, H.having(lambda e: found(H.attr(e, "style"), X.RX_TINY_FONT) | found(H.attr(e, "style"), X.RX_LOW_OPACITY)))
+    phrase = found(F.col("text"), "|".join(X.TEXT_RULE_RX.values()))
+    return phrase | found(H.page_text(), r"\d:\d") | ticked | styled | H.page_text("").rlike(icase(X.RX_SHAME_CORE))

@@ -111,7 +111,7 @@ def jsonld_candidates(parsed: DataFrame) -> DataFrame:
 
 # --- embedded state and captured responses ---------------------------------------
 
-def json_entries(blobs: DataFrame, max_depth: int, max_items: int, blocked) -> DataFrame:
+def json_entries(blobs: DataFrame, blocked, max_depth=None, max_items=None) -> DataFrame:
     """Key/value entries of every JSON document in ``json``; other columns come along. Malformed ones give none."""
     keep = [f for f in blobs.schema.fields if f.name != "json"]
     names = [f.name for f in keep]
@@ -123,7 +123,7 @@ def json_entries(blobs: DataFrame, max_depth: int, max_items: int, blocked) -> D
             at, out = [], []
             for i, text in enumerate(batch.column("json").to_pylist()):
                 try:
-                    entries = list(json_rows(json.loads(text), max_depth, max_items, blocked))
+                    entries = list(json_rows(json.loads(text), blocked, max_depth, max_items))
                 except (ValueError, TypeError, RecursionError):
                     continue
                 for n, (depth, path, key, kind, value) in enumerate(entries):
@@ -176,27 +176,33 @@ def hydration_candidates(parsed: DataFrame) -> DataFrame:
     return candidate_rows(parsed, hydration_array())
 
 
-def network_candidates(responses: DataFrame, limit=X.NETWORK_CAPTURES) -> DataFrame:
+def network_candidates(responses: DataFrame, limit=None, low=None, high=None, max_bytes=None) -> DataFrame:
     """Candidates from captured JSON responses: session_id, seq, url, content_type, body.
 
-    A session keeps its first ``limit`` candidates; Spark prunes to that number
-    per map partition before the shuffle.
+    Of an address that a session fetched again the first response counts. Bodies are taken
+    apart where they are and only candidates are shuffled. All limits are open unless given: candidates per
+    session, amounts between ``low`` and ``high`` (both exclusive), bytes of a body.
     """
     u = F.lower("url")
-    ok = (
-        T.contains_any(u, X.NETWORK_URL_WORDS) & T.contains_any(F.lower("content_type"), X.NETWORK_CONTENT_TYPES)
-        & (F.octet_length("body") <= X.NETWORK_MAX_BYTES)
-    )
-    first = responses.where(ok).groupBy("session_id", "url").agg(F.min_by(F.struct("seq", "body"), "seq").alias("r"))
-    blobs = first.select("session_id", "url", "r.seq", F.col("r.body").alias("json"))
-    entries = json_entries(blobs, X.NETWORK_DEPTH, X.NETWORK_ITEMS, X.NETWORK_NEGATIVE)
+    ok = T.contains_any(u, X.NETWORK_URL_WORDS) & T.contains_any(F.lower("content_type"), X.NETWORK_CONTENT_TYPES)
+    if max_bytes is not None:
+        ok = ok & (F.octet_length("body") <= max_bytes)
+    kept = responses.where(ok)
+    entries = json_entries(kept.select("session_id", "url", "seq", F.col("body").alias("json")), X.NETWORK_NEGATIVE)
     key = F.lower(F.replace("key", F.lit("_"), F.lit("")))
     price = entry_price(F.col("kind"), F.col("value"))
-    hits = entries.where(
-        T.contains_any(key, X.NETWORK_POSITIVE) & ~T.contains_any(key, X.NETWORK_NEGATIVE) & (price > 10) & (price < 500_000)
-    ).select("session_id", "seq", "ord", F.substring("url", 1, 100).alias("url"), "key",
-             candidate(price, "network_json", 0.95, F.concat(F.lit("Network JSON "), F.col("key"))).alias("c"))
-    return top_k(hits, ["session_id"], ["seq", "ord"], limit).select("session_id", "seq", "ord", "url", "key", "c.*")
+    usable = T.contains_any(key, X.NETWORK_POSITIVE) & ~T.contains_any(key, X.NETWORK_NEGATIVE) & (price > (0 if low is None else low))
+    if high is not None:
+        usable = usable & (price < high)
+    first = kept.groupBy("session_id", "url").agg(F.min("seq").alias("seq"))
+    hits = (
+        entries.where(usable)
+        .select("session_id", "seq", "ord", "url", "key", candidate(price, "network_json", 0.95, F.concat(F.lit("Network JSON "), F.col("key"))).alias("c"))
+        .join(first, ["session_id", "url", "seq"], "left_semi").dropDuplicates(["session_id", "url", "seq", "ord"])
+    )
+    if limit is not None:
+        hits = top_k(hits, ["session_id"], ["seq", "ord"], limit)
+    return hits.select("session_id", "seq", "ord", "url", "key", "c.*")
 
 
 # --- meta tags and platform selectors ----------------------------------------------
@@ -415,11 +421,11 @@ def product_price_struct() -> Column:
     )
     lines = clean_lines()
     anchored = F.transform(
-        F.filter(lines, lambda x: (F.length(x) <= 120) & ~T.contains_any(F.lower(x), X.LINE_MRP_WORDS)),
+        F.filter(lines, lambda x: ~T.contains_any(F.lower(x), X.LINE_MRP_WORDS)),
         lambda x: F.coalesce(*[T.parse_inr(T.first_group(x, rx)) for rx in X.RX_PRODUCT_ANCHORS]),
     )
     loose = F.transform(
-        F.filter(lines, lambda x: (F.length(x) <= 100) & ~T.found(x, X.RX_PRICE_EXCLUSION)), lambda x: T.first_inr(x)
+        F.filter(lines, lambda x: ~T.found(x, X.RX_PRICE_EXCLUSION)), lambda x: T.first_inr(x)
     )
     return F.coalesce(
         _page_price(_jsonld_inline(), "JSON_LD", "HIGH"), _page_price(_first_value(micro), "MICRODATA", "HIGH"),
@@ -457,14 +463,11 @@ def stage_total_struct() -> Column:
         return F.coalesce(*[T.parse_inr(T.first_group(x, rx)) for rx in rxs])
 
     def boxed(e):
-        # a text of at most 150 characters has at most 75 pieces
-        return F.get(F.transform(
-            F.filter(F.array(H.element_text(e, with_hidden=True)), lambda t: F.length(t) <= 150),
-            lambda t: anchored(t, X.RX_TOTAL_ANCHORS)), F.lit(0))
+        return T.let(H.element_text(e, with_hidden=True), lambda t: anchored(t, X.RX_TOTAL_ANCHORS))
 
-    box = _preferred([fits("e", steps) for steps in SUMMARY_SELECTORS], boxed, "e.t1 - e.t0 <= 75")
+    box = _preferred([fits("e", steps) for steps in SUMMARY_SELECTORS], boxed, "true")
     stored = F.when(F.col("visible_text") != "", F.col("visible_text"))
-    lines = F.filter(T.lines(F.coalesce(stored, H.page_text("\n"))), lambda x: F.length(x) <= 100)
+    lines = T.lines(F.coalesce(stored, H.page_text("\n")))
     strong = _first_value(F.transform(lines, lambda x: anchored(x, X.RX_TOTAL_ANCHORS[:2])))
     weak = _first_value(F.transform(lines, lambda x: anchored(x, X.RX_TOTAL_ANCHORS[2:])))
     return F.coalesce(

@@ -49,7 +49,7 @@ def rule_finding(rule_id: str, snippets: Column, profile: str = "default") -> Co
 
 
 def text_findings(text: Column, state: Column, extra: bool = False, profile: str = "default") -> Column:
-    """Array of findings that the text rules raise on one page; whole matches, at most three kept."""
+    """Array of findings that the text rules raise on one page; all whole matches."""
     rules = dict(X.TEXT_RULE_RX)
     if extra:
         rules.update(X.EXTRA_TEXT_RULE_RX)
@@ -60,7 +60,7 @@ def text_findings(text: Column, state: Column, extra: bool = False, profile: str
             hits = F.when(state.isin("cart", "checkout"), hits).otherwise(F.array().cast("array<string>"))
         if rule_id in ("FU_SCARCITY_CLAIM", "DP_HIDDEN_FEE_CHECKOUT"):
             hits = F.array_sort(F.array_distinct(hits))
-        found.append(rule_finding(rule_id, F.slice(hits, 1, 3), profile))
+        found.append(rule_finding(rule_id, hits, profile))
     return F.filter(F.array(*found), lambda f: F.size(f["snippets"]) > 0)
 
 

@@ -1,6 +1,6 @@
 """Site audits: which pages of a host are visited, and the report over them."""
 
-from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -8,38 +8,35 @@ from pyspark.sql import functions as F
 from pageaudit import fixed as X
 from pageaudit.functions.text import host_of
 from pageaudit.functions.windows import top_k
-from pageaudit.session import cut_lineage
+from pageaudit.session import written
 
 
-def reachable_pages(starts: DataFrame, links: DataFrame, max_pages: int = X.SITE_MAX_PAGES) -> DataFrame:
-    """Pages a breadth-first walk visits per host, at most ``max_pages`` of them.
+def reachable_pages(starts: DataFrame, links: DataFrame, max_pages: int = None) -> DataFrame:
+    """Pages a breadth-first walk visits per host: host, url, depth and rank.
 
-    All hosts advance together, one level per round. The frontier holds at most
-    ``max_pages`` pages per host, so it stays small next to ``links``; the
-    lineage is cut by a reliable checkpoint per round. ``starts``: host, url.
+    All hosts advance together, one level per round, until nothing new is found. The links are written
+    once, by source; each level is written once and only read afterwards. With ``max_pages`` at most as many
+    pages per host are visited, ranked in the order of the walk; without it the rank is null. ``starts``: host, url.
     ``links``: src_url, seq, dst_url with the same host on both ends.
     """
-    edges = links.where("src_url <> dst_url").select("src_url", "seq", "dst_url")
-    level = starts.select("host", "url", F.lit(0).alias("depth"), F.array(F.lit(0)).alias("place"), F.lit(1).alias("rank"))
-    visited = cut_lineage(level)
-    frontier = visited
-    for depth in range(1, max_pages):
+    edges = written(links.where("src_url <> dst_url").select("src_url", "seq", "dst_url").repartition("src_url"), "edges")
+    frontier = visited = written(starts.select("host", "url", F.lit(0).alias("depth"), F.lit(1 if max_pages else None).cast("int").alias("rank")), "level")
+    for depth in count(1):
         found = (
             frontier.join(edges, frontier.url == edges.src_url)
-            .select("host", F.col("dst_url").alias("url"), F.array(F.col("rank"), F.col("seq")).alias("place"))
+            .select("host", F.col("dst_url").alias("url"), F.struct("rank", "seq").alias("place"))
             .groupBy("host", "url").agg(F.min("place").alias("place"))
             .join(visited.select("host", "url"), ["host", "url"], "left_anti")
         )
-        room = visited.groupBy("host").agg(F.count("*").alias("used"))
-        ranked = top_k(found, ["host"], ["place", "url"], max_pages, "n").join(room, "host")
-        fresh = ranked.where(F.col("used") + F.col("n") <= max_pages).select(
-            "host", "url", F.lit(depth).alias("depth"), "place", (F.col("used") + F.col("n")).alias("rank")
-        )
-        frontier = cut_lineage(fresh)
+        rank = F.lit(None).cast("int")
+        if max_pages:
+            room = visited.groupBy("host").agg(F.count("*").alias("used"))
+            found = top_k(found, ["host"], ["place", "url"], max_pages, "n").join(room, "host").where(F.col("used") + F.col("n") <= max_pages)
+            rank = (F.col("used") + F.col("n")).cast("int")
+        frontier = written(found.select("host", "url", F.lit(depth).alias("depth"), rank.alias("rank")), "level")
         if frontier.isEmpty():
-            break
-        visited = cut_lineage(visited.unionByName(frontier))
-    return visited.select("host", "url", "depth", "rank")
+            return visited
+        visited = visited.unionByName(frontier)
 
 
 def site_report(pages: DataFrame, findings: DataFrame) -> DataFrame:

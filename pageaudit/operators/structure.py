@@ -42,13 +42,13 @@ RULE_PARTS = ("elements", "nodes")
 
 
 def parse_pages(pages: DataFrame, parts=tuple(STRUCTURE)) -> DataFrame:
-    """Replaces ``html`` by the arrays named in ``parts``.
+    """Replaces ``html`` by ``parse_error`` (null for a page read whole) and the arrays named in ``parts``.
 
     Output of a Python stage cannot be pruned by the optimizer, so a job that
     needs fewer arrays says so; the rules need ``RULE_PARTS``.
     """
     keep = [f for f in pages.schema.fields if f.name != "html"]
-    schema = T.StructType(keep + T.StructType.fromDDL(", ".join(f"{k} {STRUCTURE[k]}" for k in parts)).fields)
+    schema = T.StructType(keep + T.StructType.fromDDL("parse_error string, " + ", ".join(f"{k} {STRUCTURE[k]}" for k in parts)).fields)
     names = [f.name for f in keep]
     build = {
         "elements": (lambda r: r.elements, pa.list_(_ELEMENT)), "nodes": (lambda r: r.nodes, pa.list_(_NODE)),
@@ -61,8 +61,8 @@ def parse_pages(pages: DataFrame, parts=tuple(STRUCTURE)) -> DataFrame:
             for start in range(0, batch.num_rows, SLICE_ROWS):  # bounds the memory of the output batch
                 part = batch.slice(start, SLICE_ROWS)
                 rows = [page_rows(h) for h in part.column("html").to_pylist()]
-                made = [pa.array([get(r) for r in rows], kind) for get, kind in wanted]
-                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + made, names=names + list(parts))
+                made = [pa.array([r.error for r in rows], pa.string())] + [pa.array([get(r) for r in rows], kind) for get, kind in wanted]
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + made, names=names + ["parse_error"] + list(parts))
 
     return pages.mapInArrow(run, schema)
 
@@ -142,12 +142,12 @@ def label_text(e: Column, with_sibling: bool = True) -> Column:
     if not with_sibling:
         return F.coalesce(F.when(labelled != "", labelled), around, F.lit(""))
     nxt = F.get(ELEMENTS, e["last"] + 1)
-    beside = F.when(nxt["parent"] == e["parent"], F.substring(element_text(nxt), 1, 200))
+    beside = F.when(nxt["parent"] == e["parent"], element_text(nxt))
     return F.coalesce(labelled, around, e["after"], beside, F.lit(""))
 
 
 def in_unrelated_section(cls: Column, el_id: Column, parent_text: Column) -> Column:
-    text = F.lower(F.concat_ws(" ", cls, el_id, F.substring(parent_text, 1, 120)))
+    text = F.lower(F.concat_ws(" ", cls, el_id, parent_text))
     return contains_any(text, X.UNRELATED_TERMS)
 
 
@@ -191,14 +191,10 @@ def sensitive(e: Column) -> Column:
 
 
 def redact(parsed: DataFrame) -> DataFrame:
-    """Elements without the values of sensitive inputs; attribute values are cut at 200 characters."""
+    """Elements without the values of sensitive inputs."""
     secret = r"(?i)value|data-val|auth"
     clean = F.transform(ELEMENTS, lambda e: e.withField(
-        "attrs",
-        F.transform_values(
-            F.map_filter(e["attrs"], lambda k, _: ~(sensitive(e) & k.rlike(secret))),
-            lambda _, v: F.substring(v, 1, X.ATTRIBUTE_MAX),
-        ),
+        "attrs", F.map_filter(e["attrs"], lambda k, _: ~(sensitive(e) & k.rlike(secret))),
     ))
     return parsed.withColumn("elements", clean)
 

@@ -24,6 +24,6 @@ def compare_listings(listings: DataFrame, offer_texts: DataFrame, reviews: DataF
         "effective_prices": payable,
         "inconsistencies": compare.price_inconsistencies(fingerprints, compare.best_offers(offers)),
         "review_clusters": clusters,
-        "review_evidence": compare.review_evidence(clusters),
+        "review_evidence": compare.review_evidence(clusters, comparisons=listings),
         "summary": compare.comparison_summary(listings.join(payable.select("listing_id", "payable"), "listing_id", "left")),
     }

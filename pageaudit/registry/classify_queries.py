@@ -28,13 +28,13 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", E.page_type(F.col("url"), F.col("html")).alias("page_type"))
 
 
-_ACC_LOW = "lower(visible_text || ' ' || substr(html, 1, 3000))"
+_ACC_LOW = "lower(visible_text || ' ' || html)"
 ACCESS = f"""CASE WHEN coalesce(error_message, '') <> '' AND contains(lower(error_message), 'timeout') THEN 'TIMEOUT' WHEN coalesce(error_message, '') <> '' THEN 'NETWORK_ERROR'
   WHEN coalesce(http_status, 0) = 0 AND html = '' THEN 'NETWORK_ERROR' WHEN http_status = 404 OR {any_of(_ACC_LOW, X.NOT_FOUND_SIGNALS)} THEN 'PAGE_NOT_FOUND'
   WHEN http_status = 401 THEN 'LOGIN_REQUIRED' WHEN http_status = 429 THEN 'RATE_LIMITED' WHEN http_status = 403 AND {any_of(_ACC_LOW, X.BOT_SIGNALS)} THEN 'BOT_CHALLENGE'
   WHEN http_status = 403 THEN 'FORBIDDEN' WHEN http_status = 503 THEN 'RATE_LIMITED' WHEN http_status >= 500 THEN 'NETWORK_ERROR'
-  WHEN http_status = 200 AND length(html) > 4000 AND length(visible_text) > 200 THEN 'ACCESS_OK' WHEN {any_of(_ACC_LOW, X.CAPTCHA_SIGNALS)} THEN 'CAPTCHA_PRESENT'
-  WHEN {any_of(_ACC_LOW, X.BOT_SIGNALS)} THEN 'BOT_CHALLENGE' WHEN contains({_ACC_LOW}, 'enable javascript') AND length(visible_text) < 150 THEN 'JS_REQUIRED' ELSE 'ACCESS_OK' END"""
+  WHEN {any_of(_ACC_LOW, X.CAPTCHA_SIGNALS)} THEN 'CAPTCHA_PRESENT'
+  WHEN {any_of(_ACC_LOW, X.BOT_SIGNALS)} THEN 'BOT_CHALLENGE' WHEN contains({_ACC_LOW}, 'enable javascript') THEN 'JS_REQUIRED' ELSE 'ACCESS_OK' END"""
 
 
 def access(spark, sf):

@@ -28,10 +28,10 @@ def _(spark, sf):
     return listings(spark, sf).select("listing_id", T.marketplace_of(F.col("url")).alias("marketplace"))
 
 
-@query("s4_marketplace_lookup", f"SELECT m AS marketplace, count(*)::BIGINT AS n FROM (SELECT {_MP} AS m FROM v_listings) x WHERE m <> 'unknown' GROUP BY m")
+@query("s4_marketplace_lookup", f"SELECT m AS marketplace, count(*)::BIGINT AS n FROM (SELECT {_MP} AS m FROM v_listings) x GROUP BY m")
 def _(spark, sf):
     m = listings(spark, sf).select(T.marketplace_of(F.col("url")).alias("marketplace")).groupBy("marketplace").agg(F.count("*").alias("n"))
-    return m.join(F.broadcast(dim_marketplaces(spark)), "marketplace").select("marketplace", "n")
+    return m.join(F.broadcast(dim_marketplaces(spark)), "marketplace", "left").select("marketplace", "n")
 
 
 # fingerprint in the checking engine: alternatives without look-ahead, capture and filter
@@ -137,7 +137,7 @@ def offers_sql():
     return rf"""ln AS (SELECT listing_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS line,
    generate_subscripts(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), 1) - 1 AS line_no FROM v_offers),
  lk AS (SELECT *, {amt} AS amt, {pct} AS pct, CASE WHEN {hit(X.RX_OFFER_BANK)} THEN 'bank_offer' WHEN {hit(X.RX_OFFER_MEMBER)} THEN 'membership'
-   WHEN {hit(X.RX_OFFER_COUPON)} THEN 'coupon' WHEN {hit(X.RX_OFFER_INSTANT)} AND {plain} THEN 'instant' WHEN {hit(X.RX_OFFER_PCT)} AND {plain} THEN 'pct' END AS kind FROM ln WHERE length(line) <= 300),
+   WHEN {hit(X.RX_OFFER_COUPON)} THEN 'coupon' WHEN {hit(X.RX_OFFER_INSTANT)} AND {plain} THEN 'instant' WHEN {hit(X.RX_OFFER_PCT)} AND {plain} THEN 'pct' END AS kind FROM ln),
  ok AS (SELECT listing_id, line_no * 3 + 0 AS seq, 'emi' AS offer_type, 'emi:' || line AS key, NULL::DOUBLE AS discount_value, NULL::DOUBLE AS discount_percentage, TRUE AS is_conditional, FALSE AS is_applicable, '' AS who FROM lk WHERE {hit(X.RX_OFFER_EMI)}
   UNION ALL SELECT listing_id, line_no * 3 + ({hit(X.RX_OFFER_EMI)})::INT, 'exchange', 'exchange:' || coalesce({exc}::VARCHAR, ''), {exc}, NULL, TRUE, FALSE, '' FROM lk WHERE {hit(X.RX_OFFER_EXCHANGE)}
   UNION ALL SELECT listing_id, line_no * 3 + ({hit(X.RX_OFFER_EMI)})::INT + ({hit(X.RX_OFFER_EXCHANGE)})::INT,
@@ -195,7 +195,7 @@ def _(spark, sf):
 _REV_KIND = "CASE " + " ".join(f"WHEN regexp_matches(s, {rx(p)}) THEN '{n}'" for p, n in X.REVIEW_SIGNALS) + " END"
 REV = rf"""sn AS (SELECT review_id, listing_id, compare_id, unnest(string_split(regexp_replace(text, '([.!?\n])\s+', '\1' || chr(1), 'g'), chr(1))) AS raw,
    generate_subscripts(string_split(regexp_replace(text, '([.!?\n])\s+', '\1' || chr(1), 'g'), chr(1)), 1) - 1 AS pos FROM v_reviews),
- sg AS (SELECT review_id, listing_id, compare_id, pos::BIGINT AS pos, s AS snippet, {_REV_KIND} AS signal_type FROM (SELECT *, trim(raw) AS s FROM sn) y WHERE length(s) BETWEEN 15 AND 300)"""
+ sg AS (SELECT review_id, listing_id, compare_id, pos::BIGINT AS pos, s AS snippet, {_REV_KIND} AS signal_type FROM (SELECT *, trim(raw) AS s FROM sn) y WHERE s <> '')"""
 
 
 @query("f7_review_signals", f"WITH {REV} SELECT review_id, pos, snippet, signal_type FROM sg WHERE signal_type IS NOT NULL")
@@ -210,10 +210,11 @@ def _(spark, sf):
 
 
 @query("k6_review_evidence", f"""WITH {REV}, cl AS (SELECT compare_id, signal_type, count(*) AS n FROM sg WHERE signal_type IS NOT NULL GROUP BY compare_id, signal_type)
-  SELECT compare_id, sum(n)::BIGINT AS total_signals, CASE WHEN sum(n) >= 3 THEN 'CORROBORATED' ELSE 'WEAK_SIGNAL' END AS corroboration,
-   string_agg(signal_type, ',' ORDER BY n DESC, signal_type) AS concerns FROM cl GROUP BY compare_id""")
+  SELECT r.compare_id, coalesce(sum(n), 0)::BIGINT AS total_signals, CASE WHEN coalesce(sum(n), 0) >= 3 THEN 'CORROBORATED' WHEN sum(n) >= 1 THEN 'WEAK_SIGNAL' ELSE 'CLEAN' END AS corroboration,
+   coalesce(string_agg(signal_type, ',' ORDER BY n DESC, signal_type), '') AS concerns FROM (SELECT DISTINCT compare_id FROM v_reviews) r LEFT JOIN cl ON cl.compare_id = r.compare_id GROUP BY r.compare_id""")
 def _(spark, sf):
-    return C.review_evidence(C.review_clusters(C.review_signals(view(spark, sf, "v_reviews"))))
+    v = view(spark, sf, "v_reviews")
+    return C.review_evidence(C.review_clusters(C.review_signals(v)), comparisons=v)
 
 
 @query("a13_comparison_summary", f"""WITH {offers_sql()}, sm AS (SELECT listing_id, sum(discount_value::DECIMAL(14,2)) FILTER (WHERE is_applicable) AS ap FROM oo GROUP BY listing_id),

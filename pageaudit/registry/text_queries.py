@@ -38,7 +38,7 @@ def findings_sql(source="v_text", rules_rx=None, client=False):
         parts.append(
             f"SELECT page_id, scan_id, stage, url, '{rule}' AS rule_id, '{pattern}' AS pattern, {conf}::DOUBLE AS confidence, "
             f"'{tier}' AS confidence_tier, '{sev}' AS severity, '{title}' AS title, "
-            f"array_to_string(list_slice({hits}, 1, 3), '|') AS snippets FROM {source} "
+            f"array_to_string({hits}, '|') AS snippets FROM {source} "
             f"WHERE regexp_matches(visible_text, {rx(pattern_rx)}) {extra}"
         )
     return " UNION ALL ".join(parts)

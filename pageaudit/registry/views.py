@@ -136,7 +136,7 @@ JOIN {part} p ON p.p_partkey = l.pk
 VIEWS["v_stages"] = f"""
 SELECT {SCAN_OF_EVENT} AS scan_id, {STAGE_OF_EVENT} AS stage, CAST(max(value) AS DECIMAL(14,2)) AS total,
        max({EV_K}) % 11 <> 0 AS is_captured, min(ts) AS captured_at
-FROM {{events}} WHERE event_type IN ('view', 'click', 'purchase')
+FROM {{events}}
 GROUP BY {SCAN_OF_EVENT}, {STAGE_OF_EVENT}
 """
 
@@ -148,7 +148,7 @@ SELECT scan_id, stage, seq, {texts('k % 7', COMPONENT_TYPES)} AS component_type,
        k % 2 = 0 AS is_mandatory, stage = 'product' AS disclosed_early, k % 4 <> 1 AS selected_by_default,
        k % 7 = 1 AS is_delivery_dependent, FALSE AS is_aggregate
 FROM (SELECT {SCAN_OF_EVENT} AS scan_id, {STAGE_OF_EVENT} AS stage, event_id AS seq, {EV_K} AS k
-      FROM {{events}} WHERE event_type IN ('view', 'click', 'purchase')) e
+      FROM {{events}}) e
 """
 
 VIEWS["v_transitions"] = f"""
@@ -249,7 +249,7 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     tables = _tables(sql, spark, folder)
     if name == "v_html":
         # a few bytes per order become a page of HTML: spread the orders, not the pages
-        tables["orders"] = tables["orders"].select("o_orderkey", "o_totalprice").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+        tables["orders"] = tables["orders"].select("o_orderkey", "o_totalprice").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     return spark.sql(sql, **tables)
 
 

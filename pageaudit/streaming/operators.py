@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pageaudit import fixed as X
 from pageaudit.functions.text import contains_any
-from pageaudit.operators.element_rules import detect_all, may_raise
+from pageaudit.operators.element_rules import detect_all, may_raise, with_page_text
 from pageaudit.operators.journey import fold_transitions
 from pageaudit.operators.structure import RULE_PARTS, parse_pages
 
@@ -121,13 +121,13 @@ def with_second_level(first: DataFrame, second: DataFrame, watermark="10 minutes
 def tiered_audit(pages: DataFrame, out: str):
     """foreachBatch body of the tiered detection.
 
-    Cheap expressions on the stored HTML pick the pages worth parsing; the
-    parser and all rules run on those only. The test asks for less than the
+    Pages are parsed, a cheap test of the parsed text picks those worth the
+    rules, and the rules run on those only. The test asks for less than the
     rules do, so no finding is lost. An epoch overwrites its own folder, so a
     repeated batch does no harm.
     """
     def body(batch: DataFrame, epoch: int):
-        deep = parse_pages(batch.where(may_raise(F.col("html"))), RULE_PARTS)
+        deep = with_page_text(parse_pages(batch, RULE_PARTS)).where(may_raise())
         detect_all(deep).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return body

@@ -41,7 +41,7 @@ def test_page_types(one, url, kind):
     (200, "x" * 5000, "y" * 300, None, "ACCESS_OK"), (None, "", "", None, "NETWORK_ERROR"), (200, "<p>", "", "Timeout 30s", "TIMEOUT"), (200, "<p>", "", "refused", "NETWORK_ERROR"),
     (404, "x", "", None, "PAGE_NOT_FOUND"), (200, "Product Not Found", "", None, "PAGE_NOT_FOUND"), (403, "Robot Check", "", None, "BOT_CHALLENGE"), (403, "x", "", None, "FORBIDDEN"),
     (429, "x", "", None, "RATE_LIMITED"), (503, "x", "", None, "RATE_LIMITED"), (500, "x", "", None, "NETWORK_ERROR"), (200, "g-recaptcha", "", None, "CAPTCHA_PRESENT"),
-    (200, "Please enable JavaScript", "", None, "JS_REQUIRED"), (200, "x" * 3001 + "g-recaptcha", "", None, "ACCESS_OK"),
+    (200, "Please enable JavaScript", "", None, "JS_REQUIRED"), (200, "x" * 5000 + "g-recaptcha", "y" * 300, None, "CAPTCHA_PRESENT"),
 ])
 def test_access(one, status, html, text, error, want):
     args = [F.lit(status).cast("int"), F.lit(html), F.lit(text), F.lit(error).cast("string")]
@@ -94,9 +94,11 @@ def test_walk_is_breadth_first_and_bounded(spark):
     edges = {"a": ["b", "c", "a"], "b": ["d", "e"], "c": ["b", "f", "g"], "d": ["h", "i", "j"], "e": ["k"]}
     links = spark.createDataFrame([(s, i, d) for s, ds in edges.items() for i, d in enumerate(ds)], "src_url string, seq int, dst_url string")
     starts = spark.createDataFrame([("x", "a")], "host string, url string")
-    got = [r.url for r in site.reachable_pages(starts, links).orderBy("rank").collect()]
+    got = [r.url for r in site.reachable_pages(starts, links, 8).orderBy("rank").collect()]
     assert got == ["a", "b", "c", "d", "e", "f", "g", "h"]
     assert site.reachable_pages(starts, links, 3).count() == 3
+    whole = {r.url: r.depth for r in site.reachable_pages(starts, links).collect()}
+    assert "".join(sorted(whole)) == "abcdefghijk" and whole["k"] == 3
 
 
 def test_state_rules(spark):

@@ -142,8 +142,8 @@ def test_offer_kinds(spark, line, kind, value, pct, applicable):
 
 def test_offers_stack_and_deduplicate(spark):
     r = offers_of(spark, "Extra ₹10,000 off on exchange\nExtra ₹10,000 off on exchange\n\tno-cost EMI and 5% off\n" + "x" * 301 + " 9% off\nPlain text")
-    assert [o.offer_type for o in r] == ["exchange", "instant_discount", "emi", "instant_discount"]
-    assert [o.discount_value for o in r] == [10000.0, 10000.0, None, None]
+    assert [o.offer_type for o in r] == ["exchange", "instant_discount", "emi", "instant_discount", "instant_discount"]
+    assert [o.discount_value for o in r] == [10000.0, 10000.0, None, None, None]
 
 
 def test_effective_price(spark):
@@ -163,6 +163,8 @@ def test_reviews(spark):
     assert (c["UNEXPECTED_FEE"].review_count, c["UNEXPECTED_FEE"].confidence, c["UNEXPECTED_FEE"].snippet) == (2, 0.8, "A hidden charge was added.")
     e = C.review_evidence(C.review_clusters(s)).first()
     assert (e.total_signals, e.corroboration, e.concerns.split(",")[0]) == (4, "CORROBORATED", "UNEXPECTED_FEE")
+    every = C.review_evidence(C.review_clusters(s), comparisons=spark.createDataFrame([(1,), (2,)], "compare_id long")).collect()
+    assert {r.compare_id: (r.total_signals, r.corroboration) for r in every} == {1: (4, "CORROBORATED"), 2: (0, "CLEAN")}
 
 
 def test_canonical_and_summary(spark):

@@ -101,10 +101,20 @@ def test_struck_and_unrelated(page, one):
 
 def test_cheap_test_lets_every_finding_pass(page):
     htmls = [FLASH, SEAT, COURSE, ADDONS, "<p>Hurry</p>", "<p>limited&nbsp;<b>time</b></p>", "<button>I ha<i>te</i> saving money</button>",
-             "<p>don&apos;t miss out</p>", "<p>Only\n 2\tleft</p>", "<p>do not <em>uncheck</em></p>"]
+             "<p>don&apos;t miss out</p>", "<p>Only\n 2\tleft</p>", "<p>do not <em>uncheck</em></p>",
+             "a < b. Hurry, last chance", "Only <a title='a>b'>3</a> left in stock", "Only <!-- x > y -->3 left", "Only <script>var a=1</script>3 left",
+             "Only <svg><title>icon</title></svg> 3 left", "<p>a</p><![foo[bar]]><p>Only 3 left in stock</p>"]
     df = page(*[("https://a.com/cart", h) for h in htmls])
     full = {r.page_id for r in ER.detect_all(H.parse_pages(df)).collect()}
-    passed = {r.page_id for r in df.where(ER.may_raise(F.col("html"))).collect()}
+    passed = {r.page_id for r in ER.with_page_text(H.parse_pages(df)).where(ER.may_raise()).select("page_id").collect()}
     assert full and full <= passed
     clean = page(("https://a.com", CLEAN.replace("No thank you", "Back")), ("https://a.com", "<p>oak &amp; pine</p>"))
-    assert clean.where(ER.may_raise(F.col("html"))).count() == 0
+    assert ER.with_page_text(H.parse_pages(clean)).where(ER.may_raise()).count() == 0
+
+
+def test_odd_pages_are_read(page):
+    odd = ["<p>a</p><![foo[bar]]><p>b</p>", "<![CDATA[x]]>", "<![", "<!foo", "<" * 3000, "<div>" * 20_000 + "x", "</p>" * 5000, None, ""]
+    rows = H.parse_pages(page(*[("https://a.com", h) for h in odd])).select("page_id", "parse_error", F.size("nodes").alias("n"), F.size("elements").alias("e")).collect()
+    assert len(rows) == len(odd) and all(r.parse_error is None for r in rows)
+    got = {r.page_id: (r.n, r.e) for r in rows}
+    assert got[0] == (2, 2) and got[5] == (1, 20_000)

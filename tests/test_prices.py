@@ -38,7 +38,7 @@ def test_jsonld(page):
     assert p.select(P.jsonld_title().alias("t")).first().t == "Lamp"
 
 
-def test_hydration_order_depth_and_caps(page):
+def test_hydration_order_and_depth(page):
     deep = {"price": 1}
     for _ in range(9):
         deep = {"n": deep}
@@ -46,7 +46,7 @@ def test_hydration_order_depth_and_caps(page):
     p = parsed(page, f'<script id="__NEXT_DATA__">{json.dumps(state)}</script>')
     rows = P.hydration_candidates(p).orderBy("seq").collect()
     amounts = [float(r.amount) for r in rows]
-    assert amounts == [float(i) for i in range(1, 21)] + [77.0, 500.0, 1.0]  # document order, 20 items, no depth 9, nothing under emi
+    assert amounts == [float(i) for i in range(1, 31)] + [77.0, 500.0, 1.0, 1.0]  # document order, every item and depth, nothing under emi
     assert [r.is_mrp for r in rows if r.amount == 500] == [True]
 
 
@@ -155,5 +155,6 @@ def test_network_rules(spark):
             ("s", 3, "https://x/static", "application/json", body), ("s", 4, "https://x/api/q", "text/html", body), ("s", 5, "https://x/api/r", "application/json", "{bad")]
     df = spark.createDataFrame(rows, "session_id string, seq long, url string, content_type string, body string")
     got = [float(r.amount) for r in P.network_candidates(df).orderBy("seq", "ord").collect()]
-    assert got == [1500.0] + [20.0 + i for i in range(15)]
+    assert got == [1500.0] + [20.0 + i for i in range(30)] + [5.0]
+    assert P.network_candidates(df, low=10, high=40).count() == 20
     assert P.network_candidates(df, 4).count() == 4

@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 from pageaudit.llm import textbatch as tb
 
-#: Slots of a worker's memory (filled by half at most) and ids in it, before it starts anew.
-SLOTS, MEMORY_IDS = 1 << 21, 8_000_000
+#: Slots of a worker's memory (filled by half at most) and ids in it, before it starts anew; pieces given to the library at once.
+SLOTS, MEMORY_IDS, PIECES_AT_ONCE = 1 << 20, 4_000_000, 4_000
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 PUNCTUATION = np.zeros(256, bool)
@@ -83,13 +83,13 @@ class PieceEncoder:
         return slot
 
     def learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        for k in range(0, len(pieces), 20_000):
-            ids = self.library(pieces[k : k + 20_000])
+        for k in range(0, len(pieces), PIECES_AT_ONCE):
+            ids = self.library(pieces[k : k + PIECES_AT_ONCE])
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum()))
             if self.used + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(flat), np.int32)])
-            slots = self.place(hashes[k : k + 20_000])
+            slots = self.place(hashes[k : k + PIECES_AT_ONCE])
             self.flat[self.used : self.used + len(flat)] = flat
             self.start[slots], self.size[slots] = self.used + np.cumsum(sizes) - sizes, sizes
             self.used, self.count = self.used + len(flat), self.count + len(ids)

@@ -50,6 +50,7 @@ def slices(batches, column: str, max_bytes: int = SLICE_BYTES):
             stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()  # what the batch took goes back before the next comes
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

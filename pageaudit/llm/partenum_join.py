@@ -11,8 +11,9 @@ than k2 elements, so a set with more than d good parts shares a non-empty signat
 have no more (rare; band parameters see to it) sign once more under another seed, where their partners of the same kind do too.
 
 Candidates are verified exactly, on whole sets. Signature groups never become rows of all pairs: first each member is compared with
-the group's least, links give components, and only members of different components are compared further, by their sketches within the
-task, after each set has left the most crowded of the signatures that it is certain to share.
+the group's least, links give components, and only members of different components are compared further, within the task,
+after each set has left the most crowded of the signatures that it is certain to share: by sketches the one that looks most alike, then
+by whole sets as far as groups are still apart. No step gives more rows than a group has members, apart from copies in other blocks.
 """
 
 from dataclasses import dataclass
@@ -36,6 +37,8 @@ NUM, DEN = 75, 100
 BUCKET_SIGNATURES = 300_000
 #: Members of a signature group that are compared with each other in one place; larger groups are cut into blocks.
 BLOCK_MEMBERS = 1024
+#: Shingles of a block, about, where whole sets are compared.
+BLOCK_SHINGLES = 2_000_000
 #: Least mean number of shingles below a signature.
 MIN_ELEMENTS = 2.2
 SEEDS = 8
@@ -398,7 +401,8 @@ def linked_components(members: DataFrame, pairs: DataFrame, ties: DataFrame, siz
 
     After the pairs with the least members come those that these did not bring together. A set shares at least
     ``slack`` signatures with each partner, so it can do without its slack - 1 most crowded ones: of the signatures that two linked
-    sets share, the least crowded stays in both. The members that remain are compared within their groups, in blocks.
+    sets share, the least crowded stays in both. The members that remain are compared within their groups, in blocks: first each
+    with the one that looks most alike, then, in groups that are still apart and have further candidates, by whole sets in the task.
     """
     links = verified(pairs, sizes, docs, num, den)
     links = written(ties if links is None else ties.unionByName(links), "links")
@@ -414,62 +418,152 @@ def linked_components(members: DataFrame, pairs: DataFrame, ties: DataFrame, siz
     ).where("c0 <> c1")
     # groups with the same members need but one of their signatures
     one = written(groups.groupBy("n", "all").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks")), "open-groups")
-    todo = written(open_pairs(kept.join(one, "sig"), sizes, num, den).distinct().join(pairs, ["a", "b"], "left_anti"), "open-pairs")
+    first = written(open_pairs(kept.join(one, "sig"), sizes, num, den), "open-pairs")
+    todo = first.where("a IS NOT NULL").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     more = verified(todo, sizes, docs, num, den)
-    more = more if more is None else written(more, "links")
-    if more is None or more.isEmpty():
+    if more is not None:
+        links = written(links.unionByName(more), "links")
+        label = written(components(links), "labels")
+    named = label.withColumnsRenamed({"node": "doc_id", "component": "c"})
+    rest = first.where("sig IS NOT NULL").select("sig").distinct()
+    rest = kept.drop("c").join(rest, "sig").join(named, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+    rest = rest.join(sizes.groupBy("doc_id").agg(F.max("n_shingles").alias("size")), "doc_id")
+    cut = F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    still = rest.groupBy("sig").agg(cut, F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("sig", "blocks")
+    rest = written(rest.drop("size").join(still, "sig"), "open-members")
+    if rest.isEmpty():
         return label
-    return written(components(links.unionByName(more)), "labels")
+    sets = written(sets_of(docs, rest.select("doc_id").distinct()), "candidate-sets")
+    last = written(exact_links(rest, sets, num, den).distinct(), "links")
+    return label if last.isEmpty() else written(components(links.unionByName(last)), "labels")
 
 
-def open_pairs(members: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components within a group whose sketches allow a link.
+def placed(members: DataFrame, values: DataFrame) -> DataFrame:
+    """``members`` (sig, doc_id, c, blocks) with the columns of ``values``, each place (sig, i, j) in one task and in order.
 
-    ``members``: sig, doc_id, c (component), blocks of the group. Every two blocks of a group meet in one place, so no task holds more
-    than two blocks of a group; the pairs that cannot link never become rows.
+    Every two blocks of a group meet in one place, so no place holds more than two blocks of a group.
     """
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    placed = members.withColumn("block", block).select(
+    rows = members.withColumn("block", block).select(
         "sig", "doc_id", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     ).select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "c", "block")
-    ready = placed.join(sizes.select("doc_id", "n_shingles", "sketch").distinct(), "doc_id").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "doc_id")
+    return rows.join(values, "doc_id").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "doc_id")
+
+
+def by_place(batches):
+    """Batches of whole places, each with the edges of its places."""
+    held = None
+    for batch in _with_end(batches):
+        if batch is not None:
+            held = batch if held is None else pa.concat_batches([held, batch])
+        if held is None or not held.num_rows:
+            continue
+        new = np.zeros(held.num_rows - 1, bool)
+        for c in ("sig", "i", "j"):
+            new |= np.diff(held.column(c).to_numpy()) != 0
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), held.num_rows]
+        if batch is not None:  # the last place may go on
+            edges = edges[:-1]
+        if edges[-1]:
+            yield held.slice(0, edges[-1]), edges
+        held = held.slice(edges[-1]) if batch is not None else None
+
+
+def candidates(x: dict, bounds: np.ndarray, cells: np.ndarray, first: int, stop: int, num: int, den: int):
+    """For each member of a place outside its largest component: the member, those it may link with by their sketches, and how alike they look.
+
+    Only members of other components count, and of two members outside the largest component the first one looks at the second.
+    """
+    c, n, far = x["c"][first:stop], x["n_shingles"][first:stop], x["block"][first:stop] == x["j"][first]
+    within = x["i"][first] == x["j"][first]
+    start, wide = bounds[first:stop], np.diff(bounds[first : stop + 1])
+    names, count = np.unique(c, return_counts=True)
+    if len(names) == 1:
+        return
+    home = c == names[count.argmax()]
+    least = int(wide.min())
+    table = np.stack([cells[a : a + w].reshape(least, -1).sum(1, dtype=np.int32) for a, w in zip(start, wide)])
+    full = np.array([cells[a : a + w].max() == 255 for a, w in zip(start, wide)])
+    later = np.arange(stop - first)
+    for k in np.flatnonzero(~home):
+        low, high = np.minimum(n[k], n), np.maximum(n[k], n)
+        may = np.flatnonzero((home | (later > k)) & (c != c[k]) & (num * high <= den * low) & (within | (far != far[k])))
+        if len(may):
+            common = np.minimum(table[k], table[may]).sum(1)
+            both = n[k] + n[may] - common
+            fit = (den * common >= num * both) | full[k] | full[may]
+            if fit.any():
+                yield first + k, first + may[fit], common[fit] / np.maximum(both[fit], 1)
+
+
+def open_pairs(members: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs (a, b) of different components within a group, and the sig of each group that has further ones.
+
+    A member gives the pair that looks most alike only, so rows grow with the members; ``exact_links`` sees to what is left.
+    """
     names = ["sig", "i", "j", "doc_id", "c", "block", "n_shingles"]
 
-    def of_group(x, first, stop, bounds, cells):
-        doc, c, n, far = x["doc_id"][first:stop], x["c"][first:stop], x["n_shingles"][first:stop], x["block"][first:stop] == x["j"][first]
-        within = x["i"][first] == x["j"][first]
-        start, wide = bounds[first:stop], np.diff(bounds[first : stop + 1])
-        least = int(wide.min())
-        table = np.stack([cells[a : a + w].reshape(least, -1).sum(1, dtype=np.int32) for a, w in zip(start, wide)])
-        full = np.array([cells[a : a + w].max() == 255 for a, w in zip(start, wide)])
-        for k in range(len(doc) - 1):
-            low, high = np.minimum(n[k], n[k + 1 :]), np.maximum(n[k], n[k + 1 :])
-            may = np.flatnonzero((c[k + 1 :] != c[k]) & (num * high <= den * low) & (within | (far[k + 1 :] != far[k]))) + k + 1
-            if len(may):
-                common = np.minimum(table[k], table[may]).sum(1)
-                fit = may[(den * common >= num * (n[k] + n[may] - common)) | full[k] | full[may]]
-                for m in fit[doc[fit] != doc[k]]:
-                    yield doc[k], doc[m]
+    def run(batches):
+        for batch, edges in by_place(batches):
+            x = {c: batch.column(c).to_numpy() for c in names}
+            cells, bounds = tb.buffers(batch.column("sketch"))
+            pairs, left = set(), set()
+            for first, stop in zip(edges[:-1], edges[1:]):
+                for k, may, alike in candidates(x, bounds, cells, first, stop, num, den):
+                    a, b = int(x["doc_id"][k]), int(x["doc_id"][may[alike.argmax()]])
+                    pairs.add((min(a, b), max(a, b)))
+                    if len(may) > 1:
+                        left.add(int(x["sig"][first]))
+            none = [None] * len(left)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([a for a, _ in pairs] + none, pa.int64()), pa.array([b for _, b in pairs] + none, pa.int64()),
+                pa.array([None] * len(pairs) + list(left), pa.int64()),
+            ], ["a", "b", "sig"])
+
+    ready = placed(members, sizes.select("doc_id", "n_shingles", "sketch").distinct())
+    return ready.select(*names, "sketch").mapInArrow(run, "a bigint, b bigint, sig bigint")
+
+
+def exact_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join all components of a place which any of its links joins.
+
+    Whole sets are compared in the task; once two components are joined, their other members are not compared, so a place
+    gives fewer rows than it has members.
+    """
+    names = ["sig", "i", "j", "doc_id", "c", "block"]
 
     def run(batches):
-        held = None
-        for batch in _with_end(batches):
-            if batch is not None:
-                held = batch if held is None else pa.concat_batches([held, batch])
-            if held is None or not held.num_rows:
-                continue
-            x = {c: held.column(c).to_numpy() for c in names}
-            new = np.flatnonzero((np.diff(x["sig"]) != 0) | (np.diff(x["i"]) != 0) | (np.diff(x["j"]) != 0)) + 1
-            edges = [0, *new.tolist(), held.num_rows]
-            if batch is not None:  # the last group may go on
-                edges = edges[:-1]
-            cells, bounds = tb.buffers(held.column("sketch"))
-            out = {pair for a, b in zip(edges[:-1], edges[1:]) if b - a > 1 for pair in of_group(x, a, b, bounds, cells)}
-            held = held.slice(edges[-1]) if batch is not None else None
-            low, high = [min(p) for p in out], [max(p) for p in out]
-            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
-
-    return ready.select(*names, "sketch").mapInArrow(run, "a bigint, b bigint")
+        for batch, edges in by_place(batches):
+            x = {c: batch.column(c).to_numpy() for c in names}
+            data, at = tb.buffers(batch.column("items"))
+            hashes, first_of = np.frombuffer(data.tobytes(), "<u8"), (at - at[0]) // 8
+            x["n_shingles"] = np.diff(first_of)
+            cells, bounds = sketches(hashes, first_of)
+            found = set()
+            for first, stop in zip(edges[:-1], edges[1:]):
+                root = {int(c): int(c) for c in x["c"][first:stop]}
+
+                def top(row):
+                    c = int(x["c"][row])
+                    while root[c] != c:
+                        root[c] = root[root[c]]
+                        c = root[c]
+                    return c
+
+                for k, may, alike in candidates(x, bounds, cells, first, stop, num, den):
+                    mine = hashes[first_of[k] : first_of[k + 1]]
+                    for m in may[np.argsort(-alike, kind="stable")]:
+                        if top(k) == top(m):
+                            continue
+                        both = np.sort(np.concatenate([mine, hashes[first_of[m] : first_of[m + 1]]]))
+                        common = int((both[1:] == both[:-1]).sum())
+                        if common and den * common >= num * (len(both) - common):
+                            root[top(k)] = top(m)
+                            a, b = int(x["doc_id"][k]), int(x["doc_id"][m])
+                            found.add((min(a, b), max(a, b)))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    return placed(members, sets.where(F.octet_length("items") > 0)).select(*names, "items").mapInArrow(run, "a bigint, b bigint")
 
 
 def _with_end(batches):

@@ -282,6 +282,25 @@ def test_blocks_of_groups_bring_no_loss(docs_of, monkeypatch):
     assert got == plain_components(rows)[0]
 
 
+def test_groups_of_alike_texts_that_hardly_link(docs_of, monkeypatch):
+    """Copies of one text, each with its own edits, look alike in pairs by the thousand; few pairs reach the similarity."""
+    rng = random.Random(31)
+    text = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(150):
+        mine = list(text)
+        for at in rng.sample(range(0, 120, 3), rng.choice([3, 4, 5])):
+            mine[at] = f"x{rng.randrange(6)}"
+        rows.append((k, " ".join(mine)))
+    rows += [(150, ""), (7, rows[7][1]), (9, "")]
+    compared, plain = [], partenum_join.exact_links
+    monkeypatch.setattr(partenum_join, "exact_links", lambda members, *rest: compared.append(members.count()) or plain(members, *rest))
+    monkeypatch.setattr(partenum_join, "BLOCK_MEMBERS", 40)
+    got = Counter(tuple(r) for r in partenum_join.similar_components(docs_of(*rows)).collect())
+    assert got == plain_components(rows)[0]
+    assert compared and len({c for _, _, c in got}) > 10
+
+
 def test_join_of_an_empty_table(docs_of):
     assert partenum_join.similar_components(docs_of((1, "x")).limit(0)).count() == 0
 

@@ -12,8 +12,8 @@ have no more (rare; band parameters see to it) sign once more under another seed
 
 Candidates are verified exactly, on whole sets. Signature groups never become rows of all pairs: first each member is compared with
 the group's least, links give components, and only members of different components are compared further, within the task,
-after each set has left the most crowded of the signatures that it is certain to share: by sketches the one that looks most alike, then
-by whole sets as far as groups are still apart. No step gives more rows than a group has members, apart from copies in other blocks.
+after each set has left the most crowded of the signatures that it is certain to share: by sketches those that look most alike, then
+by whole sets as far as groups are still apart. Rows grow with the members of a group, not with its pairs.
 """
 
 from dataclasses import dataclass
@@ -37,6 +37,8 @@ NUM, DEN = 75, 100
 BUCKET_SIGNATURES = 300_000
 #: Members of a signature group that are compared with each other in one place; larger groups are cut into blocks.
 BLOCK_MEMBERS = 1024
+#: Pairs that a member of a group gives before whole sets are compared in the task.
+CANDIDATES = 8
 #: Shingles of a block, about, where whole sets are compared.
 BLOCK_SHINGLES = 2_000_000
 #: Least mean number of shingles below a signature.
@@ -403,7 +405,7 @@ def linked_components(members: DataFrame, pairs: DataFrame, ties: DataFrame, siz
     After the pairs with the least members come those that these did not bring together. A set shares at least
     ``slack`` signatures with each partner, so it can do without its slack - 1 most crowded ones: of the signatures that two linked
     sets share, the least crowded stays in both. The members that remain are compared within their groups, in blocks: first each
-    with the one that looks most alike, then, in groups that are still apart and have further candidates, by whole sets in the task.
+    with those that look most alike, then, in groups that are still apart and have further candidates, by whole sets in the task.
     """
     links = verified(pairs, sizes, docs, num, den)
     links = written(ties if links is None else ties.unionByName(links), "links")
@@ -500,7 +502,7 @@ def candidates(x: dict, bounds: np.ndarray, cells: np.ndarray, first: int, stop:
 def open_pairs(members: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
     """Candidate pairs (a, b) of different components within a group, and the sig of each group that has further ones.
 
-    A member gives the pair that looks most alike only, so rows grow with the members; ``exact_links`` sees to what is left.
+    A member gives the pairs that look most alike only, so rows grow with the members; ``exact_links`` sees to what is left.
     """
     names = ["sig", "i", "j", "doc_id", "c", "block", "n_shingles"]
 
@@ -511,9 +513,10 @@ def open_pairs(members: DataFrame, sizes: DataFrame, num: int, den: int) -> Data
             pairs, left = set(), set()
             for first, stop in zip(edges[:-1], edges[1:]):
                 for k, may, alike in candidates(x, bounds, cells, first, stop, num, den):
-                    a, b = int(x["doc_id"][k]), int(x["doc_id"][may[alike.argmax()]])
-                    pairs.add((min(a, b), max(a, b)))
-                    if len(may) > 1:
+                    a = int(x["doc_id"][k])
+                    for b in x["doc_id"][may[np.argsort(-alike, kind="stable")[:CANDIDATES]]].tolist():
+                        pairs.add((min(a, b), max(a, b)))
+                    if len(may) > CANDIDATES:
                         left.add(int(x["sig"][first]))
             none = [None] * len(left)
             yield pa.RecordBatch.from_arrays([

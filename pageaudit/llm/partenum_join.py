@@ -192,27 +192,35 @@ def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sketches(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each set how many elements fall in each cell of the hash space, one byte per cell, and the first cell of each row.
+    """For each set which cells of the hash space hold an element, one bit per cell, and the first byte of each row.
 
-    The cells of a set are a power of two, half its size at least; 255 stands for that many and more.
+    The cells of a set are a power of two, four times its size at least; coarser cells are the parts of a sketch laid over each other.
     """
     n = np.diff(first)
-    bits = np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / 2)).astype(np.int64))
-    base = np.concatenate([[0], np.cumsum(np.where(n > 0, 1 << bits, 0))])
+    bits = np.maximum(3, np.ceil(np.log2(np.maximum(n, 1) * 4)).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(np.where(n > 0, 1 << bits - 3, 0))])
     row = tb.row_of(first)
-    cell = np.where(bits[row] > 0, (hashes >> (np.uint64(64) - np.maximum(bits, 1)[row].astype(np.uint64))).astype(np.int64), 0)
-    return np.minimum(np.bincount(base[:-1][row] + cell, minlength=int(base[-1])), 255).astype(np.uint8), base
+    held = np.zeros(8 * int(base[-1]), bool)
+    held[8 * base[:-1][row] + (tb.mix(hashes) & ((np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1))[row]).astype(np.int64)] = True
+    return np.packbits(held, bitorder="little"), base
+
+
+def most_common(x: np.ndarray, y: np.ndarray, n, m):
+    """Upper bound of the shared elements of sets of n and m elements whose sketches are x and the rows of y, equally wide."""
+    here, there = (np.bitwise_count(c).sum(-1, dtype=np.int64) for c in (x & ~y, y & ~x))
+    return np.minimum(n - here, m - there)
+
+
+def coarse(cells: np.ndarray, width: int) -> np.ndarray:
+    return np.bitwise_or.reduce(cells.reshape(-1, width), axis=0)
 
 
 def may_link(x: np.ndarray, y: np.ndarray, n: int, m: int, num: int, den: int) -> bool:
     """Whether sets of n and m elements with these sketches can be similar enough; never says no to sets that are."""
     if num * max(n, m) > den * min(n, m):
         return False
-    if len(x) > len(y):
-        x, y = y, x
-    if x.max() == 255 or y.max() == 255:
-        return True
-    common = int(np.minimum(x, y.reshape(len(x), -1).sum(1)).sum())
+    width = min(len(x), len(y))
+    common = int(most_common(coarse(x, width), coarse(y, width), n, m))
     return den * common >= num * (n + m - common)
 
 
@@ -485,16 +493,16 @@ def candidates(x: dict, bounds: np.ndarray, cells: np.ndarray, first: int, stop:
         return
     home = c == names[count.argmax()]
     least = int(wide.min())
-    table = np.stack([cells[a : a + w].reshape(least, -1).sum(1, dtype=np.int32) for a, w in zip(start, wide)])
-    full = np.array([cells[a : a + w].max() == 255 for a, w in zip(start, wide)])
+    table = np.stack([coarse(cells[a : a + w], least) for a, w in zip(start, wide)])
+    table = table.view("<u8") if least % 8 == 0 else table
     later = np.arange(stop - first)
     for k in np.flatnonzero(~home):
         low, high = np.minimum(n[k], n), np.maximum(n[k], n)
         may = np.flatnonzero((home | (later > k)) & (c != c[k]) & (num * high <= den * low) & (within | (far != far[k])))
         if len(may):
-            common = np.minimum(table[k], table[may]).sum(1)
+            common = most_common(table[k], table[may], n[k], n[may])
             both = n[k] + n[may] - common
-            fit = (den * common >= num * both) | full[k] | full[may]
+            fit = den * common >= num * both
             if fit.any():
                 yield first + k, first + may[fit], common[fit] / np.maximum(both[fit], 1)
 

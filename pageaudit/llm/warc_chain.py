@@ -23,8 +23,10 @@ MAGIC = b"WARC/1.1\r\n"
 CLOSE = b"\r\n\r\n"
 #: Equal payloads of at least as many bytes are stored once.
 REVISIT_BYTES = 1000
-#: Bytes of a file that one task looks through; the longest header that is accepted.
+#: Bytes of a file that one task looks through; bytes read for a header first (a longer one is read on).
 RANGE_BYTES, HEADER_BYTES = 8 << 20, 64 << 10
+#: Types of the records that are read back.
+PAGES = ("response", "revisit")
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
@@ -111,12 +113,21 @@ def parse_header(raw: bytes) -> tuple[dict, int] | None:
 
 
 def header_at(source, at: int, held: bytes = b"", base: int = 0) -> tuple[dict, int, int] | None:
-    """Fields, offset of the block and offset of the successor; reads more of the file where the header needs it."""
+    """Fields, offset of the block and offset of the successor; reads more of the file where the header needs it.
+
+    A header may be of any length: pieces of doubled size are read until its end, the file's end or a line that is no field.
+    """
     raw = held[at - base : at - base + 4096] if held and at - base + 4096 <= len(held) else b""
     found = parse_header(raw) if raw else None
     if found is None and (not raw or CLOSE not in raw):
-        source.seek(at)
-        found = parse_header(source.read(HEADER_BYTES))
+        piece = HEADER_BYTES
+        while True:
+            source.seek(at)
+            raw = source.read(piece)
+            if CLOSE in raw or not raw.startswith(MAGIC) or at + piece >= source.size() or any(b":" not in x for x in raw.split(b"\r\n")[1:-1]):
+                break
+            piece *= 2
+        found = parse_header(raw)
     if found is None:
         return None
     fields, start = found
@@ -136,7 +147,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def candidates(files: DataFrame, step: int = RANGE_BYTES) -> DataFrame:
-    """file, at (offset of a candidate) and next (the first offset on its chain beyond its range; null past a broken link or the end)."""
+    """file, at (offset of a candidate), next (the first offset on its chain beyond its range; null past a broken link or the end)
+    and n (responses and revisits on the chain before that)."""
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -145,24 +157,30 @@ def candidates(files: DataFrame, step: int = RANGE_BYTES) -> DataFrame:
                     stop = min(row["start"] + step, row["size"])
                     source.seek(row["start"])
                     held = source.read(min(step + HEADER_BYTES, row["size"] - row["start"]))
-                    jump = {}
+                    jump, n = {}, {}
                     at = held.find(MAGIC)
                     while 0 <= at < stop - row["start"]:
                         if found := header_at(source, row["start"] + at, held, row["start"]):
                             jump[row["start"] + at] = found[2]
+                            n[row["start"] + at] = int(found[0].get("warc-type") in PAGES and found[2] <= row["size"])
                         at = held.find(MAGIC, at + 1)
                 for at in sorted(jump, reverse=True):  # later candidates of the range are settled first
                     after = jump[at]
+                    n[at] += n.get(after, 0)
                     jump[at] = jump.get(after) if after < stop else after if after < row["size"] else None
                 yield pa.RecordBatch.from_pydict({
                     "file": pa.array([row["file"]] * len(jump), pa.string()), "at": pa.array(list(jump), pa.int64()), "next": pa.array(list(jump.values()), pa.int64()),
+                    "n": pa.array([n[at] for at in jump], pa.int64()),
                 })
 
-    return spread(ranges(files, step)).mapInArrow(run, "file string, at bigint, next bigint")
+    return spread(ranges(files, step)).mapInArrow(run, "file string, at bigint, next bigint, n bigint")
 
 
 def entries(files: DataFrame, step: int = RANGE_BYTES) -> DataFrame:
-    """file and at: the offsets at which the chain from the file start enters a range, found by pointer jumping."""
+    """file and at: the offsets at which the chain from the file start enters a range, found by pointer jumping.
+
+    Fails if the chain of a file holds fewer records than ``files`` names.
+    """
     pointers = nodes = written(candidates(files, step), "warc-pointers")
     reached = written(pointers.where("at = 0").select("file", "at"), "warc-reached")
     known = reached.count()
@@ -178,14 +196,19 @@ def entries(files: DataFrame, step: int = RANGE_BYTES) -> DataFrame:
         onward = pointers.select("file", F.col("at").alias("to"), F.col("next").alias("beyond"))
         pointers = written(hop.join(onward, ["file", "to"], "left").select("file", "at", F.col("beyond").alias("next")), "warc-pointers")
     # an offset that holds no record (a broken file) ends the chain there
-    return reached.join(nodes.select("file", "at"), ["file", "at"], "left_semi")
+    entered = written(reached.join(nodes.select("file", "at", "n").distinct(), ["file", "at"]), "warc-entries")
+    found = files.join(entered.groupBy("file").agg(F.sum("n").alias("found")), "file", "left").fillna(0, ["found"])
+    if short := found.where("found < records").select("file", "found", "records").take(5):
+        raise ValueError("fewer records than the table of files names: " + ", ".join(f"{r['file']} {r['found']} of {r['records']}" for r in short))
+    return entered.select("file", "at")
 
 
 def read_archives(files: DataFrame, step: int = RANGE_BYTES) -> DataFrame:
     """Records on the chain from each file's start: file, offset, record_type, record_id, refers_to, url, payload_digest, payload_bytes, payload, intact.
 
     Records that only look like such inside a payload are never reached. ``intact`` says whether the payload has the digest that
-    the header gives (null for revisits, whose size and digest are those that the header gives). A cut-off last record is left out.
+    the header gives (null for revisits, whose size and digest are those that the header gives). A cut-off last record is left out;
+    it is an error if fewer records are reached than ``files`` names.
     """
     def records(row, source):
         at, size = row["at"], source.size()
@@ -195,7 +218,7 @@ def read_archives(files: DataFrame, step: int = RANGE_BYTES) -> DataFrame:
             if found is None or found[2] > size:
                 return
             fields, block, at_next = found
-            if fields.get("warc-type") in ("response", "revisit"):
+            if fields.get("warc-type") in PAGES:
                 source.seek(block)
                 http, _, payload = source.read(at_next - len(CLOSE) - block).partition(CLOSE)
                 digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
@@ -218,7 +241,7 @@ def read_archives(files: DataFrame, step: int = RANGE_BYTES) -> DataFrame:
                 with system.open_input_file(path) as source:
                     for r in records(row, source):
                         held.append(r)
-                        weight += 1000 + len(r["payload"] or b"")
+                        weight += 1000 + len(r["payload"] or b"") + len(r["url"] or "")
                         if weight > 4 << 20:
                             yield pa.RecordBatch.from_pylist(held, schema)
                             held, weight = [], 0

@@ -146,6 +146,21 @@ def test_cut_off_archives_and_no_pages(shared, tmp_path):
     assert warc_chain.read_archives(warc_chain.write_archives(none)).count() == 0
 
 
+def test_headers_of_any_length_and_the_count_of_records(shared, tmp_path):
+    pages = [(i, ("http://h/" + "é y" * 66_667 if i == 3 else f"u{i}"), f"page {i}") for i in range(8)] + [(8, "u8", "x:WARC/1.1\r\n" * 300)]
+    table = shared.createDataFrame(pages, "page_id long, url string, html string").repartition(1)
+    files = warc_chain.write_archives(table, tmp_path.as_uri() + "/w")
+    for step in (1 << 23, 70_000, 4096):
+        rows = warc_chain.read_archives(files, step).collect()
+        assert sorted((warc_id(r["record_id"]), r["url"].replace("%20", " "), bytes(r["payload"]).decode()) for r in rows) == pages
+    with pytest.raises(ValueError, match="9 of 10"):
+        warc_chain.read_archives(files.selectExpr("file", "bytes", "records + 1 AS records"))
+
+
+def warc_id(urn):
+    return int(urn.removeprefix("<urn:page:").removesuffix(">"))
+
+
 # decontamination
 
 

@@ -1,8 +1,7 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters, digits and bytes beyond ASCII, in lower case. The three-word runs of the test items
-are counted over all documents. Seeds are the rare ones among those that occur, and of every four consecutive runs of an
-item the rarest, so that any copied stretch of six words holds a seed, however common it is. Seeds join passages of the documents to items; each pair is
+Words are runs of letters, digits and bytes beyond ASCII, in lower case. All three-word runs of the test items are
+seeds, however common they are. Seeds join passages of the documents to items; each pair that shares enough words is
 then aligned word by word, which finds edited and paraphrased copies with replaced, added and lost words.
 
 A fixed-size bit filter of the wanted runs goes to the tasks (its size is bounded whatever the benchmark's); what it lets
@@ -11,16 +10,14 @@ through is joined exactly afterwards.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageaudit.llm import textbatch as tb
 from pageaudit.llm.bitfilter import BitFilter
 from pageaudit.session import written
 
-RUN, SEED_WINDOW = 3, 4
-#: A run is rare if it occurs at most once in as many documents, or at most RARE_COUNT times.
-RARE_DOCUMENTS, RARE_COUNT = 1_000, 5
+RUN = 3
 #: Words kept on either side of a seed, and the largest gap between seeds of one passage.
 MARGIN = 24
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -70,32 +67,6 @@ def runs_of(items: DataFrame) -> DataFrame:
     return items.select("key", "words").mapInArrow(run, "key bigint, place int, run bigint")
 
 
-def count_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """run and n: how often each run of the items occurs in all documents; summed in each task before the shuffle."""
-    sieve = docs.sparkSession.sparkContext.broadcast(BitFilter(runs, "run"))
-
-    def run(batches):
-        for batch in tb.slices(batches, "text"):
-            found, _ = tb.windows(*words_of(batch.column("text")), RUN)
-            values, n = np.unique(found[sieve.value.may_hold(found)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["run", "n"])
-
-    return docs.select("text").mapInArrow(run, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
-
-
-def seeds_of(runs: DataFrame, counts: DataFrame, n_docs: int) -> DataFrame:
-    """key, place and run of the seeds: rare runs, and the rarest of any SEED_WINDOW consecutive runs of an item. Runs that no document has are none."""
-    counted = written(runs.join(counts, "run", "left").select("key", "place", "run", "n"), "test-counts")
-    ahead = Window.partitionBy("key").orderBy("place").rowsBetween(0, SEED_WINDOW - 1)
-    rest = F.count("*").over(Window.partitionBy("key"))
-    found = F.when(F.col("n").isNotNull(), F.struct("n", "run", F.col("place").alias("at")))
-    rarest = counted.select("key", "place", rest.alias("size"), F.min(found).over(ahead).alias("least"))
-    full = rarest.where((F.col("place") == 0) | (F.col("place") + SEED_WINDOW <= F.col("size")))
-    least = full.where("least IS NOT NULL").select("key", F.col("least.at").alias("place"), F.col("least.run").alias("run"))
-    rare = counted.where(F.col("n") <= max(RARE_COUNT, n_docs // RARE_DOCUMENTS)).select("key", "place", "run")
-    return rare.unionByName(least).distinct()
-
-
 def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     """doc_id, start (word), words (hashes) and hits (run and place in the passage) of the stretches around seeds."""
     sieve = docs.sparkSession.sparkContext.broadcast(BitFilter(seeds, "run"))
@@ -159,10 +130,24 @@ def align(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray,
     return best >> 40, (best >> 20) & 0xFFFFF, best & 0xFFFFF, end
 
 
+def within_reach(left: pa.ListArray, right: pa.ListArray) -> np.ndarray:
+    """Whether so many words of the left text occur in the right one that an alignment may count."""
+    keys = []
+    for lists in (left, right):
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        keys.append(lists.flatten().to_numpy().view(np.uint64) ^ row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    size = np.diff(left.offsets.to_numpy())
+    common = np.bincount(np.repeat(np.arange(len(left)), size)[np.isin(*keys)], minlength=len(left))
+    return (MATCH * common >= LEAST_SHARE * MATCH * size) | (common >= LEAST_WORDS)
+
+
 def aligned(pairs: DataFrame) -> DataFrame:
-    """The pairs (doc_id, start, words, item_id, item_words) with score, matched, from_word and to_word (in the document)."""
+    """The pairs (doc_id, start, words, item_id, item_words) with score, matched, from_word and to_word (in the document).
+
+    Pairs that cannot reach the least share or number of words are left out."""
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(within_reach(batch.column("item_words"), batch.column("words"))))
             left = [x.values.to_numpy() for x in batch.column("item_words")]
             right = [x.values.to_numpy() for x in batch.column("words")]
             order = sorted(range(len(left)), key=lambda k: (len(left[k]), len(right[k])))
@@ -190,8 +175,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text")).where(F.col("text").isNotNull())
     book = written(item_table(items, item_id, item_text), "test-items")
-    runs = written(runs_of(book), "test-runs")
-    seeds = written(seeds_of(runs, count_runs(docs, runs), docs.count()), "test-seeds")
+    seeds = written(runs_of(book).select("key", "run").distinct(), "test-seeds")
     found = passages(docs, seeds).withColumn("passage", F.xxhash64("doc_id", "start", "words"))
     found = written(found, "test-passages")
     hits = found.select("passage", F.explode("hits.run").alias("run")).distinct().join(seeds, "run")

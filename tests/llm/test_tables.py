@@ -221,6 +221,24 @@ def test_copies_are_found_and_clean_documents_left(shared, docs_of):
     assert left == {i for i, _ in rows if i is None or i not in {p[0] for p in pairs}}
 
 
+def test_edited_copies_of_a_short_item_that_many_documents_hold(shared, docs_of):
+    rng = random.Random(8)
+    items = [(i, [f"w{i}x{k}" for k in range(15)]) for i in range(3)]
+    number = defaultdict(lambda: len(number) + 1)
+    rows, want = [], set()
+    for k in range(3000):
+        i, words = items[k % 3]
+        body = words if k < 1500 else [w if rng.random() > 0.25 else f"q{rng.randint(0, 10**6)}" for w in words]
+        body = [f"a{k}", *body, f"b{k}"]
+        rows.append((k, " ".join(body)))
+        score = decontaminate.align([np.array([number[w] for w in words], np.uint64)], [np.array([number[w] for w in body], np.uint64)])[0][0]
+        runs = {tuple(words[j : j + 3]) for j in range(13)}
+        if score >= decontaminate.LEAST_SHARE * 2 * 15 and any(tuple(body[j : j + 3]) in runs for j in range(len(body))):
+            want.add((k, i))
+    bench = shared.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs_of(*rows), bench).collect()} == want
+
+
 def test_decontamination_of_empty_tables(shared, docs_of):
     bench = shared.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     docs = docs_of((1, "x a b c d e f y"))

@@ -2,7 +2,8 @@
 
 Patterns propose candidates; a span is reported beside the plain ones only after its structure has been
 read: signed-token headers are decoded and parsed as JSON, key blocks and free base64 or hex are decoded and must
-hold nested DER lengths that fit exactly, SSH keys must hold length-prefixed fields.
+hold nested DER lengths that fit exactly, SSH keys must hold length-prefixed fields. Line breaks may be written as escapes;
+base64 may be URL-safe or wrapped over lines, hex may have capitals.
 """
 
 import base64
@@ -26,11 +27,18 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "jwt", "pem", "ssh", "der")
 
-SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: A header begins with an opening brace or with white space; the shortest that names an algorithm has 14 letters.
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(?=e[wy]|[CDI][A-Za-z])[A-Za-z0-9_-]{12,}+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*")
 BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
 BLOB = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
+URL_BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9_-]{40,}={0,2}")
+#: Base64 over several lines, from a letter with which DER or an SSH key begins.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[MAb][A-Za-z0-9+/_-]{39,}+(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LETTER = re.compile(r"[A-Za-z0-9+/_-]")
+CAPITAL_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{30,}")
+ESCAPED = re.compile(r"\\+[rn]")
 #: A text in which this finds nothing has no candidate of any kind.
-ANY = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{16}|eyJ|-----BEGIN|[A-Za-z0-9+/]{40}"
+ANY = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{16}|[0-9A-Fa-f]{32}|[A-Za-z0-9_-]{12}\.[A-Za-z0-9_-]|-----BEGIN|[A-Za-z0-9+/_-]{40}"
 
 
 def der_members(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
@@ -82,8 +90,8 @@ def ssh_fits(data: bytes) -> bool:
 
 
 def from_base64(text: str) -> bytes | None:
-    """The decoded bytes, or None; missing padding is made up for."""
-    text = text.rstrip("=")
+    """The decoded bytes, or None; missing padding is made up for. Both alphabets are read."""
+    text = text.rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -103,9 +111,29 @@ def signed_token(text: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(part(body), dict)
 
 
+def wrapped(text: str, start: int, end: int) -> tuple[int, int, str] | None:
+    """The span of a structure whose base64 goes over several lines: DER as far as its length says, else a whole SSH key."""
+    places = [m.start() for m in LETTER.finditer(text, start, end)]
+    head = from_base64("".join(text[k] for k in places[:8]))
+    if head[0] == 0x30:
+        more = head[1] & 0x7F if head[1] >= 0x80 else 0
+        size = 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])
+        n = (4 * size + 2) // 3
+        if more <= 4 and n <= len(places) and not LETTER.match(text, places[n - 1] + 1):
+            data = from_base64("".join(text[k] for k in places[:n]))
+            if data and der_fits(data):
+                return start, re.compile("={0,2}").match(text, places[n - 1] + 1).end(), "der"
+    for stop in (end, start + len(text[start:end].rsplit(None, 1)[0])):  # the last word may be of another line
+        data = from_base64("".join(text[start:stop].split()))
+        if data and ssh_fits(data):
+            return start, stop, "ssh"
+    return None
+
+
 def confirmed(text: str, hexes: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-    """The spans whose structure holds. Candidates that fail are dropped."""
+    """The spans whose structure holds. Candidates that fail are dropped. Escaped line breaks are read as breaks; places are those of the text."""
     out, taken = [], []
+    text = ESCAPED.sub(lambda m: "\n".rjust(len(m[0])), text)
     for m in SIGNED.finditer(text):
         if signed_token(m[0]):
             out.append((m.start(), m.end(), "jwt"))
@@ -122,7 +150,7 @@ def confirmed(text: str, hexes: list[tuple[int, int]]) -> list[tuple[int, int, s
             if data and (der_fits(data) or ssh_fits(data) or "ENCRYPTED" in text[m.start() : after[0]]):
                 out.append((m.start(), after[1], "pem"))
                 taken.append((m.start(), after[1]))
-    for m in BLOB.finditer(text):
+    for m in [*BLOB.finditer(text), *URL_BLOB.finditer(text)]:
         if any(a <= m.start() < b for a, b in taken):
             continue
         data = from_base64(m[0])
@@ -130,7 +158,10 @@ def confirmed(text: str, hexes: list[tuple[int, int]]) -> list[tuple[int, int, s
             out.append((m.start(), m.end(), "ssh"))
         elif data and der_fits(data):
             out.append((m.start(), m.end(), "der"))
-    for a, b in hexes:
+    for m in WRAPPED.finditer(text):
+        if not any(a <= m.start() < b for a, b in taken) and (span := wrapped(text, *m.span())):
+            out.append(span)
+    for a, b in [*hexes, *(m.span() for m in CAPITAL_HEX.finditer(text))]:
         if (b - a) % 2 == 0 and text.startswith("30", a) and der_fits(bytes.fromhex(text[a:b])):
             out.append((a, b, "der"))
     return out

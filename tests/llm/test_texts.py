@@ -218,6 +218,38 @@ def test_structure_decides():
     assert ("der" in [s[2] for s in secret_scan.scan(DER.hex())]) and "der" not in [s[2] for s in secret_scan.scan(bytes(20).hex())]
 
 
+def test_other_spellings_of_structures(docs_of):
+    import base64
+
+    def der(x, tag=0x30):
+        return bytes([tag, 0x82]) + len(x).to_bytes(2, "big") + x
+
+    rng = random.Random(4)
+    key = der(b"\x02\x01\x00" + der(rng.randbytes(300), 4))
+    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-rsa", b"\x01\x00\x01", rng.randbytes(200)))
+    lines = lambda x: re.findall(".{1,64}", base64.b64encode(x).decode())
+    url = base64.urlsafe_b64encode(key).decode()
+    assert "-" in url or "_" in url
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    token = [".".join([part(h), part(b"{}"), "c2ln"]) for h in (b'{ "alg":"HS256"}', b'{\n"alg":"RS256"}', b' {"alg":""}')]
+    armour = ["-----BEGIN PRIVATE KEY-----", *lines(key), "-----END PRIVATE KEY-----"]
+    wanted = [
+        (r"\n".join(armour), "pem"), (r"\r\n".join(armour) + r"\n", "pem"), (r"\\n".join(armour), "pem"), (key.hex().upper(), "der"),
+        (url, "der"), (url.rstrip("="), "der"), ("\n".join(lines(key)), "der"), ("\r\n  ".join(lines(key)), "der"), (r"\n".join(lines(key)), "der"),
+        ("\n".join(lines(ssh)), "ssh"), *((t, "jwt") for t in token),
+    ]
+    texts = [a + w.join(("", b)) for w, _ in wanted for a, b in (('"k": "', '"'), ("é\n", "\nnext words"), (r"x\n", ""))]
+    for text, (secret, kind) in zip(texts, [w for w in wanted for _ in range(3)]):
+        core = secret.removesuffix(r"\n") if kind == "pem" else secret
+        at = text.index(core)
+        assert (at, at + len(core), kind) in secret_scan.scan(text), (kind, text)
+        assert re.search(secret_scan.ANY, text)
+    masked = secret_scan.redact(docs_of(*enumerate(texts))).collect()
+    assert all("<SECRET>" in r["text"] and len(r["text"]) < 40 for r in masked)
+    for text in ("\n".join(lines(key[:-1])), key[:-1].hex().upper()):
+        assert {k for *_, k in secret_scan.scan(text)} <= {"hex"}
+
+
 def test_secrets_of_a_table_and_masking(docs_of):
     text = "é token = 0123456789abcdef01 end"
     docs = docs_of((1, text), (1, text), (2, None), (3, ""), (None, "password: aaaaaaaaaaaa"), (4, "a" * 300_000))

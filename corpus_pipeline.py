@@ -1,7 +1,7 @@
 """From raw documents to token ids: five stages over whole tables, each written and read by the next.
 
 The quality classifier drops what it rejects, the Jaccard join keeps one document of each group, decontamination drops
-copies of test items, the secret scan masks what it finds, and byte-level BPE gives the ids.
+copies of test items, the secret scan masks what it finds, and byte-level BPE gives the ids and reads them back.
 """
 
 import public_tokenizers
@@ -39,10 +39,18 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, and whether decoding gives the text back."""
+    """doc_id, ids, n_tokens, the SHA-256 of the decoded bytes, and whether they are those of the text (a null text is empty).
+
+    The text's own hash goes along with each row, so rows without an id and repeated ids are compared with their own text.
+    """
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = byte_bpe.encode(docs, path, public_tokenizers.PATTERN)
-    return ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    own = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256")
+    ids = byte_bpe.encode(docs.select(F.struct("doc_id", own).alias("row"), "text"), path, public_tokenizers.PATTERN, id_col="row")
+    back = byte_bpe.decode(ids.select(F.struct("row.*", "ids").alias("row"), "ids"), path, id_col="row", text=False)
+    return back.withColumn("decoded_sha256", F.sha2("data", 256)).select(
+        "row.doc_id", "row.ids", F.size("row.ids").cast("long").alias("n_tokens"), "decoded_sha256",
+        (F.col("decoded_sha256") == F.col("row.text_sha256")).alias("round_trip"),
+    )
 
 
 STAGES = [

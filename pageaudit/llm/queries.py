@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pageaudit.llm import byte_bpe, decontaminate, partenum_join, pii_boost, quality_nbsvm, rule_ledger, secret_scan, token_pack, url_filter, warc_chain
+from pageaudit.llm import byte_bpe, chat_repair, decontaminate, drift_clusters, partenum_join, pii_boost, quality_nbsvm, rule_ledger, secret_scan, token_pack, url_filter, warc_chain
 from pageaudit.llm.piece_encoder import word_encoder
 
 QUERIES, ORACLE = {}, {}
@@ -167,3 +167,39 @@ m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN n.n IS NULL THEN d.doc_id ELSE coalesce(m.c, d.doc_id) END AS component_id
 FROM d LEFT JOIN n USING (k) LEFT JOIN m ON m.doc_id = d.doc_id
 """
+
+
+@query
+def op11_drift_clusters(spark, folder):
+    return drift_clusters.cluster_vectors(table(spark, folder, "embeddings")).drop("scanned")
+
+
+def _cluster_sql(k=40, size=64, rounds=5):
+    """Assignment and update written out once for each round; sums of products of whole numbers below 2^53 are exact in doubles."""
+    steps = []
+    for t in range(rounds + 1):
+        steps.append(f"""a{t} AS (SELECT v.r, arg_min(j, (n - 2 * list_inner_product(p, c) + cn, j)) AS j, CAST(min(n - 2 * list_inner_product(p, c) + cn) AS BIGINT) AS d
+       FROM v, c{t} GROUP BY v.r)""")
+        if t < rounds:
+            steps.append(f"""s{t} AS (SELECT j, list(m ORDER BY i) AS c FROM (SELECT a.j, i, floor(sum(CAST(v.p[i] AS HUGEINT)) // count(*) - CASE WHEN sum(CAST(v.p[i] AS HUGEINT)) % count(*) < 0 THEN 1 ELSE 0 END) AS m
+       FROM a{t} a JOIN v USING (r), (SELECT unnest(generate_series(1, {size})) AS i) GROUP BY a.j, i) GROUP BY j)""")
+            steps.append(f"c{t + 1} AS (SELECT j, c, list_inner_product(c, c) AS cn FROM (SELECT c{t}.j, CAST(coalesce(s{t}.c, c{t}.c) AS DOUBLE[]) AS c FROM c{t} LEFT JOIN s{t} USING (j)))")
+    body = ",\n".join(steps)
+    return f"""
+WITH v AS (SELECT r, vec_id, p, list_inner_product(p, p) AS n FROM (SELECT row_number() OVER () AS r, vec_id, CAST(list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS DOUBLE[]) AS p
+     FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size})),
+c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS j, p AS c, n AS cn FROM (SELECT sha256('2:' || vec_id) AS h, p, n FROM v ORDER BY h LIMIT {k})),
+{body},
+f AS (SELECT j, sum(d) AS ci FROM a{rounds} GROUP BY j)
+SELECT v.vec_id, CAST(a.j AS INTEGER) AS cluster, a.d AS distance, CAST(f.ci AS BIGINT) AS cluster_inertia, CAST((SELECT sum(ci) FROM f) AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c{rounds}.c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN f USING (j) JOIN c{rounds} USING (j)
+"""
+
+
+ORACLE["op11_drift_clusters"] = _cluster_sql()
+
+
+@query
+def op12_chat_repair(spark, folder):
+    return chat_repair.summaries(chat_repair.damaged(table(spark, folder, "conversations")))

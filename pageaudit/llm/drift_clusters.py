@@ -137,13 +137,26 @@ def reassign(state: DataFrame, centroids: np.ndarray, loosen: np.ndarray) -> Dat
 def moved(state: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The new centroids (the exact floor of each mean; without vectors the old one) and the largest distance in each cluster.
 
-    A row per cluster comes to the driver: clusters times components, whatever the input.
+    Each batch is summed where it is read; a row per cluster and component comes to the driver, whatever the input.
+    Sums of components fit a long for 2^36 vectors.
     """
-    sums = [F.sum(F.col("point")[i].cast("decimal(20,0)")).alias(f"s{i}") for i in range(centroids.shape[1])]
-    new, radius = centroids.copy(), np.zeros(len(centroids))
-    for r in state.groupBy("cluster").agg(F.count("*").alias("n"), F.max("distance").alias("far"), *sums).collect():
-        new[r["cluster"]] = [int(r[f"s{i}"]) // r["n"] for i in range(centroids.shape[1])]
-        radius[r["cluster"]] = np.sqrt(float(r["far"])) * (1 + SHARE)
+    k, size = centroids.shape
+
+    def run(batches):
+        for batch in (b for b in batches if b.num_rows):
+            points, cluster, distance = rows_of(batch, size), batch["cluster"].to_numpy(), batch["distance"].to_numpy()
+            order = np.argsort(cluster, kind="stable")
+            own, start = np.unique(cluster[order], return_index=True)
+            sums, far = np.add.reduceat(points[order], start, axis=0), np.maximum.reduceat(distance[order], start)
+            n = np.diff(np.append(start, len(cluster)))
+            at = np.repeat(own.astype(np.int64) * size, size) + np.tile(np.arange(size), len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, sums.ravel(), np.repeat(n, size), np.repeat(far, size))], ["at", "sum", "n", "far"])
+
+    new, radius = centroids.copy(), np.zeros(k)
+    parts = state.select("point", "cluster", "distance").mapInArrow(run, "at bigint, sum bigint, n bigint, far bigint")
+    for r in parts.groupBy("at").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"), F.max("far").alias("far")).collect():
+        new[r["at"] // size, r["at"] % size] = r["sum"] // r["n"]
+        radius[r["at"] // size] = np.sqrt(float(r["far"])) * (1 + SHARE)
     return new, radius
 
 

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pageaudit.llm import byte_bpe, chat_repair, decontaminate, drift_clusters, partenum_join, pii_boost, quality_nbsvm, rule_ledger, secret_scan, token_pack, url_filter, warc_chain
+from pageaudit.llm import byte_bpe, chat_repair, decontaminate, drift_clusters, partenum_join, pii_boost, quality_nbsvm, rule_ledger, secret_scan, suffix_dedup, token_pack, url_filter, warc_chain
 from pageaudit.llm.piece_encoder import word_encoder
 
 QUERIES, ORACLE = {}, {}
@@ -203,3 +203,8 @@ ORACLE["op11_drift_clusters"] = _cluster_sql()
 @query
 def op12_chat_repair(spark, folder):
     return chat_repair.summaries(chat_repair.damaged(table(spark, folder, "conversations")))
+
+
+@query
+def op13_suffix_dedup(spark, folder):
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"))

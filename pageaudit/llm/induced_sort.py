@@ -57,14 +57,14 @@ class Store:
 class TupleQueue:
     """Buckets of (position, value) in order of arrival; the fullest state in memory is bounded, the rest lies in run files."""
 
-    def __init__(self, store: Store, limit: int):
-        self.store, self.limit, self.held, self.runs, self.count = store, limit, {}, [], 0
+    def __init__(self, store: Store, limit: int, kind=np.int64):
+        self.store, self.limit, self.held, self.runs, self.count, self.kind = store, limit, {}, [], 0, kind
 
     def push(self, symbols: np.ndarray, positions: np.ndarray, values: np.ndarray) -> None:
         if not len(symbols):
             return
         order = np.argsort(symbols, kind="stable")
-        s, p, v = symbols[order], positions[order], values[order]
+        s, p, v = symbols[order], positions[order].astype(self.kind, copy=False), values[order].astype(self.kind, copy=False)
         edges = np.flatnonzero(np.diff(s)) + 1
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(s)]):
             self.held.setdefault(int(s[a]), []).append((p[a:b], v[a:b]))
@@ -79,7 +79,7 @@ class TupleQueue:
             n = sum(len(p) for p, _ in chunk)
             arrays += [p for p, _ in chunk] + [v for _, v in chunk]
             index[symbol] = (at, n)
-            at += 16 * n
+            at += 2 * self.width * n
         self.runs.append((self.store.put(arrays), index))
         self.held, self.count = {}, 0
 
@@ -92,16 +92,20 @@ class TupleQueue:
         for name, index in self.runs:
             if symbol in index:
                 at, n = index.pop(symbol)
-                raw = self.store.get(name, at, 16 * n)
-                positions.append(np.frombuffer(raw, np.int64, n))
-                values.append(np.frombuffer(raw, np.int64, n, 8 * n))
+                raw = self.store.get(name, at, 2 * self.width * n)
+                positions.append(np.frombuffer(raw, self.kind, n))
+                values.append(np.frombuffer(raw, self.kind, n, self.width * n))
         for p, v in self.held.pop(symbol, []):
             self.count -= len(p)
             positions.append(p)
             values.append(v)
-        none = np.zeros(0, np.int64)
+        none = np.zeros(0, self.kind)
         return np.concatenate([none, *positions]), np.concatenate([none, *values])
 
+    @property
+    def width(self) -> int:
+        return np.dtype(self.kind).itemsize
+
 
 class Strings:
     """Symbols (from 1; 0 is the sentinel that closes each string) with types and leftmost S positions."""
@@ -119,7 +123,7 @@ class Strings:
         self.ends = np.flatnonzero(symbols == 0)
         self.slot = np.zeros(n, np.int32)  # of the leftmost S positions
         self.slot[self.leftmost] = np.arange(len(self.leftmost))
-        self.words = None
+        self.words, self.shifted = None, np.concatenate([symbols[:1] * 0, symbols])
 
     def rest(self, positions: np.ndarray) -> np.ndarray:
         """Symbols from each position to the end of its string."""
@@ -127,7 +131,7 @@ class Strings:
 
     def before(self, positions: np.ndarray) -> np.ndarray:
         """The symbol left of each position; 0 at the start of a string."""
-        return np.where(positions > 0, self.t[positions - 1], 0)
+        return self.shifted[positions]
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Common prefix of each pair of suffixes, ``most`` symbols long at most, by comparing eight bytes at a time."""
@@ -182,7 +186,8 @@ def induce(text: Strings, seeds: np.ndarray, seed_lcp: np.ndarray | None, store:
     t, with_lcp = text.t, seed_lcp is not None
     first = t[seeds]
     alphabet = np.unique(t)
-    queue, kept = TupleQueue(store, limit), TupleQueue(store, limit)
+    kind = np.int32 if len(t) < 1 << 31 else np.int64
+    queue, kept = TupleQueue(store, limit, kind), TupleQueue(store, limit, kind)
     scan = Scan(len(t) if with_lcp else 0)
 
     def step(positions, keep):
@@ -200,7 +205,7 @@ def induce(text: Strings, seeds: np.ndarray, seed_lcp: np.ndarray | None, store:
         last, tail = -1, None
         while len(positions):
             lcp, at = settle(positions, ranks, last)
-            kept.push(np.full(len(positions), c), positions, lcp.astype(np.int64))
+            kept.push(np.full(len(positions), c), positions, lcp)
             last, tail = int(ranks[-1]), positions[-1:]
             symbols, left, mask = step(positions, lambda x: x >= c)
             own = at + np.flatnonzero(mask)
@@ -217,7 +222,7 @@ def induce(text: Strings, seeds: np.ndarray, seed_lcp: np.ndarray | None, store:
             symbols, left, mask = step(own, lambda x: x > c)
             queue.push(symbols, left, at + np.flatnonzero(mask))
 
-    queue, scan = TupleQueue(store, limit), Scan(len(t) if with_lcp else 0)
+    queue, scan = TupleQueue(store, limit, kind), Scan(len(t) if with_lcp else 0)
     for c in alphabet[::-1].tolist():  # downwards: S suffixes, then the L suffixes of the bucket
         if c == 0:
             break
@@ -233,12 +238,12 @@ def induce(text: Strings, seeds: np.ndarray, seed_lcp: np.ndarray | None, store:
             positions, ranks = left[symbols == c], own[symbols == c]
         positions, lcp = kept.pop(c)
         if len(positions):
-            positions, down = positions[::-1], np.zeros(len(positions), np.int64)
+            positions, down = positions[::-1], np.zeros(len(positions), np.int32)
             down[1:] = lcp[::-1][:-1]
             if with_lcp and tail is not None:
                 down[0] = text.common_one(tail, positions[:1])
             at = scan.add(down) if with_lcp else 0
-            yield positions, down.astype(np.int32)
+            yield positions, down
             symbols, left, mask = step(positions, lambda x: (x > 0) & (x < c))
             queue.push(symbols, left, at + np.flatnonzero(mask))
 

@@ -27,7 +27,7 @@ from pageaudit.session import scratch_path, written
 
 LENGTH, GRAM = 200, 50
 #: Strings of a piece at most; pieces of one anchor that are sorted together at most; bytes sorted at a time.
-STRINGS, HOT, SHARD_BYTES = 256, 20_000, 2 << 20
+STRINGS, HOT, SHARD_BYTES = 256, 20_000, 1 << 20
 INVERSE = np.uint64(pow(int(tb.BASE), -1, 1 << 64))
 #: Pieces that a task remembers to send each once.
 REMEMBERED = 200_000

@@ -1,10 +1,10 @@
 """One page of HTML as element, text and script rows (the per-row part of the structure job)."""
 
 import re
-from collections import Counter
 from html.parser import HTMLParser
 
 from pageaudit.fixed import CHROME_TAGS, HIDDEN_TAGS, STRUCK_CLASSES, STRUCK_TAGS
+from pageaudit.functions.marks import own_marks
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = {
@@ -28,7 +28,8 @@ class PageRows(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.elements, self.nodes, self.scripts, self.open = [], [], [], []
-        self.n_open, self.error = Counter(), None  # open elements by tag: what is not open need not be looked for
+        self.n_open, self.error = {}, None  # open elements by tag: what is not open need not be looked for
+        self.boxes, self.labels = 0, {}  # checkboxes so far; the first label of each ``for``
         self.text, self.last_leaf = [], None
 
     def updatepos(self, i, j):
@@ -57,7 +58,7 @@ class PageRows(HTMLParser):
     def shut(self, index):
         """Closes the open elements from ``index`` on."""
         for e in reversed(self.open[index:]):
-            e["last"], e["t1"] = len(self.elements) - 1, len(self.nodes)
+            e["last"], e["t1"], e["box"] = len(self.elements) - 1, len(self.nodes), self.boxes > e["boxes"]
             self.n_open[e["tag"]] -= 1
             self.last_leaf = e
         del self.open[index:]
@@ -67,7 +68,7 @@ class PageRows(HTMLParser):
         self.last_leaf = None
         if tag in CLOSES:
             ends, stops = CLOSES[tag]
-            for i in range(len(self.open) - 1, -1, -1) if any(self.n_open[t] for t in ends) else ():
+            for i in range(len(self.open) - 1, -1, -1) if any(self.n_open.get(t) for t in ends) else ():
                 name = self.open[i]["tag"]
                 if name in ends:
                     self.shut(i)
@@ -82,23 +83,28 @@ class PageRows(HTMLParser):
         classes = pairs.get("class", "").split()
         cls = " ".join(classes)
         hidden, chrome, struck = tag in HIDDEN, tag in CHROME, tag in STRUCK
-        parent = -1
+        parent, marks = -1, 0
         if self.open:
             up = self.open[-1]
-            parent = up["pos"]
+            parent, marks = up["pos"], up["up"] | up["own"]
             hidden, chrome, struck = hidden or up["hidden"], chrome or up["chrome"], struck or up["struck"]
         e = {
             "pos": pos, "parent": parent, "depth": len(self.open), "tag": tag, "id": pairs.get("id"),
             "cls": cls, "classes": classes, "attrs": list(pairs.items()), "after": None,
             "hidden": hidden, "chrome": chrome, "struck": struck or bool(cls and STRUCK_CLASS.search(cls)),
-            "t0": at, "t1": at, "last": pos,
+            "t0": at, "t1": at, "last": pos, "up": marks, "own": own_marks(tag, pairs, classes, cls, marks), "box": False, "label": None,
         }
+        if tag == "input":
+            self.boxes += pairs.get("type") == "checkbox"
+        elif tag == "label" and "for" in pairs:
+            self.labels.setdefault(pairs["for"], pos)
+        e["boxes"] = self.boxes
         self.elements.append(e)
         if tag in VOID:
             self.last_leaf = e
         else:
             self.open.append(e)
-            self.n_open[tag] += 1
+            self.n_open[tag] = self.n_open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -108,7 +114,7 @@ class PageRows(HTMLParser):
     def handle_endtag(self, tag):
         self.flush()
         self.last_leaf = None
-        for i in range(len(self.open) - 1, -1, -1) if self.n_open[tag] else ():
+        for i in range(len(self.open) - 1, -1, -1) if self.n_open.get(tag) else ():
             if self.open[i]["tag"] == tag:
                 self.shut(i)
                 return
@@ -141,4 +147,8 @@ def page_rows(html):
         p.error = f"{type(e).__name__}: {e}"
     p.flush()
     p.shut(0)
+    if p.labels:
+        for e in p.elements:
+            if e["tag"] == "input" and e["id"]:
+                e["label"] = p.labels.get(e["id"])
     return p

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pageaudit import fixed as X
 from pageaudit.functions import text as T
 from pageaudit.functions.jsonrows import json_rows
+from pageaudit.functions.marks import bit_of
 from pageaudit.functions.windows import top_k
 from pageaudit.operators import structure as H
 
@@ -230,37 +231,6 @@ def meta_candidates(parsed: DataFrame) -> DataFrame:
     return candidate_rows(parsed, meta_array())
 
 
-# Fixed values. Platform, label, confidence, is_mrp, alternatives. An alternative is a
-# list of steps, each an ancestor of the next. A step is a tag (None: any) and marks:
-# a class; -class (absent); ~part (class contains); #id; @attribute, @attribute=value
-# or @attribute*part.
-SELECTORS = [
-    ("shopify", "sale", 0.96, False, [
-        [(None, "price-item--sale")], [(None, "price__sale"), (None, "price-item")], [(None, "product__price--sale")],
-        [(None, "price--highlight")], [(None, "price-list"), ("span", "price", "-price--compare")]]),
-    ("shopify", "compare", 0.35, True, [
-        [(None, "price--compare")], [("del", None), (None, "price")], [(None, "price__compare-at")], [("s", "price-item--regular")]]),
-    ("shopify", "regular", 0.94, False, [
-        [(None, "price-item--regular")], [(None, "price__regular"), (None, "price-item")], [("span", "product-price")]]),
-    ("woocommerce", "sale", 0.96, False, [
-        [("p", "price"), ("ins", None), (None, "woocommerce-Price-amount")],
-        [(None, "summary"), ("ins", None), (None, "woocommerce-Price-amount")]]),
-    ("woocommerce", "compare", 0.35, True, [
-        [("p", "price"), ("del", None), (None, "woocommerce-Price-amount")],
-        [(None, "summary"), ("del", None), (None, "woocommerce-Price-amount")]]),
-    ("woocommerce", "plain", 0.93, False, [
-        [("p", "price"), (None, "woocommerce-Price-amount")], [(None, "summary"), (None, "woocommerce-Price-amount")]]),
-    ("magento", "sale", 0.96, False, [[(None, "special-price"), (None, "@data-price-amount")], [(None, "special-price"), (None, "price")]]),
-    ("magento", "compare", 0.35, True, [[(None, "old-price"), (None, "@data-price-amount")], [(None, "old-price"), (None, "price")]]),
-    ("magento", "plain", 0.94, False, [[(None, "price-final_price"), (None, "@data-price-amount")], [(None, "price-box"), (None, "price")]]),
-    ("bigcommerce", "sale", 0.95, False, [[(None, "price-section"), (None, "price--withoutTax")], [(None, "productView-price"), (None, "price")]]),
-    ("generic", "amazon", 0.94, False, [
-        [(None, "a-price"), (None, "a-offscreen")], [(None, "#priceblock_ourprice")], [(None, "#priceblock_dealprice")], [("span", "a-price-whole")]]),
-    ("generic", "flipkart", 0.94, False, [[("div", "_30jeq3")], [("div", "Nx9bqj")], [("div", "_16Jk6d")]]),
-    ("generic", "myntra", 0.94, False, [[(None, "pdp-price"), ("strong", None)], [("span", "pdp-offers-price")]]),
-]
-
-
 def _mark(e: str, m: str) -> str:
     if m.startswith("#"):
         return f"{e}.id = '{m[1:]}'"
@@ -282,14 +252,13 @@ def _mark(e: str, m: str) -> str:
 def fits(e: str, steps) -> str:
     """SQL test: element ``e`` passes the last step and has ancestors that pass the others, in order.
 
-    Text instead of Column calls: the selector tables make hundreds of these.
+    What the ancestors pass is in the element's marks. Text instead of Column calls: the selector tables make hundreds of these.
     """
     tag, *marks = steps[-1]
     tests = [f"{e}.tag = '{tag}'"] if tag else []
     tests += [_mark(e, m) for m in marks if m]
     if len(steps) > 1:
-        up = e + "a"
-        tests.append(f"exists(elements, {up} -> {up}.pos < {e}.pos AND {up}.last >= {e}.pos AND {fits(up, steps[:-1])})")
+        tests.append(f"({e}.up & {bit_of(steps[:-1])}L) <> 0")
     return "coalesce(" + " AND ".join(tests or ["true"]) + ", false)"
 
 
@@ -313,9 +282,9 @@ def first_fitting(alternatives) -> Column:
 def platform_array() -> Column:
     """Candidates by the selectors of the page's shop system; needs the ``platform`` column."""
     none = F.array().cast(nested_type())
-    table = {(p, label): alts for p, label, _, _, alts in SELECTORS}
+    table = {(p, label): alts for p, label, _, _, alts in X.SELECTORS}
     out = []
-    for p, label, conf, is_mrp, alts in SELECTORS:
+    for p, label, conf, is_mrp, alts in X.SELECTORS:
         first = F.slice(elements_fitting(alts), 1, 1)
         mrp, weight = F.lit(is_mrp), F.lit(conf)
         own = F.col("platform") == p
@@ -345,18 +314,6 @@ def platform_candidates(parsed: DataFrame) -> DataFrame:
 
 # --- page price, stage total ----------------------------------------------------------
 
-# Sale selectors in order of preference, same notation as SELECTORS
-SALE_SELECTORS = [
-    [(None, "a-price", "aok-align-center"), (None, "a-offscreen")], [("span", "a-price"), ("span", "a-offscreen")],
-    [(None, "#priceblock_ourprice")], [(None, "#priceblock_dealprice")], [(None, "#corePrice_feature_div"), (None, "a-price-whole")],
-    [(None, "price-item--sale")], [(None, "price--highlight")], [("span", "price--highlight")],
-    [(None, "@data-price")], [(None, "@data-offer-price")], [(None, "@data-selling-price")],
-    [(None, "sale-price")], [(None, "offer-price")], [(None, "deal-price")], [(None, "selling-price")],
-    [(None, "current-price")], [(None, "price-current")], [(None, "special-price")], [(None, "product-price")],
-    [(None, "fare")], [(None, "final-price")],
-]
-
-
 def _page_price(amount, source, label) -> Column:
     return F.when(amount.isNotNull(), F.struct(
         amount.cast(T.MONEY).alias("amount"), F.lit(source).alias("source"), F.lit(label).alias("confidence")))
@@ -415,7 +372,7 @@ def product_price_struct() -> Column:
         lambda e: F.coalesce(T.parse_inr(H.attr(e, "content")), T.first_inr(H.element_text(e, with_hidden=True))),
     )
     sale = _preferred(
-        [fits("e", steps) for steps in SALE_SELECTORS],
+        [fits("e", steps) for steps in X.SALE_SELECTORS],
         lambda e: F.coalesce(*[T.parse_inr(H.attr(e, a)) for a in X.DATA_PRICE_ATTRS], T.first_inr(H.element_text(e, with_hidden=True))),
         "NOT e.struck",
     )
@@ -447,13 +404,6 @@ def product_price(parsed: DataFrame) -> DataFrame:
     return _price_rows(parsed, product_price_struct(), rejected)
 
 
-# Containers of a total, same notation as SELECTORS
-SUMMARY_SELECTORS = [
-    [(None, "total-row")], [(None, "grand-total")], [(None, "amount-payable")], [(None, "order-total")],
-    [(None, "#order-summary")], [(None, "order-summary")], [(None, "@data-testid*total")], [("tr", "total")], [("div", "~total")],
-]
-
-
 def stage_total_struct() -> Column:
     """Cart or checkout total: summary containers, then strong anchor lines, then a plain total line.
 
@@ -465,7 +415,7 @@ def stage_total_struct() -> Column:
     def boxed(e):
         return T.let(H.element_text(e, with_hidden=True), lambda t: anchored(t, X.RX_TOTAL_ANCHORS))
 
-    box = _preferred([fits("e", steps) for steps in SUMMARY_SELECTORS], boxed, "true")
+    box = _preferred([fits("e", steps) for steps in X.SUMMARY_SELECTORS], boxed, "true")
     stored = F.when(F.col("visible_text") != "", F.col("visible_text"))
     lines = T.lines(F.coalesce(stored, H.page_text("\n")))
     strong = _first_value(F.transform(lines, lambda x: anchored(x, X.RX_TOTAL_ANCHORS[:2])))
@@ -510,7 +460,6 @@ def raw_components() -> Column:
         lambda b: _typed(b["t"], X.CHECKBOX_TYPES,
                          lambda r: _component(r[0], r[2], T.first_inr(b["t"]), False, b["on"], False, b["t"])),
     )
-    in_label = lambda e: H.inside(e, lambda a: a["tag"] == "label")
     # a row text of at most 180 characters has at most 90 pieces
     small = F.filter(H.ELEMENTS, lambda e: e["tag"].isin(X.FEE_ROW_TAGS) & (e["t1"] > e["t0"]) & (e["t1"] - e["t0"] <= 90))
     read = F.filter(
@@ -521,7 +470,7 @@ def raw_components() -> Column:
     )
     rows = F.transform(
         F.filter(read, lambda r: ~T.contains_any(F.lower(r["t"]), X.BASE_TOTAL_WORDS)
-                 & ~H.holds(r["e"], lambda d: H.is_checkbox(d)) & ~in_label(r["e"])),
+                 & ~r["e"]["box"] & ~H.inside(r["e"], ("label",))),
         lambda r: r["t"],
     )
     from_rows = F.transform(rows, lambda t: _typed(
@@ -530,11 +479,15 @@ def raw_components() -> Column:
 
 
 def dedup_components(components: Column) -> Column:
-    """First component per type and amount, order kept."""
-    merge = lambda acc, c: F.when(
-        F.exists(acc, lambda a: (a["component_type"] == c["component_type"]) & (a["amount"] == c["amount"])), acc
-    ).otherwise(F.concat(acc, F.array(c)))
-    return F.aggregate(components, F.filter(components, lambda c: F.lit(False)), merge)
+    """First component per type and amount, order kept; sorted once, so that many components are no trouble."""
+    keyed = F.array_sort(F.transform(components, lambda c, i: F.struct(c["component_type"].alias("k"), c["amount"].alias("a"), i.alias("i"), c.alias("c"))))
+
+    def first_of_each(rows):
+        before = lambda i: F.get(rows, i - 1)
+        return F.filter(rows, lambda r, i: (i == 0) | (before(i)["k"] != r["k"]) | (before(i)["a"] != r["a"]))
+
+    firsts = T.let(keyed, first_of_each)
+    return F.transform(F.array_sort(F.transform(firsts, lambda r: F.struct(r["i"], r["c"]))), lambda r: r["c"])
 
 
 def sums_to(target: Column, amounts: Column) -> Column:

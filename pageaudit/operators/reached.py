@@ -1,7 +1,6 @@
 """Whether a snapshot shows the cart or the checkout, by shop system.
 
-Evidence adds up: address, structure, totals and call to action. The evidence
-tables below hold fixed values; selectors use the notation of ``prices``.
+Evidence adds up: address, structure, totals and call to action, by the tables in ``fixed``.
 """
 
 from functools import reduce
@@ -9,54 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageaudit import fixed as X
 from pageaudit.functions import text as T
 from pageaudit.operators import structure as H
 from pageaudit.operators.prices import first_fitting, some_fitting
 
-WPA = "woocommerce-Price-amount"
-# fixed values: address marks (45), structure and its points, total element (25), call to action (20)
-CART = {
-    "shopify": (["/cart"], [
-        (40, [[("cart-drawer", "~active")], [(None, "cart-drawer", "active")], [(None, "drawer--is-open")], [(None, "#cart-drawer", "is-empty-false")]]),
-        (20, [[("cart-drawer",)], [(None, "cart-drawer")], [(None, "mini-cart")]])],
-        [[(None, "totals__subtotal-value")], [(None, "cart__subtotal")], [(None, "cart-drawer__footer"), (None, "totals__subtotal")]],
-        [[("button", "@name=checkout")], [("a", "@href*/checkout")], [(None, "cart__checkout-button")]]),
-    "woocommerce": (["/cart"], [(40, [[(None, "woocommerce-cart")], [(None, "woocommerce-cart-form")], [(None, "widget_shopping_cart")]])],
-        [[(None, "cart-subtotal"), (None, WPA)], [("tr", "cart-subtotal"), ("td",)]],
-        [[("a", "checkout-button")], [(None, "wc-proceed-to-checkout"), ("a",)]]),
-    "magento": (["/cart"], [(35, [[(None, "cart-container")], [(None, "block-minicart")], [(None, "cart-totals")]])],
-        [[(None, "cart-totals"), (None, "price")], [(None, "subtotal"), (None, "price")]],
-        [[(None, "@data-role=proceed-to-checkout")], [(None, "checkout-methods-items"), ("button",)]]),
-    "bigcommerce": (["/cart"], [(35, [[(None, "previewCart")], [(None, "cart-totals")], [(None, "#cart-preview-dropdown")]])],
-        [[(None, "cart-total-value")], [(None, "cart-totals"), (None, "price")]], []),
-}
-# fixed values: address marks (50), structure and its points, total element and its points, words (20)
-CHECKOUT = {
-    "shopify": (["/checkout", "checkout.shopify.com"], 0, [],
-        35, [[(None, "total-line__price")], [(None, "order-summary__emphasis")], [(None, "@data-checkout-payment-due-target")]],
-        ["order summary", "shipping address", "payment"]),
-    "woocommerce": (["/checkout"], 40, [[("form", "woocommerce-checkout")], [(None, "#customer_details")], [(None, "#order_review")]],
-        30, [[(None, "order-total"), (None, WPA)]], []),
-    "magento": (["/checkout"], 40, [[(None, "opc-wrapper")], [(None, "checkout-index-index")], [(None, "opc-block-summary")]],
-        30, [[(None, "grand", "totals"), (None, "price")], [(None, "estimated-block"), (None, "price")]], []),
-    "bigcommerce": (["/checkout"], 40, [[(None, "checkout-page")], [(None, "optimizedCheckout-form")]],
-        30, [[(None, "cart-priceItem--total")]], []),
-}
-GENERIC_CART_URL = ["/cart", "/bag", "/basket", "-cart", "cart."]
-GENERIC_CART_WORDS = [
-    (25, ["your cart", "shopping cart", "shopping bag", "my bag", "cart summary"]),
-    (20, ["subtotal", "order subtotal", "total items", "bag total"]),
-    (20, ["proceed to checkout", "place order", "go to checkout", "proceed to buy"]),
-]
-GENERIC_CHECKOUT_URL = ["/checkout", "/buy", "/review", "-checkout", "checkout."]
-GENERIC_CHECKOUT_WORDS = [
-    (35, ["order summary", "shipping address", "delivery address", "payment options", "payment method"]),
-    (25, ["pay now", "make payment", "complete order", "place order and pay"]),
-]
-RX_SUBTOTAL = r"(?:subtotal|total|amount payable)\s*[:\-]?\s*₹?\s*([\d,]+(?:\.\d{1,2})?)"
-RX_ORDER_TOTAL = r"(?:order total|amount payable|grand total|total payable)\s*[:\-]?\s*₹?\s*([\d,]+(?:\.\d{1,2})?)"
-
-
 def _points(cond: Column, n) -> Column:
     return F.when(F.coalesce(cond, F.lit(False)), n).otherwise(0)
 
@@ -74,7 +30,7 @@ def _verdict(score: Column, threshold: int, total: Column) -> Column:
 
 
 def _shop_cart(name) -> Column:
-    urls, structures, total, cta = CART[name]
+    urls, structures, total, cta = X.CART[name]
     el = first_fitting(total)
     shape = F.lit(0)
     for n, alts in reversed(structures):
@@ -84,7 +40,7 @@ def _shop_cart(name) -> Column:
 
 
 def _shop_checkout(name) -> Column:
-    urls, shape_points, shape, total_points, total, words = CHECKOUT[name]
+    urls, shape_points, shape, total_points, total, words = X.CHECKOUT[name]
     el = first_fitting(total)
     score = (
         _points(T.contains_any(F.col("url"), urls), 50) + _points(_any(shape), shape_points)
@@ -101,21 +57,21 @@ def _generic_cart() -> Column:
         | F.coalesce(F.lower(e["id"]).contains("cart-drawer"), F.lit(False))
         | ((a(e, "role") == "dialog") & a(e, "aria-label").contains("cart"))
     ))
-    score = _points(T.contains_any(F.lower("url"), GENERIC_CART_URL), 45) + _points(drawer, 35)
-    score = score + _sum([_points(T.contains_any(low, w), n) for n, w in GENERIC_CART_WORDS])
-    return _verdict(score, 50, T.clean_price(T.first_group(F.col("_text"), RX_SUBTOTAL)))
+    score = _points(T.contains_any(F.lower("url"), X.GENERIC_CART_URL), 45) + _points(drawer, 35)
+    score = score + _sum([_points(T.contains_any(low, w), n) for n, w in X.GENERIC_CART_WORDS])
+    return _verdict(score, 50, T.clean_price(T.first_group(F.col("_text"), X.RX_SUBTOTAL)))
 
 
 def _generic_checkout() -> Column:
     low = F.lower("_text")
-    score = _points(T.contains_any(F.lower("url"), GENERIC_CHECKOUT_URL), 45)
-    score = score + _sum([_points(T.contains_any(low, w), n) for n, w in GENERIC_CHECKOUT_WORDS])
-    return _verdict(score, 50, T.clean_price(T.first_group(F.col("_text"), RX_ORDER_TOTAL)))
+    score = _points(T.contains_any(F.lower("url"), X.GENERIC_CHECKOUT_URL), 45)
+    score = score + _sum([_points(T.contains_any(low, w), n) for n, w in X.GENERIC_CHECKOUT_WORDS])
+    return _verdict(score, 50, T.clean_price(T.first_group(F.col("_text"), X.RX_ORDER_TOTAL)))
 
 
 def _by_platform(shop, generic) -> Column:
     out = None
-    for name in CART:
+    for name in X.CART:
         out = F.when(F.col("platform") == name, shop(name)) if out is None else out.when(F.col("platform") == name, shop(name))
     return out.otherwise(generic)
 

@@ -15,11 +15,13 @@ from pyspark.sql import types as T
 from pageaudit import fixed as X
 from pageaudit.functions.htmlrows import page_rows
 from pageaudit.functions.jsonrows import state_rows
+from pageaudit.functions.marks import bit_of
 from pageaudit.functions.text import contains_any, host_of, lines, resolve
 
 STRUCTURE = {
     "elements": "array<struct<pos:int,parent:int,last:int,depth:int,tag:string,id:string,cls:string,classes:array<string>,"
-                "attrs:map<string,string>,after:string,hidden:boolean,chrome:boolean,struck:boolean,t0:int,t1:int>>",
+                "attrs:map<string,string>,after:string,hidden:boolean,chrome:boolean,struck:boolean,t0:int,t1:int,"
+                "up:bigint,box:boolean,label:int>>",
     "nodes": "array<struct<text:string,tag:string,parent:int,hidden:boolean,chrome:boolean>>",
     "scripts": "array<struct<type:string,id:string,src:string,body:string>>",
     "state": "array<struct<source:string,blob:int,ord:int,depth:int,path:string,key:string,kind:string,value:string>>",
@@ -28,6 +30,7 @@ _ELEMENT = pa.struct([
     ("pos", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()),
     ("id", pa.string()), ("cls", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("after", pa.string()),
     ("hidden", pa.bool_()), ("chrome", pa.bool_()), ("struck", pa.bool_()), ("t0", pa.int32()), ("t1", pa.int32()),
+    ("up", pa.int64()), ("box", pa.bool_()), ("label", pa.int32()),
 ])
 _NODE = pa.struct([
     ("text", pa.string()), ("tag", pa.string()), ("parent", pa.int32()), ("hidden", pa.bool_()), ("chrome", pa.bool_()),
@@ -105,14 +108,9 @@ def attr(e: Column, name: str) -> Column:
     return F.element_at(e["attrs"], name)
 
 
-def inside(e: Column, test) -> Column:
-    """Some proper ancestor of ``e`` passes ``test``."""
-    return F.exists(ELEMENTS, lambda a: (a["pos"] < e["pos"]) & (a["last"] >= e["pos"]) & test(a))
-
-
-def holds(e: Column, test) -> Column:
-    """Some proper descendant of ``e`` passes ``test``."""
-    return F.exists(ELEMENTS, lambda d: (d["pos"] > e["pos"]) & (d["pos"] <= e["last"]) & test(d))
+def inside(e: Column, *steps) -> Column:
+    """Some proper ancestor of ``e`` passes the steps (see ``functions.marks``); the parse has handed that down."""
+    return e["up"].bitwiseAND(F.lit(bit_of(steps)).cast("bigint")) != 0
 
 
 def having(test):
@@ -135,10 +133,10 @@ def is_checked(e: Column) -> Column:
 
 def label_text(e: Column, with_sibling: bool = True) -> Column:
     """Label of a checkbox: by ``for``, else its parent label, else what follows it."""
-    by_for = F.get(F.filter(ELEMENTS, lambda x: (x["tag"] == "label") & (attr(x, "for") == e["id"])), F.lit(0))
+    by_for = F.get(ELEMENTS, e["label"])
     up = F.when(e["parent"] >= 0, F.get(ELEMENTS, e["parent"]))
     around = F.when(up["tag"] == "label", element_text(up))
-    labelled = F.when((F.coalesce(e["id"], F.lit("")) != "") & by_for.isNotNull(), element_text(by_for))
+    labelled = F.when(e["label"].isNotNull(), element_text(by_for))
     if not with_sibling:
         return F.coalesce(F.when(labelled != "", labelled), around, F.lit(""))
     nxt = F.get(ELEMENTS, e["last"] + 1)
@@ -181,6 +179,14 @@ def checkbox_labels(parsed: DataFrame) -> DataFrame:
     return parsed.select("page_id", F.inline(boxes))
 
 
+def labels_by_for(parsed: DataFrame) -> DataFrame:
+    """Every input that a label names by ``for``, with the text of the first such label."""
+    named = F.transform(
+        F.filter(ELEMENTS, lambda e: e["label"].isNotNull()), lambda e: F.struct(e["id"].alias("id"), element_text(F.get(ELEMENTS, e["label"])).alias("label"))
+    )
+    return parsed.select("page_id", F.inline(named))
+
+
 def sensitive(e: Column) -> Column:
     empty = F.lit("")
     return (e["tag"] == "input") & (

@@ -78,11 +78,7 @@ def _(spark, sf):
 
 @query("n4_labels_by_for", "SELECT n AS page_id, 'c1' AS id, 'Donation to a foundation ₹10' AS label FROM v_html WHERE n % 5 = 2")
 def _(spark, sf):
-    e = H.elements_table(shop(spark, sf).select("page_id", "elements"))
-    texts = shop(spark, sf).select("page_id", F.inline(F.transform("elements", lambda e: F.struct(
-        e["pos"].alias("lpos"), F.when(e["tag"] == "label", H.attr(e, "for")).alias("for_id"), F.when(e["tag"] == "label", H.element_text(e)).alias("label")))))
-    boxes = e.where((F.col("tag") == "input") & F.col("id").isNotNull()).select("page_id", "id")
-    return boxes.join(texts.where("for_id is not null"), ["page_id"]).where("id = for_id").select("page_id", "id", "label")
+    return H.labels_by_for(shop(spark, sf))
 
 
 @query("h5_struck", "SELECT n AS page_id, 's' AS tag, 'old-price' AS cls FROM v_html")
@@ -93,7 +89,7 @@ def _(spark, sf):
 @query("n5_ancestors", "SELECT n AS page_id, 2::BIGINT AS links_in_header, CASE WHEN n % 13 = 0 THEN 1 ELSE 0 END::BIGINT AS links_elsewhere FROM v_html")
 def _(spark, sf):
     anchors = F.filter("elements", lambda e: e["tag"] == "a")
-    flags = F.transform(anchors, lambda e: H.inside(e, lambda a: a["tag"] == "header"))
+    flags = F.transform(anchors, lambda e: H.inside(e, ("header",)))
     return shop(spark, sf).select("page_id", F.size(F.filter(flags, lambda x: x)).alias("links_in_header"),
                                   F.size(F.filter(flags, lambda x: ~x)).alias("links_elsewhere"))
 

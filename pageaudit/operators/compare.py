@@ -13,7 +13,7 @@ pairs.
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageaudit import fixed as X
@@ -193,37 +193,90 @@ def comparable_partners(fingerprints: DataFrame, payload=()) -> DataFrame:
     )
 
 
-def price_inconsistencies(fingerprints: DataFrame, best_offers: DataFrame) -> DataFrame:
-    """Listings priced at least 5 % above the cheapest comparable listing of their comparison.
+def _units(c) -> Column:
+    """Money in ten-thousandths, as a whole number; unknown is zero."""
+    return (F.coalesce(F.col(c).cast("decimal(18,4)"), F.lit(0)) * 10000).cast("bigint")
+
 
-    Every listing that is the dearer side of some inconsistent pair appears
-    once, against its cheapest partner, where the gap is widest.
-    ``best_offers``: listing_id, best_offer (highest discount value).
+def _at_or_above(points: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Per (cls, t) of ``wanted``: the point (struct) of that class in ``points`` (cls, v, point) with the least v >= t.
+
+    Both sides are distinct values, so a class that many listings share has at most as many rows as there are prices.
+    """
+    line = points.select("cls", "v", "point", F.lit(0).alias("asked")).unionByName(
+        wanted.select("cls", F.col("t").alias("v"), F.lit(None).cast(points.schema["point"].dataType).alias("point"), F.lit(1).alias("asked"))
+    )
+    down = Window.partitionBy("cls").orderBy(F.desc("v"), "asked")
+    return line.withColumn("point", F.last("point", ignorenulls=True).over(down)).where("asked = 1 AND point IS NOT NULL").select("cls", F.col("v").alias("t"), "point")
+
+
+def price_inconsistencies(fingerprints: DataFrame, best_offers: DataFrame) -> DataFrame:
+    """Listings priced at least 5 % above comparable listings: one row per listing and explanation, against the cheapest such partner.
+
+    Explanations of a gap, the first that holds: other attribute values (variant), another condition, an offer of either
+    side worth three quarters of it, delivery charges that differ by as much, none of these (unexplained). So a
+    gap that something explains does not hide an unexplained one against another partner.
+
+    Partners are not listed. Per key, kind, attribute values, condition, offer and charge (a class) the cheapest listing is
+    kept by a partial aggregate, and each listing reads its classes with an equality join. Within a class of its own values and
+    condition the gap is explained by an offer from some price upwards, likewise by charges; the cheapest partner there comes
+    from one sorted pass over the distinct prices of the class. Rows grow with listings times classes of a key (distinct
+    values, not listings). ``best_offers``: listing_id, best_offer (highest discount value). Sums are compared as whole
+    ten-thousandths.
     """
     captured = fingerprints.where(F.col("status").isin("PRODUCT_CAPTURED", "CAPTURED") & (F.col("listed_price") > 0))
-    payload = ["seller", "condition", "delivery_charge", "marketplace", "best_offer", *X.MATCH_ATTRS]
-    partners = comparable_partners(captured.join(best_offers, "listing_id", "left"), payload)
-    mine, cheap = (lambda f: F.col(f"own.{f}")), (lambda f: F.col(f"cheapest.{f}"))
-    hi, lo = mine("listed_price"), cheap("listed_price")
-    delta = (hi - lo).cast(T.MONEY)
-    variant = reduce(lambda a, b: a | b, [F.coalesce(_present(mine(f)) != _present(cheap(f)), F.lit(False)) for f in X.MATCH_ATTRS])
-    new, zero = F.lit("new"), F.lit(0)
-    same_condition = F.coalesce(_present(mine("condition")), new) == F.coalesce(_present(cheap("condition")), new)
-    gap = delta.cast("double") * X.GAP_SHARE
-    offer = F.greatest(F.coalesce(mine("best_offer"), zero), F.coalesce(cheap("best_offer"), zero)).cast("double") >= gap
-    fee = F.abs(F.coalesce(mine("delivery_charge"), zero) - F.coalesce(cheap("delivery_charge"), zero)).cast("double") >= gap
-    flagged = partners.withColumn("price_delta", delta).withColumn("_pct", delta.cast("double") / lo.cast("double") * 100).where(
-        (F.col("price_delta") > 0) & (F.col("_pct") >= X.MATERIAL_PCT)
+    values = F.array(*[F.coalesce(_present(f), F.lit("")) for f in X.MATCH_ATTRS])
+    slim = cut_lineage(_masks(captured.join(best_offers, "listing_id", "left")).select(
+        "compare_id", "listing_id", "id_mask", "attr_mask", _published_keys().alias("keys"), F.col("listed_price").cast(T.MONEY).alias("price"), _units("listed_price").alias("u"),
+        values.alias("values"), F.coalesce(_present("condition"), F.lit("new")).alias("condition"), _units("best_offer").alias("offer"), _units("delivery_charge").alias("fee"),
+        _present("seller").alias("seller"),
+    ))
+    kind = ["id_mask", "attr_mask", "values", "condition", "offer", "fee"]
+    side = slim.drop("seller").select("*", F.explode("keys").alias("k")).select("compare_id", "listing_id", *kind, "price", "u", "k.code", "k.key")
+    cls = F.md5(F.to_json(F.struct("compare_id", "code", "key", *kind)).cast("binary"))
+    points = cut_lineage(side.groupBy("compare_id", "code", "key", *kind, "price", "u").agg(F.min("listing_id").alias("id")).withColumn("cls", cls))
+    classes = points.groupBy("cls", "compare_id", "code", "key", *[F.col(c).alias(f"p_{c}") for c in kind]).agg(F.min(F.struct("price", "id", "u")).alias("low"))
+    seen = side.join(classes, ["compare_id", "code", "key"]).where(
+        F.col("code") == _deciding_code(F.col("id_mask"), F.col("attr_mask"), F.col("p_id_mask"), F.col("p_attr_mask"))
+    ).where(F.col("low.u") < F.col("u"))
+    variant = F.exists(F.zip_with("values", "p_values", lambda a, b: (a != "") & (b != "") & (a != b)), lambda x: x)
+    # a partner at v = 3 units or more is explained from these on: 4 * offer >= 3 * (price - partner's price)
+    seen = cut_lineage(seen.select(
+        "compare_id", "listing_id", "price", "cls", "code", "low", F.when(variant, "variant").when(F.col("condition") != F.col("p_condition"), "condition").alias("plain"),
+        (3 * F.col("u") - 4 * F.greatest("offer", "p_offer")).alias("t_offer"), (3 * F.col("u") - 4 * F.abs(F.col("fee") - F.col("p_fee"))).alias("t_fee"), (3 * F.col("u")).alias("top"),
+    ))
+    low = 3 * F.col("low.u")
+    direct = seen.select(
+        "compare_id", "listing_id", "price", "code", F.col("low").alias("partner"),
+        F.coalesce("plain", F.when(low >= F.col("t_offer"), "offer").when(low >= F.col("t_fee"), "fee").otherwise("unexplained")).alias("explanation"),
     )
-    return flagged.select(
-        "compare_id", "listing_id", F.col("cheapest.listing_id").alias("cheapest_listing"), "product_match",
-        hi.alias("price_high"), lo.alias("price_low"), "price_delta",
-        (F.floor(F.col("_pct") * 10 + 0.5) / 10).alias("price_delta_pct"),
-        same_seller(_present(mine("seller")), _present(cheap("seller"))).alias("same_seller"),
-        (~variant).alias("same_variant"), same_condition.alias("same_condition"),
-        offer.alias("offer_explains"), fee.alias("fee_explains"),
-        F.when(variant, "variant").when(~same_condition, "condition").when(offer, "offer").when(fee, "fee")
-        .otherwise("unexplained").alias("explanation"),
+    open_ = seen.where("plain IS NULL")
+    asked = open_.where((low < F.col("t_offer")) & (F.col("t_offer") < F.col("top"))).select("*", F.col("t_offer").alias("t"), F.lit("offer").alias("explanation")).unionByName(
+        open_.where((low < F.col("t_fee")) & (F.col("t_fee") < F.col("t_offer"))).select("*", F.col("t_fee").alias("t"), F.lit("fee").alias("explanation")))
+    wanted = asked.select("cls", "t").distinct()
+    prices = points.join(wanted.select("cls").distinct(), "cls", "left_semi").select("cls", (3 * F.col("u")).alias("v"), F.struct("price", "id", "u").alias("point"))
+    above = asked.join(_at_or_above(prices, wanted), ["cls", "t"]).where((F.col("explanation") == "offer") | (3 * F.col("point.u") < F.col("t_offer")))
+    found = direct.unionByName(above.select("compare_id", "listing_id", "price", "code", F.col("point").alias("partner"), "explanation"))
+    delta = (F.col("price") - F.col("partner.price")).cast(T.MONEY)
+    pct = delta.cast("double") / F.col("partner.price").cast("double") * 100
+    strong = (F.col("code") < 8) | (F.bit_count(F.col("code") - 8) >= 3)
+    best = found.where((delta > 0) & (pct >= X.MATERIAL_PCT)).groupBy("compare_id", "listing_id", "explanation").agg(
+        F.any_value("price").alias("hi"), F.min(F.struct(F.col("partner.price").alias("lo"), F.col("partner.id").alias("id"), strong.alias("strong"))).alias("b")
+    )
+    facts = ["seller", "values", "condition", "offer", "fee"]
+    mine = slim.select("compare_id", "listing_id", *[F.col(c).alias(f"a_{c}") for c in facts])
+    theirs = slim.select(F.col("compare_id"), F.col("listing_id").alias("cheapest_listing"), *[F.col(c).alias(f"b_{c}") for c in facts])
+    j = best.select("compare_id", "listing_id", "explanation", F.col("hi"), F.col("b.lo").alias("lo"), F.col("b.id").alias("cheapest_listing"), F.col("b.strong").alias("strong"))
+    j = j.join(mine, ["compare_id", "listing_id"]).join(theirs, ["compare_id", "cheapest_listing"])
+    gap = (F.col("hi") - F.col("lo")).cast(T.MONEY)
+    three = (gap.cast("decimal(18,4)") * 30000).cast("bigint")
+    differs = F.exists(F.zip_with("a_values", "b_values", lambda a, b: (a != "") & (b != "") & (a != b)), lambda x: x)
+    return j.select(
+        "compare_id", "listing_id", "cheapest_listing", F.when(F.col("strong"), "MATCHED").otherwise("PROBABLE_MATCH").alias("product_match"),
+        F.col("hi").alias("price_high"), F.col("lo").alias("price_low"), gap.alias("price_delta"),
+        (F.floor(gap.cast("double") / F.col("lo").cast("double") * 100 * 10 + 0.5) / 10).alias("price_delta_pct"),
+        same_seller(F.col("a_seller"), F.col("b_seller")).alias("same_seller"), (~differs).alias("same_variant"), (F.col("a_condition") == F.col("b_condition")).alias("same_condition"),
+        (4 * F.greatest("a_offer", "b_offer") >= three).alias("offer_explains"), (4 * F.abs(F.col("a_fee") - F.col("b_fee")) >= three).alias("fee_explains"), "explanation",
     )
 
 

@@ -175,20 +175,19 @@ _INC = f"""WITH {FP}, {offers_sql()}, {BEST}, cap AS (SELECT fp.*, best_offer FR
    coalesce(a.seller = b.seller OR contains(a.seller, b.seller) OR contains(b.seller, a.seller), FALSE) AS same_seller,
    NOT ({' OR '.join(f'coalesce(a.{f} <> b.{f}, FALSE)' for f in X.MATCH_ATTRS)}) AS same_variant,
    coalesce(a.condition, 'new') = coalesce(b.condition, 'new') AS same_condition,
-   greatest(coalesce(a.best_offer, 0), coalesce(b.best_offer, 0)) AS offer, abs(a.delivery_charge - b.delivery_charge) AS fee
+   greatest(coalesce(a.best_offer, 0), coalesce(b.best_offer, 0))::DECIMAL(18,4) AS offer, abs(a.delivery_charge - b.delivery_charge) AS fee
    FROM cap a JOIN cap b ON a.compare_id = b.compare_id AND a.listing_id <> b.listing_id),
- pk AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY lo, cheapest_listing) AS rn FROM pr WHERE product_match IN ('MATCHED', 'PROBABLE_MATCH'))
+ px AS (SELECT *, 4 * offer >= 3 * (hi - lo) AS offer_explains, 4 * fee >= 3 * (hi - lo) AS fee_explains FROM pr
+   WHERE product_match IN ('MATCHED', 'PROBABLE_MATCH') AND hi > lo AND (hi - lo)::DOUBLE / lo::DOUBLE * 100 >= 5),
+ pe AS (SELECT *, CASE WHEN NOT same_variant THEN 'variant' WHEN NOT same_condition THEN 'condition' WHEN offer_explains THEN 'offer' WHEN fee_explains THEN 'fee' ELSE 'unexplained' END AS explanation FROM px),
+ pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY listing_id, explanation ORDER BY lo, cheapest_listing) AS rn FROM pe) x WHERE rn = 1)
 """
 
 
 @query("n3_price_inconsistency", _INC + """SELECT compare_id, listing_id, cheapest_listing, product_match, hi::DOUBLE AS price_high, lo::DOUBLE AS price_low, (hi - lo)::DOUBLE AS price_delta,
-  floor((hi - lo)::DOUBLE / lo::DOUBLE * 100 * 10 + 0.5) / 10 AS price_delta_pct, same_seller, same_variant, same_condition,
-  offer >= (hi - lo)::DOUBLE * 0.75::DOUBLE AS offer_explains, fee::DOUBLE >= (hi - lo)::DOUBLE * 0.75::DOUBLE AS fee_explains,
-  CASE WHEN NOT same_variant THEN 'variant' WHEN NOT same_condition THEN 'condition' WHEN offer >= (hi - lo)::DOUBLE * 0.75::DOUBLE THEN 'offer'
-   WHEN fee::DOUBLE >= (hi - lo)::DOUBLE * 0.75::DOUBLE THEN 'fee' ELSE 'unexplained' END AS explanation
-  FROM pk WHERE rn = 1 AND hi > lo AND (hi - lo)::DOUBLE / lo::DOUBLE * 100 >= 5""")
+  floor((hi - lo)::DOUBLE / lo::DOUBLE * 100 * 10 + 0.5) / 10 AS price_delta_pct, same_seller, same_variant, same_condition, offer_explains, fee_explains, explanation FROM pk""")
 def _(spark, sf):
-    """Listings dearer than their cheapest comparable listing; the check looks at all pairs."""
+    """Listings dearer than a comparable listing, per explanation of the gap; the check looks at all pairs."""
     return C.price_inconsistencies(fingerprints(spark, sf), C.best_offers(offers(spark, sf)))
 
 
@@ -258,7 +257,7 @@ def _(spark, sf):
     return seen.select("page_id", *dims)
 
 
-@query("q3_compare", f"""{_INC}, ic AS (SELECT compare_id, count(*) AS n FROM pk WHERE rn = 1 AND hi > lo AND (hi - lo)::DOUBLE / lo::DOUBLE * 100 >= 5 GROUP BY compare_id),
+@query("q3_compare", f"""{_INC}, ic AS (SELECT compare_id, count(*) AS n FROM pk GROUP BY compare_id),
   {REV}, re AS (SELECT compare_id, count(*) AS n FROM sg WHERE signal_type IS NOT NULL GROUP BY compare_id)
   SELECT l.compare_id, count(*)::BIGINT AS n_listings, coalesce(any_value(ic.n), 0)::BIGINT AS n_inconsistent, coalesce(any_value(re.n), 0)::BIGINT AS total_signals
   FROM v_listings l LEFT JOIN ic ON ic.compare_id = l.compare_id LEFT JOIN re ON re.compare_id = l.compare_id GROUP BY l.compare_id""")

@@ -173,3 +173,48 @@ def test_canonical_and_summary(spark):
     assert m == {1: (2, "POSSIBLE_MATCH"), 2: (2, "MATCHED"), 3: (2, "NOT_MATCHED")}
     s = C.comparison_summary(f.withColumn("payable", F.col("listed_price"))).first()
     assert (s.status, s.captured, s.blocked, s.cheapest_listing, s.cleanest_listing) == ("PARTIAL", 2, 1, 2, 1)
+
+
+def test_an_explained_gap_hides_no_unexplained_one(spark):
+    t = "Acer 8GB RAM 256GB SSD Ryzen 5"
+    r = inconsistencies(spark, [listing(1, t, 100), listing(2, t, 50, condition="refurbished"), listing(3, t, 60)])
+    assert {(x.listing_id, x.explanation, x.cheapest_listing) for x in r} == {(1, "condition", 2), (1, "unexplained", 3), (3, "condition", 2)}
+
+
+def test_inconsistencies_equal_all_pairs(spark):
+    """Per listing and explanation the cheapest partner, against every pair; equal prices, many offers and charges, one large group."""
+    rnd = random.Random(9)
+    rows, offers = [], []
+    for i in range(220):
+        title = f"Acer {rnd.choice(['8GB RAM', '16GB RAM', ''])} 256GB SSD {rnd.choice(['Ryzen 5', 'Core i7', ''])}"
+        rows.append(listing(i, title, rnd.choice([100, 120, 120, 126, 150, 199, rnd.randint(90, 400)]), brand="Acer", sku=rnd.choice([None, None, "A", "B"]), condition=rnd.choice([None, "new", "refurbished"]),
+                            delivery=rnd.choice([0, 0, 20, 49, 90]), seller=rnd.choice(["S", "S Shop", None]), group=1 if rnd.random() < 0.6 else rnd.randint(2, 4)))
+        if rnd.random() < 0.5:
+            offers.append((i, rnd.choice([5.0, 10.5, 30.0, 75.0, 150.0])))
+    f = fp(spark, *rows)
+    a, b = f.alias("a"), f.alias("b")
+    pairs = a.join(b, (F.col("a.compare_id") == F.col("b.compare_id")) & (F.col("a.listed_price") > F.col("b.listed_price"))).select(
+        F.col("a.listing_id").alias("la"), F.col("b.listing_id").alias("lb"), F.col("a.listed_price").alias("hi"), F.col("b.listed_price").alias("lo"),
+        *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("condition", "delivery_charge", "ram", "storage", "processor", "screen_size")],
+        C.match_verdict(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")).alias("v")).where("v in ('MATCHED', 'PROBABLE_MATCH')").collect()
+    best, of = {}, dict(offers)
+    for r in pairs:
+        gap = r.hi - r.lo
+        if float(gap) / float(r.lo) * 100 < 5:
+            continue
+        fields = [(r[f"a_{c}"], r[f"b_{c}"]) for c in ("ram", "storage", "processor", "screen_size")]
+        if any(x and y and x.lower() != y.lower() for x, y in fields):
+            why = "variant"
+        elif (r.a_condition or "new") != (r.b_condition or "new"):
+            why = "condition"
+        elif 4 * max(of.get(r.la, 0), of.get(r.lb, 0)) >= 3 * gap:
+            why = "offer"
+        elif 4 * abs((r.a_delivery_charge or 0) - (r.b_delivery_charge or 0)) >= 3 * gap:
+            why = "fee"
+        else:
+            why = "unexplained"
+        key = (r.la, why)
+        best[key] = min(best.get(key, (10**9, 0)), (r.lo, r.lb))
+    got = C.price_inconsistencies(f, spark.createDataFrame(offers, "listing_id long, best_offer double")).collect()
+    assert {(x.listing_id, x.explanation): (x.price_low, x.cheapest_listing) for x in got} == best
+    assert len(got) == len(best) and {k for _, k in best} == {"variant", "condition", "offer", "fee", "unexplained"}

@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 from pageaudit.llm import textbatch as tb
 
-#: Slots of a worker's memory (filled by half at most) and ids in it, before it starts anew; pieces given to the library at once.
-SLOTS, MEMORY_IDS, PIECES_AT_ONCE = 1 << 20, 4_000_000, 4_000
+#: Slots of a generation of a worker's memory (filled by half at most) and ids in it, before the next one begins; pieces given to the library at once.
+SLOTS, MEMORY_IDS, PIECES_AT_ONCE = 1 << 19, 3_000_000, 4_000
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 PUNCTUATION = np.zeros(256, bool)
@@ -44,19 +44,10 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:n])
 
 
-class PieceEncoder:
-    """``library(list of str)`` gives the ids of each piece.
-
-    ``marks``: strings that the tokenizer takes out of a text first; texts that hold one are not cut.
-    ``bare``: the tokenizer gives no ids for white space and lowers A-Z, so pieces go without and in lower case.
-    """
-
-    def __init__(self, library, marks=(), bare: bool = False):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library, self.marks, self.bare = library, marks, bare
-        self.forget()
+class Memory:
+    """The ids of pieces by their hashes: open addressing, ids one after the other."""
 
-    def forget(self) -> None:
+    def __init__(self):
         self.hashes, self.start, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
         self.flat, self.used, self.count = np.zeros(1 << 16, np.int32), 0, 0
 
@@ -82,17 +73,40 @@ class PieceEncoder:
             slot[left] = (slot[left] + 1) & (SLOTS - 1)
         return slot
 
+    def add(self, hashes: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(flat), np.int32)])
+        slots = self.place(hashes)
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start[slots], self.size[slots] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used, self.count = self.used + len(flat), self.count + len(hashes)
+
+    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.size[slots].astype(np.int64)
+        return tb.gather(self.flat, self.start[slots].astype(np.int64), sizes), sizes
+
+    def full(self, more: int) -> bool:
+        return self.count + more > SLOTS // 2 or self.used > MEMORY_IDS
+
+
+class PieceEncoder:
+    """``library(list of str)`` gives the ids of each piece.
+
+    Two generations of pieces are kept: what is found in the old one moves to the young one, and when that is full it becomes the old one.
+    So frequent pieces are learnt once. ``marks``: strings that the tokenizer takes out of a text first; texts that hold one are not cut.
+    ``bare``: the tokenizer gives no ids for white space and lowers A-Z, so pieces go without and in lower case.
+    """
+
+    def __init__(self, library, marks=(), bare: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.library, self.marks, self.bare = library, marks, bare
+        self.young, self.old = Memory(), None
+
     def learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         for k in range(0, len(pieces), PIECES_AT_ONCE):
             ids = self.library(pieces[k : k + PIECES_AT_ONCE])
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum()))
-            if self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(flat), np.int32)])
-            slots = self.place(hashes[k : k + PIECES_AT_ONCE])
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.start[slots], self.size[slots] = self.used + np.cumsum(sizes) - sizes, sizes
-            self.used, self.count = self.used + len(flat), self.count + len(ids)
+            self.young.add(hashes[k : k + PIECES_AT_ONCE], np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes)
 
     def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Bytes of the pieces, their starts and ends there, and the first piece of each row, with the total last."""
@@ -126,21 +140,26 @@ class PieceEncoder:
     def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces, one after the other, and the number of ids of each; at most a quarter of the slots at a time."""
         hashes = tb.hash_spans(data, starts, ends) | np.uint64(1 << 63)
-        slots = self.find(hashes)
-        if self.count + int((slots < 0).sum()) > SLOTS // 2 or self.used > MEMORY_IDS:
-            self.forget()
-            slots[:] = -1
-        if (new := np.flatnonzero(slots < 0)).size:
+        slots = self.young.find(hashes)
+        new = np.flatnonzero(slots < 0)
+        if new.size and self.young.full(len(new)):
+            self.young, self.old = Memory(), self.young
+            new = np.arange(len(hashes))
+        if new.size:
             unknown, where = np.unique(hashes[new], return_index=True)
             at = new[where]
+            if self.old is not None:
+                before = self.old.find(unknown)
+                known = before >= 0
+                self.young.add(unknown[known], *self.old.ids(before[known]))
+                unknown, at = unknown[~known], at[~known]
             sizes = ends[at] - starts[at]
             column = pa.Array.from_buffers(pa.large_string(), len(at), [
                 None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), pa.py_buffer(tb.gather(data, starts[at], sizes)),
             ])
             self.learn(unknown, column.to_pylist())
-            slots[new] = self.find(hashes[new])
-        sizes = self.size[slots].astype(np.int64)
-        return tb.gather(self.flat, self.start[slots].astype(np.int64), sizes), sizes
+            slots[new] = self.young.find(hashes[new])
+        return self.young.ids(slots)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column, one row after the other, and the number of ids of each row; null counts as empty."""

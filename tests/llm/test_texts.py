@@ -83,9 +83,18 @@ def test_the_memory_of_pieces_may_start_anew():
     own = piece_encoder.PieceEncoder(lambda pieces: [[len(p)] for p in pieces])
     texts = pa.array([" ".join(f"w{i}" for i in range(k, k + 50)) for k in range(0, 5000, 50)])
     first = own(texts)
-    own.used = piece_encoder.MEMORY_IDS + 1
+    learnt = own.young.count
+    own.young.used = piece_encoder.MEMORY_IDS + 1
+    own.library = None  # the old generation has them all
+    own(texts)
+    assert own(texts)[0].tolist() == first[0].tolist()
+    assert own.young.count == learnt == 5000
+    own.library = lambda pieces: [[len(p)] for p in pieces]
+    for k in range(3):  # two generations later they are gone and learnt again
+        own.young.used = piece_encoder.MEMORY_IDS + 1
+        own(pa.array([f"x{k}"]))
+    assert own.young.find(np.array([1], np.uint64)).tolist() == [-1] and own.young.count + own.old.count == 2
     assert own(texts)[0].tolist() == first[0].tolist()
-    assert own.count == 5000
 
 
 @pytest.mark.parametrize("bits", [1, 5, 8, 11, 16, 17, 24, 31, 32])

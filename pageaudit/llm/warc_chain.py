@@ -25,6 +25,8 @@ CLOSE = b"\r\n\r\n"
 REVISIT_BYTES = 1000
 #: Bytes of a file that one task looks through; bytes read for a header first (a longer one is read on).
 RANGE_BYTES, HEADER_BYTES = 8 << 20, 64 << 10
+#: Tasks of a reading pass; beyond that a task reads several ranges.
+MOST_TASKS = 100_000
 #: Types of the records that are read back.
 PAGES = ("response", "revisit")
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -113,21 +115,17 @@ def parse_header(raw: bytes) -> tuple[dict, int] | None:
 
 
 def header_at(source, at: int, held: bytes = b"", base: int = 0) -> tuple[dict, int, int] | None:
-    """Fields, offset of the block and offset of the successor; reads more of the file where the header needs it.
+    """Fields, offset of the block and offset of the successor, from the bytes held where they reach; reads on where the header needs it.
 
     A header may be of any length: pieces of doubled size are read until its end, the file's end or a line that is no field.
     """
-    raw = held[at - base : at - base + 4096] if held and at - base + 4096 <= len(held) else b""
-    found = parse_header(raw) if raw else None
-    if found is None and (not raw or CLOSE not in raw):
-        piece = HEADER_BYTES
-        while True:
-            source.seek(at)
-            raw = source.read(piece)
-            if CLOSE in raw or not raw.startswith(MAGIC) or at + piece >= source.size() or any(b":" not in x for x in raw.split(b"\r\n")[1:-1]):
-                break
-            piece *= 2
-        found = parse_header(raw)
+    raw, piece = held[at - base : at - base + HEADER_BYTES] if held else b"", HEADER_BYTES
+    while CLOSE not in raw:
+        if raw and not raw.startswith(MAGIC[: len(raw)]) or any(b":" not in x for x in raw.split(b"\r\n")[1:-1]) or at + len(raw) >= source.size():
+            return None
+        source.seek(at + len(raw))
+        raw, piece = raw + source.read(piece), 2 * piece
+    found = parse_header(raw)
     if found is None:
         return None
     fields, start = found
@@ -141,9 +139,9 @@ def ranges(files: DataFrame, step: int) -> DataFrame:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Ranges dealt out evenly, whatever file they come from."""
-    return df.repartition("file", "start")
+def tasks_for(files: DataFrame, step: int) -> int:
+    """A task for each ``step`` bytes, about. Rows that stand for bytes are tiny, so Spark would put them all in one task."""
+    return max(1, min(MOST_TASKS, -(-int(files.agg(F.sum("bytes")).first()[0] or 0) // step)))
 
 
 def candidates(files: DataFrame, step: int = RANGE_BYTES) -> DataFrame:
@@ -173,7 +171,7 @@ def candidates(files: DataFrame, step: int = RANGE_BYTES) -> DataFrame:
                     "n": pa.array([n[at] for at in jump], pa.int64()),
                 })
 
-    return spread(ranges(files, step)).mapInArrow(run, "file string, at bigint, next bigint, n bigint")
+    return ranges(files, step).repartition(tasks_for(files, step), "file", "start").mapInArrow(run, "file string, at bigint, next bigint, n bigint")
 
 
 def entries(files: DataFrame, step: int = RANGE_BYTES) -> DataFrame:
@@ -253,7 +251,7 @@ def read_archives(files: DataFrame, step: int = RANGE_BYTES) -> DataFrame:
         ("url", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("intact", pa.bool_()),
     ])
     out = "file string, offset bigint, record_type string, record_id string, refers_to string, url string, payload_digest string, payload_bytes bigint, payload binary, intact boolean"
-    return entries(files, step).repartition("file", "at").mapInArrow(run, out)
+    return entries(files, step).repartition(tasks_for(files, step), "file", "at").mapInArrow(run, out)
 
 
 def page_id(urn: Column) -> Column:

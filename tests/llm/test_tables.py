@@ -390,3 +390,36 @@ def test_components_of_chains_and_stars(shared):
     got = {r["node"]: r["component"] for r in components(shared.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(201)} | {k: 1000 for k in range(1000, 1100)} | {6000: 6000, 6001: 6000}
     assert components(shared.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_archives_are_read_by_many_tasks(shared):
+    pages = shared.range(160).selectExpr("id AS page_id", "concat('http://a.b/', id) AS url", "repeat(cast(id AS string), 4000) AS html")
+    files = warc_chain.write_archives(pages.repartition(4))
+    total = files.agg({"bytes": "sum"}).first()[0]
+    assert warc_chain.tasks_for(files, 1 << 14) == -(-total // (1 << 14)) > 60
+    for frame in (warc_chain.candidates(files, 1 << 14), warc_chain.read_archives(files, 1 << 14)):
+        parts = frame.rdd.getNumPartitions()
+        assert parts == warc_chain.tasks_for(files, 1 << 14)
+    assert warc_chain.read_archives(files, 1 << 14).count() == 160
+
+
+def test_false_magic_costs_no_second_read(tmp_path):
+    class Counted:
+        def __init__(self, raw):
+            self.raw, self.at, self.read_bytes = raw, 0, 0
+
+        def size(self):
+            return len(self.raw)
+
+        def seek(self, at):
+            self.at = at
+
+        def read(self, n):
+            out = self.raw[self.at : self.at + n]
+            self.at, self.read_bytes = self.at + len(out), self.read_bytes + len(out)
+            return out
+
+    raw = warc_chain.record("response", [("X", "y")], (warc_chain.MAGIC + b"no field here " * 9) * 4000)
+    source = Counted(raw)
+    found = [warc_chain.header_at(source, m.start(), raw, 0) for m in re.finditer(re.escape(warc_chain.MAGIC), raw)]
+    assert found[0][2] == len(raw) and not any(found[1:]) and source.read_bytes == 0

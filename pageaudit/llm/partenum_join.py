@@ -280,8 +280,7 @@ def shared_signatures(packed: DataFrame) -> DataFrame:
     kind 0: a (least) and b; kind 1: signature, member a, entry and slack. Pairs come once for each bucket.
     """
     def run(table: pa.Table) -> pa.Table:
-        parts = [unpack(n, b) for n, b in zip(table["n"].to_pylist(), table["block"].to_pylist())]
-        low, doc, tag = (np.concatenate(x) for x in zip(*parts))
+        low, doc, tag = (np.concatenate(x) for x in zip(*map(unpack, table["n"].to_pylist(), table["block"].to_pylist())))
         order = np.argsort(low)
         sorted_ = low[order]
         same = sorted_[1:] == sorted_[:-1]
@@ -304,6 +303,7 @@ def shared_signatures(packed: DataFrame) -> DataFrame:
         many = size[of] >= 3
         bucket = np.uint64(int(table["bucket"][0].as_py())) << np.uint64(40) if table.num_rows else np.uint64(0)
         n_pairs, n_many = pairs.shape[1], int(many.sum())
+        tb.release()
         return pa.table({
             "kind": np.repeat(np.array([0, 1], np.int32), [n_pairs, n_many]),
             "sig": np.concatenate([np.zeros(n_pairs, np.int64), (low[many] | bucket).view(np.int64)]),
@@ -320,9 +320,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     sieve = docs.sparkSession.sparkContext.broadcast(BitFilter(wanted.select(F.xxhash64("doc_id").alias("h")), "h"))
 
     def run(batches):
-        for batch in batches:
-            kept = sieve.value.may_hold(batch.column("h").to_numpy().view(np.uint64))
-            for piece in tb.slices([batch.filter(pa.array(kept))], "text"):
+        for piece in tb.slices(batches, "text"):
+            piece = piece.filter(pa.array(sieve.value.may_hold(piece.column("h").to_numpy().view(np.uint64))))
+            if piece.num_rows:
                 hashes, first = shingles(piece.column("text"))
                 whole = pa.Array.from_buffers(pa.binary(), piece.num_rows, [None, pa.py_buffer((8 * first).astype(np.int32)), pa.py_buffer(hashes.astype("<u8"))])
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), whole], ["doc_id", "items"])
@@ -477,6 +477,7 @@ def by_place(batches):
             edges = edges[:-1]
         if edges[-1]:
             yield held.slice(0, edges[-1]), edges
+            tb.release()
         held = held.slice(edges[-1]) if batch is not None else None
 
 
@@ -548,7 +549,7 @@ def exact_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> Data
         for batch, edges in by_place(batches):
             x = {c: batch.column(c).to_numpy() for c in names}
             data, at = tb.buffers(batch.column("items"))
-            hashes, first_of = np.frombuffer(data.tobytes(), "<u8"), (at - at[0]) // 8
+            hashes, first_of = np.frombuffer(data, "<u8"), (at - at[0]) // 8
             x["n_shingles"] = np.diff(first_of)
             cells, bounds = sketches(hashes, first_of)
             found = set()

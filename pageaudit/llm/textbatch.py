@@ -4,6 +4,8 @@ All functions work on slices of a few megabytes, so that memory is bounded by th
 (and by the longest single text), never by the partition.
 """
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,6 +35,15 @@ def powers(n: int) -> np.ndarray:
     return out
 
 
+def release() -> None:
+    """Gives memory that is not in use back to the system, so that a worker's next task starts small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads every input bit over the 64 output bits (one to one)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -50,7 +61,7 @@ def slices(batches, column: str, max_bytes: int = SLICE_BYTES):
             stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, "right")))
             yield batch.slice(start, stop - start)
             start = stop
-        pa.default_memory_pool().release_unused()  # what the batch took goes back before the next comes
+        release()  # what the batch took goes back before the next comes
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ split between tokens come out whole.
 """
 
 import base64
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +97,21 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return slim.mapInArrow(run, f"id {kind}, ids array<int>{more}").withColumnRenamed("id", id_col)
 
 
+class ByteTable:
+    """The bytes of every id, one after the other; ids outside the vocabulary stand for U+FFFD."""
+
+    def __init__(self, ranks: bytes):
+        tokens = [t or REPLACEMENT for t in read_ranks(ranks)] + [REPLACEMENT]
+        self.flat, self.size = np.frombuffer(b"".join(tokens), np.uint8), np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.start = np.cumsum(self.size) - self.size
+
+    def bytes_of(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids and, for the ends of the rows among the ids, those among the bytes."""
+        last = len(self.size) - 1
+        known = np.where((ids < 0) | (ids >= last), last, ids)
+        return tb.gather(self.flat, self.start[known], self.size[known]), np.concatenate([[0], np.cumsum(self.size[known])])[ends]
+
+
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids", text: bool = True) -> DataFrame:
     """Id, ``packed`` (the ids as little-endian 32-bit integers), ``data`` (the bytes) and, if asked for, ``text``.
 
@@ -106,10 +122,7 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     slim = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
 
     def run(batches):
-        tokens = [t or REPLACEMENT for t in read_ranks(ranks.value)] + [REPLACEMENT]
-        flat = np.frombuffer(b"".join(tokens), np.uint8)
-        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        start = np.cumsum(size) - size
+        table = ByteTable(ranks.value)
         for batch in batches:
             column, step = batch.column("ids"), 0
             while step < len(column):
@@ -119,9 +132,7 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
                 ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
                 sizes = np.diff(lists.offsets.to_numpy())
                 ends = np.concatenate([[0], np.cumsum(sizes)])
-                known = np.where((ids < 0) | (ids >= len(tokens)), len(tokens) - 1, ids)
-                data = tb.gather(flat, start[known], size[known])
-                at = np.concatenate([[0], np.cumsum(size[known])])[ends]
+                data, at = table.bytes_of(ids, ends)
                 out = [
                     batch.column("id").slice(step - 512, len(part)),
                     pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))]),
@@ -133,3 +144,31 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
 
     kind = slim.schema["id"].dataType.simpleString()
     return slim.mapInArrow(run, f"id {kind}, packed binary, data binary" + ", text string" * text).withColumnRenamed("id", id_col)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Id, ``ids``, ``decoded_sha256`` and ``round_trip`` (whether the decoded bytes are those of the text), encoded and decoded in one pass.
+
+    Nulls, empty texts, repeated rows, empty tables and other columns as for ``encode``.
+    """
+    with open(ranks_path, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def run(batches):
+        own, _ = encoder(ranks.value, pattern)
+        table = ByteTable(ranks.value)
+        for batch in tb.slices(batches, "text"):
+            ids, sizes = own(batch.column("text"))
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            data, at = table.bytes_of(ids.astype(np.int64), ends)
+            text, offsets = tb.buffers(batch.column("text"))
+            digests = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:])]
+            same = [b - a == d - c and np.array_equal(data[a:b], text[c:d]) for a, b, c, d in zip(at[:-1], at[1:], offsets[:-1], offsets[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(ids, pa.int32())), pa.array(digests, pa.string()), pa.array(same, pa.bool_())],
+                ["id", "ids", "decoded_sha256", "round_trip"],
+            )
+
+    kind = slim.schema["id"].dataType.simpleString()
+    return slim.mapInArrow(run, f"id {kind}, ids array<int>, decoded_sha256 string, round_trip boolean").withColumnRenamed("id", id_col)

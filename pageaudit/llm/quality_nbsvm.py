@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     order = F.xxhash64(F.col("id").cast("string"), F.lit(3))
     share = min(1.0, max_train / max(1, known.count()))
-    chosen = known.withColumn("order", order).where(F.pmod("order", F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(max_train)
+    chosen = known.withColumn("order", order).where(F.pmod("order", F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy("order", "id").limit(max_train)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("order", "y", "text")
 
     def run(batches):
@@ -169,14 +169,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(examples, rows["y"].to_numpy().astype(int))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Id and ``score`` (0 to 1), one row per input row; with ``keep`` all columns of ``docs`` and ``quality_score``.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, name: str | None = None) -> DataFrame:
+    """Id and ``score`` (0 to 1), one row per input row; with ``keep`` all columns of ``docs`` and ``quality_score`` (replaced if there is one).
 
     Null and empty texts get the score of the bias alone. Repeated rows get equal scores; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    name = "quality_score" if keep else "score"
-    slim = docs if keep else docs.select(F.col(id_col), F.col(text_col))
+    name = name or ("quality_score" if keep else "score")
+    slim = docs.drop(name) if keep else docs.select(F.col(id_col), F.col(text_col))
 
     def run(batches):
         for batch in tb.slices(batches, text_col):

@@ -48,7 +48,7 @@ def rows_of(df):
     return Counter((r["doc_id"], r["text"]) for r in df.collect())
 
 
-def test_encoding_decodes_and_says_whether_the_text_comes_back(shared, docs_of, folder, monkeypatch):
+def test_encoding_decodes_and_says_whether_the_text_comes_back(shared, docs_of, folder):
     rows, _ = small_rows()
     docs, other = docs_of(*rows), tiktoken_encoding()
     want = Counter((i, tuple(other.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest(), True) for i, t in rows)
@@ -58,11 +58,15 @@ def test_encoding_decodes_and_says_whether_the_text_comes_back(shared, docs_of,
     assert Counter((r["doc_id"], tuple(r["ids"]), r["decoded_sha256"], r["round_trip"]) for r in found) == want
     assert all(r["n_tokens"] == len(r["ids"]) for r in found)
     assert corpus_pipeline.encoding(shared, docs.limit(0), folder).count() == 0
-    plain = byte_bpe.encode
-    monkeypatch.setattr(byte_bpe, "encode", lambda *a, **k: plain(*a, **k).selectExpr("row", "slice(ids, 2, 1000) AS ids"))
-    lost = corpus_pipeline.encoding(shared, docs, folder).collect()
-    assert all(r["round_trip"] == (not dict(rows)[r["doc_id"]]) for r in lost if r["doc_id"] not in (None, 37))
-    assert len(lost) == len(rows)
+    back = byte_bpe.decode(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
+    assert Counter((r["doc_id"], hashlib.sha256(r["data"]).hexdigest()) for r in back.collect()) == Counter((w[0], w[2]) for w in want.elements())
+
+
+def test_a_column_of_the_score_s_name_is_kept(shared, docs_of, folder):
+    docs = docs_of(*small_rows()[0]).selectExpr("*", "'own' AS quality_score")
+    out = corpus_pipeline.quality(shared, docs, folder)
+    assert out.columns == docs.columns and {r["quality_score"] for r in out.collect()} <= {"own"}
+    assert quality_nbsvm.score(docs, quality_nbsvm.fit(docs, shared.read.parquet(f"{folder}/labels.parquet")), keep=True).columns.count("quality_score") == 1
 
 
 def test_stages_and_the_whole_equal_plain_readings(shared, docs_of, folder):

@@ -15,7 +15,10 @@ from pageaudit.session import written
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold. The model is fitted on labelled documents among those of the stage."""
     model = quality_nbsvm.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_nbsvm.score(docs, model, keep=True).where(F.col("quality_score") >= quality_nbsvm.THRESHOLD).drop("quality_score")
+    name = "quality_score"
+    while name in docs.columns:  # a column of the documents stays what it is
+        name += "_"
+    return quality_nbsvm.score(docs, model, keep=True, name=name).where(F.col(name) >= quality_nbsvm.THRESHOLD).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,18 +42,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens, the SHA-256 of the decoded bytes, and whether they are those of the text (a null text is empty).
-
-    The text's own hash goes along with each row, so rows without an id and repeated ids are compared with their own text.
-    """
+    """doc_id, ids, n_tokens, the SHA-256 of the decoded bytes, and whether they are those of the text (a null text is empty)."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    own = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256")
-    ids = byte_bpe.encode(docs.select(F.struct("doc_id", own).alias("row"), "text"), path, public_tokenizers.PATTERN, id_col="row")
-    back = byte_bpe.decode(ids.select(F.struct("row.*", "ids").alias("row"), "ids"), path, id_col="row", text=False)
-    return back.withColumn("decoded_sha256", F.sha2("data", 256)).select(
-        "row.doc_id", "row.ids", F.size("row.ids").cast("long").alias("n_tokens"), "decoded_sha256",
-        (F.col("decoded_sha256") == F.col("row.text_sha256")).alias("round_trip"),
-    )
+    out = byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN)
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded_sha256", "round_trip")
 
 
 STAGES = [
@@ -65,6 +60,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document that the first three stages keep. Null and empty texts have no tokens; rows without an id stay apart from each
+    other; repeated rows give one; an empty table gives an empty result; columns with clashing names stay what they are."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "stage")

@@ -1,7 +1,7 @@
 """Streaming queries: each runs its stream over the stored events to the end and reads what it wrote.
 
-Results still open at the watermark are not emitted; the checking SQL closes
-at the same point. The checks of W5 and W2 need no such cut.
+Every stream ends with a marker, so all results come out: the checking SQL reads the
+whole tables without a cut.
 """
 
 from pyspark.sql import functions as F
@@ -15,8 +15,6 @@ from pageaudit.sources.tables import table
 from pageaudit.streaming import operators as W
 from pageaudit import fixed as X
 
-DELAY_S = 600
-
 
 def stream(spark, sf, name):
     """A stored table as a stream; the file name is a pattern because a stream reads a folder."""
@@ -36,21 +34,24 @@ def finish(spark, sdf, kind):
     return spark.read.schema(schema).parquet(W.run_to_end(sdf, folder))
 
 
+def ended(spark, df, **keys):
+    return W.with_end(df, W.write_end_marker(spark, scratch(spark, "end")), **keys)
+
+
 def sessions_sql(key, gap_us, extra, source):
     """Session windows: a row opens a new session when the gap to the row before is reached."""
-    return f"""o AS (SELECT *, epoch_us(ts) AS us FROM {source}), m AS (SELECT max(us) // 1000 * 1000 - {DELAY_S} * 1000000 AS wm FROM o),
+    return f"""o AS (SELECT *, epoch_us(ts) AS us FROM {source}),
      st AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY {key} ORDER BY us) < {gap_us} THEN 0 ELSE 1 END AS opens FROM o),
-     se AS (SELECT *, sum(opens) OVER (PARTITION BY {key} ORDER BY us ROWS UNBOUNDED PRECEDING) AS sid FROM st),
-     closed AS (SELECT {key}, sid FROM se, m GROUP BY {key}, sid, wm HAVING max(us) + {gap_us} <= wm){extra}"""
+     se AS (SELECT *, sum(opens) OVER (PARTITION BY {key} ORDER BY us ROWS UNBOUNDED PRECEDING) AS sid FROM st){extra}"""
 
 
 _MEANS = "(lower(tag) = 'dialog' OR " + " OR ".join(f"contains(lower(class_name), '{c}')" for c in X.MEANINGFUL_CLASSES) + ")"
 
 
 @query("w1_debounce", f"""WITH {sessions_sql('session_id', 750000, '', 'v_mutations')}
-  SELECT session_id, min(us)::BIGINT AS started_us, count(*)::BIGINT AS n_mutations FROM se JOIN closed USING (session_id, sid) GROUP BY session_id, sid HAVING bool_or({_MEANS})""")
+  SELECT session_id, min(us)::BIGINT AS started_us, count(*)::BIGINT AS n_mutations FROM se GROUP BY session_id, sid HAVING bool_or({_MEANS})""")
 def _(spark, sf):
-    b = finish(spark, W.burst_inspections(stream_view(spark, sf, "v_mutations", "events")), "w1")
+    b = finish(spark, W.burst_inspections(ended(spark, stream_view(spark, sf, "v_mutations", "events"))), "w1")
     return b.select("session_id", F.unix_micros("started").alias("started_us"), "n_mutations")
 
 
@@ -59,16 +60,16 @@ def snaps(df):
                      F.col("event_id").alias("seq"), F.col("value").alias("highest_price"))
 
 
-_GAP = 6 * 3600
+_GAP, _LONG = 6 * 3600, 60 * 86400
 _EV = "ev AS (SELECT user_id::VARCHAR AS session_id, ts, event_id AS seq, value FROM events)"
 
 
 @query("w3_price_tracker", f"""WITH {_EV}, {sessions_sql('session_id', _GAP * 1000000, '', 'ev')},
-  g AS (SELECT session_id, sid, count(*) AS n, arg_min(value, us) AS a, arg_max(value, us) AS b, min(us) AS started FROM se JOIN closed USING (session_id, sid) GROUP BY session_id, sid)
+  g AS (SELECT session_id, sid, count(*) AS n, arg_min(value, us) AS a, arg_max(value, us) AS b, min(us) AS started FROM se GROUP BY session_id, sid)
   SELECT session_id, started::BIGINT AS started_us, a AS first_price, b AS latest_price, round(least(0.95, 0.75 + (b - a) / 1000), 6) AS confidence,
    CASE WHEN b - a > 150 THEN 'high' ELSE 'medium' END AS severity FROM g WHERE n >= 2 AND a > 0 AND b > 0 AND b - a > 20""")
 def _(spark, sf):
-    t = finish(spark, W.track_prices(snaps(stream(spark, sf, "events")), f"{_GAP} seconds"), "w3")
+    t = finish(spark, W.track_prices(ended(spark, snaps(stream(spark, sf, "events"))), f"{_GAP} seconds"), "w3")
     return t.select("session_id", F.unix_micros("started").alias("started_us"), "first_price", "latest_price", F.round("confidence", 6).alias("confidence"), "severity")
 
 
@@ -83,35 +84,37 @@ def _(spark, sf):
     return t.select("session_id", F.unix_micros("started").alias("started_us"), "first_price", "latest_price")
 
 
-@query("w4_journey_machine", f"""WITH {sessions_sql('scan_id', 7200 * 1000000, '', 'v_transitions')},
-  tr AS (SELECT se.* FROM se JOIN closed USING (scan_id, sid)), f AS ({fold_sql('scan_id, sid', 'tr')}) SELECT * EXCLUDE (sid) FROM f""")
+@query("w4_journey_machine", f"""WITH {sessions_sql('scan_id', _LONG * 1000000, '', 'v_transitions')},
+  f AS ({fold_sql('scan_id, sid', 'se')}) SELECT * EXCLUDE (sid) FROM f""")
 def _(spark, sf):
-    j = W.track_journeys(stream_view(spark, sf, "v_transitions", "events"), "2 hours")
+    """State lasts the whole scan, however long its pauses are: the same rows as the batch fold gives."""
+    j = W.track_journeys(ended(spark, stream_view(spark, sf, "v_transitions", "events")))
     return finish(spark, j, "w4").drop("visit")
 
 
 @query("w5_first_captures", "SELECT DISTINCT session_id, url FROM (SELECT user_id::VARCHAR AS session_id, event_type || (event_id % 3) AS url FROM events) x")
 def _(spark, sf):
-    """Event times are laid within one watermark, so that the stream sees every repeat."""
+    """Real event times; repeats come up to a month late."""
     ev = stream(spark, sf, "events").select(
-        F.col("user_id").cast("string").alias("session_id"), F.concat("event_type", F.col("event_id") % 3).alias("url"),
-        F.timestamp_millis(1_700_000_000_000 + F.col("event_id") % 1000).alias("ts"))
+        F.col("user_id").cast("string").alias("session_id"), F.concat("event_type", F.col("event_id") % 3).alias("url"), F.col("ts").cast("timestamp").alias("ts"))
     return finish(spark, W.first_captures(ev), "w5").select("session_id", "url")
 
 
-@query("w5_capped_sessions", f"""WITH c AS (SELECT DISTINCT session_id, url FROM v_responses) SELECT session_id, least(count(*), 40)::BIGINT AS kept, count(*) >= 40 AS "full" FROM c GROUP BY session_id""")
+@query("w5_capped_sessions", """WITH c AS (SELECT DISTINCT session_id, url FROM v_responses) SELECT session_id, count(*)::BIGINT AS kept, FALSE AS "full", least(count(*), 40)::BIGINT AS kept_of_40, count(*) >= 40 AS full_at_40 FROM c GROUP BY session_id""")
 def _(spark, sf):
+    """All captures, next to what a cap of 40 would keep."""
     from pageaudit.registry.views import view
-    r = view(spark, sf, "v_responses").withColumn("ts", F.timestamp_seconds(F.lit(0)))
-    return W.capped_sessions(W.first_captures(r)).select("session_id", "kept", "full")
+    first = W.first_captures(view(spark, sf, "v_responses"))
+    capped = W.capped_sessions(first, limit=X.NETWORK_CAPTURES).select("session_id", F.col("kept").alias("kept_of_40"), F.col("full").alias("full_at_40"))
+    return W.capped_sessions(first).join(capped, "session_id")
 
 
 _KIND = f"CASE WHEN event_type IN ('view', 'click') THEN 'result' WHEN event_type = 'signup' THEN 'navigate' ELSE 'other' END"
 
 
-@query("w6_tab_results", f"""WITH tb AS (SELECT user_id AS tab_id, ts, event_id AS seq, {_KIND} AS kind, event_type || event_id AS result FROM events), {sessions_sql('tab_id', 6 * 3600 * 1000000, '', 'tb')},
+@query("w6_tab_results", f"""WITH tb AS (SELECT user_id AS tab_id, ts, event_id AS seq, {_KIND} AS kind, event_type || event_id AS result FROM events), {sessions_sql('tab_id', _LONG * 1000000, '', 'tb')},
   g AS (SELECT tab_id, sid, min(us) AS started, max(us) FILTER (WHERE kind = 'result') AS ra, max(us) FILTER (WHERE kind = 'navigate') AS na, arg_max(result, us) FILTER (WHERE kind = 'result') AS res
-    FROM se JOIN closed USING (tab_id, sid) GROUP BY tab_id, sid)
+    FROM se GROUP BY tab_id, sid)
   SELECT tab_id, started::BIGINT AS started_us, CASE WHEN ra IS NOT NULL AND (na IS NULL OR ra > na) THEN 'done' ELSE 'idle' END AS status,
     CASE WHEN ra IS NOT NULL AND (na IS NULL OR ra > na) THEN res END AS result FROM g""")
 def _(spark, sf):
@@ -119,18 +122,17 @@ def _(spark, sf):
         F.col("user_id").alias("tab_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
         F.when(F.col("event_type").isin("view", "click"), "result").when(F.col("event_type") == "signup", "navigate").otherwise("other").alias("kind"),
         F.concat("event_type", "event_id").alias("result"))
-    t = finish(spark, W.tab_results(ev, "6 hours"), "w6")
+    t = finish(spark, W.tab_results(ended(spark, ev)), "w6")
     return t.select("tab_id", F.unix_micros("started").alias("started_us"), "status", "result")
 
 
 @query("w7_windowed_findings", """WITH f AS (SELECT epoch_us(ts) AS us, 'h' || (user_id % 7) AS host, event_type AS pattern FROM events),
-  m AS (SELECT max(us) // 1000 * 1000 - 3600 * 1000000::BIGINT AS wm FROM f),
   w AS (SELECT host, pattern, (us // 900000000 - k) * 900000000 AS ws FROM f, (SELECT unnest([0, 1, 2, 3]) AS k) x)
-  SELECT (ws // 1000000)::BIGINT AS window_start_s, host, pattern, count(*)::BIGINT AS n FROM w, m WHERE ws + 3600 * 1000000::BIGINT <= wm GROUP BY ws, host, pattern""")
+  SELECT (ws // 1000000)::BIGINT AS window_start_s, host, pattern, count(*)::BIGINT AS n FROM w GROUP BY ws, host, pattern""")
 def _(spark, sf):
     f = stream(spark, sf, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("h"), F.col("user_id") % 7).alias("host"), F.col("event_type").alias("pattern"))
-    t = finish(spark, W.windowed_findings(f), "w7")
+    t = finish(spark, W.windowed_findings(ended(spark, f)), "w7")
     return t.select(F.unix_seconds("window_start").alias("window_start_s"), "host", "pattern", "n")
 
 
@@ -141,17 +143,11 @@ def _(spark, sf):
     return W.with_second_level(first, second).select("page_id", "level", "n_findings")
 
 
-@query("w8_second_level", f"""WITH e AS (SELECT event_id, epoch_us(ts) AS us, {EV_K} AS k FROM events), m AS (SELECT least(max(us), max(us + k % 12 * 1000000) FILTER (WHERE k % 3 > 0)) AS top FROM e)
-  SELECT event_id AS page_id, CASE WHEN k % 3 > 0 AND k % 12 <= 6 THEN 'second' ELSE 'first' END AS level, (CASE WHEN k % 3 > 0 AND k % 12 <= 6 THEN k ELSE 1 END)::BIGINT AS n_findings
-  FROM e, m WHERE us < top - {DELAY_S + 60} * 1000000::BIGINT""")
+@query("w8_second_level", f"""WITH e AS (SELECT event_id, {EV_K} AS k FROM events) SELECT event_id AS page_id, CASE WHEN k % 3 > 0 AND k % 12 <= 6 THEN 'second' ELSE 'first' END AS level,
+  (CASE WHEN k % 3 > 0 AND k % 12 <= 6 THEN k ELSE 1 END)::BIGINT AS n_findings FROM e""")
 def _(spark, sf):
-    """Pages of the last eleven minutes before the slower stream's end are left out: their second level may still come."""
     first, second = levels(stream(spark, sf, "events"))
-    j = finish(spark, W.with_second_level(first, second), "w8")
-    a, b = levels(table(spark, sf, "events"))
-    ends = a.agg(F.max("ts").alias("t")).union(b.agg(F.max("ts")))
-    cut = ends.agg(F.unix_micros(F.min("t"))).first()[0] - (DELAY_S + 60) * 1_000_000
-    return j.where(F.unix_micros("ts") < cut).select("page_id", "level", "n_findings")
+    return finish(spark, W.with_second_level(ended(spark, first, page_id=-1), ended(spark, second, page_id=-2)), "w8").select("page_id", "level", "n_findings")
 
 
 def levels(ev):

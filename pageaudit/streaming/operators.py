@@ -3,8 +3,14 @@
 All of them are built-in event-time aggregates and joins: state is bounded by
 the watermark, partial aggregation happens before the shuffle, and the same
 functions run on batch tables. No Python state is kept.
+
+A stream that comes to an end says so by an end marker (``with_end``): a row without keys, later than all
+others, that moves the watermark past the last event. Everything still open is then emitted, so a stream that has
+ended gives what the same function gives on the whole table.
 """
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +25,27 @@ def _marked(df: DataFrame, ts: str, watermark: str) -> DataFrame:
     return df.withWatermark(ts, watermark) if df.isStreaming else df
 
 
+END = datetime.datetime(9999, 1, 1)
+
+
+def write_end_marker(spark, folder: str, ts: str = "ts") -> str:
+    """Writes the marker that ends a stream: one row with nothing but its time. Rows that come after it are late."""
+    spark.createDataFrame([(END,)], f"{ts} timestamp").write.mode("overwrite").parquet(folder)
+    return folder
+
+
+def with_end(events: DataFrame, folder: str, ts: str = "ts", **keys) -> DataFrame:
+    """``events`` and the marker found in ``folder``; while there is none the stream goes on.
+
+    Both have one watermark, that of the union, so the marker must not be written before the last event. Its own group stays open
+    for ever. ``keys``: values of the marker's columns, which no event has; the key of a join must be given, because rows with
+    a null key are dropped before the watermark sees them.
+    """
+    marker = events.sparkSession.readStream.schema(f"{ts} timestamp").parquet(folder)
+    marker = marker.withColumns({k: F.lit(v).cast(events.schema[k].dataType) for k, v in keys.items()}) if keys else marker
+    return events.unionByName(marker, allowMissingColumns=True)
+
+
 def burst_inspections(mutations: DataFrame, watermark="10 minutes") -> DataFrame:
     """One inspection per burst of page changes that ends with a quiet gap and touched something meaningful.
 
@@ -53,8 +80,8 @@ def track_prices(snapshots: DataFrame, gap="30 minutes", watermark="10 minutes")
     )
 
 
-def track_journeys(transitions: DataFrame, gap="1 hour", watermark="10 minutes") -> DataFrame:
-    """Purchase state machine per scan; a journey ends after ``gap`` without a transition.
+def track_journeys(transitions: DataFrame, gap="60 days", watermark="10 minutes") -> DataFrame:
+    """Purchase state machine per scan. A scan's state is kept until ``gap`` without a transition (or the end marker).
 
     Needs the columns of the batch fold and ts.
     """
@@ -63,23 +90,24 @@ def track_journeys(transitions: DataFrame, gap="1 hour", watermark="10 minutes")
     )
 
 
-def first_captures(responses: DataFrame, watermark="10 minutes") -> DataFrame:
-    """Responses with every address once per session."""
+def first_captures(responses: DataFrame, keep="60 days") -> DataFrame:
+    """Responses with every address once per session; a session's addresses are remembered for ``keep`` of event time."""
     if responses.isStreaming:
-        return responses.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["session_id", "url"])
+        return responses.withWatermark("ts", keep).dropDuplicatesWithinWatermark(["session_id", "url"])
     return responses.dropDuplicates(["session_id", "url"])
 
 
-def capped_sessions(captures: DataFrame, span="1 hour", limit=X.NETWORK_CAPTURES) -> DataFrame:
-    """Number of captures per session and hour, the number kept and whether the cap was reached."""
-    n = F.count("*")
-    return captures.groupBy("session_id", F.window("ts", span)).agg(n.alias("n")).select(
-        "session_id", F.col("window.start").alias("hour"), F.least(F.col("n"), F.lit(limit)).alias("kept"), (F.col("n") >= limit).alias("full")
-    )
+def capped_sessions(captures: DataFrame, span: str | None = None, limit: int | None = None) -> DataFrame:
+    """Number of captures per session (and ``span`` of time), the number kept and whether the cap was reached; without ``limit`` all are kept."""
+    n, keys = F.count("*"), ["session_id"] + ([F.window("ts", span)] if span else [])
+    counted = captures.groupBy(*keys).agg(n.alias("n"))
+    kept = F.col("n") if limit is None else F.least(F.col("n"), F.lit(limit))
+    full = F.lit(False) if limit is None else F.col("n") >= limit
+    return counted.select("session_id", *([F.col("window.start").alias("from_ts")] if span else []), kept.alias("kept"), full.alias("full"))
 
 
-def tab_results(events: DataFrame, gap="30 minutes", watermark="10 minutes") -> DataFrame:
-    """Latest result of a tab, cleared by a later navigation. Needs tab_id, ts, seq, kind, result."""
+def tab_results(events: DataFrame, gap="60 days", watermark="10 minutes") -> DataFrame:
+    """Latest result of a tab, cleared by a later navigation; a tab is forgotten after ``gap`` without an event. Needs tab_id, ts, seq, kind, result."""
     at = F.struct("ts", "seq")
     is_result, is_nav = F.col("kind") == "result", F.col("kind") == "navigate"
     g = _marked(events, "ts", watermark).groupBy("tab_id", F.session_window("ts", gap).alias("visit")).agg(

@@ -73,7 +73,7 @@ def test_stream_equals_batch_on_closed_sessions(spark, tmp_path, kind):
         F.lit("checkout").alias("stage"), F.lit(True).alias("verified"), F.col("seq").cast("decimal(14,2)").alias("price_observed"))
     src = str(tmp_path / "src")
     df.coalesce(1).write.parquet(src)
-    fn = W.track_prices if kind == "prices" else W.track_journeys
+    fn = W.track_prices if kind == "prices" else lambda df: W.track_journeys(df, "1 hour")
     key = "session_id" if kind == "prices" else "scan_id"
     batch = fn(spark.read.parquet(src)).where(F.col(key) != "z")
     stream = fn(spark.readStream.schema(df.schema).parquet(src))
@@ -81,6 +81,27 @@ def test_stream_equals_batch_on_closed_sessions(spark, tmp_path, kind):
     assert sorted(map(str, out.collect())) == sorted(map(str, batch.collect())) and out.count() == 3
 
 
+def test_an_ended_stream_equals_the_batch(spark, tmp_path):
+    """Nothing stays open behind the marker; pauses within a scan lose no state; late repeats are found with real times."""
+    rows = [(s, i, 600 * i + (90_000 * i if s == "b" else 0)) for s in "abc" for i in range(5)] + [("d", 9, 7 * 10**5)]
+    df = spark.createDataFrame(rows, "scan_id string, seq long, sec long").select(
+        "scan_id", F.col("scan_id").alias("session_id"), "seq", F.timestamp_seconds("sec").alias("ts"), (F.col("seq") * 100.0 + 1).alias("highest_price"),
+        F.element_at(F.array(F.lit("PRODUCT_CAPTURED"), F.lit("CART_CAPTURED"), F.lit("CHECKOUT_CAPTURED"), F.lit("FAILED_INCONCLUSIVE")), (F.col("seq") % 4 + 1).cast("int")).alias("to_state"),
+        F.lit("checkout").alias("stage"), F.lit(True).alias("verified"), F.col("seq").cast("decimal(14,2)").alias("price_observed"), (F.col("seq") % 2).cast("string").alias("url"))
+    src, end = str(tmp_path / "src"), str(tmp_path / "end")
+    df.coalesce(1).write.parquet(src)
+    W.write_end_marker(spark, end)
+    stored, live = spark.read.parquet(src), lambda: W.with_end(spark.readStream.schema(df.schema).parquet(src), end)
+    for k, fn in enumerate((W.track_journeys, W.track_prices)):
+        stream = fn(live())
+        out = spark.read.schema(stream.schema).parquet(W.run_to_end(stream, str(tmp_path / f"run{k}")))
+        assert sorted(map(str, out.collect())) == sorted(map(str, fn(stored).collect())) and out.count() >= 2
+    assert W.track_journeys(stored).count() == 4
+    stream = W.first_captures(spark.readStream.schema(df.schema).parquet(src))
+    out = spark.read.schema(stream.schema).parquet(W.run_to_end(stream, str(tmp_path / "dedup")))
+    assert sorted(tuple(r) for r in out.select("session_id", "url").collect()) == sorted(tuple(r) for r in stored.select("session_id", "url").distinct().collect())
+
+
 ALL = sorted(entry.queries())
 SOME = ["q_shop_ranking", "a2_risk", "a4_coverage", "a5_dedup", "j6_verdict", "j9_fold", "j7_carryover_note", "n1_match_counts", "n3_price_inconsistency", "f6_offers", "f3_attributes",
         "k2_checkout_actions", "e4_access_status", "e6_action_tier", "h3_text_lines", "r_all_rules", "p12_components", "p15_ranked_price", "e9_reached", "q2_scan_scores", "n9_reachable",

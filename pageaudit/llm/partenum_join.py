@@ -350,6 +350,8 @@ def verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, num: int = NUM
                 for k, (x, y) in enumerate(zip(batch.column("left_sketch"), batch.column("right_sketch")))
             ]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+            batch = None
+            tb.release()
 
     def compare(batches):
         for batch in batches:
@@ -360,6 +362,8 @@ def verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, num: int = NUM
                 common = int((both[1:] == both[:-1]).sum())
                 kept.append(den * common >= num * (len(both) - common) and common > 0)
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+            batch = x = y = None
+            tb.release()
 
     near = beside(pairs, sizes, "n_shingles", "sketch").mapInArrow(first_look, "a bigint, b bigint")
     near = written(near.distinct(), "near-pairs")

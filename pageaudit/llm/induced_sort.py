@@ -9,7 +9,8 @@ A queue takes its tuples (symbol, position, rank of the successor) in order of s
 need no sorting; a bucket is read once all smaller ones are done. Beyond a limit, tuples go to run files in order of symbols.
 
 The common prefix of two neighbours of a bucket is one more than the least common prefix between their successors. It goes along with
-the tuples. The text (two bytes a symbol), the types and the common prefixes stay in memory; tuples, three times that, are on disk.
+the tuples. The text, its types and the common prefixes stay in memory (about fifteen bytes a symbol); tuples beyond a limit are on
+disk. So a shard may be larger than memory is for its tuples, not for its text.
 """
 
 import io

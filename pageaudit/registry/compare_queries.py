@@ -228,14 +228,18 @@ def _(spark, sf):
     return C.comparison_summary(ls.join(pay, "listing_id", "left"))
 
 
-@query("f11_seller_equality", """SELECT n_matching::BIGINT AS n_matching, count(*)::BIGINT AS n FROM (SELECT l.listing_id,
+@query("f11_seller_equality", """SELECT kind, n_matching::BIGINT AS n_matching, count(*)::BIGINT AS n FROM (SELECT l.listing_id, kind,
    (lower(l.seller) = lower(s.s_name) OR contains(lower(l.seller), lower(s.s_name)) OR contains(lower(s.s_name), lower(l.seller)))::INT AS n_matching
-   FROM v_listings l JOIN supplier s ON s.s_suppkey = l.listing_id % 1000000 % 10) x GROUP BY 1""")
+   FROM v_listings l, (VALUES ('own', 0), ('next', 1)) k(kind, step), (SELECT min(s_suppkey) AS lo, count(*) AS m FROM supplier) r
+   JOIN supplier s ON s.s_suppkey = r.lo + (l.listing_id % 1000000 - r.lo + k.step) % r.m) x GROUP BY 1, 2""")
 def _(spark, sf):
+    """Each listing with its own supplier and the next one, over all supplier keys."""
     s = table(spark, sf, "supplier").select("s_suppkey", "s_name")
-    j = listings(spark, sf).join(s, F.col("s_suppkey") == F.col("listing_id") % 1000000 % 10)
+    lo, m = s.agg(F.min("s_suppkey"), F.count("*")).first()
+    pairs = listings(spark, sf).select("listing_id", "seller", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("step")) for n, k in enumerate(("own", "next"))])))
+    j = pairs.withColumn("s_suppkey", F.lit(lo) + (F.col("listing_id") % 1000000 - lo + F.col("step")) % m).join(s, "s_suppkey")
     same = C.same_seller(F.lower("seller"), F.lower("s_name")).cast("int").alias("n_matching")
-    return j.select(same).groupBy("n_matching").agg(F.count("*").alias("n"))
+    return j.select("kind", same).groupBy("kind", "n_matching").agg(F.count("*").alias("n"))
 
 
 _SIG = lambda ps: "CASE WHEN " + " OR ".join(f"list_contains(seen, '{p}')" for p in ps) + " THEN 'SIGNAL' ELSE 'CLEAR' END"

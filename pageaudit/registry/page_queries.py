@@ -344,10 +344,10 @@ _Q2F = f"""{_JOURNEY}, {PAGE_FINDINGS}, fd AS (SELECT DISTINCT scan_id, rule_id,
 
 
 @query("q2_scan_scores", f"""WITH {_Q2F} SELECT st.scan_id, coalesce(s, 0)::BIGINT AS signals_found, least(100, 30 * coalesce(h, 0) + 15 * coalesce(m, 0) + 5 * coalesce(l, 0))::BIGINT AS risk_score,
-  greatest(0, 100 - round_even(coalesce(pts, 0) * 0.5::DOUBLE, 0))::BIGINT AS transparency, verdict FROM st LEFT JOIN gg USING (scan_id) JOIN j USING (scan_id) WHERE has_p""")
+  greatest(0, 100 - round_even(coalesce(pts, 0) * 0.5::DOUBLE, 0))::BIGINT AS transparency, verdict, has_p AS product_reached FROM st LEFT JOIN gg USING (scan_id) LEFT JOIN j USING (scan_id)""")
 def _(spark, sf):
-    s = audit.audit_journeys(html(spark, sf))["scans"].where("product_reached")
-    return s.select("scan_id", "signals_found", "risk_score", "transparency", "verdict")
+    s = audit.audit_journeys(html(spark, sf))["scans"]
+    return s.select("scan_id", "signals_found", "risk_score", "transparency", "verdict", "product_reached")
 
 
 @query("q5_evaluate", f"""WITH {PAGE_FINDINGS}, lab AS (SELECT n, 'FALSE_URGENCY' AS pattern, n % 7 < 2 AS expected FROM v_html UNION ALL SELECT n, 'BASKET_SNEAKING', n % 5 IN (1, 3) FROM v_html),

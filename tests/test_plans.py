@@ -34,8 +34,10 @@ def test_flight_journey_end_to_end(page):
 
 def test_blocked_journey_is_undetermined(page):
     pages = page(("https://a.com/product/1", "<p>robot check</p>", "product"), ("https://a.com/cart", P1, "cart"))
-    s = audit.audit_journeys(pages)["scans"].first()
+    out = audit.audit_journeys(pages)
+    s = out["scans"].first()
     assert (s.risk_level, s.risk_score, s.verdict, s.transparency) == ("UNDETERMINED", 0, "INCONCLUSIVE", 0)
+    assert out["findings"].count() == out["charges"].count() == 0 and out["journeys"].first().verdict == "INCONCLUSIVE"
 
 
 SCENARIOS = [

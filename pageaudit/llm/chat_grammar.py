@@ -7,9 +7,8 @@ worked out once and used by all conversations. No cheapest audit is a proper pre
 (equal letters cost the same, further insertions cost more), so the least of joined audits is the join of the least.
 """
 
-from collections import Counter
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Prices of the edits; a truncated row that stays adds one more.
@@ -155,9 +154,7 @@ def repair_pairs(sequences: DataFrame, column: str = "symbols", rounds: int = GR
     return grammar
 
 
-def pa_batch(pairs, n):
-    import pyarrow as pa
-
+def pa_batch(pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], ["pair", "n"])
 
 
@@ -176,8 +173,3 @@ def finish(matrix: dict) -> tuple[int, str]:
     done = product(matrix, INSERTIONS)
     cost, rope = least([done[k] for k in ((START, START), (START, ASSISTANT)) if k in done])
     return cost, rope.text()
-
-
-def plain_counts(sequences) -> Counter:
-    """Pairs of neighbours in a local list of sequences (for tests)."""
-    return Counter(s[k : k + 2] for s in sequences for k in range(len(s) - 1))

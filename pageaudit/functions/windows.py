@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageaudit.session import written
+
 
 def top_k(df: DataFrame, partition_cols, order_cols, k: int, rank="rank") -> DataFrame:
     """The k first rows per group.
@@ -14,21 +16,21 @@ def top_k(df: DataFrame, partition_cols, order_cols, k: int, rank="rank") -> Dat
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def lag_in_buckets(df: DataFrame, keys, ts: str, order, fields, unit="day") -> DataFrame:
-    """Adds ``prev``: the struct of ``fields`` of the preceding row of the same key.
+def lag_in_ranges(df: DataFrame, keys, order, fields) -> DataFrame:
+    """Adds ``prev``: the struct of ``fields`` of the preceding row of the same key in the given order.
 
-    A plain lag sorts all rows of a key in one task. Here the key is cut by
-    time: inside a bucket the lag is a window over key and bucket, and the
-    first row of a bucket takes the last row of the key's bucket before it.
-    The second step sees one row per key and bucket only.
+    A plain lag sorts all rows of a key in one task. Here the rows are cut into ranges of (key, order) of even size, so a key
+    with many rows, be they of one second, is spread over tasks. Inside a range the lag is a window, and the first row of a
+    key in a range takes the key's last row of the range before; that step sees one row per key and range only. The input
+    is evaluated once; null keys are a key of their own.
     """
-    value, lead = F.struct(*fields), F.struct(*order)
-    b = df.withColumn("_bucket", F.date_trunc(unit, F.col(ts)))
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    rows = b.withColumn("_prev", F.lag(value).over(inner)).withColumn("_n", F.row_number().over(inner))
-    ends = b.groupBy(*keys, "_bucket").agg(F.max_by(value, lead).alias("_last"))
-    outer = Window.partitionBy(*keys).orderBy("_bucket")
-    heads = ends.select(*keys, "_bucket", F.lag("_last").over(outer).alias("_before"))
-    out = rows.join(heads, [*keys, "_bucket"], "left")
+    key, value, lead = F.struct(*keys), F.struct(*fields), F.struct(*order)
+    once = written(df.withColumn("_key", key), "lag-rows")
+    cut = written(once.repartitionByRange("_key", *order).withColumn("_range", F.spark_partition_id()), "lag-ranges")
+    inner = Window.partitionBy("_key", "_range").orderBy(*order)
+    rows = cut.withColumn("_prev", F.lag(value).over(inner)).withColumn("_n", F.row_number().over(inner))
+    ends = cut.groupBy("_key", "_range").agg(F.max_by(value, lead).alias("_last"))
+    heads = ends.select("_key", "_range", F.lag("_last").over(Window.partitionBy("_key").orderBy("_range")).alias("_before"))
+    out = rows.join(heads, ["_key", "_range"], "left")
     prev = F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_prev"))
-    return out.withColumn("prev", prev).drop("_bucket", "_prev", "_n", "_before")
+    return out.withColumn("prev", prev).drop("_key", "_range", "_prev", "_n", "_before")

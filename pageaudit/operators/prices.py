@@ -1,10 +1,14 @@
 """Price candidates, stage totals and fee components from parsed pages."""
 
 import json
+import math
+from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
 from pageaudit import fixed as X
 from pageaudit.functions import text as T
@@ -13,6 +17,10 @@ from pageaudit.functions.marks import bit_of
 from pageaudit.functions.windows import top_k
 from pageaudit.operators import structure as H
 
+#: Reachable sums of fees are kept as a set up to this number, as bits beyond it.
+MANY_SUMS = 1 << 14
+
+
 def candidate(amount: Column, source, confidence, label, is_mrp=False, belongs=True, currency="INR") -> Column:
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     return F.struct(
@@ -490,35 +498,60 @@ def dedup_components(components: Column) -> Column:
     return F.transform(F.array_sort(F.transform(firsts, lambda r: F.struct(r["i"], r["c"]))), lambda r: r["c"])
 
 
-def sums_to(target: Column, amounts: Column) -> Column:
-    """Some two or more of ``amounts`` add up to within half a unit of ``target``.
+def summed_from_smaller(cents: list[int]) -> list[bool]:
+    """For each amount whether two or more of the strictly smaller ones add up to it within half a unit. Amounts are positive hundredths.
 
-    Works on whole hundredths and keeps the distinct reachable sums up to the
-    target, so it is exact without listing subsets.
+    Exact. One pass in ascending order serves all amounts: the reachable sums are a set while they are few, then one bit per
+    multiple of the greatest common divisor, so they take at most an eighth of the largest amount's hundredths in bytes.
     """
-    cents = (target * 100).cast("bigint")
-    items = F.filter(F.transform(amounts, lambda a: (a * 100).cast("bigint")), lambda a: a < cents)
-    empty = F.array().cast("array<bigint>")
-
-    def add(acc, item):
-        grown = F.concat(acc["many"], F.transform(acc["many"], lambda s: s + item), F.transform(acc["one"], lambda s: s + item))
-        return F.struct(
-            F.concat(acc["one"], F.array(item)).alias("one"),
-            F.array_distinct(F.filter(grown, lambda s: s < cents + 50)).alias("many"),
-        )
-
-    start = F.struct(empty.alias("one"), empty.alias("many"))
-    return F.aggregate(items, start, add, lambda acc: F.exists(acc["many"], lambda s: F.abs(s - cents) < 50))
+    unit = math.gcd(*cents) or 1
+    near = 49 // unit
+    top = max(cents, default=0) // unit + near
+    one, many, bits, found = set(), set(), None, {}
+    for a, times in sorted(Counter(c // unit for c in cents).items()):
+        low, high = max(a - near, 0), a + near
+        if bits is None:
+            found[a] = any(s in many for s in range(low, high + 1))
+        else:
+            found[a] = bool((bits >> low) & ((1 << (high - low + 1)) - 1))
+        for _ in range(times):
+            if bits is None:
+                many.update([s + a for s in many | one if s + a <= top])
+                one.add(a)
+                if len(many) > MANY_SUMS:
+                    bits, singles = as_bits(many, top), as_bits(one, top)
+            else:
+                bits |= ((bits | singles) << a) & ((1 << (top + 1)) - 1)
+                singles |= 1 << a
+    return [found[c // unit] for c in cents]
+
+
+def as_bits(places: set[int], top: int) -> int:
+    out = bytearray(top // 8 + 1)
+    for p in places:
+        out[p >> 3] |= 1 << (p & 7)
+    return int.from_bytes(out, "little")
+
+
+@F.pandas_udf(ArrayType(BooleanType()))
+def _repeats_a_sum(cents: pd.Series) -> pd.Series:
+    return cents.map(lambda c: None if c is None else summed_from_smaller([int(x) for x in c]) if len(c) > 2 else [False] * len(c))
 
 
 def drop_aggregates(components: Column) -> Column:
-    """Without rows that only repeat the sum of others or bundle several of them."""
-    def keep(c):
-        smaller = F.transform(F.filter(components, lambda o: o["amount"] < c["amount"]), lambda o: o["amount"])
-        bundle = T.contains_any(F.lower(c["raw"]), X.AGGREGATE_WORDS) & (F.size(smaller) >= 2)
-        return ~(bundle | sums_to(c["amount"], smaller))
+    """Without rows that only repeat the sum of others or bundle several of them. Amounts are positive, as ``dedup_components`` gives them.
+
+    The sums are worked out in an Arrow batch: give the components as a column of a narrow table, not among whole pages.
+    """
+    # a deterministic one would be copied into filters on the result, where it cannot be evaluated
+    sums = _repeats_a_sum.asNondeterministic()(F.transform(components, lambda c: (c["amount"] * 100).cast("bigint")))
+
+    def keep(c, repeats):
+        bundle = T.contains_any(F.lower(c["raw"]), X.AGGREGATE_WORDS) & (F.size(F.filter(components, lambda o: o["amount"] < c["amount"])) >= 2)
+        return ~(bundle | repeats)
 
-    return F.filter(components, keep)
+    paired = F.zip_with(components, sums, lambda c, r: F.struct(c.alias("c"), r.alias("repeats")))
+    return F.transform(F.filter(paired, lambda x: keep(x["c"], x["repeats"])), lambda x: x["c"])
 
 
 def stage_components(parsed: DataFrame) -> DataFrame:

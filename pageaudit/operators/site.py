@@ -39,6 +39,23 @@ def reachable_pages(starts: DataFrame, links: DataFrame, max_pages: int = None)
         visited = visited.unionByName(frontier)
 
 
+def may_be_among(pages: DataFrame, wanted: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """The rows of ``pages`` whose url may be one of ``wanted``: all that are, and few others while ``wanted`` has far fewer rows than ``bits``.
+
+    A membership test by a bitmap of fixed size, so that wide rows are left out where they are read. The bitmap comes in pieces
+    of 4 KB, at most ``bits`` / 32768 of them (8 MB by default) however many rows ``wanted`` has; that is what is broadcast. Null urls may pass.
+    """
+    place = F.pmod(F.xxhash64("url"), F.lit(bits)) + 1
+    pieces = (
+        wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("_piece"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("_bitmap"))
+    )
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    tested = pages.withColumn("_piece", F.bitmap_bucket_number(place)).join(F.broadcast(pieces), "_piece")
+    return tested.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*pages.columns)
+
+
 def site_report(pages: DataFrame, findings: DataFrame) -> DataFrame:
     """Findings by severity, patterns and pages in need of attention per host; no severity is ever critical."""
     total = pages.withColumn("host", host_of(F.col("url"))).groupBy("host").agg(F.count("*").alias("pages_analyzed"))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageaudit.functions.text import first_group
-from pageaudit.functions.windows import lag_in_buckets
+from pageaudit.functions.windows import lag_in_ranges
 
 
 def clock_seconds(text):
@@ -18,7 +18,7 @@ def clock_seconds(text):
 def timer_resets(snapshots: DataFrame) -> DataFrame:
     """Timers that do not run down although time has passed. Needs url, pos, captured_at, text."""
     s = snapshots.withColumn("shown", clock_seconds(F.col("text"))).where("shown is not null")
-    lagged = lag_in_buckets(s, ["url", "pos"], "captured_at", ["captured_at", "page_id"], ["shown", "captured_at"])
+    lagged = lag_in_ranges(s, ["url", "pos"], ["captured_at", "page_id"], ["shown", "captured_at"])
     return lagged.where((F.col("shown") >= F.col("prev.shown")) & (F.col("captured_at") > F.col("prev.captured_at"))).select(
         "url", "pos", "page_id", F.col("prev.shown").alias("shown_before"), "shown"
     )
@@ -28,7 +28,7 @@ def stock_stalls(snapshots: DataFrame) -> DataFrame:
     """Low-stock figures that stay or rise between snapshots of a page. Needs url, captured_at, visible_text."""
     s = snapshots.withColumn("stock", first_group(F.col("visible_text"), r"\b(?:only|just)\s+(\d+)\s*(?:left|remaining|in stock|available)").cast("bigint"))
     s = s.where("stock is not null")
-    lagged = lag_in_buckets(s, ["url"], "captured_at", ["captured_at", "page_id"], ["stock", "captured_at"])
+    lagged = lag_in_ranges(s, ["url"], ["captured_at", "page_id"], ["stock", "captured_at"])
     return lagged.where((F.col("stock") >= F.col("prev.stock")) & (F.col("captured_at") > F.col("prev.captured_at"))).select(
         "url", "page_id", F.col("prev.stock").alias("stock_before"), "stock"
     )

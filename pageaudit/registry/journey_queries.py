@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pageaudit.functions import text as T
-from pageaudit.functions.windows import lag_in_buckets
+from pageaudit.functions.windows import lag_in_ranges
 from pageaudit.operators import journey as J
 from pageaudit.operators import scores, state
 from pageaudit.registry.base import query
@@ -190,7 +190,7 @@ def _(spark, sf):
 @query("k7_lag", """SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 4) AS change FROM events""")
 def _(spark, sf):
     ev = table(spark, sf, "events")
-    lagged = lag_in_buckets(ev, ["user_id"], "ts", ["ts", "event_id"], ["value"])
+    lagged = lag_in_ranges(ev, ["user_id"], ["ts", "event_id"], ["value"])
     return lagged.select("event_id", F.round(F.col("value") - F.col("prev.value"), 4).alias("change"))
 
 

@@ -439,9 +439,14 @@ def _(spark, sf):
     return spark.read.schema("host string, total_findings bigint").json(path)
 
 
-@query("q4_audit_site", f"""WITH {_SITES} SELECT host, count(*)::BIGINT AS pages_analyzed, 0::BIGINT AS total_findings, 0::BIGINT AS critical, 0::BIGINT AS high, 0::BIGINT AS medium, 0::BIGINT AS low,
-  0::BIGINT AS pages_requiring_attention, '' AS patterns FROM g GROUP BY host""")
+@query("q4_audit_site", f"""WITH {_SITES}, t AS (SELECT host, count(*)::BIGINT AS pages_analyzed, count_if(r % 3 = 0)::BIGINT AS k FROM g GROUP BY host)
+  SELECT host, pages_analyzed, k AS total_findings, 0::BIGINT AS critical, 0::BIGINT AS high, k AS medium, 0::BIGINT AS low, k AS pages_requiring_attention,
+  CASE WHEN k > 0 THEN 'FALSE_URGENCY' ELSE '' END AS patterns FROM t""")
 def _(spark, sf):
+    """Every third page shows a timer; of each page there is a second form with a timer, to which no link leads."""
     g = site_graph(spark, sf)
     starts, links = graph_parts(g)
-    return audit.audit_site(g.select("page_id", "url", "html"), links, starts)
+    timer = F.lit("<div class='timer'>04:32</div>")
+    stored = g.select("page_id", "url", F.concat("html", F.when(F.col("r") % 3 == 0, timer).otherwise(F.lit(""))).alias("html"))
+    unlinked = g.select((-1 - F.col("page_id")).alias("page_id"), F.concat("url", F.lit("/print")).alias("url"), F.concat("html", timer).alias("html"))
+    return audit.audit_site(stored.unionByName(unlinked), links, starts)

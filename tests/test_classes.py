@@ -73,14 +73,39 @@ def test_prominence(one):
     assert one(V.prominence_ratio(F.lit(1.0), F.lit(0.0))) == 99.0
 
 
-def test_bucketed_lag_equals_plain_lag(spark):
+def test_lag_over_ranges_equals_plain_lag(spark):
     rnd = random.Random(2)
-    rows = [("k" if rnd.random() < 0.6 else f"k{i % 5}", i, rnd.randint(0, 10**6), rnd.choice([None, rnd.random()])) for i in range(1500)]
+    rows = [("k" if rnd.random() < 0.6 else rnd.choice([None, "a", "b"]), i, rnd.choice([5, rnd.randint(0, 10**6)]), rnd.choice([None, rnd.random()])) for i in range(1500)]
     df = spark.createDataFrame(rows, "key string, id long, sec long, v double").withColumn("ts", F.timestamp_seconds("sec"))
-    plain = df.withColumn("p", F.lag(F.struct("v")).over(Window.partitionBy("key").orderBy("ts", "id"))).select("id", F.col("p.v").alias("a"))
-    ours = windows.lag_in_buckets(df, ["key"], "ts", ["ts", "id"], ["v"]).select("id", F.col("prev.v").alias("b"))
-    j = plain.join(ours, "id")
-    assert j.count() == 1500 and j.where(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
+    plain = df.withColumn("p", F.lag(F.struct("v")).over(Window.partitionBy("key").orderBy("ts", "id"))).select("id", F.col("p.v").alias("a"), F.col("p").isNull().alias("first"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    for merged in ("true", "false"):  # one range, or as many as there are partitions
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+        ours = windows.lag_in_ranges(df, ["key"], ["ts", "id"], ["v"]).select("id", F.col("prev.v").alias("b"), F.col("prev").isNull().alias("no"))
+        j = plain.join(ours, "id")
+        assert j.count() == 1500 and j.where(~F.col("a").eqNullSafe(F.col("b")) | (F.col("first") != F.col("no"))).count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert windows.lag_in_ranges(df.limit(0), ["key"], ["ts", "id"], ["v"]).count() == 0
+
+
+def test_a_hot_key_of_one_moment_is_spread(spark):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.range(20000).select(F.lit("k").alias("key"), F.timestamp_seconds(F.lit(7)).alias("ts"), "id")
+    out = windows.lag_in_ranges(df, ["key"], ["ts", "id"], ["id"])
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(sizes) > 1 and out.where("prev IS NULL").count() == 1 and out.where("prev.id = id - 1").count() == 19999
+
+
+def test_membership_bitmap_loses_nothing(spark):
+    pages = spark.range(5000).select(F.concat(F.lit("https://a/"), "id").alias("url"), "id")
+    wanted = pages.where("id % 50 = 3").select("url")
+    kept = site.may_be_among(pages, wanted)
+    assert wanted.exceptAll(kept.select("url")).count() == 0 and 100 <= kept.count() < 110
+    few = site.may_be_among(pages, wanted, 1 << 8)  # too small a bitmap lets more through, never less
+    assert wanted.exceptAll(few.select("url")).count() == 0
+    assert site.may_be_among(pages, wanted.limit(0)).count() == 0
 
 
 def test_top_k_prunes_before_the_shuffle(spark):

@@ -40,6 +40,15 @@ def test_blocked_journey_is_undetermined(page):
     assert out["findings"].count() == out["charges"].count() == 0 and out["journeys"].first().verdict == "INCONCLUSIVE"
 
 
+def test_only_visited_pages_are_audited(page, spark):
+    timer = "<div class=timer>04:32</div>"
+    pages = page(("https://a.com/1", timer), ("https://a.com/2", "<p>Chair</p>"), ("https://a.com/3", timer), (None, timer))
+    links = spark.createDataFrame([("https://a.com/1", 0, "https://a.com/2")], "src_url string, seq int, dst_url string")
+    starts = spark.createDataFrame([("a.com", "https://a.com/1")], "host string, url string")
+    r = audit.audit_site(pages, links, starts).collect()
+    assert [(x.host, x.pages_analyzed, x.total_findings, x.medium, x.patterns) for x in r] == [("a.com", 2, 1, 1, "FALSE_URGENCY")]
+
+
 SCENARIOS = [
     ("clean", "<p>Chair ₹8,990</p><button>No</button>", None), ("urgency", "<div class=timer>04:32</div><p>Only 2 left in stock</p>", "FALSE_URGENCY"),
     ("sneaking", P1, "BASKET_SNEAKING"), ("shaming", "<button>No thanks, I hate saving money</button>", "CONFIRM_SHAMING"),

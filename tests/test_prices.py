@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import time
 from decimal import Decimal as D
 
 import pytest
@@ -108,17 +109,28 @@ def test_components_of_a_cart(page):
     assert got == [("protection", 199.0, True), ("donation", 99.0, True), ("convenience_fee", 450.0, True), ("shipping", 40.0, True)]
 
 
-def test_sums_agree_with_brute_force(spark):
-    rnd, rows = random.Random(11), []
-    for i in range(150):
-        items = [D(rnd.randint(100, 6000)) / 100 for _ in range(rnd.randint(0, 8))]
-        target = D(rnd.randint(500, 15000)) / 100
-        smaller = [x for x in items if x < target]
-        want = any(abs(sum(c) - target) < D("0.5") for r in range(2, len(smaller) + 1) for c in itertools.combinations(smaller, r))
-        rows.append((i, target, items, want))
-    df = spark.createDataFrame(rows, "i int, target decimal(14,2), items array<decimal(14,2)>, want boolean")
-    assert df.select("i", P.sums_to(F.col("target"), F.col("items")).alias("got"), "want").where("got <> want").count() == 0
-    assert {r.want for r in df.select("want").distinct().collect()} == {True, False}
+def test_sums_agree_with_brute_force(spark, monkeypatch):
+    rnd, rows, both = random.Random(11), [], set()
+    for _ in range(150):
+        cents = [rnd.choice([rnd.randint(100, 6000), 100 * rnd.randint(1, 60)]) for _ in range(rnd.randint(0, 9))]
+        want = [any(abs(sum(c) - t) < 50 for r in range(2, len(cents)) for c in itertools.combinations([x for x in cents if x < t], r)) for t in cents]
+        rows.append((cents, want))
+        both.update(want)
+    assert both == {True, False}
+    for limit in (1 << 14, 5, 0):  # a set of sums, a change in mid course, bits from the start
+        monkeypatch.setattr(P, "MANY_SUMS", limit)
+        assert all(P.summed_from_smaller(cents) == want for cents, want in rows)
+
+
+def test_forty_unequal_fees_take_no_time(spark):
+    cents = [10_007 + 7_919 * k + k * k for k in range(40)]
+    begin = time.time()
+    flags = P.summed_from_smaller([*cents, sum(cents), sum(cents[:7])])
+    assert time.time() - begin < 1 and flags[40] and flags[41] and not flags[0]
+    rows = [("fee", D(c) / 100, "Fee") for c in [*cents, sum(cents)]]
+    df = spark.createDataFrame([(rows,), ([],), (None,)], "c array<struct<component_type: string, amount: decimal(14,2), raw: string>>")
+    left = [r.k for r in df.select(P.drop_aggregates(F.col("c")).alias("k")).collect()]
+    assert [float(x.amount) * 100 for x in left[0]] == pytest.approx([c for c, f in zip(cents, flags) if not f]) and left[1:] == [[], None]
 
 
 def test_ranking(spark):

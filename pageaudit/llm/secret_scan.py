@@ -8,6 +8,7 @@ base64 may be URL-safe or wrapped over lines, hex may have capitals.
 
 import base64
 import binascii
+import bisect
 import json
 import re
 
@@ -30,6 +31,8 @@ KINDS = (*BASE_KINDS, "jwt", "pem", "ssh", "der")
 #: A header begins with an opening brace or with white space; the shortest that names an algorithm has 14 letters.
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(?=e[wy]|[CDI][A-Za-z])[A-Za-z0-9_-]{12,}+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*")
 BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+END = re.compile(r"-----END ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+OPENSSH = b"openssh-key-v1\0"
 BLOB = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 URL_BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9_-]{40,}={0,2}")
 #: Base64 over several lines, from a letter with which DER or an SSH key begins.
@@ -75,18 +78,36 @@ def der_fits(data: bytes, least: int = 16) -> bool:
     return found >= 2
 
 
-def ssh_fits(data: bytes) -> bool:
-    """Length-prefixed fields that fill the bytes, the first naming a key type; or an OpenSSH key container."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
+def ssh_fields(data: bytes, at: int = 0, count: int | None = None) -> tuple[list[bytes], int] | None:
+    """``count`` length-prefixed fields from ``at`` (without it, all up to the end) and where they end, or None if a length does not fit."""
+    fields = []
+    while len(fields) < count if count is not None else at < len(data):
         size = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + size > len(data):
-            return False
+            return None
         fields.append(data[at + 4 : at + 4 + size])
         at += 4 + size
-    return at == len(data) and len(fields) >= 2 and re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", fields[0]) is not None
+    return fields, at
+
+
+def ssh_public(data: bytes) -> bool:
+    """Fields that fill the bytes, two or more, the first naming a key type."""
+    found = ssh_fields(data)
+    return found is not None and len(found[0]) >= 2 and re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", found[0][0]) is not None
+
+
+def ssh_fits(data: bytes) -> bool:
+    """A public key, or an OpenSSH container: cipher, derivation and its options, a count, as many public keys, and the private part to the end."""
+    if not data.startswith(OPENSSH):
+        return ssh_public(data)
+    head = ssh_fields(data, len(OPENSSH), 3)
+    if not head or len(data) < head[1] + 4:
+        return False
+    keys = int.from_bytes(data[head[1] : head[1] + 4], "big")
+    if not 1 <= keys <= len(data) // 4:
+        return False
+    rest = ssh_fields(data, head[1] + 4, keys + 1)
+    return rest is not None and rest[1] == len(data) and all(map(ssh_public, rest[0][:-1])) and len(rest[0][-1]) >= 8
 
 
 def from_base64(text: str) -> bytes | None:
@@ -137,21 +158,29 @@ def confirmed(text: str, hexes: list[tuple[int, int]]) -> list[tuple[int, int, s
     for m in SIGNED.finditer(text):
         if signed_token(m[0]):
             out.append((m.start(), m.end(), "jwt"))
-    ends = None
-    for m in BLOCK.finditer(text):
-        if ends is None:
-            ends = {}
-            for e in re.finditer(r"-----END ([A-Z0-9 ]{0,40}PRIVATE KEY)-----", text):
-                ends.setdefault(e[1], []).append((e.start(), e.end()))
-        after = next(((a, b) for a, b in ends.get(m[1], ()) if a >= m.end()), None)
-        if after and (not taken or m.start() >= taken[-1][1]):
-            lines = [x for x in text[m.end() : after[0]].split() if ":" not in x and "," not in x]
+    blocks, ends = list(BLOCK.finditer(text)), {}
+    if blocks:
+        for e in END.finditer(text):
+            ends.setdefault(e[1], []).append((e.start(), e.end()))
+    following = [m.start() for m in blocks[1:]] + [len(text)]
+    for m, following_block in zip(blocks, following):
+        marks = ends.get(m[1], [])
+        k = bisect.bisect_left(marks, (m.end(),))
+        # a block that holds another one's first line is not whole
+        if k < len(marks) and marks[k][0] <= following_block and (not taken or m.start() >= taken[-1][1]):
+            start, end = marks[k]
+            lines = [x for x in text[m.end() : start].split() if ":" not in x and "," not in x]
             data = from_base64("".join(lines))
-            if data and (der_fits(data) or ssh_fits(data) or "ENCRYPTED" in text[m.start() : after[0]]):
-                out.append((m.start(), after[1], "pem"))
-                taken.append((m.start(), after[1]))
+            if data and (der_fits(data) or ssh_fits(data) or "ENCRYPTED" in text[m.start() : start]):
+                out.append((m.start(), end, "pem"))
+                taken.append((m.start(), end))
+
+    def is_taken(place):  # blocks are in order and apart
+        k = bisect.bisect_right(taken, (place, len(text) + 1)) - 1
+        return k >= 0 and place < taken[k][1]
+
     for m in [*BLOB.finditer(text), *URL_BLOB.finditer(text)]:
-        if any(a <= m.start() < b for a, b in taken):
+        if is_taken(m.start()):
             continue
         data = from_base64(m[0])
         if data and ssh_fits(data):
@@ -159,7 +188,7 @@ def confirmed(text: str, hexes: list[tuple[int, int]]) -> list[tuple[int, int, s
         elif data and der_fits(data):
             out.append((m.start(), m.end(), "der"))
     for m in WRAPPED.finditer(text):
-        if not any(a <= m.start() < b for a, b in taken) and (span := wrapped(text, *m.span())):
+        if not is_taken(m.start()) and (span := wrapped(text, *m.span())):
             out.append(span)
     for a, b in [*hexes, *(m.span() for m in CAPITAL_HEX.finditer(text))]:
         if (b - a) % 2 == 0 and text.startswith("30", a) and der_fits(bytes.fromhex(text[a:b])):
@@ -199,7 +228,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "<SECRET>") -> DataFrame:
-    """All columns of ``docs``, with every found span of the text replaced by ``mark``; overlapping spans become one mark."""
+    """All columns of ``docs``, with every found span of the text replaced by ``mark``; overlapping spans become one mark.
+
+    One row per input row, repeated rows too. Null texts stay null, empty ones and those without a span stay as they are; an empty
+    table gives an empty result.
+    """
     names = docs.columns
     at = names.index(text_col)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pageaudit import fixed as X
 from pageaudit.functions import text as T
-from pageaudit.session import cut_lineage
+from pageaudit.session import cut_lineage, written
 
 
 def _present(c) -> Column:
@@ -150,6 +150,11 @@ def _published_keys() -> Column:
     return F.filter(F.array(*entries), lambda e: e["key"].isNotNull())
 
 
+def _short_key(entry) -> Column:
+    """A published key as 16 bytes: keys are only compared, and they are most of what a row carries to the shuffle."""
+    return F.struct(entry["code"].alias("code"), F.unhex(F.md5(entry["key"].cast("binary"))).alias("key"))
+
+
 def _deciding_code(id_a, attr_a, id_b, attr_b) -> Column:
     """The fields that decide a pair: the first common identifier, else all common attributes."""
     ids, attrs = id_a.bitwiseAND(id_b), attr_a.bitwiseAND(attr_b)
@@ -226,25 +231,26 @@ def price_inconsistencies(fingerprints: DataFrame, best_offers: DataFrame) -> Da
     """
     captured = fingerprints.where(F.col("status").isin("PRODUCT_CAPTURED", "CAPTURED") & (F.col("listed_price") > 0))
     values = F.array(*[F.coalesce(_present(f), F.lit("")) for f in X.MATCH_ATTRS])
-    slim = cut_lineage(_masks(captured.join(best_offers, "listing_id", "left")).select(
-        "compare_id", "listing_id", "id_mask", "attr_mask", _published_keys().alias("keys"), F.col("listed_price").cast(T.MONEY).alias("price"), _units("listed_price").alias("u"),
+    slim = written(_masks(captured.join(best_offers, "listing_id", "left")).select(
+        "compare_id", "listing_id", "id_mask", "attr_mask", F.transform(_published_keys(), _short_key).alias("keys"),
+        F.col("listed_price").cast(T.MONEY).alias("price"), _units("listed_price").alias("u"),
         values.alias("values"), F.coalesce(_present("condition"), F.lit("new")).alias("condition"), _units("best_offer").alias("offer"), _units("delivery_charge").alias("fee"),
         _present("seller").alias("seller"),
-    ))
+    ), "listings")
     kind = ["id_mask", "attr_mask", "values", "condition", "offer", "fee"]
     side = slim.drop("seller").select("*", F.explode("keys").alias("k")).select("compare_id", "listing_id", *kind, "price", "u", "k.code", "k.key")
-    cls = F.md5(F.to_json(F.struct("compare_id", "code", "key", *kind)).cast("binary"))
-    points = cut_lineage(side.groupBy("compare_id", "code", "key", *kind, "price", "u").agg(F.min("listing_id").alias("id")).withColumn("cls", cls))
-    classes = points.groupBy("cls", "compare_id", "code", "key", *[F.col(c).alias(f"p_{c}") for c in kind]).agg(F.min(F.struct("price", "id", "u")).alias("low"))
+    cls = F.unhex(F.md5(F.to_json(F.struct("compare_id", "code", F.hex("key").alias("key"), *kind)).cast("binary")))
+    classes = side.groupBy("compare_id", "code", "key", *[F.col(c).alias(f"p_{c}") for c in kind]).agg(F.min(F.struct("price", F.col("listing_id").alias("id"), "u")).alias("low"))
     seen = side.join(classes, ["compare_id", "code", "key"]).where(
         F.col("code") == _deciding_code(F.col("id_mask"), F.col("attr_mask"), F.col("p_id_mask"), F.col("p_attr_mask"))
     ).where(F.col("low.u") < F.col("u"))
     variant = F.exists(F.zip_with("values", "p_values", lambda a, b: (a != "") & (b != "") & (a != b)), lambda x: x)
     # a partner at v = 3 units or more is explained from these on: 4 * offer >= 3 * (price - partner's price)
-    seen = cut_lineage(seen.select(
-        "compare_id", "listing_id", "price", "cls", "code", "low", F.when(variant, "variant").when(F.col("condition") != F.col("p_condition"), "condition").alias("plain"),
+    p_cls = F.unhex(F.md5(F.to_json(F.struct("compare_id", "code", F.hex("key").alias("key"), *[F.col(f"p_{c}").alias(c) for c in kind])).cast("binary")))
+    seen = written(seen.select(
+        "compare_id", "listing_id", "price", F.when(~variant & (F.col("condition") == F.col("p_condition")), p_cls).alias("cls"), "code", "low", F.when(variant, "variant").when(F.col("condition") != F.col("p_condition"), "condition").alias("plain"),
         (3 * F.col("u") - 4 * F.greatest("offer", "p_offer")).alias("t_offer"), (3 * F.col("u") - 4 * F.abs(F.col("fee") - F.col("p_fee"))).alias("t_fee"), (3 * F.col("u")).alias("top"),
-    ))
+    ), "partners")
     low = 3 * F.col("low.u")
     direct = seen.select(
         "compare_id", "listing_id", "price", "code", F.col("low").alias("partner"),
@@ -254,7 +260,8 @@ def price_inconsistencies(fingerprints: DataFrame, best_offers: DataFrame) -> Da
     asked = open_.where((low < F.col("t_offer")) & (F.col("t_offer") < F.col("top"))).select("*", F.col("t_offer").alias("t"), F.lit("offer").alias("explanation")).unionByName(
         open_.where((low < F.col("t_fee")) & (F.col("t_fee") < F.col("t_offer"))).select("*", F.col("t_fee").alias("t"), F.lit("fee").alias("explanation")))
     wanted = asked.select("cls", "t").distinct()
-    prices = points.join(wanted.select("cls").distinct(), "cls", "left_semi").select("cls", (3 * F.col("u")).alias("v"), F.struct("price", "id", "u").alias("point"))
+    members = side.select(cls.alias("cls"), (3 * F.col("u")).alias("v"), F.struct("price", F.col("listing_id").alias("id"), "u").alias("point"))
+    prices = members.join(wanted.select("cls").distinct(), "cls", "left_semi").groupBy("cls", "v").agg(F.min("point").alias("point"))
     above = asked.join(_at_or_above(prices, wanted), ["cls", "t"]).where((F.col("explanation") == "offer") | (3 * F.col("point.u") < F.col("t_offer")))
     found = direct.unionByName(above.select("compare_id", "listing_id", "price", "code", F.col("point").alias("partner"), "explanation"))
     delta = (F.col("price") - F.col("partner.price")).cast(T.MONEY)

@@ -218,3 +218,18 @@ def test_inconsistencies_equal_all_pairs(spark):
     got = C.price_inconsistencies(f, spark.createDataFrame(offers, "listing_id long, best_offer double")).collect()
     assert {(x.listing_id, x.explanation): (x.price_low, x.cheapest_listing) for x in got} == best
     assert len(got) == len(best) and {k for _, k in best} == {"variant", "condition", "offer", "fee", "unexplained"}
+
+
+def test_partners_are_kept_in_short_rows_and_written_once(spark, monkeypatch):
+    """Two written tables, no longer one row per listing, key and price; keys travel as 16 bytes."""
+    kept = []
+    monkeypatch.setattr(C, "written", lambda df, kind: kept.append((kind, df.schema)) or df)
+    monkeypatch.setattr(C, "cut_lineage", lambda df: kept.append(("cut", df.schema)) or df)
+    fp = spark.createDataFrame(
+        [(1, k, "brand", "8GB", "256GB", 100.0 + k) for k in range(3)], "compare_id long, listing_id long, brand string, ram string, storage string, listed_price double")
+    for c in {*C.X.MATCH_IDS, *C.X.MATCH_ATTRS, "condition", "seller", "status", "delivery_charge"} - set(fp.columns):
+        fp = fp.withColumn(c, C.F.lit("CAPTURED") if c == "status" else C.F.lit(None).cast("string"))
+    rows = C.price_inconsistencies(fp, spark.createDataFrame([], "listing_id long, best_offer double"))
+    assert [k for k, _ in kept] == ["listings", "partners"]
+    assert "binary" in kept[0][1]["keys"].dataType.simpleString() and kept[1][1]["cls"].dataType.simpleString() == "binary"
+    assert rows.count() == 0  # gaps below the threshold

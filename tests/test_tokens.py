@@ -76,3 +76,16 @@ def test_tags_remembered_are_bounded(monkeypatch):
     for k in range(100):
         R.plain_tokens(f'<p id="x{k}">')
     assert len(R._known) <= 10
+
+
+def test_queries_ask_for_the_parts_they_read(spark, monkeypatch):
+    from pageaudit.operators import structure as H
+    from pageaudit.registry import QUERIES
+
+    asked, parse = [], H.parse_pages
+    monkeypatch.setattr(H, "parse_pages", lambda pages, parts=tuple(H.STRUCTURE): asked.append(tuple(parts)) or parse(pages, parts))
+    for name in ("h5_struck", "x1_json_walk", "p5_jsonld", "r5_preticked"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked == [("elements",), ("state",), ("scripts",), H.RULE_PARTS]
+    with pytest.raises(ValueError, match="no such parts"):
+        parse(spark.createDataFrame([("x",)], "html string"), ("elementz",))

@@ -1,10 +1,10 @@
 """Personal data by candidate gradient boosting.
 
 Generators with high recall propose spans, which may overlap. Boosted trees score each candidate from its format, read after
-loose spellings are made plain, and from the words around it; a threshold for each kind, calibrated on held-out documents, selects those to
-report. What the strict rules of a kind confirm is always reported.
+loose spellings are made plain, and from the words around it; a threshold for each kind, calibrated on documents that the
+scoring model has not seen, selects those to report. What the strict rules of a kind confirm is always reported.
 
-The trees learn from the corpus itself, by weak labels. Positive examples are confirmed spans rewritten, in their place, into forms that the strict
+The trees learn from the whole corpus itself, by weak labels. Positive examples are confirmed spans rewritten, in their place, into forms that the strict
 rule does not read: "(at)" and "(dot)", defanged addresses, other separators of cards, phone numbers without their plus sign. Negative ones are
 decoys drawn at random places of the same texts, and candidates that cannot be personal data: cards whose checksum fails, address parts above
 255, numbers too short or too long for a phone. Other candidates are not labelled and teach nothing.
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from pageaudit.llm import textbatch as tb
 from pageaudit.llm.secret_scan import cover
+from pageaudit.session import written
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed values of the contract.
@@ -46,8 +47,8 @@ CUES = {
     "email": ("mail", "email", "write", "contact", "address", "inbox"), "ip": ("ip", "host", "server", "address", "ping", "login"),
     "card": ("card", "visa", "mastercard", "credit", "pay", "paid", "charge"), "phone": ("call", "phone", "tel", "mobile", "fax", "contact", "ring"),
 }
-#: About as many documents, and at most as many of their examples, teach the trees; chosen by a hash over the whole corpus.
-MAX_TRAIN_DOCS, MAX_TRAIN = 20_000, 20_000
+#: Scores are whole numbers of 1 / STEP log-odds, gradients of 1 / UNIT; a leaf moves a score by so much log-odds at most.
+STEP, UNIT, LARGEST_LEAF = 1024, 1 << 20, 4.0
 #: Stricter than what is wanted of the spans added, because a corpus holds more decoys for each loose form than the examples do.
 PRECISION = 0.995
 #: How much of the text on either side of a span the features read.
@@ -192,59 +193,108 @@ def examples(text: str, seed: int) -> list[tuple[list[float], int]]:
     return out
 
 
+def edges_of(values: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
+    """The distinct inner ``bins``-quantiles of a feature, given its ascending values and how often each occurs."""
+    upto = np.cumsum(counts)
+    at = np.linspace(0, 1, bins + 1)[1:-1] * (upto[-1] - 1)
+    low, high = (values[np.searchsorted(upto, f(at), "right")].astype(float) for f in (np.floor, np.ceil))
+    return np.unique(low + (high - low) * (at - np.floor(at)))
+
+
 class Trees:
-    """Gradient boosting on the logistic loss with depth-limited trees over quantile bins."""
+    """Gradient boosting on the logistic loss with depth-limited trees over quantile bins.
+
+    Scores and gradients are whole numbers of small units, so their sums do not depend on the order of the examples. The trees grow
+    from histograms, one level at a time (``boost``): what is summed over parts of the examples gives the same trees.
+    """
 
     def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 32, least: int = 10):
-        self.rounds, self.depth, self.rate, self.bins, self.least, self.trees, self.base = rounds, depth, rate, bins, least, [], 0.0
+        self.rounds, self.depth, self.rate, self.bins, self.least, self.trees, self.base, self.edges = rounds, depth, rate, bins, least, [], 0, []
 
     def fit(self, x: np.ndarray, y: np.ndarray):
-        """A node is (feature, cut, gain or value); leaves have feature -1. Constant targets give a constant score."""
-        share = (y.sum() + 1) / (len(y) + 2)
-        self.base = float(np.log(share / (1 - share)))
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T] if len(y) else []
-        binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(self.edges, x.T)], 1) if len(y) else x
-        score = np.full(len(y), self.base)
-        for _ in range(self.rounds if 0 < y.sum() < len(y) else 0):
-            p = 1 / (1 + np.exp(-score))
-            # nodes 1 to 2^(depth+1)-1: feature (-1: leaf), cut, value
-            tree = (np.full(2 << self.depth, -1), np.zeros(2 << self.depth, np.int64), np.zeros(2 << self.depth))
-            self.grow(tree, 1, binned, p - y, p * (1 - p), np.arange(len(y)), score)
-            self.trees.append(tree)
+        """Trees of examples in memory. Constant targets give a constant score."""
+        if len(y):
+            self.edges = [edges_of(*np.unique(c, return_counts=True), self.bins) for c in x.T]
+        self.start(len(y), int(y.sum()))
+        binned = self.binned(x)
+        boost([self], lambda level: [self.histogram(level, binned, y)])
         return self
 
-    def grow(self, tree, node, x, g, h, rows, score):
-        best = (1e-6, -1, 0)
-        if node < 1 << self.depth and len(rows) >= 2 * self.least:
-            total_g, total_h = g[rows].sum(), h[rows].sum()
-            for f in range(x.shape[1]):
-                col = x[rows, f]
-                n = np.cumsum(np.bincount(col, minlength=self.bins))[:-1]
-                sg, sh = np.cumsum(np.bincount(col, g[rows], self.bins))[:-1], np.cumsum(np.bincount(col, h[rows], self.bins))[:-1]
-                gain = sg**2 / (sh + 1) + (total_g - sg) ** 2 / (total_h - sh + 1) - total_g**2 / (total_h + 1)
-                gain[(n < self.least) | (len(rows) - n < self.least)] = 0
-                if gain.max(initial=0) > best[0]:
-                    best = (gain.max(), f, int(gain.argmax()))
-        if best[1] < 0:
-            tree[2][node] = -self.rate * g[rows].sum() / (h[rows].sum() + 1)
-            score[rows] += tree[2][node]
-            return
-        tree[0][node], tree[1][node] = best[1:]
-        low = x[rows, best[1]] <= best[2]
-        self.grow(tree, 2 * node, x, g, h, rows[low], score)
-        self.grow(tree, 2 * node + 1, x, g, h, rows[~low], score)
+    def start(self, n: int, positive: int):
+        """The score before the first tree; without examples of both labels there will be no tree."""
+        share = (positive + 1) / (n + 2)
+        self.base = round(np.log(share / (1 - share)) * STEP)
+        self.rounds = self.rounds if 0 < positive < n else 0
+
+    def binned(self, x: np.ndarray) -> np.ndarray:
+        """The bin of each feature (row) of each example (column)."""
+        return np.stack([np.searchsorted(e, c, "left").astype(np.uint8) for e, c in zip(self.edges, x.T)]) if self.edges else np.zeros((0, len(x)), np.uint8)
+
+    def nodes(self, tree, binned: np.ndarray, levels: int) -> np.ndarray:
+        feature, cut, _ = tree
+        node, rows = np.ones(binned.shape[1], np.int64), np.arange(binned.shape[1])
+        for _ in range(levels):
+            f = feature[node]
+            node = np.where(f < 0, node, 2 * node + (binned[f, rows] > cut[node]))
+        return node
+
+    def score(self, binned: np.ndarray, trees=None) -> np.ndarray:
+        """Log-odds of the examples as whole numbers of 1 / STEP."""
+        score = np.full(binned.shape[1], self.base, np.int64)
+        for tree in self.trees if trees is None else trees:
+            score += tree[2][self.nodes(tree, binned, self.depth)]
+        return score
+
+    def histogram(self, level: int, binned: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Examples, gradients and curvatures of the last tree's nodes at ``level``: (3, node, feature, bin), whole numbers."""
+        width, features = 1 << level, len(binned)
+        p = probability(self.score(binned, self.trees[:-1]))
+        node = self.nodes(self.trees[-1], binned, level) - width
+        rows = np.flatnonzero(node >= 0)  # the others have come to a leaf
+        at = ((node[rows] * features + np.arange(features)[:, None]) * self.bins + binned[:, rows]).ravel()
+        sums = [None, np.rint((p - y)[rows] * UNIT), np.rint((p * (1 - p))[rows] * UNIT)]  # exact as doubles
+        return np.stack([np.bincount(at, None if w is None else np.tile(w, features), width * features * self.bins).astype(np.int64) for w in sums]).reshape(3, width, features, self.bins)
+
+    def leaf(self, g: float, h: float) -> int:
+        return round(min(LARGEST_LEAF, max(-LARGEST_LEAF, -self.rate * g / (h + 1))) * STEP)
+
+    def split(self, level: int, histogram: np.ndarray):
+        """Splits the last tree's nodes at ``level`` or makes them leaves."""
+        feature, cut, value = self.trees[-1]
+        for k in range(1 << level):
+            node, (n, g, h) = (1 << level) + k, histogram[:, k] / np.array([1, UNIT, UNIT])[:, None, None]
+            total, total_g, total_h = n[0].sum(), g[0].sum(), h[0].sum()
+            if not total:
+                continue
+            n, g, h = (np.cumsum(c, 1)[:, :-1] for c in (n, g, h))
+            gain = g**2 / (h + 1) + (total_g - g) ** 2 / (total_h - h + 1) - total_g**2 / (total_h + 1)
+            gain[(n < self.least) | (total - n < self.least)] = 0
+            f, c = divmod(int(gain.argmax()), self.bins - 1)
+            if gain[f, c] <= 1e-6:
+                value[node] = self.leaf(total_g, total_h)
+                continue
+            feature[node], cut[node] = f, c
+            if level == self.depth - 1:
+                value[2 * node], value[2 * node + 1] = self.leaf(g[f, c], h[f, c]), self.leaf(total_g - g[f, c], total_h - h[f, c])
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        score = np.full(len(x), self.base)
-        if self.trees and len(x):
-            binned, rows = np.stack([np.searchsorted(e, c, "left") for e, c in zip(self.edges, x.T)], 1), np.arange(len(x))
-            for feature, cut, value in self.trees:
-                node = np.ones(len(x), np.int64)
-                for _ in range(self.depth):
-                    f = feature[node]
-                    node = np.where(f < 0, node, 2 * node + (binned[rows, f] > cut[node]))
-                score += value[node]
-        return 1 / (1 + np.exp(-score))
+        return probability(self.score(self.binned(x) if len(x) else np.zeros((0, 0), np.uint8)))
+
+
+def probability(score: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-score / STEP))
+
+
+def boost(models: list[Trees], histograms) -> None:
+    """Grows the trees of all models side by side; ``histograms(level)`` gives those of each that still grows, in their order."""
+    for done in range(max(m.rounds for m in models)):
+        grow = [m for m in models if done < m.rounds]
+        for m in grow:
+            # nodes 1 to 2^(depth+1)-1: feature (-1: leaf), cut, value
+            m.trees.append((np.full(2 << m.depth, -1), np.zeros(2 << m.depth, np.int64), np.zeros(2 << m.depth, np.int64)))
+        for level in range(max(m.depth for m in grow)):
+            for m, histogram in zip(grow, histograms(level)):
+                m.split(level, histogram)
 
 
 def text_candidates(text: str):
@@ -254,45 +304,119 @@ def text_candidates(text: str):
     return sure, [(*c, features(text, *c)) for c in candidates(text) if c not in known]
 
 
-def calibrate(kinds: np.ndarray, score: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> dict[int, float]:
-    """For each kind the lowest threshold above which the share of positive held-out examples is at least ``precision``; above 1 if none."""
-    out = {}
+def calibrate(kinds: np.ndarray, score: np.ndarray, y: np.ndarray, precision: float = PRECISION, n: np.ndarray | None = None) -> dict[int, float]:
+    """For each kind the lowest threshold above which the share of positive examples is at least ``precision``; above 1 if none.
+
+    A row is an example, or ``n`` examples of which ``y`` are positive.
+    """
+    n, out = np.ones(len(y), np.int64) if n is None else n, {}
     for k in range(len(KINDS)):
         at = np.flatnonzero(kinds == k)
         at = at[np.argsort(-score[at], kind="stable")]
-        right = np.cumsum(y[at]) / np.arange(1, len(at) + 1)
+        seen = np.cumsum(n[at])
+        right = np.cumsum(y[at]) / seen
         last = np.append(score[at][1:] < score[at][:-1], True) if len(at) else np.zeros(0, bool)
-        good = np.flatnonzero((right >= precision) & last & (np.arange(1, len(at) + 1) >= 20))
+        good = np.flatnonzero((right >= precision) & last & (seen >= 20))
         out[k] = float(score[at[good[-1]]]) if len(good) else 2.0
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_TRAIN_DOCS, max_train: int = MAX_TRAIN):
-    """Trees and thresholds from the weakly labelled examples of a bounded sample of the corpus.
-
-    About ``max_docs`` documents are chosen by a hash of their id (all of a smaller corpus), and their first ``max_train``
-    examples in the order of that hash; a fifth of the documents only sets the thresholds. A kind with too few examples adds nothing.
-    """
-    order = F.xxhash64(F.col(id_col).cast("string"), F.lit(7))
-    share = min(1.0, max_docs / max(1, docs.count()))
-    slim = docs.select(order.alias("order"), F.col(text_col).alias("text")).where((F.pmod("order", F.lit(1 << 30)) < int(share * (1 << 30)) + 1) & F.col("text").isNotNull())
+def all_examples(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The examples of every document: fold (0 or 1, by a hash of the id), kind, y, and the features as 16-bit numbers one after the other."""
+    slim = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)).alias("order"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
 
     def run(batches):
         for batch in tb.slices(batches, "text"):
-            order, flat, y = [], [], []
+            batch = batch.filter(pc.match_substring_regex(batch.column("text"), ANY))  # without that a text has no candidates
+            fold, kind, y, x = [], [], [], []
             for o, t in zip(batch.column("order").to_pylist(), batch.column("text").to_pylist()):
-                rows = examples(t or "", o)
-                order += [o] * len(rows)
-                flat += [r[0] for r in rows]
+                rows = examples(t, o)
+                fold += [o % 2] * len(rows)
+                kind += [r[0][0] for r in rows]
                 y += [r[1] for r in rows]
-            yield pa.RecordBatch.from_pydict({"order": pa.array(order, pa.int64()), "x": pa.array(flat, pa.list_(pa.float64())), "y": pa.array(y, pa.int32())})
-
-    rows = slim.mapInArrow(run, "order bigint, x array<double>, y int").orderBy("order").limit(max_train).toArrow()
-    x = np.array(rows["x"].to_pylist(), float).reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 1))
-    y, held = rows["y"].to_numpy(), rows["order"].to_numpy() % 5 == 0
-    trees = Trees().fit(x[~held], y[~held])
-    kinds = x[held, 0].astype(int) if len(x) else np.zeros(0, int)
-    return trees, calibrate(kinds, trees.predict(x[held]), y[held])
+                x += [np.array(r[0], "<i2").tobytes() for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(fold, pa.int32()), pa.array(kind, pa.int32()), pa.array(y, pa.int32()), pa.array(x, pa.binary())], ["fold", "kind", "y", "x"])
+
+    return slim.mapInArrow(run, "fold int, kind int, y int, x binary")
+
+
+def _matrix(batch: pa.RecordBatch, dtype) -> np.ndarray:
+    """The features of a batch, a row per example."""
+    return tb.buffers(batch.column("x"))[0].view(dtype).reshape(batch.num_rows, -1)
+
+
+def value_counts(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ascending values and their counts for each feature. Features count characters of bounded spans, so values are few."""
+    def run(batches):
+        total = {}
+        for batch in (b for b in batches if b.num_rows):
+            for f, column in enumerate(_matrix(batch, "<i2").T):
+                for v, n in zip(*(c.tolist() for c in np.unique(column, return_counts=True))):
+                    total[f, v] = total.get((f, v), 0) + n
+        yield pa.RecordBatch.from_pydict({"f": pa.array([f for f, _ in total], pa.int32()), "v": pa.array([v for _, v in total], pa.int32()), "n": pa.array(total.values(), pa.int64())})
+
+    found = rows.select("x").mapInArrow(run, "f int, v int, n bigint").groupBy("f", "v").agg(F.sum("n").alias("n")).orderBy("f", "v").toArrow()
+    f, v, n = (found[c].to_numpy() for c in ("f", "v", "n"))
+    return [(v[f == k], n[f == k]) for k in range(f.max(initial=-1) + 1)]
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 40):
+    """Trees and thresholds from the weakly labelled examples of every document.
+
+    The documents make two folds. Three models grow side by side: one on either fold, and one on all examples, which is returned.
+    The thresholds come from all examples too, each scored by the model that has not seen its fold. A level of the trees is one
+    pass over the examples, whose histograms (of fixed size) are summed by Spark; the driver sees sums only. A kind with too
+    few examples adds nothing.
+    """
+    raw = written(all_examples(docs, id_col, text_col), "personal-examples")
+    sums = {r["fold"]: (r["n"], r["p"]) for r in raw.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("p")).collect()}
+    if not sums:
+        return Trees(), dict.fromkeys(range(len(KINDS)), 2.0)
+    whole = Trees(rounds)
+    whole.edges = [edges_of(v, n, whole.bins) for v, n in value_counts(raw)]
+    models, features = [Trees(rounds), Trees(rounds), whole], len(whole.edges)
+    for m, folds in zip(models, ((1,), (0,), (0, 1))):  # the first two are asked about the fold that they have not seen
+        m.edges = whole.edges
+        m.start(*(sum(c) for c in zip((0, 0), *(sums[f] for f in folds if f in sums))))
+
+    def to_bins(batches):
+        for batch in (b for b in batches if b.num_rows):
+            x = np.ascontiguousarray(whole.binned(_matrix(batch, "<i2")).T)
+            yield batch.set_column(3, "x", pa.array([r.tobytes() for r in x], pa.binary()))
+
+    rows = written(raw.mapInArrow(to_bins, raw.schema), "personal-bins")
+
+    def histograms(level):
+        grow = [(k, m) for k, m in enumerate(models) if len(m.trees) and len(m.trees) == max(len(o.trees) for o in models)]
+        size = 3 * (1 << level) * features * whole.bins
+
+        def run(batches):
+            total = np.zeros((len(grow), size), np.int64)
+            for batch in (b for b in batches if b.num_rows):
+                fold, y, x = batch.column("fold").to_numpy(), batch.column("y").to_numpy(), _matrix(batch, np.uint8)
+                for i, (k, m) in enumerate(grow):
+                    use = fold != k
+                    total[i] += m.histogram(level, np.ascontiguousarray(x[use].T), y[use]).ravel()
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "total"])
+
+        found = rows.select("fold", "y", "x").mapInArrow(run, "at bigint, total bigint").groupBy("at").agg(F.sum("total").alias("total")).toArrow()
+        total = np.zeros(len(grow) * size, np.int64)
+        total[found["at"].to_numpy()] = found["total"].to_numpy()
+        return total.reshape(len(grow), 3, 1 << level, features, whole.bins)
+
+    boost(models, histograms)
+
+    def unseen(batches):
+        for batch in (b for b in batches if b.num_rows):
+            fold, x = batch.column("fold").to_numpy(), np.ascontiguousarray(_matrix(batch, np.uint8).T)
+            score = np.where(fold == 0, models[0].score(x), models[1].score(x))
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(score), batch.column("y")], ["kind", "score", "y"])
+
+    # a row for each kind and score, which is a whole number of bounded size
+    scored = rows.mapInArrow(unseen, "kind int, score bigint, y int").groupBy("kind", "score").agg(F.sum("y").alias("y"), F.count("*").alias("n")).toArrow()
+    kind, score, y, n = (scored[c].to_numpy() for c in ("kind", "score", "y", "n"))
+    return whole, calibrate(kind, probability(score), y, n=n)
 
 
 def select(text: str, trees: Trees, thresholds: dict[int, float]) -> list[tuple[int, int, str]]:

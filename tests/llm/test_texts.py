@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pageaudit.llm import byte_bpe, pii_boost, rule_ledger, secret_scan, textbatch, token_pack
 from pageaudit.llm.piece_encoder import word_encoder
@@ -363,6 +364,30 @@ def test_trees_add_loose_forms_and_leave_decoys(docs_of):
     assert len(wrong) <= 0.02 * len(added), wrong
 
 
+def test_trees_and_thresholds_learn_from_every_document(docs_of):
+    """More than 20,000 examples: all of them teach the trees, and each is scored for the thresholds."""
+    rng = random.Random(9)
+    rows = [(i, ". ".join(f"call {planted(rng, 'phone')} or mail {planted(rng, 'email')} or see {planted(rng, 'ip')}" for _ in range(5))) for i in range(400)]
+    docs = docs_of(*rows, (None, None), (9000, "no number"))
+    order = {r["doc_id"]: r["o"] for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)).alias("o")).collect()}
+    made = [(order[i] % 2, *e) for i, t in rows for e in pii_boost.examples(t, order[i])]
+    assert len(made) > 20_000
+    fold, x, y = np.array([m[0] for m in made]), np.array([m[1] for m in made], float), np.array([m[2] for m in made])
+    trees, thresholds = pii_boost.fit(docs, rounds=4)
+    plain = pii_boost.Trees(4).fit(x, y)
+    assert len(trees.trees) == plain.rounds and trees.base == plain.base
+    assert all(np.array_equal(a, b) for got, want in zip(trees.trees, plain.trees) for a, b in zip(got, want))
+    score = np.zeros(len(y))
+    for f in (0, 1):
+        half = pii_boost.Trees(4)
+        half.edges = plain.edges
+        half.start(int((fold != f).sum()), int(y[fold != f].sum()))
+        binned = half.binned(x)
+        pii_boost.boost([half], lambda level: [half.histogram(level, np.ascontiguousarray(binned[:, fold != f]), y[fold != f])])
+        score[fold == f] = pii_boost.probability(half.score(binned))[fold == f]
+    assert thresholds == pii_boost.calibrate(x[:, 0].astype(int), score, y)
+
+
 def test_selection_takes_the_best_without_overlap_and_no_square_time():
     class Even:
         def predict(self, x):

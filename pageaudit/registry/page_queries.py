@@ -73,17 +73,17 @@ def _(spark, sf):
 @query("h4_checkbox_labels", """SELECT n AS page_id, n % 5 <> 2 AS checked, CASE n % 5 WHEN 1 THEN 'Add insurance ₹199' WHEN 2 THEN 'Donation to a foundation ₹10'
   ELSE 'Send me the newsletter' END AS label FROM v_html WHERE n % 5 IN (1, 2, 3)""")
 def _(spark, sf):
-    return H.checkbox_labels(shop(spark, sf, H.RULE_PARTS)).select("page_id", "checked", "label")
+    return H.checkbox_labels(shop(spark, sf, H.Parts(("elements", "nodes"), ("pos", "parent", "last", "tag", "attrs", "after", "t0", "t1", "label")))).select("page_id", "checked", "label")
 
 
 @query("n4_labels_by_for", "SELECT n AS page_id, 'c1' AS id, 'Donation to a foundation ₹10' AS label FROM v_html WHERE n % 5 = 2")
 def _(spark, sf):
-    return H.labels_by_for(shop(spark, sf, H.RULE_PARTS))
+    return H.labels_by_for(shop(spark, sf, H.Parts(("elements", "nodes"), ("id", "t0", "t1", "label"))))
 
 
 @query("h5_struck", "SELECT n AS page_id, 's' AS tag, 'old-price' AS cls FROM v_html")
 def _(spark, sf):
-    return H.elements_table(shop(spark, sf, ("elements",))).where("struck").select("page_id", "tag", "cls")
+    return H.elements_table(shop(spark, sf, H.Parts(("elements",), ("tag", "cls", "struck")))).where("struck").select("page_id", "tag", "cls")
 
 
 @query("n5_ancestors", "SELECT n AS page_id, 2::BIGINT AS links_in_header, CASE WHEN n % 13 = 0 THEN 1 ELSE 0 END::BIGINT AS links_elsewhere FROM v_html")
@@ -104,12 +104,12 @@ def _(spark, sf):
   UNION ALL SELECT n, 1, 'https://other.example.net/x', FALSE FROM v_html
   UNION ALL SELECT n, 2, regexp_replace(url, '[^/]*$', '') || 'skip?x=1', TRUE FROM v_html WHERE n % 13 = 0""")
 def _(spark, sf):
-    return H.links(shop(spark, sf, ("elements",))).select("page_id", "seq", "dst_url", "same_host")
+    return H.links(shop(spark, sf, H.Parts(("elements",), ("tag", "attrs")))).select("page_id", "seq", "dst_url", "same_host")
 
 
 @query("h7_redact", "SELECT n AS page_id, 'pw' AS name, FALSE AS has_value FROM v_html WHERE n % 9 = 4 UNION ALL SELECT n, 'qty', TRUE FROM v_html WHERE n % 9 = 4")
 def _(spark, sf):
-    e = H.elements_table(H.redact(shop(spark, sf, ("elements",))))
+    e = H.elements_table(H.redact(shop(spark, sf, H.Parts(("elements",), ("tag", "attrs")))))
     named = e.where((F.col("tag") == "input") & F.map_contains_key("attrs", "name"))
     return named.select("page_id", F.element_at("attrs", "name").alias("name"), F.map_contains_key("attrs", "value").alias("has_value"))
 
@@ -143,7 +143,7 @@ def _(spark, sf):
 @query("m1_attribute_map", """SELECT n AS page_id, 'style' AS name, 'font-size: 9px' AS value FROM v_html WHERE n % 13 = 0 UNION ALL SELECT n, 'class', 'skip' FROM v_html WHERE n % 13 = 0
   UNION ALL SELECT n, 'href', 'skip?x=1' FROM v_html WHERE n % 13 = 0""")
 def _(spark, sf):
-    e = H.elements_table(shop(spark, sf, ("elements",))).where("tag = 'a' and cls = 'skip'")
+    e = H.elements_table(shop(spark, sf, H.Parts(("elements",), ("tag", "cls", "attrs")))).where("tag = 'a' and cls = 'skip'")
     return e.select("page_id", F.explode("attrs").alias("name", "value"))
 
 
@@ -216,7 +216,7 @@ def cand(df):
 
 for _name, _fn, _src, _parts in [
     ("p5_jsonld", P.jsonld_candidates, "json_ld", ("scripts",)), ("p6_hydration", P.hydration_candidates, "next_data", ("state",)),
-    ("p8_meta", P.meta_candidates, "meta_tag", ("elements",)), ("p9_platform", P.platform_candidates, "adapter", H.RULE_PARTS),
+    ("p8_meta", P.meta_candidates, "meta_tag", ("elements",)), ("p9_platform", P.platform_candidates, "adapter", H.PRICE_PARTS),
 ]:
     @query(_name, f"WITH {_CAND} SELECT n AS page_id, amount, source, round(confidence, 6) AS confidence, is_mrp FROM cd WHERE source = '{_src}'")
     def _(spark, sf, fn=_fn, parts=_parts):
@@ -278,20 +278,23 @@ _COMP = """cp AS (SELECT n, scan_id, stage, 1 AS seq, 'protection' AS component_
   UNION ALL SELECT n, scan_id, stage, 4, 'tax', 20 + n % 3, TRUE FROM v_html WHERE n % 3 > 0)"""
 
 
+FEE_PARTS = H.Parts(("elements", "nodes"), ("parent", "tag", "cls", "attrs", "t0", "t1", "up", "box", "label"))
+
+
 @query("p12_components", f"WITH {_COMP} SELECT n AS page_id, component_type, amount::DOUBLE AS amount, selected_by_default FROM cp")
 def _(spark, sf):
-    return P.stage_components(shop(spark, sf)).select("page_id", "component_type", "amount", "selected_by_default")
+    return P.stage_components(shop(spark, sf, FEE_PARTS)).select("page_id", "component_type", "amount", "selected_by_default")
 
 
 @query("p13_raw_components", """SELECT n AS page_id, (CASE WHEN n % 5 IN (1, 2) THEN 1 ELSE 0 END + CASE WHEN n % 3 > 0 THEN 2 ELSE 0 END + CASE WHEN n % 3 > 0 AND n % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS n FROM v_html""")
 def _(spark, sf):
-    return shop(spark, sf, H.RULE_PARTS).select("page_id", F.size(P.dedup_components(P.raw_components())).alias("n"))
+    return shop(spark, sf, FEE_PARTS).select("page_id", F.size(P.dedup_components(P.raw_components())).alias("n"))
 
 
 @query("p14_dropped_aggregates", """SELECT n AS page_id, (CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN n % 5 = 2 AND n % 3 = n % 4 THEN 1 ELSE 0 END)::BIGINT AS n
   FROM v_html WHERE n % 3 > 0 AND (n % 2 = 0 OR (n % 5 = 2 AND n % 3 = n % 4))""")
 def _(spark, sf):
-    c = shop(spark, sf, H.RULE_PARTS).select("page_id", P.dedup_components(P.raw_components()).alias("c"))
+    c = shop(spark, sf, FEE_PARTS).select("page_id", P.dedup_components(P.raw_components()).alias("c"))
     return c.select("page_id", (F.size("c") - F.size(P.drop_aggregates(F.col("c")))).alias("n")).where("n > 0")
 
 
@@ -300,7 +303,7 @@ def _(spark, sf):
   n % 5 = 0 AND n % 3 = 2 AS checkout_reached, CASE WHEN n % 3 = 2 THEN (CASE WHEN n % 5 = 0 THEN 50 ELSE 45 END) ELSE 0 END::DOUBLE AS checkout_score,
   CASE WHEN n % 5 > 0 AND n % 3 > 0 AND n % 4 < 2 THEN (p + 50)::DOUBLE END AS checkout_total FROM v_html""")
 def _(spark, sf):
-    return reached.cart_and_checkout(shop(spark, sf, H.RULE_PARTS))
+    return reached.cart_and_checkout(shop(spark, sf, H.Parts(("elements", "nodes"), ("tag", "id", "cls", "classes", "attrs", "t0", "t1", "up"))))
 
 
 @query("p7_network", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY session_id, url ORDER BY seq) AS rn FROM v_responses

@@ -89,3 +89,34 @@ def test_queries_ask_for_the_parts_they_read(spark, monkeypatch):
     assert asked == [("elements",), ("state",), ("scripts",), H.RULE_PARTS]
     with pytest.raises(ValueError, match="no such parts"):
         parse(spark.createDataFrame([("x",)], "html string"), ("elementz",))
+
+
+LEAN_PAGES = [
+    "", None, "<script></script><script> </script>", "<script>a<!-- b --></script>c<SCRIPT id='x' src=y>1 < 2</script >d", "<script/>t<script type=a>un",
+    "<p>a<p id=1 class='x  y'>b<br/><input type=checkbox checked>&amp;", "<div><script>x</script><b>y</div>z</b>", "<![foo <a href='q'>r</a>", "<textarea><script>v</script></textarea>",
+    "<title>a<script>b</script></title><style>p{}</style><a href=/ href=/2>h</a>", "<li>1<li>2<script>3", "<svg><script>4</script></svg>", "<!--c--><script>5</script><!--", "&#x110000;<script>&lt;</script>",
+]
+
+
+def test_scripts_and_tags_without_a_tree_are_those_of_the_tree():
+    whole, scripts, tags = R.Pages(), R.Pages(("state",)), R.Pages(("elements",), tuple(R.OWN))
+    for p in (whole, scripts, tags):
+        for h in LEAN_PAGES:
+            p.add(h)
+    assert scripts.scripts == whole.scripts and len(whole.scripts) > 8 and scripts.script_ends == whole.script_ends
+    assert all(tags.elements[f] == whole.elements[f] for f in R.OWN) and tags.element_ends == whole.element_ends
+    assert whole.errors == scripts.errors == tags.errors
+    assert not scripts.elements["pos"] and not tags.elements["pos"] and not tags.nodes["text"]
+
+
+def test_elements_leave_the_parser_with_the_fields_asked_for(spark):
+    from pageaudit.operators import structure as H
+
+    page = spark.createDataFrame([(1, h) for h in LEAN_PAGES], "page_id long, html string")
+    for parts in (H.Parts(("elements",), ("attrs", "tag")), H.RULE_PARTS, H.Parts(("elements",), ("t1", "cls"))):
+        lean = H.parse_pages(page, parts)
+        assert lean.schema["elements"].dataType.elementType.names == list(parts.fields)
+        whole = H.elements_table(H.parse_pages(page)).select("page_id", *parts.fields)
+        assert sorted(map(str, H.elements_table(lean).collect())) == sorted(map(str, whole.collect()))
+    with pytest.raises(ValueError, match="no such fields"):
+        H.Parts(("elements",), ("tags",))

@@ -109,6 +109,18 @@ def test_scripts_and_tags_without_a_tree_are_those_of_the_tree():
     assert not scripts.elements["pos"] and not tags.elements["pos"] and not tags.nodes["text"]
 
 
+def test_queries_look_for_the_shop_system_only_where_they_read_it(spark, monkeypatch):
+    from pageaudit.registry import QUERIES, page_queries
+
+    asked, real = [], page_queries.platform
+    monkeypatch.setattr(page_queries, "platform", lambda *c: asked.append(1) or real(*c))
+    for name in ("x1_json_walk", "h7_redact", "r5_preticked", "p13_raw_components", "m1_attribute_map", "p5_jsonld", "n4_labels_by_for", "h6_links_shop", "r_all_rules", "h4_checkbox_labels"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert not asked
+    QUERIES["e9_reached"](spark, "/root/testdata/sf0.001")
+    assert asked
+
+
 def test_elements_leave_the_parser_with_the_fields_asked_for(spark):
     from pageaudit.operators import structure as H
 

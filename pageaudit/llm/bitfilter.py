@@ -4,6 +4,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageaudit.llm import textbatch as tb
+
 #: Least and greatest size in bits; beyond it more passes the filter, nothing is lost.
 FILTER_BITS = (1 << 16, 1 << 27)
 
@@ -23,6 +25,8 @@ class BitFilter:
         )
         self.words = np.zeros(self.bits >> 6, np.uint64)
         self.words[rows["word"].to_numpy()] = rows["set"].to_numpy().view(np.uint64)
+        del rows
+        tb.release()
 
     def may_hold(self, hashes: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes), bool)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageaudit.session import written
+from pageaudit.session import dealt, written
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -23,10 +23,10 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").select(F.greatest("u", "v").alias("x"), "u", "v", F.least("u", "m").alias("m"))
+        large = both.join(dealt(_least(both)), "u").select(F.greatest("u", "v").alias("x"), "u", "v", F.least("u", "m").alias("m"))
         edges = written(large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
         least = _least(edges)
-        small = edges.join(least, "u")
+        small = edges.join(dealt(least), "u")
         edges = written(
             small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges"
         )

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pageaudit.llm import textbatch as tb
 from pageaudit.llm.bitfilter import BitFilter
 from pageaudit.llm.components import components
-from pageaudit.session import written
+from pageaudit.session import dealt, written
 
 SHINGLE = 5
 NUM, DEN = 75, 100
@@ -334,7 +334,7 @@ def beside(pairs: DataFrame, values: DataFrame, *names: str) -> DataFrame:
     """The pairs (a, b) with the named columns of both documents, as left_ and right_."""
     right = values.select(F.col("doc_id").alias("b"), *[F.col(c).alias(f"right_{c}") for c in names])
     left = values.select(F.col("doc_id").alias("a"), *[F.col(c).alias(f"left_{c}") for c in names])
-    return pairs.join(right, "b").join(left, "a").select("a", "b", *[f"{s}_{c}" for c in names for s in ("left", "right")])
+    return pairs.join(dealt(right), "b").join(dealt(left), "a").select("a", "b", *[f"{s}_{c}" for c in names for s in ("left", "right")])
 
 
 def verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame | None:
@@ -386,7 +386,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     # one document for each set, which stands for its copies from here on
     copies = written(known.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep")), "copies")
-    owner = written(known.select("doc_id", "digest", "n_shingles").distinct().join(copies, ["digest", "n_shingles"]).select("doc_id", "rep").distinct(), "owners")
+    owner = written(known.select("doc_id", "digest", "n_shingles").distinct().join(dealt(copies), ["digest", "n_shingles"]).select("doc_id", "rep").distinct(), "owners")
     total = copies.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_SIGNATURES))
     signed = slim.where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -395,18 +395,18 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = written(found.where("kind = 0").select("a", "b").distinct(), "stars")
     as_a, as_b = owner.select(F.col("doc_id").alias("a"), F.col("rep").alias("x")), owner.select(F.col("doc_id").alias("b"), F.col("rep").alias("y"))
     pairs = written(
-        stars.join(as_a, "a").join(as_b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "pairs"
+        stars.join(dealt(as_a), "a").join(dealt(as_b), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "pairs"
     )
     members = written(
-        found.where("kind = 1").join(owner.withColumnRenamed("doc_id", "a"), "a").groupBy("sig", F.col("rep").alias("doc_id")).agg(F.min("entry").alias("entry"), F.min("slack").alias("slack")), "members"
+        found.where("kind = 1").join(dealt(owner.withColumnRenamed("doc_id", "a")), "a").groupBy("sig", F.col("rep").alias("doc_id")).agg(F.min("entry").alias("entry"), F.min("slack").alias("slack")), "members"
     )
     # rows that share an id but differ tie their sets together
     links = owner.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("n"))
-    ties = owner.join(links.where("n > 1").select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
+    ties = owner.join(dealt(links.where("n > 1").select("doc_id", "a")), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
     label = linked_components(members, pairs, ties, known.select("doc_id", "n_shingles", "sketch"), signed, num, den)
 
-    whole = owner.join(label.withColumnsRenamed({"node": "rep"}), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("found"))
-    return rows.select("doc_id", "n_shingles").join(written(whole, "components"), "doc_id", "left").select(
+    whole = owner.join(dealt(label.withColumnsRenamed({"node": "rep"})), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("found"))
+    return rows.select("doc_id", "n_shingles").join(dealt(written(whole, "components")), "doc_id", "left").select(
         F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("found", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
@@ -425,27 +425,27 @@ def linked_components(members: DataFrame, pairs: DataFrame, ties: DataFrame, siz
 
     crowd = written(members.groupBy("sig").agg(F.count("*").alias("n")), "crowds")
     rank = F.row_number().over(Window.partitionBy("doc_id", "entry").orderBy(F.desc("n"), F.desc("sig")))
-    kept = written(members.join(crowd, "sig").withColumn("rank", rank).where("rank >= slack").select("sig", "doc_id"), "open-members")
+    kept = written(members.join(dealt(crowd), "sig").withColumn("rank", rank).where("rank >= slack").select("sig", "doc_id"), "open-members")
     named = label.withColumnsRenamed({"node": "doc_id", "component": "c"})
-    kept = kept.join(named, "doc_id", "left").select("sig", "doc_id", F.coalesce("c", "doc_id").alias("c"))
+    kept = kept.join(dealt(named), "doc_id", "left").select("sig", "doc_id", F.coalesce("c", "doc_id").alias("c"))
     groups = kept.groupBy("sig").agg(
         F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("all"), F.min("c").alias("c0"), F.max("c").alias("c1")
     ).where("c0 <> c1")
     # groups with the same members need but one of their signatures
     one = written(groups.groupBy("n", "all").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks")), "open-groups")
-    first = written(open_pairs(kept.join(one, "sig"), sizes, num, den), "open-pairs")
-    todo = first.where("a IS NOT NULL").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    first = written(open_pairs(kept.join(dealt(one), "sig"), sizes, num, den), "open-pairs")
+    todo = first.where("a IS NOT NULL").select("a", "b").distinct().join(dealt(pairs), ["a", "b"], "left_anti")
     more = verified(todo, sizes, docs, num, den)
     if more is not None:
         links = written(links.unionByName(more), "links")
         label = written(components(links), "labels")
     named = label.withColumnsRenamed({"node": "doc_id", "component": "c"})
     rest = first.where("sig IS NOT NULL").select("sig").distinct()
-    rest = kept.drop("c").join(rest, "sig").join(named, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-    rest = rest.join(sizes.groupBy("doc_id").agg(F.max("n_shingles").alias("size")), "doc_id")
+    rest = kept.drop("c").join(dealt(rest), "sig").join(dealt(named), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+    rest = rest.join(dealt(sizes.groupBy("doc_id").agg(F.max("n_shingles").alias("size"))), "doc_id")
     cut = F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     still = rest.groupBy("sig").agg(cut, F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("sig", "blocks")
-    rest = written(rest.drop("size").join(still, "sig"), "open-members")
+    rest = written(rest.drop("size").join(dealt(still), "sig"), "open-members")
     if rest.isEmpty():
         return label
     sets = written(sets_of(docs, rest.select("doc_id").distinct()), "candidate-sets")
@@ -462,7 +462,7 @@ def placed(members: DataFrame, values: DataFrame) -> DataFrame:
     rows = members.withColumn("block", block).select(
         "sig", "doc_id", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     ).select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "c", "block")
-    return rows.join(values, "doc_id").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "doc_id")
+    return rows.join(dealt(values), "doc_id").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "doc_id")
 
 
 def by_place(batches):

@@ -335,6 +335,17 @@ def test_groups_of_alike_texts_that_hardly_link(docs_of, monkeypatch):
     assert compared and len({c for _, _, c in got}) > 10
 
 
+def test_no_table_of_the_join_is_sent_whole_to_the_driver(shared, docs_of):
+    store = shared._jsparkSession.sharedState().statusStore()
+    plans = lambda: {e.executionId(): e.physicalPlanDescription() for e in map(store.executionsList().apply, range(store.executionsList().size()))}
+    before = plans()
+    assert partenum_join.similar_components(docs_of(*near_copies(random.Random(14), 60))).where("component_id < doc_id").collect()
+    shared.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    new = [p for i, p in plans().items() if i not in before]
+    assert sum("SortMergeJoin" in p for p in new) > 5
+    assert not any("BroadcastExchange" in p for p in new)
+
+
 def test_join_of_an_empty_table(docs_of):
     assert partenum_join.similar_components(docs_of((1, "x")).limit(0)).count() == 0
 

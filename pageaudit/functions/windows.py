@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from pageaudit.session import written
 
+from pageaudit.session import written
+
 
 def top_k(df: DataFrame, partition_cols, order_cols, k: int, rank="rank") -> DataFrame:
     """The k first rows per group.
@@ -34,3 +36,8 @@ def lag_in_ranges(df: DataFrame, keys, order, fields) -> DataFrame:
     out = rows.join(heads, ["_key", "_range"], "left")
     prev = F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_prev"))
     return out.withColumn("prev", prev).drop("_key", "_range", "_prev", "_n", "_before")
+
+
+def crowded_keys(df: DataFrame, key: str, most: int) -> DataFrame:
+    """The values of ``key`` that more than ``most`` rows share, as a written table: a row for each ``most`` rows of ``df`` at the utmost."""
+    return written(df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(key), "crowded")

@@ -1,6 +1,9 @@
 """Product comparison: fingerprints, matching, offers, prices and reviews.
 
-Matching never builds the pairs of a group. Whether two listings match depends
+Comparisons of at most MOST_PAIRED listings are dealt out by comparison once and
+matched pair by pair within the task; no key or pair is shuffled or written.
+
+Matching never builds the pairs of a larger group. Whether two listings match depends
 only on which identifiers and attributes both of them carry, and on the values
 of those. So every listing publishes one key per usable set of common fields
 (at most 3 identifiers and 11 attribute sets); listings are counted and their
@@ -18,7 +21,8 @@ from pyspark.sql import functions as F
 
 from pageaudit import fixed as X
 from pageaudit.functions import text as T
-from pageaudit.session import cut_lineage, written
+from pageaudit.functions.windows import crowded_keys
+from pageaudit.session import cut_lineage, dealt, written  # noqa: F401
 
 
 def _present(c) -> Column:
@@ -155,6 +159,40 @@ def _short_key(entry) -> Column:
     return F.struct(entry["code"].alias("code"), F.unhex(F.md5(entry["key"].cast("binary"))).alias("key"))
 
 
+#: Listings of a comparison, at most, that are matched pair by pair; of larger ones keys and totals are matched. Both give the same rows.
+MOST_PAIRED = 256
+MATCH_FIELDS = ["brand", *X.MATCH_IDS, *X.MATCH_ATTRS]
+
+
+def _match_fields() -> list[Column]:
+    """What listings are matched by, as it is compared; the functions above read these as they read the fields themselves."""
+    return [_present(f).alias(f) for f in MATCH_FIELDS]
+
+
+def _by_size(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Listings of comparisons to match pair by pair, and of those to match by keys."""
+    crowded = crowded_keys(slim, "compare_id", MOST_PAIRED)
+    return slim.join(crowded, "compare_id", "left_anti"), slim.join(crowded, "compare_id", "left_semi")
+
+
+def _matched_pairs(listings: DataFrame, columns: list[str], condition: Column = None) -> DataFrame:
+    """Each listing with each that it matches in its comparison, itself included (columns with ``p_``), and whether as MATCHED (``strong``).
+
+    Both sides are the same rows, dealt out by comparison once (with renamed columns on both, so that Spark sees it); what
+    follows per comparison stays in the task.
+    """
+    side = lambda s: listings.select("compare_id", *[F.col(c).alias(f"{s}_{c}") for c in [*columns, *MATCH_FIELDS]])
+    either = lambda f, out: F.when(F.col(f).isNotNull() & F.col(f"p_{f}").isNotNull(), out)
+    equal = lambda f: F.col(f) == F.col(f"p_{f}")
+    by_id = F.coalesce(*[either(f, equal(f)) for f in X.MATCH_IDS])
+    same = reduce(lambda a, b: a + b, [F.when(equal(f), 1).otherwise(0) for f in X.MATCH_ATTRS])
+    conflict = reduce(lambda a, b: a | b, [F.coalesce(~equal(f), F.lit(False)) for f in X.MATCH_ATTRS])
+    by_attrs = F.coalesce(equal("brand"), F.lit(False)) & ~conflict & (same >= 2)
+    both = side("m").join(side("p"), "compare_id").withColumnsRenamed({f"m_{c}": c for c in [*columns, *MATCH_FIELDS]})
+    pairs = both.where(F.coalesce(by_id, by_attrs))
+    return (pairs if condition is None else pairs.where(condition)).withColumn("strong", by_id.isNotNull() | (same >= 3))
+
+
 def _deciding_code(id_a, attr_a, id_b, attr_b) -> Column:
     """The fields that decide a pair: the first common identifier, else all common attributes."""
     ids, attrs = id_a.bitwiseAND(id_b), attr_a.bitwiseAND(attr_b)
@@ -166,15 +204,32 @@ def comparable_partners(fingerprints: DataFrame, payload=()) -> DataFrame:
 
     ``payload`` columns come along twice: of the listing in ``own``, of the
     cheapest partner in ``cheapest``. The listing itself takes part, so
-    ``cheapest`` may be the listing. The slim table of keys is read by both
-    sides of the join; it is written once to the shared checkpoint folder so
+    ``cheapest`` may be the listing. The slim table of match fields is read by both
+    sides of the joins; it is written once to the shared folder so
     that titles are not taken apart twice.
     """
-    slim = cut_lineage(_masks(fingerprints).select(
-        "compare_id", "listing_id", "id_mask", "attr_mask", _published_keys().alias("keys"),
-        F.struct("listed_price", "listing_id", *payload).alias("own"),
-    ))
-    side = slim.select("*", F.explode("keys").alias("k")).select(
+    slim = written(fingerprints.select(
+        "compare_id", "listing_id", *_match_fields(), F.struct("listed_price", "listing_id", *payload).alias("own"),
+        F.monotonically_increasing_id().alias("row"),
+    ), "listings")
+    few, many = _by_size(slim)
+    columns = ["compare_id", "listing_id", "own", "n_matched", "n_probable", "best.cheapest", F.when(F.col("best.strong"), "MATCHED").otherwise("PROBABLE_MATCH").alias("product_match")]
+    return _partners_by_pairs(few).select(*columns).unionByName(_partners_by_keys(many).select(*columns))
+
+
+def _partners_by_pairs(few: DataFrame) -> DataFrame:
+    pairs = _matched_pairs(few, ["listing_id", "own", "row"])
+    other = F.struct("row", "listing_id") != F.struct("p_row", "p_listing_id")
+    return pairs.groupBy("compare_id", "listing_id").agg(
+        F.any_value("own").alias("own"),
+        F.sum(F.when(F.col("strong") & other, 1).otherwise(0)).alias("n_matched"),
+        F.sum(F.when(~F.col("strong") & other, 1).otherwise(0)).alias("n_probable"),
+        F.min(F.struct(F.col("p_own.listed_price").alias("price"), F.col("p_own.listing_id").alias("id"), F.col("p_own").alias("cheapest"), F.col("strong"))).alias("best"),
+    )
+
+
+def _partners_by_keys(many: DataFrame) -> DataFrame:
+    side = _masks(many).select("*", F.explode(F.transform(_published_keys(), _short_key)).alias("k")).select(
         "compare_id", "listing_id", "id_mask", "attr_mask", "own", "k.code", "k.key")
     totals = side.groupBy("compare_id", "code", "key", F.col("id_mask").alias("p_id"), F.col("attr_mask").alias("p_attr")).agg(
         F.count("*").alias("n"), F.min("own").alias("cheapest")
@@ -192,9 +247,6 @@ def comparable_partners(fingerprints: DataFrame, payload=()) -> DataFrame:
         F.sum(F.when(strong, 0).otherwise(others)).alias("n_probable"),
         F.min(F.struct(F.col("cheapest.listed_price").alias("price"), F.col("cheapest.listing_id").alias("id"),
                        F.col("cheapest"), strong.alias("strong"))).alias("best"),
-    ).select(
-        "compare_id", "listing_id", "own", "n_matched", "n_probable", "best.cheapest",
-        F.when(F.col("best.strong"), "MATCHED").otherwise("PROBABLE_MATCH").alias("product_match"),
     )
 
 
@@ -222,7 +274,8 @@ def price_inconsistencies(fingerprints: DataFrame, best_offers: DataFrame) -> Da
     side worth three quarters of it, delivery charges that differ by as much, none of these (unexplained). So a
     gap that something explains does not hide an unexplained one against another partner.
 
-    Partners are not listed. Per key, kind, attribute values, condition, offer and charge (a class) the cheapest listing is
+    Listings of comparisons of at most MOST_PAIRED are compared pair by pair within the task (``_dearer_by_pairs``). Of larger ones
+    partners are not listed: per key, kind, attribute values, condition, offer and charge (a class) the cheapest listing is
     kept by a partial aggregate, and each listing reads its classes with an equality join. Within a class of its own values and
     condition the gap is explained by an offer from some price upwards, likewise by charges; the cheapest partner there comes
     from one sorted pass over the distinct prices of the class. Rows grow with listings times classes of a key (distinct
@@ -231,14 +284,42 @@ def price_inconsistencies(fingerprints: DataFrame, best_offers: DataFrame) -> Da
     """
     captured = fingerprints.where(F.col("status").isin("PRODUCT_CAPTURED", "CAPTURED") & (F.col("listed_price") > 0))
     values = F.array(*[F.coalesce(_present(f), F.lit("")) for f in X.MATCH_ATTRS])
-    slim = written(_masks(captured.join(best_offers, "listing_id", "left")).select(
+    slim = written(_masks(captured.join(dealt(best_offers), "listing_id", "left")).select(
         "compare_id", "listing_id", "id_mask", "attr_mask", F.transform(_published_keys(), _short_key).alias("keys"),
         F.col("listed_price").cast(T.MONEY).alias("price"), _units("listed_price").alias("u"),
         values.alias("values"), F.coalesce(_present("condition"), F.lit("new")).alias("condition"), _units("best_offer").alias("offer"), _units("delivery_charge").alias("fee"),
-        _present("seller").alias("seller"),
+        _present("seller").alias("seller"), *_match_fields(),
     ), "listings")
+    few, many = _by_size(slim)
+    return _explained(_dearer_by_pairs(few), slim, True).unionByName(_explained(_dearer_by_keys(many), many, False))
+
+
+def _cheapest_partners(found: DataFrame) -> DataFrame:
+    """Per listing and explanation the cheapest of the partners (struct of price and id) found that are cheaper by enough."""
+    delta = (F.col("price") - F.col("partner.price")).cast(T.MONEY)
+    pct = delta.cast("double") / F.col("partner.price").cast("double") * 100
+    return found.where((delta > 0) & (pct >= X.MATERIAL_PCT)).groupBy("compare_id", "listing_id", "explanation").agg(
+        F.any_value("price").alias("hi"), F.min(F.struct(F.col("partner.price").alias("lo"), F.col("partner.id").alias("id"), "strong")).alias("b")
+    )
+
+
+def _dearer_by_pairs(few: DataFrame) -> DataFrame:
+    pairs = _matched_pairs(few, ["listing_id", "price", "u", "condition", "offer", "fee"], F.col("p_u") < F.col("u"))
+    variant = reduce(lambda a, b: a | b, [F.coalesce(F.col(f) != F.col(f"p_{f}"), F.lit(False)) for f in X.MATCH_ATTRS])
+    gap = 3 * (F.col("u") - F.col("p_u"))
+    why = (
+        F.when(variant, "variant").when(F.col("condition") != F.col("p_condition"), "condition").when(4 * F.greatest("offer", "p_offer") >= gap, "offer")
+        .when(4 * F.abs(F.col("fee") - F.col("p_fee")) >= gap, "fee").otherwise("unexplained")
+    )
+    return _cheapest_partners(pairs.select(
+        "compare_id", "listing_id", "price", F.struct(F.col("p_price").alias("price"), F.col("p_listing_id").alias("id")).alias("partner"), "strong", why.alias("explanation")
+    ))
+
+
+def _dearer_by_keys(many: DataFrame) -> DataFrame:
+    slim = many.drop("seller", *MATCH_FIELDS)
     kind = ["id_mask", "attr_mask", "values", "condition", "offer", "fee"]
-    side = slim.drop("seller").select("*", F.explode("keys").alias("k")).select("compare_id", "listing_id", *kind, "price", "u", "k.code", "k.key")
+    side = slim.select("*", F.explode("keys").alias("k")).select("compare_id", "listing_id", *kind, "price", "u", "k.code", "k.key")
     cls = F.unhex(F.md5(F.to_json(F.struct("compare_id", "code", F.hex("key").alias("key"), *kind)).cast("binary")))
     classes = side.groupBy("compare_id", "code", "key", *[F.col(c).alias(f"p_{c}") for c in kind]).agg(F.min(F.struct("price", F.col("listing_id").alias("id"), "u")).alias("low"))
     seen = side.join(classes, ["compare_id", "code", "key"]).where(
@@ -264,17 +345,21 @@ def price_inconsistencies(fingerprints: DataFrame, best_offers: DataFrame) -> Da
     prices = members.join(wanted.select("cls").distinct(), "cls", "left_semi").groupBy("cls", "v").agg(F.min("point").alias("point"))
     above = asked.join(_at_or_above(prices, wanted), ["cls", "t"]).where((F.col("explanation") == "offer") | (3 * F.col("point.u") < F.col("t_offer")))
     found = direct.unionByName(above.select("compare_id", "listing_id", "price", "code", F.col("point").alias("partner"), "explanation"))
-    delta = (F.col("price") - F.col("partner.price")).cast(T.MONEY)
-    pct = delta.cast("double") / F.col("partner.price").cast("double") * 100
-    strong = (F.col("code") < 8) | (F.bit_count(F.col("code") - 8) >= 3)
-    best = found.where((delta > 0) & (pct >= X.MATERIAL_PCT)).groupBy("compare_id", "listing_id", "explanation").agg(
-        F.any_value("price").alias("hi"), F.min(F.struct(F.col("partner.price").alias("lo"), F.col("partner.id").alias("id"), strong.alias("strong"))).alias("b")
-    )
+    return _cheapest_partners(found.withColumn("strong", (F.col("code") < 8) | (F.bit_count(F.col("code") - 8) >= 3)))
+
+
+def _explained(best: DataFrame, slim: DataFrame, small: bool) -> DataFrame:
+    """The rows of the result, with the facts of both listings. In ``small`` comparisons the listings are looked up within the comparison, where ``best`` is already."""
     facts = ["seller", "values", "condition", "offer", "fee"]
     mine = slim.select("compare_id", "listing_id", *[F.col(c).alias(f"a_{c}") for c in facts])
     theirs = slim.select(F.col("compare_id"), F.col("listing_id").alias("cheapest_listing"), *[F.col(c).alias(f"b_{c}") for c in facts])
     j = best.select("compare_id", "listing_id", "explanation", F.col("hi"), F.col("b.lo").alias("lo"), F.col("b.id").alias("cheapest_listing"), F.col("b.strong").alias("strong"))
-    j = j.join(mine, ["compare_id", "listing_id"]).join(theirs, ["compare_id", "cheapest_listing"])
+    if small:
+        for df, c in ((mine, "listing_id"), (theirs, "cheapest_listing")):
+            # not an equality: that would deal both sides out anew, by both columns
+            j = j.join(df.withColumnRenamed(c, "looked_up"), "compare_id").where((F.col(c) >= F.col("looked_up")) & (F.col(c) <= F.col("looked_up"))).drop("looked_up")
+    else:
+        j = j.join(mine, ["compare_id", "listing_id"]).join(theirs, ["compare_id", "cheapest_listing"])
     gap = (F.col("hi") - F.col("lo")).cast(T.MONEY)
     three = (gap.cast("decimal(18,4)") * 30000).cast("bigint")
     differs = F.exists(F.zip_with("a_values", "b_values", lambda a, b: (a != "") & (b != "") & (a != b)), lambda x: x)
@@ -372,8 +457,8 @@ def line_offers() -> Column:
     return F.filter(every, lambda o: o.isNotNull())
 
 
-def extract_offers(texts: DataFrame) -> DataFrame:
-    """Offers per listing from ``listing_id, text``; the first occurrence of a key counts."""
+def extract_offers(texts: DataFrame, fields: list[str] = None) -> DataFrame:
+    """Offers per listing from ``listing_id, text``; the first occurrence of a key counts. With ``fields`` only these columns of an offer."""
     lined = texts.select("listing_id", F.posexplode(T.lines(F.col("text"))).alias("line_no", "line"))
     # every offer needs a digit or one of these words; other lines skip the patterns
     marks = r"(?i)\d|emi|code|coupon|get|earn|save|extra"
@@ -381,7 +466,8 @@ def extract_offers(texts: DataFrame) -> DataFrame:
         "listing_id", "line_no", F.posexplode(line_offers()).alias("slot", "o")
     )
     seq = (F.col("line_no") * 3 + F.col("slot")).alias("seq")
-    keyed = found.select("listing_id", F.col("o.offer_key").alias("offer_key"), F.struct(seq, "o").alias("v"), seq)
+    offer = F.struct(*[F.col(f"o.{c}") for c in fields]).alias("o") if fields else F.col("o")
+    keyed = found.select("listing_id", F.col("o.offer_key").alias("offer_key"), F.struct(seq, offer).alias("v"), seq)
     return keyed.groupBy("listing_id", "offer_key").agg(F.min_by("v", "seq").alias("v")).select("listing_id", "v.seq", "v.o.*")
 
 

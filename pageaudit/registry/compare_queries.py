@@ -188,7 +188,7 @@ _INC = f"""WITH {FP}, {offers_sql()}, {BEST}, cap AS (SELECT fp.*, best_offer FR
   floor((hi - lo)::DOUBLE / lo::DOUBLE * 100 * 10 + 0.5) / 10 AS price_delta_pct, same_seller, same_variant, same_condition, offer_explains, fee_explains, explanation FROM pk""")
 def _(spark, sf):
     """Listings dearer than a comparable listing, per explanation of the gap; the check looks at all pairs."""
-    return C.price_inconsistencies(fingerprints(spark, sf), C.best_offers(offers(spark, sf)))
+    return C.price_inconsistencies(fingerprints(spark, sf), C.best_offers(C.extract_offers(view(spark, sf, "v_offers"), ["discount_value"])))
 
 
 _REV_KIND = "CASE " + " ".join(f"WHEN regexp_matches(s, {rx(p)}) THEN '{n}'" for p, n in X.REVIEW_SIGNALS) + " END"

@@ -233,3 +233,35 @@ def test_partners_are_kept_in_short_rows_and_written_once(spark, monkeypatch):
     assert [k for k, _ in kept] == ["listings", "partners"]
     assert "binary" in kept[0][1]["keys"].dataType.simpleString() and kept[1][1]["cls"].dataType.simpleString() == "binary"
     assert rows.count() == 0  # gaps below the threshold
+
+
+def mixed_listings(rnd, n):
+    """Listings of one large comparison, small ones and none, with repeated and null ids."""
+    rows = []
+    for i in range(n):
+        some = lambda v: rnd.choice(v) if rnd.random() < 0.25 else None
+        title = f"Acer {rnd.choice(['8GB RAM', '16GB RAM', ''])} 256GB SSD {rnd.choice(['Ryzen 5', 'Core i7', ''])} {rnd.choice(['14 inch', ''])}"
+        rows.append(listing(i if i else None, title, rnd.choice([100, 120, 126, 150, None, rnd.randint(90, 400)]), brand=rnd.choice([None, "Acer", " ACER", "Dell"]), sku=some(["A", "b", ""]), mpn=some(["M", "N"]),
+                            gtin=some(["1", "2"]), condition=rnd.choice([None, "new", "refurbished"]), delivery=rnd.choice([0, 20, 90]), seller=rnd.choice(["S", None]), group=rnd.choice([1, 1, 2, 3, None])))
+    return rows + rows[3:6]
+
+
+@pytest.mark.parametrize("find", [
+    lambda f, o: C.price_inconsistencies(f, o), lambda f, o: C.comparable_partners(f).select("compare_id", "listing_id", "n_matched", "n_probable", "cheapest", "product_match")])
+def test_pairs_and_keys_give_the_same_rows(spark, monkeypatch, find):
+    rnd = random.Random(21)
+    f = fp(spark, *mixed_listings(rnd, 120)).cache()
+    o = spark.createDataFrame([(i, rnd.choice([5.0, 30.0, 75.0])) for i in range(0, 120, 2)], "listing_id long, best_offer double")
+    found = []
+    for most in (0, 30, 1000):
+        monkeypatch.setattr(C, "MOST_PAIRED", most)
+        found.append(sorted(map(repr, find(f, o).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 50
+
+
+def test_small_comparisons_are_matched_without_rows_per_key(spark, monkeypatch):
+    kept, plain = {}, C.written
+    monkeypatch.setattr(C, "written", lambda df, kind: kept.setdefault(kind, plain(df, kind)))
+    t = "Acer 8GB RAM 256GB SSD Ryzen 5"
+    assert len(inconsistencies(spark, [listing(i, t, 100 + 50 * (i % 3), group=i // 3) for i in range(30)])) == 20
+    assert kept["listings"].count() == 30 and kept["partners"].count() == 0

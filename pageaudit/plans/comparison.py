@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 
 from pageaudit.operators import compare
-from pageaudit.session import cut_lineage
+from pageaudit.session import written
 
 
 def compare_listings(listings: DataFrame, offer_texts: DataFrame, reviews: DataFrame) -> dict:
@@ -13,8 +13,8 @@ def compare_listings(listings: DataFrame, offer_texts: DataFrame, reviews: DataF
     condition, status, marketplace, listed_price, delivery_charge, findings_count.
     """
     # titles and offer lines are costly to take apart and read by several parts: written once
-    fingerprints = cut_lineage(compare.with_fingerprint(listings))
-    offers = cut_lineage(compare.extract_offers(offer_texts))
+    fingerprints = written(compare.with_fingerprint(listings), "fingerprints")
+    offers = written(compare.extract_offers(offer_texts), "offers")
     payable = compare.effective_prices(listings, offers)
     clusters = compare.review_clusters(compare.review_signals(reviews))
     return {

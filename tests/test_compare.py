@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pageaudit.functions import text as T
 from pageaudit.operators import compare as C
+from pageaudit.plans import comparison
 
 LISTING = ("listing_id long, compare_id long, title string, brand string, sku string, mpn string, gtin string, seller string, condition string, status string, "
            "marketplace string, listed_price decimal(14,2), delivery_charge decimal(14,2), findings_count long")
@@ -265,3 +266,14 @@ def test_small_comparisons_are_matched_without_rows_per_key(spark, monkeypatch):
     t = "Acer 8GB RAM 256GB SSD Ryzen 5"
     assert len(inconsistencies(spark, [listing(i, t, 100 + 50 * (i % 3), group=i // 3) for i in range(30)])) == 20
     assert kept["listings"].count() == 30 and kept["partners"].count() == 0
+
+
+def test_a_comparison_keeps_its_tables_as_parquet(spark):
+    """Columns and compressed, not rows as Java writes them; offers are those of extract_offers."""
+    rows = spark.createDataFrame([listing(i, "Acer 8GB RAM 256GB SSD Ryzen 5", 100 + 50 * i) for i in range(3)], LISTING)
+    texts = spark.createDataFrame([(0, "Use code ABCD for ₹500 off\nUse code ABCD for ₹500 off")], "listing_id long, text string")
+    reviews = spark.createDataFrame([(1, 1, 1, "A hidden charge was added.")], "review_id long, listing_id long, compare_id long, text string")
+    out = comparison.compare_listings(rows, texts, reviews)
+    assert all(f.endswith(".parquet") for name in ("fingerprints", "offers") for f in out[name].inputFiles()) and out["fingerprints"].inputFiles()
+    assert out["offers"].collect() == C.extract_offers(texts).collect() and out["fingerprints"].count() == 3
+    assert {(r.listing_id, r.explanation) for r in out["inconsistencies"].collect()} == {(1, "offer"), (2, "offer"), (2, "unexplained")}

@@ -165,8 +165,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("y"), packed], ["order", "y", "x"])
 
     rows = texts.mapInArrow(run, "order bigint, y int, x binary").toArrow().sort_by([("order", "ascending"), ("x", "ascending")])
-    examples = [np.frombuffer(x.as_py(), "<i4") for x in rows["x"]]
-    return train(examples, rows["y"].to_numpy().astype(int))
+    examples, y = [np.frombuffer(x.as_py(), "<i4") for x in rows["x"]], rows["y"].to_numpy().astype(int)
+    del rows
+    model = train(examples, y)
+    del examples
+    tb.release()  # the driver goes on after the fit
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, name: str | None = None) -> DataFrame:

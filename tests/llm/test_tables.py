@@ -80,6 +80,15 @@ def test_quality_on_held_out_labels(shared, docs_of):
     assert kept.columns == [*docs.columns, "quality_score"] and kept.count() == 904
 
 
+def test_fitting_gives_the_driver_s_memory_back(shared, docs_of, monkeypatch):
+    given, plain = [], quality_nbsvm.train
+    monkeypatch.setattr(quality_nbsvm, "train", lambda *x: given.append("train") or plain(*x))
+    monkeypatch.setattr(quality_nbsvm.tb, "release", lambda: given.append("release"))
+    labels = shared.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    quality_nbsvm.fit(docs_of(*[(k, f"w{k} x") for k in range(40)]), labels)
+    assert given == ["train", "release"]
+
+
 def test_quality_without_labels(shared, docs_of):
     none = shared.createDataFrame([], "doc_id long, quality int, toxic int")
     one = shared.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
